@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import langid, media_ogg, mixing, simhash, tokens, toxicity, urlfilter
+from hornbeam.llm import decontaminate, langid, lm, media_ogg, mixing, simhash, tokens, toxicity, urlfilter
 from hornbeam.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity.score(docs, toxicity.train_on_folds(docs, labels))
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op7_decontaminate"] = decontaminate.SQL
+
+
+@query
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_folds(table(spark, sf_dir, "documents"))
