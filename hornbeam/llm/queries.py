@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import decontaminate, langid, lm, media_ogg, mixing, simhash, tokens, toxicity, urlfilter
+from hornbeam.llm import decontaminate, langid, lm, media_ogg, mixing, simhash, substring, tokens, toxicity, urlfilter
 from hornbeam.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ ORACLES["op7_decontaminate"] = decontaminate.SQL
 @query
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_folds(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.find(table(spark, sf_dir, "documents"))
