@@ -164,3 +164,23 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard
     linked = named.join(found.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
     by_fp = named.join(linked, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Ids of documents to leave out are broadcast while there are at most this many (8 bytes each).
+BROADCAST = 500_000
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each class, the one with the smallest id, with all its columns. Documents without an
+    id stay; of rows that repeat an id, one stays."""
+    found = cut(classes(docs, **options))
+    gone = cut(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
+    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    repeated = cut(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    n = repeated.count()
+    if not n:
+        return kept
+    again = F.broadcast(repeated) if n <= BROADCAST else repeated
+    same = kept["doc_id"] == F.col("_again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

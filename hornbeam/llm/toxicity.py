@@ -170,3 +170,18 @@ def held_out(id_col: str = "doc_id"):
 
 def train_on_folds(docs: DataFrame, labels: DataFrame, **options) -> Model:
     return train(docs, labels.select("doc_id", "toxic").filter(~held_out()), **options)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with all their columns, in one pass."""
+    used = np.flatnonzero(model.weights).astype(np.int32)
+    values, intercept, place = model.weights[used], model.intercept, docs.columns.index(text_col)
+
+    def work(batches):
+        weights = np.zeros(1 << BITS, np.float32)
+        weights[used] = values
+        own = Model(weights, intercept)
+        for b in batches:
+            yield b.filter(pa.array([own.score(t) < threshold for t in b.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
