@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +59,37 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch on its way to Python and back.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def in_arrow(df: DataFrame, work: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow in batches of bounded size, whose workers give their memory back when a task is done.
+
+    The sizes are settings of the session; they are lowered and never raised."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+
+    def tidy(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def _give_back() -> None:
+    """What allocators keep for later goes back to the system: idle workers live on beside others' tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

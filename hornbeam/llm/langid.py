@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import fold
+from hornbeam.llm.common import fold, in_arrow
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 WIDE = max(WIDTHS)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
                     of += [lang] * len(take)
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
 
-    got = sorted(map(tuple, chosen.mapInArrow(cut_windows, "lang string, window binary").collect()))
+    got = sorted(map(tuple, chosen.transform(in_arrow, cut_windows, "lang string, window binary").collect()))
     if not got:
         return None
     x = np.frombuffer(b"".join(w for _, w in got), np.uint8).reshape(-1, WINDOW)
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
             best = [None if s is None else int(s.argmax()) for s in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([UNKNOWN if k is None else net.names[k] for k in best], pa.string()), pa.array([0.0 if k is None else min(1.0, float(s[k])) for s, k in zip(got, best)], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(work, "doc_id long, lang_pred string, score double")
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).transform(in_arrow, work, "doc_id long, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import bounds, buckets, fold, runs, stored
+from hornbeam.llm.common import bounds, buckets, fold, in_arrow, runs, stored
 
 FOLDS, HELD = 7, 2
 BATCH = 8 << 20
@@ -244,9 +244,9 @@ def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     parts = parts or buckets(spark)
     kinds = "part int, batch long, kind int, payload binary"
-    asked = docs.select(F.col("doc_id").cast("long"), F.col("held_out"), F.col("text").cast("string")).mapInArrow(_request(parts), kinds)
-    answered = asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer, kinds)
-    whole = answered.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "part").mapInArrow(_assemble, "kind int, payload binary, n long, v long")
+    asked = docs.select(F.col("doc_id").cast("long"), F.col("held_out"), F.col("text").cast("string")).transform(in_arrow, _request(parts), kinds)
+    answered = asked.repartition(parts, "part").sortWithinPartitions("part").transform(in_arrow, _answer, kinds)
+    whole = answered.repartition(parts, "batch").sortWithinPartitions("batch", "kind", "part").transform(in_arrow, _assemble, "kind int, payload binary, n long, v long")
     kept = stored(whole)
     totals = kept.filter("kind = 2").agg(F.sum("n"), F.sum("v")).first()
     n, v = totals[0] or 0, totals[1] or 0
@@ -265,7 +265,7 @@ def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     total[k] = total.get(k, 0) + m
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cell", "n"])
 
-    cells = batches.mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
+    cells = batches.transform(in_arrow, histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
     weights = learn(np.array([r["cell"] for r in cells], np.int64), np.array([r["n"] for r in cells], np.int64))
 
     def work(rows):
@@ -281,7 +281,7 @@ def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     [x.split()[0] for x in SCORES.split(", ")],
                 )
 
-    return batches.mapInArrow(work, SCORES)
+    return batches.transform(in_arrow, work, SCORES)
 
 
 def score_folds(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hornbeam.llm.common import in_arrow
+
 #: Fixed values of the Ogg format.
 CAPTURE, CONTINUED, FIRST, LAST, SEGMENTS, HEADER = b"OggS", 1, 2, 4, 255, struct.Struct("<4sBBqIIIB")
 #: Fixed values of our mapping: magic, sample rate, number of streams, stream index, bytes of payload.
@@ -193,7 +195,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             made = [payload(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([write(p) for _, p in made], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(work, "doc_id long, n_bytes long, media binary")
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).transform(in_arrow, work, "doc_id long, n_bytes long, media binary")
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -212,7 +214,7 @@ def digests(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], [x.split()[0] for x in DIGEST.split(", ")])
 
-    return media.mapInArrow(work, DIGEST)
+    return media.transform(in_arrow, work, DIGEST)
 
 
 PACKETS = "id long, serial long, packet int, n_bytes long, start double, end double, ok boolean"
@@ -238,4 +240,4 @@ def packets(media: DataFrame, id_col: str = "id", media_col: str = "media", rate
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], [x.split()[0] for x in PACKETS.split(", ")])
 
-    return media.select(media[id_col].cast("long"), media[media_col].cast("binary")).mapInArrow(work, PACKETS)
+    return media.select(media[id_col].cast("long"), media[media_col].cast("binary")).transform(in_arrow, work, PACKETS)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import bounds, buckets, cut, runs
+from hornbeam.llm.common import bounds, buckets, cut, in_arrow, runs
 from hornbeam.llm.graphs import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).transform(in_arrow, work, "doc_id long, fp long")
 
 
 class BKTree:
@@ -152,7 +152,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
             pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    return keyed.repartition(buckets(spark), *shards).sortWithinPartitions(*shards, "fp").mapInArrow(work, "a long, b long")
+    return keyed.repartition(buckets(spark), *shards).sortWithinPartitions(*shards, "fp").transform(in_arrow, work, "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:

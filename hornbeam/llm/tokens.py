@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornbeam.llm.common import in_arrow
+
 MARK = "▁"
 #: Units whose counts a worker remembers.
 REMEMBERED = 400_000
@@ -105,5 +107,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([counter.count(t) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length(docs[text_col].cast("string")), F.lit(0)).cast("long")
-    found = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"), size).mapInArrow(work, "doc_id long, n_bytes long, n_tokens long")
+    found = docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"), size).transform(in_arrow, work, "doc_id long, n_bytes long, n_tokens long")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

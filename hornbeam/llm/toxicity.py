@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import fold, stored
+from hornbeam.llm.common import fold, in_arrow, stored
 
 ORDERS, BITS = (3, 4, 5), 20
 SAMPLE, FEATURES, STEPS, PENALTY, SMOOTH = 4000, 5000, 250, 3e-4, 1.0
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             k = some[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[0, k], pa.int64()), pa.array(total[1, k], pa.int64())], ["place", "n0", "n1"])
 
-    sums = texts.mapInArrow(count, "place int, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sums = texts.transform(in_arrow, count, "place int, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     s1, s0 = size.get(1, 0), size.get(0, 0)
     if not s1 or not s0:
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 out.append(np.unique(f[f >= 0]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["toxic", "features"])
 
-    got = texts.mapInArrow(features, "toxic int, features binary").toPandas()
+    got = texts.transform(in_arrow, features, "toxic int, features binary").toPandas()
     y, each = got["toxic"].to_numpy(np.float64), [np.frombuffer(x, np.int32) for x in got["features"]]
     order = sorted(range(len(y)), key=lambda i: (y[i], each[i].tobytes()))  # reruns agree whatever the tasks' order
     y, each = y[order], [each[i] for i in order]
@@ -161,7 +161,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = np.array([own.score(t) for t in b.column(1).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).mapInArrow(work, "doc_id long, score double, predicted int")
+    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).transform(in_arrow, work, "doc_id long, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -184,4 +184,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: st
         for b in batches:
             yield b.filter(pa.array([own.score(t) < threshold for t in b.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.transform(in_arrow, work, docs.schema)

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hornbeam.llm.common import in_arrow
+
 #: (verdict, host, path): the rules of op8.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 DEFAULT = "allow"
@@ -121,4 +123,4 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, def
                 ["page_id", "host", "path", "rule", "verdict"],
             )
 
-    return pages.select(pages[id_col].cast("long"), pages[url_col].cast("string")).mapInArrow(work, "page_id long, host string, path string, rule string, verdict string")
+    return pages.select(pages[id_col].cast("long"), pages[url_col].cast("string")).transform(in_arrow, work, "page_id long, host string, path string, rule string, verdict string")
