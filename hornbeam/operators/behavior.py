@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,20 +18,24 @@ MODES = {"write_file": "w", "read_file": "r", "stat_file": "e"}
 NOISE = 200
 
 
-def alert_values(alerts: DataFrame) -> DataFrame:
-    """(pkg, version, sudo, rule, value) from (rule, output_fields map): the host's own alerts, unknown rules and
-    alerts without what their rule needs are left out. Works on a stream too."""
+def value_of() -> Column:
+    """What an alert's rule asks for, or null."""
     field = lambda k: F.col("output_fields").getItem(k)
-    rule, known = F.col("rule"), F.col("rule").isin(RULES)
+    rule = F.col("rule")
     process = F.when(field("proc.name").isNotNull() & field("proc.cmdline").isNotNull() & field("user.name").isNotNull(), F.concat_ws(":", field("user.name"), field("proc.cmdline")))
     sensitive = F.when(field("proc.cmdline").isNotNull() & field("user.name").isNotNull(), F.concat_ws(":", field("user.name"), F.coalesce(field("evt.type"), F.lit("None")), field("proc.cmdline")))
-    value = (
+    return (
         F.when(rule.isin(KINDS["domain"]), first_hostname(field("evt.arg.data"))).when(rule == "outgoing_ip", field("fd.sip")).when(rule == "incoming_ip", field("fd.cip"))
         .when(rule.isin(KINDS["file"]), F.concat_ws(":", field("fd.name"), F.when(field("fd.name").isNotNull(), F.element_at(F.create_map(*[F.lit(x) for kv in MODES.items() for x in kv]), rule))))
         .when(rule == "spawn_process", process).when(rule == "sensitive_operation", sensitive)
     )
-    host = field("container.name")
-    rows = alerts.filter(known & host.isNotNull() & (host != "") & (host != "host")).select(split_container(host).alias("of"), "rule", value.alias("value"))
+
+
+def alert_values(alerts: DataFrame) -> DataFrame:
+    """(pkg, version, sudo, rule, value) from (rule, output_fields map): the host's own alerts, unknown rules and
+    alerts without what their rule needs are left out. Works on a stream too."""
+    host, known = F.col("output_fields").getItem("container.name"), F.col("rule").isin(RULES)
+    rows = alerts.filter(known & host.isNotNull() & (host != "") & (host != "host")).select(split_container(host).alias("of"), "rule", value_of().alias("value"))
     return rows.filter(F.col("of").isNotNull() & F.col("value").isNotNull() & (F.col("value") != "")).select("of.pkg", "of.version", "of.sudo", "rule", "value")
 
 
