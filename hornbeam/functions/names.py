@@ -168,3 +168,27 @@ def ends_with_any(text: Column, suffixes: list[str]) -> Column:
     for s in suffixes:
         out = out | text.endswith(s)
     return F.coalesce(out, F.lit(False))
+
+
+def source_range(text: Column, start_row: Column, start_col: Column, end_row: Column, end_col: Column) -> Column:
+    """The part of a text between two places; rows count from 1, columns from 0, the end is not included."""
+    lines = F.split(text, "\n")
+    inside = F.slice(lines, start_row, end_row - start_row + 1)
+    first_cut = F.substring(F.array_join(inside, "\n"), start_col + 1, F.length(text))
+    tail = F.length(F.element_at(inside, -1)) - end_col
+    return first_cut.substr(F.lit(1), F.length(first_cut) - tail)
+
+
+def months_ago(day: Column, months: int) -> Column:
+    """The day that is so many twelfths of 365 days earlier."""
+    return F.date_sub(day, months * 365 // 12)
+
+
+def url_join(base: Column, path: Column) -> Column:
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.regexp_replace(path, "^/+", ""))
+
+
+def query_string(parameters: Column) -> Column:
+    """a=b&c=d of a map, keys in order."""
+    pairs = F.array_sort(F.map_entries(parameters))
+    return F.array_join(F.transform(pairs, lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"]))), "&")

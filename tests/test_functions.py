@@ -75,3 +75,10 @@ def test_traces(spark):
     assert split_arguments(r'"/etc/a, b", {a=1, b=[2, 3]}, "x\"," ...') == [r'"/etc/a, b"', "{a=1, b=[2, 3]}", r'"x\"," ...']
     got = parse_trace(spark.createDataFrame([('12 1.5 openat(AT_FDCWD, "/etc/passwd", O_RDONLY) = 3',), ("nonsense",), ("7 setuid(0) = 0",)], "value string"))
     assert rows(got)[0][:4] == (12, 1.5, "openat", ["AT_FDCWD", '"/etc/passwd"', "O_RDONLY"]) and {r.category for r in got.collect()} == {"file", None, "process"}
+
+
+def test_ranges_and_urls(spark):
+    df = spark.createDataFrame([("ab\ncdef\nghi", {"b": "x y", "a": "1"})], "t string, m map<string,string>")
+    place = lambda *x: names.source_range(F.col("t"), *map(F.lit, x))
+    r = df.select(place(1, 1, 3, 2), place(2, 1, 2, 3), names.query_string(F.col("m")), names.url_join(F.lit("http://a/"), F.lit("/b"))).first()
+    assert tuple(r) == ("b\ncdef\ngh", "de", "a=1&b=x+y", "http://a/b")

@@ -175,3 +175,15 @@ def test_usage_by_function_name(spark):
     assert rows(usage.api_ids(used, known, True)) == [("p", 1), ("p", 2), ("q", 3)]
     nobody = usage.formula_verdicts(spark.createDataFrame([("z",)], "pkg string"), used, known, "1 | 3")
     assert [(r.pkg, list(r.ids), r.satisfied) for r in nobody.collect()] == [("z", [], False)]
+
+
+def test_control_flow(spark):
+    from hornbeam.operators import control
+
+    # 0 -> 1 -> 2 -> 1, 2 -> 3 -> 2, 1 -> 4: the loop at 2 lies in the loop at 1
+    graph_ = {0: [1], 1: [2, 4], 2: [1, 3], 3: [2], 4: []}
+    assert control.loop_depths(graph_, 0) == {0: 0, 1: 1, 4: 0, 2: 2, 3: 2}
+    blocks = [{"block": k, "stmt_count": 1, "successors": v} for k, v in graph_.items()]
+    df = spark.createDataFrame([("m", blocks), ("empty", [])], "method string, blocks array<struct<block:int,stmt_count:int,successors:array<int>>>")
+    got = {r.block: (r.seq, r.out_degree, r.loop_depth) for r in control.block_features(df).collect()}
+    assert got == {0: (0, 1, 0), 1: (1, 2, 1), 4: (2, 0, 0), 2: (3, 2, 2), 3: (4, 1, 2)}
