@@ -240,7 +240,9 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def score(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """One row a document as in SCORES; docs: doc_id, text, held_out."""
+    """One row a document as in SCORES; docs: doc_id, text, held_out. parts: as many as shuffles have partitions, so a
+    part's share of all distinct pairs is what a task holds. docs should come from a table or a checkpoint, so that a
+    task that runs again after a lost executor makes the same batches."""
     spark = docs.sparkSession
     parts = parts or buckets(spark)
     kinds = "part int, batch long, kind int, payload binary"
