@@ -190,13 +190,21 @@ def break_cycles(edges: DataFrame, scores: DataFrame | None = None) -> DataFrame
         e = cut(e.join(worst, ["src", "dst"], "left_anti"))
 
 
-def neighbour_similarity(edges: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of nodes that share a dependency, by sets of dependencies."""
+def neighbour_similarity(edges: DataFrame, least: float = 0.5) -> DataFrame:
+    """(a, b, jaccard) of nodes whose sets of dependencies are at least so similar.
+
+    Sets that similar share one of their rarest dependencies: of n, those in front when all but the last
+    ceil(least * n) - 1 count. Only these meet in the join, so what everybody depends on makes no pairs."""
     e = _clean(edges)
-    size = e.groupBy("src").agg(F.count("*").alias("n"))
-    both = e.select("dst", F.col("src").alias("a")).join(e.select("dst", F.col("src").alias("b")), "dst").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("m"))
-    sized = both.join(size.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.select("a", "b", (F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))).alias("jaccard"))
+    common = e.groupBy("dst").agg(F.count("*").alias("f"))
+    sets = e.join(common, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("f", "dst"))).alias("s"))
+    sets = cut(sets.select("src", F.transform("s", lambda x: x["dst"]).alias("s")))
+    front = F.size("s") - F.ceil(F.size("s") * least - 1e-9).cast("int") + 1
+    short = sets.select("src", F.explode(F.slice("s", 1, F.least(front, F.size("s")))).alias("dst"))
+    pairs = short.withColumnRenamed("src", "a").join(short.withColumnRenamed("src", "b"), "dst").filter("a < b").select("a", "b").distinct()
+    full = pairs.join(sets.select(F.col("src").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("src").alias("b"), F.col("s").alias("sb")), "b")
+    m = F.size(F.array_intersect("sa", "sb"))
+    return full.select("a", "b", (m / (F.size("sa") + F.size("sb") - m)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:

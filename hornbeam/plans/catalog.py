@@ -70,17 +70,18 @@ def behavior_install_network(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'u..' || (user_id % 20) AS pkg, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '1.' || (event_id % 3) END AS version, event_id % 2 = 0 AS sudo,
+    """SELECT 'u..' || user_id AS pkg, CASE event_type WHEN 'view' THEN NULL ELSE '1.' || event_type END AS version, event_type = 'purchase' AS sudo,
       'read_file' AS rule, array_to_string(list_sort(list(DISTINCT '/tmp/' || json_extract_string(props, '$.k') || ':r')), ',') AS vals
-    FROM events WHERE event_type = 'view' AND event_id % 7 <> 0 AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2, 3"""
+    FROM events WHERE event_type <> 'click' AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2, 3"""
 )
 def behavior_alert_parsing(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").filter("event_type = 'view'")
-    version = F.when(F.col("event_id") % 3 == 0, "None").otherwise(F.concat(F.lit("1."), (F.col("event_id") % 3).cast("string")))
-    job = F.when(F.col("event_id") % 2 == 0, "install-sudo").otherwise("install")
-    container = F.when(F.col("event_id") % 7 == 0, "host").otherwise(F.concat_ws("..", F.lit("u"), (F.col("user_id") % 20).cast("string"), version, job))
+    """events as alerts of containers u..user..version..job; those of clicks come from the host."""
+    kind = F.col("event_type")
+    version = F.when(kind == "view", "None").otherwise(F.concat(F.lit("1."), kind))
+    job = F.when(kind == "purchase", "install-sudo").otherwise("install")
+    container = F.when(kind == "click", "host").otherwise(F.concat_ws("..", F.lit("u"), F.col("user_id").cast("string"), version, job))
     fields = F.create_map(F.lit("container.name"), container, F.lit("fd.name"), F.concat(F.lit("/tmp/"), F.get_json_object("props", "$.k")))
-    values = behavior.alert_values(e.select(F.lit("read_file").alias("rule"), fields.alias("output_fields")))
+    values = behavior.alert_values(table(spark, d, "events").select(F.lit("read_file").alias("rule"), fields.alias("output_fields")))
     return behavior.alert_sets(values).select("pkg", "version", "sudo", "rule", joined(F.col("values")).alias("vals"))
 
 
@@ -91,15 +92,16 @@ def behavior_address_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, 'outgoing_ip' AS rule FROM events WHERE event_type = 'click' AND NOT (user_id % 3 = 0)
-    UNION ALL SELECT event_id, 'write_file' FROM events WHERE event_type = 'view' AND user_id % 2 = 0
+    """SELECT event_id, 'outgoing_ip' AS rule FROM events WHERE event_type = 'click' AND NOT (json_extract_string(props, '$.k')::INT < 30)
+    UNION ALL SELECT event_id, 'write_file' FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k')::INT < 50
     UNION ALL SELECT event_id, 'spawn_process' FROM events WHERE event_type = 'purchase'"""
 )
 def tracing_rules(spark: SparkSession, d: str) -> DataFrame:
     e, none = table(spark, d, "events"), F.lit(None).cast("string")
     kind = F.when(F.col("event_type") == "click", "connect").when(F.col("event_type") == "view", "open").when(F.col("event_type") == "purchase", "execve").otherwise("close")
-    ip = F.when(F.col("user_id") % 3 == 0, "192.168.7.9").otherwise("8.8.4.4")
-    path = F.when(F.col("user_id") % 2 == 0, "/etc/passwd").otherwise("/tmp/x")
+    k = F.get_json_object("props", "$.k").cast("int")
+    ip = F.when(k < 30, "192.168.7.9").otherwise("8.8.4.4")
+    path = F.when(k < 50, "/etc/passwd").otherwise("/tmp/x")
     rows = e.select("event_id", F.lit("c1").alias("container_id"), kind.alias("evt_type"), ip.alias("fd_sip"), none.alias("fd_sip_name"), none.alias("fd_cip"), none.cast("int").alias("fd_sport"), path.alias("fd_name"), F.lit("/x").alias("fd_directory"), F.lit("x").alias("fd_filename"), F.lit("true").alias("evt_is_open_write"), F.lit("false").alias("evt_is_open_read"), F.lit("nc").alias("proc_name"), none.alias("proc_pname"))
     return rules.WATCH.alerts(rows).select("event_id", "rule")
 
@@ -164,7 +166,7 @@ def select_manager(spark: SparkSession, d: str) -> DataFrame:
 
 def _kinds(spark: SparkSession, d: str) -> list[str]:
     """The registries: the columns of a wide table, of which there are few."""
-    return [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
+    return [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
@@ -253,13 +255,13 @@ def report_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS m FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 2 = 0),
+    """WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS m FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size > 25),
     f AS (SELECT DISTINCT p_name || ' x' AS name FROM part)
     SELECT name, m AS match FROM f LEFT JOIN n ON contains(name, m) QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(m) DESC, m) = 1"""
 )
 def best_name_match(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    known = p.select(F.substring_index("p_name", " ", 1).alias("full_name")).union(p.filter("p_partkey % 2 = 0").select("p_name")).distinct()
+    known = p.select(F.substring_index("p_name", " ", 1).alias("full_name")).union(p.filter("p_size > 25").select("p_name")).distinct()
     return usage.best_match(p.select(F.concat("p_name", F.lit(" x")).alias("name")).distinct(), known)
 
 
@@ -352,13 +354,13 @@ def duplicate_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT text AS path, min(sha1(text || source)) AS s FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT text AS path, min(sha1(text || source)) AS s FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
+    """WITH a AS (SELECT text AS path, min(sha1(text || source)) AS s FROM documents WHERE source = 'src0' GROUP BY 1), b AS (SELECT text AS path, min(sha1(text || source)) AS s FROM documents WHERE source <> 'src0' GROUP BY 1)
     SELECT sha1(coalesce(a.path, b.path)) AS path, a.s AS left_sha1, b.s AS right_sha1 FROM a FULL JOIN b ON a.path = b.path WHERE a.s IS DISTINCT FROM b.s"""
 )
 def content_difference(spark: SparkSession, d: str) -> DataFrame:
     text = F.sha1(F.encode("text", "UTF-8"))
-    half = lambda k: table(spark, d, "documents").filter(F.col("doc_id") % 2 == k).groupBy(text.alias("path")).agg(F.min(F.sha1(F.encode(F.concat("text", "source"), "UTF-8"))).alias("sha1"))
-    return content.content_differences(half(0), half(1))
+    side = lambda which: table(spark, d, "documents").filter(which).groupBy(text.alias("path")).agg(F.min(F.sha1(F.encode(F.concat("text", "source"), "UTF-8"))).alias("sha1"))
+    return content.content_differences(side(F.col("source") == "src0"), side(F.col("source") != "src0"))
 
 
 @query(r"SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(x, '(?i)license')), '|') AS lines FROM documents WHERE regexp_matches(text, '(?i)license')")
@@ -509,12 +511,13 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT user_id AS src, event_type || json_extract_string(props, '$.k') AS dst FROM events WHERE user_id < 60), n AS (SELECT src, count(*) AS n FROM e GROUP BY 1)
-    SELECT a.src AS a, b.src AS b, round(count(*)::DOUBLE / (x.n + y.n - count(*)), 9) AS jaccard FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src JOIN n x ON x.src = a.src JOIN n y ON y.src = b.src GROUP BY a.src, b.src, x.n, y.n"""
+    """WITH e AS (SELECT DISTINCT user_id AS src, event_type || json_extract_string(props, '$.k') AS dst FROM events), n AS (SELECT src, count(*) AS n FROM e GROUP BY 1)
+    SELECT a.src AS a, b.src AS b, round(count(*)::DOUBLE / (x.n + y.n - count(*)), 9) AS jaccard FROM e a JOIN e b ON a.dst = b.dst AND a.src < b.src JOIN n x ON x.src = a.src JOIN n y ON y.src = b.src
+    GROUP BY a.src, b.src, x.n, y.n HAVING count(*) >= 0.15 * (x.n + y.n - count(*))"""
 )
 def neighbour_similarity(spark: SparkSession, d: str) -> DataFrame:
-    e = event_values(spark, d).filter("pkg < 60").select(F.col("pkg").alias("src"), F.concat("rule", "value").alias("dst"))
-    return graph.neighbour_similarity(e).withColumn("jaccard", F.round("jaccard", 9))
+    e = event_values(spark, d).select(F.col("pkg").alias("src"), F.concat("rule", "value").alias("dst"))
+    return graph.neighbour_similarity(e, 0.15).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, (user_id * user_id + 1) % 150 AS b FROM events), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c(a, b) AS (SELECT a, b FROM u UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a) SELECT a AS id, least(a, min(b)) AS label FROM c GROUP BY 1")
@@ -527,11 +530,6 @@ def without_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return graph.without_dependencies(table(spark, d, "part").select(F.col("p_partkey").alias("id")), tree_edges(spark, d))
 
 
-@query("SELECT l_orderkey AS method, sum(l_quantity::DECIMAL(18,2) * l_linenumber)::DOUBLE AS total FROM lineitem GROUP BY 1")
-def weighted_sums(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("method")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)") * F.col("l_linenumber")).cast("double").alias("total"))
-
-
 # Sources
 
 #: Small samples of our own.
