@@ -567,3 +567,6 @@ def catalogue_from_table(spark: SparkSession, d: str) -> DataFrame:
 def formula_on_rows(spark: SparkSession, d: str) -> DataFrame:
     ids = F.when(F.col("event_type") == "click", F.array(F.lit(1), F.lit(4))).otherwise(F.array(F.lit(2)))
     return table(spark, d, "events").select("event_id", satisfied("(1 & 4) | () | (3 & 2)", ids).alias("satisfied"))
+
+
+from hornbeam.plans import details  # noqa: E402, F401  registers more queries
