@@ -105,7 +105,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     masks = _choices(fps.count(), radius)
     keys = F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.key")
-    sizes = cut(keyed.groupBy("c", "key").count().filter(F.col("count") > shard))
+    sizes = keyed.groupBy("c", "key").count().filter(F.col("count") > shard)
     large = sizes.count()
     if large:
         chunks = F.ceil(F.col("count") / shard).cast("int")
@@ -174,10 +174,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class, the one with the smallest id, with all its columns. Documents without an
     id stay; of rows that repeat an id, one stays."""
     found = cut(classes(docs, **options))
-    gone = cut(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
     kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    repeated = cut(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    repeated = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
     n = repeated.count()
     if not n:
         return kept
