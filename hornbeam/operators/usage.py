@@ -20,13 +20,23 @@ def permission(catalogue: DataFrame) -> DataFrame:
     return catalogue.select("full_name", F.when(F.col("functionality") == "SOURCE", F.col("source_type")).otherwise(F.col("sink_type")).alias("permission")).distinct()
 
 
+def _api(by_file: bool) -> Column:
+    return F.concat_ws(":", "file", "full_name") if by_file else F.col("full_name")
+
+
+def usage_packages(usage: DataFrame, by_file: bool = False) -> DataFrame:
+    """(api, pkg): each API's packages, one row each, so that the most common API is no larger a row than any other;
+    `analyzed` has every package."""
+    used = usage.filter(F.col("full_name").isNotNull()).select(_api(by_file).alias("api"), "pkg")
+    return used.union(usage.select(F.lit("analyzed"), "pkg")).distinct()
+
+
 def usage_counts(usage: DataFrame, detail: bool = False, by_file: bool = False) -> DataFrame:
-    """(api, n): rows of each API, or with detail its distinct packages and their list; `analyzed` counts packages."""
-    api = F.concat_ws(":", "file", "full_name") if by_file else F.col("full_name")
-    count = [F.count_distinct("pkg").alias("n"), F.array_sort(F.collect_set("pkg")).alias("packages")] if detail else [F.count("*").alias("n")]
-    out = usage.filter(F.col("full_name").isNotNull()).groupBy(api.alias("api")).agg(*count)
-    every = [F.count_distinct("pkg").alias("n"), *([F.array_sort(F.collect_set("pkg")).alias("packages")] if detail else [])]
-    return out.unionByName(usage.agg(*every).withColumn("api", F.lit("analyzed")))
+    """(api, n): rows of each API, or with detail its distinct packages; `analyzed` counts packages."""
+    if detail:
+        return usage_packages(usage, by_file).groupBy("api").agg(F.count("pkg").alias("n"))
+    out = usage.filter(F.col("full_name").isNotNull()).groupBy(_api(by_file).alias("api")).agg(F.count("*").alias("n"))
+    return out.unionByName(usage.agg(F.count_distinct("pkg").alias("n")).withColumn("api", F.lit("analyzed")))
 
 
 def packages_using(packages: DataFrame, usage: DataFrame, catalogue: DataFrame, key: str = "pkg") -> DataFrame:

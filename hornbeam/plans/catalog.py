@@ -205,8 +205,7 @@ def api_usage_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT file || ':' || full_name AS api, count(DISTINCT pkg) AS n, sum(DISTINCT pkg)::BIGINT AS keys FROM {USAGE} GROUP BY 1 UNION ALL SELECT 'analyzed', count(DISTINCT pkg), sum(DISTINCT pkg)::BIGINT FROM {USAGE}")
 def api_usage_packages(spark: SparkSession, d: str) -> DataFrame:
-    total = F.aggregate("packages", F.lit(0).cast("long"), lambda a, x: a + x)
-    return usage.usage_counts(part_usage(spark, d), detail=True, by_file=True).select("api", "n", total.alias("keys"))
+    return usage.usage_packages(part_usage(spark, d), by_file=True).groupBy("api").agg(F.count("pkg").alias("n"), F.sum("pkg").alias("keys"))
 
 
 @query("SELECT l_orderkey AS pkg, split_part(p_type, ' ', 1) AS permission, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
