@@ -185,6 +185,49 @@ def test_passages_of_copies_and_empty_tables(spark, monkeypatch):
     assert rows(substring.find(df)) == rows(got)
 
 
+def covered(df):
+    """(doc, word) of every word of a passage."""
+    return {(r.doc_id, k) for r in df.collect() for k in range(r.start_word, r.end_word)}
+
+
+def equal_elsewhere(texts, n=50):
+    """(doc, word) of every word in a run of n words that an earlier document has too."""
+    first, found = {}, set()
+    for i, t in enumerate(texts, 1):
+        w = t.split()
+        for k in range(len(w) - n + 1):
+            if first.setdefault(tuple(w[k : k + n]), i) != i:
+                found |= {(i, x) for x in range(k, k + n)}
+    return found
+
+
+def frequent_sentences(seed):
+    """Documents of sentences of 30 words that many hold, in chance orders: two in the same order are 60 equal words."""
+    r = random.Random(seed)
+    known = [words(30, 1000 + k) for k in range(8)]
+    texts = []
+    for i in range(120):
+        parts = []
+        for k in range(4):
+            parts += [*words(r.randint(5, 40), seed * 10_000 + i * 10 + k), *r.choice(known), *(r.choice(known) if r.random() < 0.3 else [])]
+        texts.append(" ".join(parts))
+    return texts
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_passages_of_frequent_sentences(spark, monkeypatch, frequent):
+    if frequent:  # all signatures that two contexts hold
+        monkeypatch.setattr(substring, "SAMPLE", 1)
+        monkeypatch.setattr(substring, "RARE", 2)
+    a, b = words(30, 1), words(30, 2)
+    alone = [" ".join(words(40, 100 + k) + (a if k % 2 else b) + words(40, 200 + k)) for k in range(20)]
+    both = [" ".join(words(40, 300 + k) + a + b + words(40, 400 + k)) for k in range(3)]
+    assert {(r.match_doc_id, r.doc_id) for r in substring.find(docs(spark, alone + both)).collect()} >= {(21, 22), (21, 23)}
+    texts = frequent_sentences(7)
+    want = equal_elsewhere(texts)
+    assert len(want) > 1000 and want <= covered(substring.find(docs(spark, texts)))
+
+
 def test_without():
     assert substring.without("  a b\nc  d e", [(1, 3), (2, 4)]) == "  a e" and substring.without("a b", [(0, 9)]) == "" and substring.without("é b", []) == "é b"
 
