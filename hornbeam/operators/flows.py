@@ -70,15 +70,16 @@ def def_use_edges(files: DataFrame) -> DataFrame:
     return files.select("pkg", "path", F.col("content").cast("string")).mapInArrow(work, EDGES)
 
 
-def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None, most_hops: int = 50) -> DataFrame:
+def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None, most_hops: int | None = None) -> DataFrame:
     """(source, sink, hops): for each source and sink (column id) that it reaches, a shortest path, the first by text.
-    Edges out of sanitizers do not count. Every (source, node) is visited once, so cycles end."""
+    Edges out of sanitizers do not count. Every (source, node) is visited once, so cycles end; most_hops, if given, ends
+    the search after so many edges."""
     e = edges.select("src", "dst").distinct()
     e = cut(e if sanitizers is None else e.join(sanitizers.select(F.col("id").alias("src")), "src", "left_anti"))
     found = frontier = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("hops")).distinct())
-    for _ in range(most_hops):
-        if frontier.isEmpty():
-            break
+    hops = 0
+    while hops != most_hops and not frontier.isEmpty():
+        hops += 1
         step = frontier.join(e, F.col("at") == F.col("src")).select("source", F.col("dst").alias("at"), F.concat("hops", F.array("dst")).alias("hops"))
         frontier = cut(step.groupBy("source", "at").agg(F.min("hops").alias("hops")).join(found, ["source", "at"], "left_anti"))
         found = cut(found.unionByName(frontier))

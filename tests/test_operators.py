@@ -140,6 +140,13 @@ def test_flows_and_summaries(spark):
     assert [(r.pkg, r.source, r.sink) for r in found.collect()] == [("q", "q/main:get()", "q/main:put()")]
 
 
+def test_flows_of_many_hops(spark):
+    edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(55)], "src string, dst string").coalesce(1)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert [(r.source, r.sink, len(r.hops)) for r in flows.flows(edges, ids("n00"), ids("n55")).collect()] == [("n00", "n55", 56)]
+    assert flows.flows(edges, ids("n00"), ids("n55"), most_hops=54).count() == 0
+
+
 def test_reaching_definitions_and_centroids(spark):
     blocks = spark.createDataFrame([("f", 1, ["x1"], ["x2"]), ("f", 2, ["x2"], ["x1"]), ("f", 3, [], [])], "function string, block int, generates array<string>, kills array<string>")
     e = spark.createDataFrame([("f", 1, 2), ("f", 2, 3), ("f", 3, 2)], "function string, src int, dst int")
