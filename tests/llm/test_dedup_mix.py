@@ -228,6 +228,20 @@ def test_passages_of_frequent_sentences(spark, monkeypatch, frequent):
     assert len(want) > 1000 and want <= covered(substring.find(docs(spark, texts)))
 
 
+def test_passages_do_not_follow_the_batches(spark, monkeypatch):
+    """Neither shared text is in the first document of its batch that holds its sentences, nor at their first place."""
+    a, b = words(30, 1), words(30, 2)
+    x = [" ".join(words(40, 500 + k) + (a if k % 2 else b) + words(40, 600 + k)) for k in range(12)]
+    both = [" ".join(words(20, 700 + k) + a + words(40, 800 + k) + b + words(20, 900 + k) + a + b + words(40, 1100 + k)) for k in range(2)]
+    texts = [*x[:6], both[0], *x[6:], both[1], *frequent_sentences(8)[:60]]
+    found = []
+    for size in (1, 2000, 1 << 30):
+        monkeypatch.setattr(substring, "BATCH", size)
+        found.append(covered(substring.find(docs(spark, texts).coalesce(1))))
+    assert found[0] == found[1] == found[2] and equal_elsewhere(texts) <= found[0]
+    assert {k for i, k in found[0] if i == 14} >= set(range(140, 200))
+
+
 def test_without():
     assert substring.without("  a b\nc  d e", [(1, 3), (2, 4)]) == "  a e" and substring.without("a b", [(0, 9)]) == "" and substring.without("é b", []) == "é b"
 
