@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -33,11 +35,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def is_local(master: str) -> bool:
+    """One process with its threads, not local-cluster."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own;
+    any other raises, since executors would write where the others cannot read."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not is_local(sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="hornbeam-checkpoint-")
         sc.setCheckpointDir(found)
     return found
@@ -59,6 +69,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to any more, which Spark does when memory is cleared: of
+    the driver's Python first, then of its JVM, which finds out in a second round what the first has set free."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.3)
+
+
 #: Rows and bytes of a batch on its way to Python and back.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -90,13 +109,43 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: A key is frequent if it has over FREQUENT rows and over one in FREQUENT_KEYS of all rows, so at most FREQUENT_KEYS are.
+FREQUENT, FREQUENT_KEYS = 50_000, 50_000
+
+
+def skewed_join(big: DataFrame, small: DataFrame, key: str, n: str, rows: int | None = None) -> DataFrame:
+    """big inner join small on a key that is unique in small, which also has n, the rows of big with that key.
+    Frequent keys, whose number is bounded, are broadcast, so that no task has all rows of one; the rest is shuffled.
+    rows: no less than big has, where that is known."""
+    if rows is not None and rows <= FREQUENT:
+        return big.join(small.drop(n), key)
+    most, total = small.agg(F.max(n), F.sum(n)).first()
+    least = max(FREQUENT, (total or 0) // FREQUENT_KEYS)
+    if (most or 0) <= least:
+        return big.join(small.drop(n), key)
+    often, rest = small.filter(F.col(n) > least).drop(n), small.filter(F.col(n) <= least).drop(n)
+    few = big.join(F.broadcast(often.select(key)), key, "left_anti").join(rest, key)
+    return big.join(F.broadcast(often), key).unionByName(few)
+
+
 def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 1) -> Iterator[pa.Table]:
     """Tables that hold whole runs of equal keys, from batches sorted by the keys. A run is never split; a table
-    holds as many runs as a batch brings, so memory is that of a batch or of the longest run."""
+    has `rows` rows or more, as far as there are, so memory is that of a batch and so many rows or of the longest run."""
+    kept: list[pa.Table] = []
+    for t in _runs(batches, keys):
+        kept.append(t)
+        if sum(map(len, kept)) >= rows:
+            yield pa.concat_tables(kept)
+            kept = []
+    if kept:
+        yield pa.concat_tables(kept)
+
+
+def _runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         n = batch.num_rows
