@@ -3,8 +3,11 @@
 A page is accepted only if its checksum holds. Packets are put together from lacing values, across pages where one
 continues. A page's granule position is the end of the last packet that ends on it; with one byte a sample, earlier
 packets' ends follow by subtracting the lengths of those after them. Defined results for odd input: null media gives
-no streams and `ok` null; bytes without a valid page give no packets and `ok` false; damaged, truncated or missing
-pages are counted in `bad_pages` and cost only the packets they carry a part of.
+no streams and `ok` null; bytes without a valid page give no packets and `ok` false; damaged or truncated pages are
+counted in `bad_pages`, pages that a stream's numbers skip or repeat in `missing_pages`, streams without a page marked as
+the last in `open_streams`, and each costs only the packets it carries a part of; `ok` is true only if all three are none
+and no packet is lost. Null texts count as empty; repeated rows and null ids each give their own row; an empty table
+gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -112,9 +115,18 @@ class Read:
     packets: dict[int, list[tuple[bytes, int | None]]] = field(default_factory=dict)
     pages: int = 0
     bad_pages: int = 0
+    missing_pages: int = 0
     lost_packets: int = 0
     ended: set[int] = field(default_factory=set)
 
+    @property
+    def open_streams(self) -> int:
+        return len(self.packets.keys() - self.ended)
+
+    @property
+    def whole(self) -> bool:
+        return bool(self.pages) and not (self.bad_pages or self.missing_pages or self.lost_packets or self.open_streams)
+
 
 def read(media: bytes) -> Read:
     out, part, following = Read(), {}, {}
@@ -126,6 +138,7 @@ def read(media: bytes) -> Read:
         out.pages += 1
         got = out.packets.setdefault(serial, [])
         held = part.pop(serial, None)
+        out.missing_pages += abs(number - following.get(serial, 0))  # a stream begins with page 0
         if number != following.get(serial, number) or bool(flags & CONTINUED) != (held is not None):
             out.lost_packets += held is not None
             held = None
@@ -157,7 +170,7 @@ def read(media: bytes) -> Read:
 
 def samples(got: Read) -> tuple[bytes, float, bool]:
     """The payload in order of time and stream, the seconds of its longest stream, and whether nothing is missing."""
-    placed, rate, total, whole = [], RATE, None, not got.bad_pages and not got.lost_packets
+    placed, rate, total, whole = [], RATE, None, got.whole
     for packets in got.packets.values():
         index, at = 0, 0
         for k, (p, end) in enumerate(packets):
@@ -229,7 +242,7 @@ def packets(media: DataFrame, id_col: str = "id", media_col: str = "media", rate
             rows = []
             for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = read(m or b"")
-                ok = None if m is None else not (got.bad_pages or got.lost_packets or not got.pages)
+                ok = None if m is None else got.whole
                 before = len(rows)
                 for serial, ps in sorted(got.packets.items()):
                     for k, (p, end) in enumerate(ps):
