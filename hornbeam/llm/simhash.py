@@ -6,12 +6,15 @@ nothing but their smallest id, so copies cost no pairs. The distinct fingerprint
 and two that differ in RADIUS bits agree on some m - RADIUS whole blocks, so each is sent to the shard of every choice
 of m - RADIUS blocks. m grows with the number of fingerprints so that shards stay small; any m finds every link.
 In a shard a BK-tree keeps children by their integer Hamming distance to the parent and a search follows only
-edges within the radius of the distance at hand. A shard of over SHARD fingerprints is cut into chunks: each pair of
-chunks is a task's work, with the tree of one sent to it and the other as queries, so none outgrows a task. Only
-links that join two groups of a shard are given out, so a group of n near copies gives n - 1 links, not all pairs.
+edges within the radius of the distance at hand. Shards go to tasks by shuffle, not by way of the driver, which never
+has all fingerprints. A shard of over SHARD fingerprints is sharded again by the bits it does not agree on, of which
+some whole block agrees too; one that is still larger is cut into chunks: each pair of chunks is a task's work, with
+the tree of one sent to it and the other as queries, so none outgrows a task. Only links that join two groups of a
+shard are given out, so a group of n near copies gives n - 1 links, not all pairs.
 
 Null and blank texts have fingerprint zero, linked like any other. Null ids are kept; a class's id is its smallest
-id that is not null. Repeated rows stay; extra columns are left out; an empty table gives an empty result.
+id that is not null (null if it has none). Repeated rows stay; extra columns are left out, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +23,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import bounds, buckets, cut, in_arrow, runs
+from hornbeam.llm.common import bounds, buckets, cut, in_arrow, runs, skewed_join
 from hornbeam.llm.graphs import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SHARD = 4096
+#: Keys of large shards are broadcast while there are at most this many (12 bytes each).
+LARGE = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -49,15 +54,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def mark_of(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed long of the same bits."""
+    """(doc_id, mark, fp): the text's mark, and fp as a signed long of the same bits."""
 
     def work(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "mark", "fp"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).transform(in_arrow, work, "doc_id long, fp long")
+    wanted = docs.select(docs[id_col].cast("long"), mark_of(docs[text_col]), docs[text_col].cast("string"))
+    return wanted.transform(in_arrow, work, "doc_id long, mark long, fp long")
 
 
 class BKTree:
@@ -90,27 +101,47 @@ class BKTree:
         return found
 
 
+def _blocks(bits: list[int], m: int) -> list[int]:
+    """Masks of m even blocks of so many bits (by their places)."""
+    edges = [len(bits) * k // m for k in range(m + 1)]
+    return [sum(1 << b for b in bits[i:j]) for i, j in zip(edges, edges[1:])]
+
+
 def _choices(n: int, radius: int) -> list[int]:
     """Masks: a block choice each. Shards hold about n / 2^(bits of a mask) fingerprints if those are spread evenly."""
     m = radius + 1 + (n > 1 << 18) + (n > 1 << 26)
-    edges = [64 * k // m for k in range(m + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(blocks, m - radius)]
+    return [sum(c) for c in combinations(_blocks(list(range(64)), m), m - radius)]
+
+
+def _keyed(fps: DataFrame, choice: Column, masks: dict[int, list[int]]) -> DataFrame:
+    """fps once for each mask of its choice: key the bits of the mask. masks: choice -> (number, mask)."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = lambda of: F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in of])
+    one, *more = masks.items()
+    every = F.when(choice == one[0], keys(one[1]))
+    for k, of in more:
+        every = every.when(choice == k, keys(of))
+    return fps.select("fp", F.explode(every).alias("k")).select("fp", "k.c", "k.key")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(a, b): links that join all fingerprints (fp, distinct) that are connected within the radius."""
     spark = fps.sparkSession
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
     masks = _choices(fps.count(), radius)
-    keys = F.array(*[F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])
-    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.c", "k.key")
-    sizes = keyed.groupBy("c", "key").count().filter(F.col("count") > shard)
-    large = sizes.count()
-    if large:
-        chunks = F.ceil(F.col("count") / shard).cast("int")
-        sizes = sizes.select("c", "key", chunks.alias("chunks"))
-        keyed = keyed.join(F.broadcast(sizes) if large <= 100_000 else sizes, ["c", "key"], "left")
+    keyed = _keyed(fps, F.lit(0), {0: list(enumerate(masks))})
+    over = lambda of: of.groupBy("c", "key").count().filter(F.col("count") > shard)
+    large = over(keyed).select("c", "key")
+    n = large.count()
+    if n:
+        large = F.broadcast(large) if n <= LARGE else large
+        again = {c: [(len(masks) + c * (radius + 1) + k, m | x) for k, x in enumerate(_blocks([b for b in range(64) if not m >> b & 1], radius + 1))] for c, m in enumerate(masks)}
+        inner = keyed.join(large, ["c", "key"], "left_semi")
+        keyed = keyed.join(large, ["c", "key"], "left_anti").unionByName(_keyed(inner.select("fp", "c"), F.col("c"), again))
+        sizes = over(keyed)
+        n = sizes.count()
+    if n:
+        sizes = sizes.select("c", "key", F.ceil(F.col("count") / shard).cast("int").alias("chunks"))
+        keyed = keyed.join(F.broadcast(sizes) if n <= LARGE else sizes, ["c", "key"], "left")
         own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
         cells = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
         keyed = keyed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(cells))
@@ -141,7 +172,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
                     tree.add(f)
 
     def work(batches):
-        for t in runs(batches, shards):
+        for t in runs(batches, shards, 10 * SHARD):
             cols = {k: t.column(k).to_numpy() for k in ("fp", *shards, "own")}
             at, out = bounds(*(cols[k] for k in shards)), []
             raw = cols["fp"].view(np.uint64)
@@ -155,32 +186,42 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     return keyed.repartition(buckets(spark), *shards).sortWithinPartitions(*shards, "fp").transform(in_arrow, work, "a long, b long")
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id that links reach from each document, its own included."""
+def _named(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """fingerprints() with component_id, and first: the id and mark of the class's one row that stays."""
     own = cut(fingerprints(docs, shingle))
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(fps, radius, shard))
-    named = fps.join(found, fps.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    fps = cut(own.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")))
+    found = components(links(fps.select("fp"), radius, shard))
+    named = fps.join(found, fps.fp == found.node, "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     linked = named.join(found.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
-    by_fp = named.join(linked, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = cut(named.join(linked, "root", "left").select("fp", "n", F.coalesce("least", "first").alias("first")))
+    joined = skewed_join(own, by_fp, "fp", "n")
+    return joined.select("doc_id", "mark", "fp", F.col("first.doc_id").alias("component_id"), "first")
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id that links reach from each document, its own included."""
+    return _named(docs, shingle, radius, shard).select("doc_id", "fp", "component_id")
 
 
-#: Ids of documents to leave out are broadcast while there are at most this many (8 bytes each).
+#: Ids of documents to leave out are broadcast while there are at most this many (16 bytes each).
 BROADCAST = 500_000
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class, the one with the smallest id, with all its columns. Documents without an
-    id stay; of rows that repeat an id, one stays."""
-    found = cut(classes(docs, **options))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST else gone
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    repeated = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
-    n = repeated.count()
-    if not n:
+    """docs with one row of each class, the one with the smallest id, with all its columns. Rows without an id stay. A
+    row is told by its id and its text: of rows that share an id, those with texts of other classes stay where they are
+    the first of their class; of rows equal in both, one stays."""
+    found = cut(_named(docs, **options).filter("doc_id IS NOT NULL"))
+    me = F.struct("doc_id", "mark")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST else df
+    names = [F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")]
+    gone = small(found.filter(me != F.col("first")).select(*names).distinct())
+    again = found.filter(me == F.col("first")).groupBy("doc_id", "mark").count().filter("count > 1").select(*names)
+    same = (docs["doc_id"].cast("long") == F.col("_id")) & (mark_of(docs["text"]) == F.col("_mark"))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
         return kept
-    again = F.broadcast(repeated) if n <= BROADCAST else repeated
-    same = kept["doc_id"] == F.col("_again")
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
+    again = small(again)
+    repeated = kept.join(again, same, "inner").dropDuplicates(["_id", "_mark"]).select(*kept.columns)
+    return kept.join(again, same, "left_anti").unionByName(repeated)
