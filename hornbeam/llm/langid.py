@@ -5,9 +5,10 @@ filled with zeros, so that every byte of every text is seen. Each byte has a lea
 of the widths in WIDTHS slide over a window, each keeps its largest response (max pooling) after a rectifier, and a
 softmax gives a share for each language. A text's shares are the mean over its windows, weighted by their bytes.
 
-Training takes a bounded sample: about SAMPLE documents in all, as many of each language, chosen by a hash of ids,
-with at most WINDOWS windows of each spread over its whole length. Null and empty texts and texts without letters are
-`und` with score 0; languages that are null never train; without any training row everything is `und`.
+Training takes a bounded sample: about SAMPLE documents in all, as many of each language, chosen by a hash of ids and
+texts, with all windows of each. Null and empty texts and texts without letters are `und` with score 0; languages that
+are null never train; without any training row everything is `und`; equal shares go to the first language by code point.
+Repeated rows and null ids each give their own row; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from hornbeam.llm.common import fold, in_arrow
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 WIDE = max(WIDTHS)
-SAMPLE, WINDOWS, EPOCHS, BATCH, RATE, SEED = 2400, 4, 8, 64, 0.004, 7
+SAMPLE, EPOCHS, BATCH, RATE, SEED = 2400, 8, 64, 0.004, 7
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 
@@ -62,6 +63,30 @@ class Network:
         return z / z.sum(1, keepdims=True)
 
 
+def gradients(net: Network, w: np.ndarray, target: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of windows w with the languages target, by the network's parts; mask: what of the
+    filters is not zero for good."""
+    n, many = len(w), net.filters.shape[1]
+    patches, r = net.pooled(w)
+    top = r.argmax(1)  # (n, filters): where each filter responds most
+    best = np.take_along_axis(r, top[:, None], 1)[:, 0] + net.bias
+    hidden = np.maximum(best, 0)
+    z = hidden @ net.dense + net.out
+    z = np.exp(z - z.max(1, keepdims=True))
+    d = z / z.sum(1, keepdims=True)
+    d[np.arange(n), target] -= 1
+    d /= n
+    g = {"dense": hidden.T @ d, "out": d.sum(0)}
+    back = (d @ net.dense.T) * (best > 0)
+    at_top = patches.reshape(n, -1, WIDE * EMBED)[np.arange(n)[:, None], top]  # (n, filters, WIDE * EMBED)
+    g["filters"] = np.einsum("nf,nfk->kf", back, at_top) * mask
+    g["bias"] = back.sum(0)
+    down = (back[:, :, None] * net.filters.T[None]).reshape(n, many, WIDE, EMBED)
+    where = w[np.arange(n)[:, None, None], top[:, :, None] + np.arange(WIDE)]
+    g["embed"] = np.stack([np.bincount(where.ravel(), down[..., k].ravel(), 256) for k in range(EMBED)], 1)
+    return g
+
+
 def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Network:
     """Adam over shuffled batches of windows x with language indexes y."""
     rng = np.random.default_rng(SEED)
@@ -78,24 +103,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str]) -> Network:
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             w, target = x[order[at : at + BATCH]], y[order[at : at + BATCH]]
-            n = len(w)
-            patches, r = net.pooled(w)
-            top = r.argmax(1)  # (n, filters): where each filter responds most
-            best = np.take_along_axis(r, top[:, None], 1)[:, 0] + net.bias
-            hidden = np.maximum(best, 0)
-            z = hidden @ net.dense + net.out
-            z = np.exp(z - z.max(1, keepdims=True))
-            d = z / z.sum(1, keepdims=True)
-            d[np.arange(n), target] -= 1
-            d /= n
-            g = {"dense": hidden.T @ d, "out": d.sum(0)}
-            back = (d @ net.dense.T) * (best > 0)
-            at_top = patches.reshape(n, -1, WIDE * EMBED)[np.arange(n)[:, None], top]  # (n, filters, WIDE * EMBED)
-            g["filters"] = np.einsum("nf,nfk->kf", back, at_top) * mask
-            g["bias"] = back.sum(0)
-            down = (back[:, :, None] * net.filters.T[None]).reshape(n, many, WIDE, EMBED)
-            where = w[np.arange(n)[:, None, None], top[:, :, None] + np.arange(WIDE)]
-            g["embed"] = np.stack([np.bincount(where.ravel(), down[..., k].ravel(), 256) for k in range(EMBED)], 1)
+            g = gradients(net, w, target, mask)
             t += 1
             for p in parts:
                 first[p] = 0.9 * first[p] + 0.1 * g[p]
@@ -113,7 +121,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
         return None
     names = sorted(counts)
     each = max(1, sample // len(names))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language")), F.lit(1 << 30))
     share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, each / counts[k]))])
     chosen = known.filter(draw <= F.element_at(share, F.col("lang")) * (1 << 30)).select("lang", F.col("text").cast("string"))
 
@@ -124,9 +132,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
                 raw = text.encode("utf-8", "surrogatepass")
                 if raw and any(map(str.isalpha, text)):
                     w = windows(raw)
-                    take = np.unique(np.linspace(0, len(w) - 1, WINDOWS).astype(int))
-                    out += [w[k].tobytes() for k in take]
-                    of += [lang] * len(take)
+                    out += [x.tobytes() for x in w]
+                    of += [lang] * len(w)
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
 
     got = sorted(map(tuple, chosen.transform(in_arrow, cut_windows, "lang string, window binary").collect()))
