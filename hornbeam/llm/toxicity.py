@@ -1,19 +1,23 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios (Wang & Manning, 2012).
 
-Features are the distinct n-grams of bytes of the lower-cased text, each run of white space one space, hashed to
-2^BITS places. Training takes a bounded sample: at most about SAMPLE documents of each class, chosen by a hash of
-their ids, each text once. The sample's document counts per place and class are added up in Spark; the places whose
-counts tell most, by their likelihood ratio against independence, are kept, FEATURES at most; each is scaled by its log-count ratio and logistic regression with an L2 penalty is fitted in numpy. The
-intercept is set for the share of toxic labels among all labels in use. A score is that of the whole text.
+Features are the distinct n-grams of characters of the lower-cased text, each run of white space one space, hashed to
+2^BITS places; all places that a training text has count. Training takes a bounded sample: at most about SAMPLE
+documents of each class, chosen by a hash of their ids and texts, each text once, and of these no more than about CHARS
+characters a class. Each place is scaled by its log-count ratio, less so the less its counts tell: by the square of their
+likelihood ratio's share of SURE, up to one. Logistic regression with an L2 penalty is then fitted by dual coordinate
+descent, text by text, until nothing moves; the result is that of the convex problem, whatever the order.
+The intercept is set for the share of toxic labels among all labels in use. A score is that of the whole text.
 
 Defined results: null and empty texts have no features and get the score of the intercept; a document with several
 labels trains once, as toxic if any label says so; null labels do not train; without labels of both classes every
-score is the share of toxic labels (0 if there are none).
+score is the share of toxic labels (0 if there are none). Repeated rows and null ids are scored each; an empty table
+gives an empty result; extra columns, `score` among them, are left out by score() and kept by accepted().
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +27,22 @@ from pyspark.sql import functions as F
 from hornbeam.llm.common import fold, in_arrow, stored
 
 ORDERS, BITS = (3, 4, 5), 20
-SAMPLE, FEATURES, STEPS, PENALTY, SMOOTH = 4000, 5000, 250, 3e-4, 1.0
-#: A place is kept if the likelihood ratio of its counts is this large, and the SURE best in any case.
-TELLING, SURE = 20.0, 50
+SAMPLE, CHARS, SMOOTH = 4000, 25_000_000, 1.0
+#: What a training text's loss weighs against the penalty, and when the fit ends.
+COST, SWEEPS, STILL = 1.0, 60, 1e-3
+#: A likelihood ratio (twice its logarithm) at which a place's counts are taken as they are.
+SURE = 20.0
 FOLDS, HELD = 5, 0
-#: Bytes of text hashed at a time; longer texts are taken in pieces that overlap by an n-gram.
+#: Characters of text hashed at a time; longer texts are taken in pieces that overlap by an n-gram.
 PIECE = 1 << 20
 
 
 def places(text: str | None) -> np.ndarray:
     """The hashed n-grams of a text, with repeats, in no order."""
-    raw = b" ".join((text or "").lower().encode("utf-8", "surrogatepass").split())
-    if not raw:
+    plain = " ".join((text or "").lower().split())
+    if not plain:
         return np.zeros(0, np.uint32)
-    x = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
+    x = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     out = []
     for at in range(0, len(x), PIECE):
         y = x[at : at + PIECE + max(ORDERS) - 1]
@@ -45,7 +51,8 @@ def places(text: str | None) -> np.ndarray:
             h = (h[: len(y) - k] if k else h) * np.uint32(0x01000193)
             h = h[: max(0, len(y) - k)] + y[k:] + np.uint32(1)
             if k + 1 in ORDERS:
-                out.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(k)) >> np.uint32(32 - BITS))
+                own = h[: max(0, min(len(h), PIECE))]  # the next piece has those that begin in it
+                out.append(((own ^ (own >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(k)) >> np.uint32(32 - BITS))
     return np.concatenate(out)
 
 
@@ -55,107 +62,115 @@ class Model:
 
     weights: np.ndarray
     intercept: float
+    last: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.int64), repr=False)
 
     def score(self, text: str | None) -> float:
-        found = places(text)
-        w = self.weights[found]
-        hit = np.flatnonzero(w)
-        z = self.intercept
-        if len(hit):
-            _, first = np.unique(found[hit], return_index=True)
-            z += float(w[hit][first].sum(dtype=np.float64))
+        found, z = places(text), self.intercept
+        if len(found):
+            n = np.arange(len(found))
+            self.last[found] = n  # where each place comes last: there it counts
+            z += float(self.weights[found[self.last[found] == n]].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _fit(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled features (rows, cols sorted by row) by Adam over the whole sample."""
-    n, f = len(y), len(ratio)
-    x = ratio[cols].astype(np.float32)
-    # the start is naive Bayes itself, scaled down to the mean number of features a document has
-    theta, b = np.full(f, min(1.0, 4.0 * n / max(1, len(cols))), np.float32), 0.0
-    m, v, mb, vb = np.zeros(f, np.float32), np.zeros(f, np.float32), 0.0, 0.0
-    for t in range(1, STEPS + 1):
-        z = np.bincount(rows, theta[cols] * x, n) + b
-        g = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-        grad = (np.bincount(cols, g[rows] * x, f) / n + PENALTY * theta).astype(np.float32)
-        gb = float(g.mean())
-        m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
-        rate = 0.1 / np.sqrt(t)
-        theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return theta * ratio, b
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def scales(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """What each place's feature is multiplied by, from the numbers of texts that have it and of all texts."""
+    c0, c1 = clean + SMOOTH, toxic + SMOOTH
+    ratio = np.log(c1 / c1.sum()) - np.log(c0 / c0.sum())
+    both, every = clean + toxic, n0 + n1
+
+    def part(seen: np.ndarray, due: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(due, 1e-300)), 0.0)
+
+    telling = 2 * (part(toxic, both * n1 / every) + part(clean, both * n0 / every) + part(n1 - toxic, (every - both) * n1 / every) + part(n0 - clean, (every - both) * n0 / every))
+    return np.where(both > 0, ratio * np.clip(telling / SURE, 0, 1) ** 2, 0.0)
+
+
+def fit(texts: list[np.ndarray], toxic: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
+    """Weights and intercept from the distinct places of each text. Minimizes half the squared norm of the coefficients
+    of the scaled features, the intercept's among them, and cost times the sum of logistic losses. Of the dual one
+    variable a text is solved for at a time, by Newton steps; weights are kept times their scale."""
+    counts = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, y in zip(texts, toxic) if y == k)]).astype(np.int64), minlength=1 << BITS) for k in (0, 1)]
+    toxic = np.asarray(toxic)
+    square = np.append(scales(*counts, int((toxic == 0).sum()), int((toxic == 1).sum())) ** 2, 1.0).astype(np.float32)
+    texts = [np.append(t, np.int32(1 << BITS)) for t in texts]
+    norms = [float(square[t].sum(dtype=np.float64)) for t in texts]
+    sign = np.where(toxic == 1, 1.0, -1.0).tolist()
+    w, dual = np.zeros((1 << BITS) + 1, np.float32), [1e-3 * cost] * len(texts)
+    for t, y, a in zip(texts, sign, dual):
+        w[t] += np.float32(y * a) * square[t]
+    rng = np.random.default_rng(7)
+    for _ in range(SWEEPS):
+        moved = 0.0
+        for i in rng.permutation(len(texts)).tolist():
+            t, y, q, old = texts[i], sign[i], norms[i], dual[i]
+            margin, x = y * float(w[t].sum(dtype=np.float64)), old
+            for _ in range(50):
+                step = (q * (x - old) + margin + math.log(x / (cost - x))) / (q + cost / (x * (cost - x)))
+                new = min(max(x - step, x / 10), (x + 9 * cost) / 10)
+                done, x = abs(new - x) < 1e-9 * cost, new
+                if done:
+                    break
+            if abs(x - old) > 1e-7 * cost:
+                dual[i] = x
+                w[t] += np.float32((x - old) * y) * square[t]
+                moved = max(moved, abs(x - old) / cost)
+        if moved < STILL:
+            break
+    return w[:-1].copy(), float(w[-1])
+
+
+def _pack(found: np.ndarray) -> bytes:
+    """Sorted places, as the steps between them."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(found, prepend=0).astype(np.int32).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32), dtype=np.int32)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model:
     """labels: (doc_id, toxic), of the documents that may train only."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     flat = Model(np.zeros(1 << BITS, np.float32), float(np.log((toxic + 1e-9) / (clean + 1e-9))) if toxic + clean else -500.0)
     if not toxic or not clean:
         return flat
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30))
+    below = lambda key, name, share: F.pmod(F.xxhash64(key, F.lit(name)), F.lit(1 << 30)) < share * (1 << 30)
     share = F.when(F.col("toxic") == 1, min(1.0, sample / toxic)).otherwise(min(1.0, sample / clean))
-    chosen = known.filter(draw < share * (1 << 30))  # about 2 * SAMPLE rows at most
+    chosen = known.filter(below("doc_id", "toxicity", share))  # about 2 * SAMPLE rows at most
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = stored(texts.select("toxic", "text", F.xxhash64("text").alias("h")).dropDuplicates(["toxic", "h"]).select("toxic", "text"))
-
-    def count(batches):
-        total = np.zeros((2, 1 << BITS), np.int32)
-        for b in batches:
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[y, np.unique(places(t))] += 1
-        some = np.flatnonzero(total.any(0))
-        for at in range(0, len(some), 50_000):
-            k = some[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[0, k], pa.int64()), pa.array(total[1, k], pa.int64())], ["place", "n0", "n1"])
-
-    sums = texts.transform(in_arrow, count, "place int, n0 long, n1 long").groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    size = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    s1, s0 = size.get(1, 0), size.get(0, 0)
-    if not s1 or not s0:
+    texts = stored(texts.select("toxic", "text", F.xxhash64("text").alias("h")).dropDuplicates(["toxic", "h"]))
+    sizes = {r["toxic"]: r["chars"] or 1 for r in texts.groupBy("toxic").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    if len(sizes) < 2:
         return flat
-    n1, n0, both = F.col("n1"), F.col("n0"), F.col("n0") + F.col("n1")
-    term = lambda seen, due: F.when(seen > 0, seen * F.log(seen / due)).otherwise(0.0)
-    share1, share0, rest = s1 / (s1 + s0), s0 / (s1 + s0), s1 + s0 - both
-    telling = 2 * (term(n1, both * share1) + term(n0, both * share0) + term(s1 - n1, rest * share1) + term(s0 - n0, rest * share0))
-    best = sums.filter(both >= 3).withColumn("telling", telling).orderBy(F.col("telling").desc(), "place").limit(FEATURES).collect()
-    best = [r for k, r in enumerate(best) if k < SURE or r["telling"] >= TELLING]
-    if not best:
-        return flat
-    place = np.array([r["place"] for r in best], np.int64)
-    c1, c0 = np.array([r["n1"] for r in best]) + SMOOTH, np.array([r["n0"] for r in best]) + SMOOTH
-    ratio = (np.log(c1 / c1.sum()) - np.log(c0 / c0.sum())).astype(np.float32)
-    index = np.full(1 << BITS, -1, np.int32)
-    index[place] = np.arange(len(place), dtype=np.int32)
+    some = texts.filter(below("h", "characters", F.when(F.col("toxic") == 1, min(1.0, chars / sizes[1])).otherwise(min(1.0, chars / sizes[0]))))
 
     def features(batches):
         for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                f = index[places(t)]
-                out.append(np.unique(f[f >= 0]).astype(np.int32).tobytes())
+            out = [_pack(np.unique(places(t)).astype(np.int32)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["toxic", "features"])
 
-    got = texts.transform(in_arrow, features, "toxic int, features binary").toPandas()
-    y, each = got["toxic"].to_numpy(np.float64), [np.frombuffer(x, np.int32) for x in got["features"]]
-    order = sorted(range(len(y)), key=lambda i: (y[i], each[i].tobytes()))  # reruns agree whatever the tasks' order
-    y, each = y[order], [each[i] for i in order]
-    rows = np.repeat(np.arange(len(y)), [len(x) for x in each])
-    scaled, b = _fit(rows, np.concatenate(each), y, ratio)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[place] = scaled
-    return Model(weights, float(b + np.log(toxic / clean) - np.log(s1 / s0)))
+    got = some.select("toxic", "text").transform(in_arrow, features, "toxic int, features binary").toArrow()
+    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))  # reruns agree whatever the tasks' order
+    y = np.array([k for k, _ in rows])
+    if not 0 < y.sum() < len(y):
+        return flat
+    weights, intercept = fit([_unpack(x) for _, x in rows], y)
+    s1 = int(y.sum())
+    return Model(weights, float(intercept + np.log(toxic / clean) - np.log(s1 / (len(y) - s1))))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, predicted)."""
-    used = np.flatnonzero(model.weights).astype(np.int32)
-    values, intercept = model.weights[used], model.intercept
+    weights, intercept = model.weights, model.intercept  # 4 << BITS bytes
 
     def work(batches):
-        weights = np.zeros(1 << BITS, np.float32)
-        weights[used] = values
         own = Model(weights, intercept)
         for b in batches:
             s = np.array([own.score(t) for t in b.column(1).to_pylist()], np.float64)
@@ -174,12 +189,9 @@ def train_on_folds(docs: DataFrame, labels: DataFrame, **options) -> Model:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents that score below the threshold, with all their columns, in one pass."""
-    used = np.flatnonzero(model.weights).astype(np.int32)
-    values, intercept, place = model.weights[used], model.intercept, docs.columns.index(text_col)
+    weights, intercept, place = model.weights, model.intercept, docs.columns.index(text_col)
 
     def work(batches):
-        weights = np.zeros(1 << BITS, np.float32)
-        weights[used] = values
         own = Model(weights, intercept)
         for b in batches:
             yield b.filter(pa.array([own.score(t) < threshold for t in b.column(place).to_pylist()], pa.bool_()))
