@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hornbeam.llm.common import WORD, cut
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-KEY_BUCKETS = 4096
+OCTAVE, LAST_RANGE = 512, 1 << 30
 #: Tables of sources up to this many rows (under 10 MB) are broadcast; beyond it the join is dealt by source and salt.
 BROADCAST_SOURCES, SALTS = 100_000, 32
 #: Sampling weights of documents by label: quality 1, quality 0, unlabelled.
@@ -34,7 +34,8 @@ def size_of(text: Column) -> Column:
 def key_of(doc_id: Column, weight: Column, seed: str) -> Column:
     digits = F.substring(F.md5(F.encode(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit(""))), "UTF-8")), 1, 13)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return -F.log(uniform) / weight
+    known = F.when(weight.isNull() | F.isnan(weight), F.lit(UNKNOWN)).otherwise(weight.cast("double"))
+    return F.when(known > 0, -F.log(uniform) / F.nullif(known, F.lit(0.0))).otherwise(F.lit(float("inf")))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -58,8 +59,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) from (doc_id, source, size, weight); weight: sampling weight."""
     base = cut(
-        docs.select("doc_id", "source", "size", key_of(F.col("doc_id"), F.coalesce(F.col("weight"), F.lit(UNKNOWN)), seed).alias("key"))
-        .withColumn("bucket", F.least(((F.lit(1.0) - F.exp(-F.col("key"))) * KEY_BUCKETS).cast("int"), F.lit(KEY_BUCKETS - 1)))
+        docs.select("doc_id", "source", "size", key_of(F.col("doc_id"), F.col("weight").cast("double"), seed).alias("key"))
+        .withColumn("bucket", F.when(F.col("key") < float("inf"), F.floor(F.log2("key") * OCTAVE).cast("int")).otherwise(LAST_RANGE))
     )
     sums = cut(base.groupBy("source", "bucket").agg(F.sum("size").alias("sum")))
     goal = targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, most)
@@ -68,13 +69,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     upto = F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     edges = sums.withColumn("before", upto - F.col("sum")).withColumnRenamed("source", "of")
     border = goal.join(edges, F.col("source").eqNullSafe(F.col("of")) & (F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("sum")), "left")
-    border = cut(border.select(F.col("source").alias("of"), "source_size", "target", "epochs", "rest", F.coalesce("bucket", F.when(F.col("rest") > 0, KEY_BUCKETS).otherwise(-1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before")))
+    border = cut(border.select(F.col("source").alias("of"), "source_size", "target", "epochs", "rest", F.coalesce("bucket", F.when(F.col("rest") > 0, LAST_RANGE + 1).otherwise(-LAST_RANGE)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before")))
     same = F.col("source").eqNullSafe(F.col("of"))
     if border.count() <= BROADCAST_SOURCES:
         joined = base.join(F.broadcast(border), same)
     else:
         salted = border.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = base.join(salted, same & (F.col("bucket") % SALTS == F.col("salt"))).drop("salt")
+        joined = base.join(salted, same & (F.pmod("bucket", F.lit(SALTS)) == F.col("salt"))).drop("salt")
     sure = joined.filter(F.col("bucket") != F.col("edge")).withColumn("extra", (F.col("bucket") < F.col("edge")).cast("long"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     prefix = F.col("before") + F.sum("size").over(order) - F.col("size")
