@@ -5,7 +5,10 @@ outside the vocabulary never merges and counts as its UTF-8 bytes (byte fallback
 popped again and again, the leftmost of equals, and each merge takes one from the count. No piece of the vocabulary
 has a word mark after another character, which is checked on loading, so merging never crosses the start of a run of
 marks: a text is counted unit by unit, and units' counts are remembered in a table of bounded size that is emptied
-when full. Null and empty texts have no tokens. Memory beside the table is that of the longest unit.
+when full. Memory beside the table is that of the longest unit.
+
+Defined results: null and empty texts have no tokens; repeated rows and null ids each give their own row; an empty table
+gives an empty result; extra columns are left out. A model with pieces of users or unused ones is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from hornbeam.llm.common import in_arrow
 
 MARK = "▁"
+#: Fixed values of the format: types of pieces.
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Units whose counts a worker remembers.
 REMEMBERED = 400_000
 LIMIT = 4096
@@ -41,7 +46,9 @@ class PieceCounter:
         spec = model.normalizer_spec
         if model.trainer_spec.model_type != 2 or spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or not model.trainer_spec.byte_fallback:
             raise ValueError("this counter is for BPE models with byte fallback, a leading mark and no normalization")
-        normal = [p for p in model.pieces if p.type == 1]
+        normal = [p for p in model.pieces if p.type == NORMAL]
+        if any(p.type not in (NORMAL, UNKNOWN, CONTROL, BYTE) for p in model.pieces):
+            raise ValueError("a piece is one of a user's or unused")
         if any(MARK in p.piece.lstrip(MARK) for p in normal):
             raise ValueError("a piece has a word mark after another character")
         scores = {s: k for k, s in enumerate(sorted({p.score for p in normal}, reverse=True))}

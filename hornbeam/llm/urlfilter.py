@@ -5,7 +5,8 @@ Canonical form: a dot, the host in lower case, the path. A rule (host, path) bec
 one bit of a state that spans as many 64-bit words as needed; a byte of the URL shifts the whole state once, masks it
 by that byte's word row and keeps the bits that loop on it. Null URLs and URLs without `://` have an empty host and
 path and fit no rule; so does a URL with an empty path. Among rules that fit the longest wins, then the first. Work
-grows with the bytes of URLs times the words of the state; a very long URL costs its own length only.
+grows with the bytes of URLs times the words of the state; a very long URL costs its own length only. Repeated rows and
+null ids each give their own row; an empty table gives an empty result; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
