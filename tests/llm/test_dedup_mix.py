@@ -52,6 +52,23 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(a - b) <= 40 for a, b in by.values())
 
 
+def test_mix_of_odd_weights(spark):
+    data = [(k, "s", 1, w) for k, w in enumerate([0.0, -3.0, float("nan"), None, 2.0, 0.01] * 50)]
+    df = spark.createDataFrame(data, "doc_id long, source string, size long, weight double")
+    got = {r.doc_id: r.taken for r in mixing.mix(df, share=0.5, most=1.0).collect()}
+    assert sum(got.values()) == 150  # half of all sizes
+    taken = lambda *ws: sum(got[k] for k, _, _, w in data if w in ws or (w != w and "nan" in ws))
+    assert taken(0.0, -3.0) == 0 and taken(2.0) > taken(0.01)
+
+
+def test_mix_ranges_part_small_weights_too(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("size"), F.when(F.col("id") % 2 == 0, 0.01).otherwise(1.0).alias("weight"))
+    key = mixing.key_of(F.col("doc_id"), F.col("weight"), "mix")
+    ranges = df.select(F.floor(F.log2(key) * mixing.OCTAVE).alias("r")).groupBy("r").count()
+    assert ranges.agg(F.max("count")).first()[0] < 60
+    assert sum(r.taken for r in mixing.mix(df, share=0.3, most=1.0).collect()) == 6000
+
+
 def test_targets_stop_at_their_limits(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10), (None, 500)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
@@ -120,6 +137,32 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    copies, alone = " ".join(words(50, 1)), " ".join(words(50, 2))
+    df = docs(spark, [copies, copies, alone, alone], [3, 7, 7, 7]).withColumn("mark", F.lit("kept")).withColumn("fp", F.lit("kept")).withColumn("component_id", F.lit(0))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, copies), (7, alone)])
+    long_ = " ".join(words(200_000, 3))
+    assert simhash.keep_one(docs(spark, [long_, long_ + " x", None], [1, 2, 3])).count() == 2
+
+
+def test_skewed_join(spark, monkeypatch):
+    from hornbeam.llm import common
+
+    monkeypatch.setattr(common, "FREQUENT", 10)
+    big = spark.range(3000).select((F.when(F.col("id") < 2000, 1).otherwise(F.col("id"))).alias("k"), "id")
+    small = big.groupBy("k").agg(F.count("*").alias("n")).withColumn("x", F.col("k") * 2)
+    got = common.skewed_join(big, small, "k", "n")
+    assert got.count() == 3000 and got.filter("x <> 2 * k").count() == 0
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_local_sessions_make_their_own_folder(spark):
+    from hornbeam.llm import common
+
+    assert [common.is_local(m) for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,1024]", "spark://x:7077", "yarn")] == [True, True, True, False, False, False]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(100 + k, 100) for k in range(1, 20)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
@@ -153,6 +196,21 @@ def test_compact_windows_partition_all_subsequences(values, least):
                 assert len(holds) == 1 and holds[0][1] == low
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab \n", max_size=30)), max_size=12), st.integers(1, 60))
+def test_texts_side_by_side_have_their_own_shingles(texts, most):
+    old, substring.TOGETHER = substring.TOGETHER, most
+    try:
+        got = {}
+        for ids, h, edges, at in substring._stretches(enumerate(texts), 1):
+            assert edges[0] == 0 and edges[-1] == len(h) and len(edges) == len(ids) + 1
+            for i, a, b in zip(ids.tolist(), edges, edges[1:]):
+                got[i] = h[a:b].tolist()
+        assert got == {i: substring.shingles(t).tolist() for i, t in enumerate(texts)}
+    finally:
+        substring.TOGETHER = old
+
+
 def test_repeated_passages(spark):
     p, q = words(60, 1), words(70, 2)
     edited = [*q[:30], "changed", *q[31:]]
@@ -181,8 +239,56 @@ def test_passages_of_copies_and_empty_tables(spark, monkeypatch):
     assert {r.doc_id for r in got.collect()} == set(range(1, 20)) and got.count() < 200
     assert sorted(r.doc_id for r in substring.remove(df).collect()) == [0, 0]
     assert substring.find(df.limit(0)).count() == 0 and substring.remove(df.limit(0)).count() == 0
-    monkeypatch.setattr(substring, "BROADCAST", -1)
-    assert rows(substring.find(df)) == rows(got)
+    kept = rows(substring.remove(df))
+    monkeypatch.setattr(substring, "BROADCAST", -1)  # spans by shuffle
+    monkeypatch.setattr(substring, "HUB", 3)  # regions of a document in several rows
+    assert rows(substring.find(df)) == rows(got) and rows(substring.remove(df)) == kept
+
+
+def test_passages_of_rows_without_ids_and_of_long_texts(spark):
+    p = " ".join(words(60, 1))
+    long_ = " ".join(words(80_000, 2))  # over a piece of shingles
+    df = docs(spark, [long_ + " " + p, p, p, long_], [1, 2, None, 4]).withColumn("_of", F.lit("clash"))
+    got = {(r.match_doc_id, r.doc_id, r.start_word, r.end_word) for r in substring.find(df).collect()}
+    assert (1, 2, 0, 60) in got and {k for a, b, x, y in got if b == 4 for k in range(x, y)} == set(range(80_000))
+    kept = substring.remove(df.drop("_of"))
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
+
+
+def near_copies(share, n=60):
+    """Pairs of documents with a passage of 150 words of which `share` of the words are other ones in the second."""
+    r = random.Random(int(share * 1000))
+    texts = []
+    for k in range(n):
+        p = words(150, 5000 + k)
+        q = list(p)
+        for place in r.sample(range(150), round(150 * share)):
+            q[place] = words(1, 90_000 + 200 * k + place)[0]
+        texts += [" ".join(words(60, 6000 + k) + p + words(60, 7000 + k)), " ".join(words(60, 8000 + k) + q + words(60, 9000 + k))]
+    return texts
+
+
+def similar_runs(a, b):
+    """Words of b in a run of 50 or more that is alike (ALIKE of all shingles) to one of a, by trying all runs of words at
+    the same distance, which is where the edits of near_copies leave them."""
+    w, v = a.split()[60:210], b.split()[60:210]
+    one, two = ([tuple(x[k : k + 5]) for k in range(146)] for x in (w, v))
+    same, found = [s == t for s, t in zip(one, two)], set()
+    for i in range(146):
+        for j in range(i + 45, 146):
+            n, m = j - i + 1, sum(same[i : j + 1])
+            if m / (2 * n - m) >= substring.ALIKE and same[i] and same[j]:
+                found |= set(range(60 + i, 60 + j + 5))
+    return found
+
+
+@pytest.mark.parametrize("share", [0.02, 0.04, 0.06])
+def test_recall_of_near_passages(spark, share):
+    """Of the words in passages that are alike by brute force; more edits than these leave no passage of 50 words alike."""
+    texts = near_copies(share)
+    got = covered(substring.find(docs(spark, texts)))
+    want = {(2 * k + 2, x) for k in range(60) for x in similar_runs(texts[2 * k], texts[2 * k + 1])}
+    assert len(want) > 200 and len(want & got) >= 0.9 * len(want)
 
 
 def covered(df):
@@ -272,6 +378,52 @@ def test_contained_items(spark, monkeypatch):
     assert decontaminate.clean(df, items.limit(0)).count() == 9
 
 
+def test_documents_without_ids_are_judged_one_by_one(spark):
+    item = words(30, 1)
+    items = spark.createDataFrame([(1, " ".join(item)), (1, None)], "item_id long, text string").filter("text IS NOT NULL")
+    texts = [" ".join(item[:18]), " ".join(item[12:]), " ".join([*words(5, 2), *item]), " ".join([*words(5, 2), *item])]
+    df = docs(spark, texts, [None, None, None, None]).withColumn("of", F.lit("clash")).withColumn("words", F.lit("clash"))
+    assert [tuple(r) for r in decontaminate.contained(df, items).collect()] == [(None, 1, 26, 26, 1.0)]
+    assert sorted(r.text for r in decontaminate.clean(df, items).collect()) == sorted(texts[:2])
+    halves = docs(spark, [*texts[:2], " ".join(words(100_000, 4) + item)], [5, 5, 6])  # rows of one id are one document
+    assert [tuple(r)[:4] for r in decontaminate.contained(halves, items).orderBy("doc_id").collect()] == [(5, 1, 26, 22)] or {r.doc_id for r in decontaminate.contained(halves, items).collect()} == {5, 6}
+
+
+def test_template_that_items_share_makes_no_candidates(spark):
+    template = words(12, 50)
+    items = [(k, " ".join(template + words(25, 100 + k))) for k in range(60)]
+    wanted = decontaminate.item_shingles(spark.createDataFrame(items, "item_id long, text string"))
+    shared = wanted.groupBy("shingle").agg(F.count("*").alias("n"), F.max(F.col("probe").cast("int")).alias("probe")).filter("n > 1")
+    assert shared.count() == 8 and shared.filter("probe = 1").count() == 0
+    df = docs(spark, [" ".join(template + words(25, 100 + k)) for k in (3, 9)] + [" ".join(template + words(50, 1))])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contained(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == {(1, 3), (2, 9)}
+
+
+def test_query_sql_of_odd_rows(spark, tmp_path):
+    """The SQL of op7 and op2 beside the queries on rows without ids, repeated rows, blanks and clashing names."""
+    p = words(30, 1)
+    texts = [" ".join(p[:20]), " ".join(p[10:]), " ".join(p), " ".join(p), None, "", " ", "two words", "Two\tWORDS x"]
+    docs(spark, texts, [None, None, None, 7, 8, 9, 9, 9, 10]).withColumn("k", F.lit("clash")).toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, " ".join(p)), (2, "two words"), (3, None), (4, "")], "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "labels.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+    for name in ("op7_decontaminate", "op2_mix_sources"):
+        assert compare(spark, con, QUERIES[name], ORACLES[name], str(tmp_path)) > 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    df = docs(spark, ["the quiet sea " * 20, "the quiet sea " * 20, None, "", "x", "the river " * 30], [1, None, None, 4, 4, 6]).withColumn("_text", F.lit("kept"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {1, 4, 6, None}
+
+
 def test_pipeline_stages(spark):
     at = spark.read.parquet(f"{SF}/documents.parquet")
     before, left = at.columns, at

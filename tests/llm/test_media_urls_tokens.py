@@ -5,6 +5,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hornbeam.llm import media_ogg, queries, tokens, urlfilter
 from tests.conftest import rows
@@ -42,9 +43,47 @@ def test_ogg_damage():
     assert not media_ogg.samples(media_ogg.read(bytes(media[:-10])))[2]
 
 
+def split_pages(media):
+    """Pages by their headers alone."""
+    out, at = [], 0
+    while at < len(media):
+        n = media[at + 26]
+        end = at + 27 + n + sum(media[at + 27 : at + 27 + n])
+        out.append(media[at:end])
+        at = end
+    return out
+
+
+def test_ogg_pages_that_are_missing():
+    whole = split_pages(media_ogg.write(bytes(range(256)) * 8000, 2, 100))
+    assert media_ogg.read(b"".join(whole)).whole and len(whole) > 20
+    for gone in (5, 12, 0, 1, len(whole) - 1, len(whole) - 2):
+        got = media_ogg.read(b"".join(p for k, p in enumerate(whole) if k != gone))
+        assert not got.whole and got.missing_pages + got.open_streams == 1 and not media_ogg.samples(got)[2], gone
+    cut = media_ogg.read(b"".join(whole[:-4]))
+    assert not cut.whole and cut.open_streams == 2 and not cut.bad_pages
+    twice = media_ogg.read(b"".join([*whole[:7], whole[6], *whole[7:]]))
+    assert not twice.whole and twice.missing_pages
+
+
+def test_ogg_feature_by_hand(spark):
+    text = "The river é\n" * 300
+    raw = text.encode()
+    data = raw + bytes(-len(raw) % 64)
+    media = media_ogg.write(data)
+    got = media_ogg.digests(media_ogg.encode_texts(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string"))).collect()
+    packets = 2 + -(-len(data) // media_ogg.PACKET)
+    longest = max(sum(len(data[at : at + media_ogg.PACKET]) for at in range(k * media_ogg.PACKET, len(data), 2 * media_ogg.PACKET)) for k in (0, 1))
+    mean = sum(data) / len(data)
+    spread = (sum((b - mean) ** 2 for b in data) / len(data)) ** 0.5
+    crossings = sum((a < 128) != (b < 128) for a, b in zip(data, data[1:]))
+    want = f"streams=2;pages={len(split_pages(media))};packets={packets};bad=0;seconds={longest / 8000:.6f};mean={mean:.6f};deviation={spread:.6f};crossings={crossings}"
+    assert {r.feature for r in got} == {want} and len(got) == 3 and {r.media_bytes for r in got} == {len(media)}
+
+
 def test_ogg_query_digests(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
-    got = {r.doc_id: r for r in media_ogg.digests(media_ogg.encode_texts(df.withColumnRenamed("doc_id", "doc_id"))).collect()}
+    got = {r.doc_id: r for r in media_ogg.digests(media_ogg.encode_texts(df.withColumn("media", F.lit("clash")).withColumn("n_bytes", F.lit("clash")))).collect()}
     for k, t in enumerate(ODD):
         raw = (t or "").encode()
         padded = raw + bytes(-len(raw) % 64 if raw else 64)
@@ -71,6 +110,8 @@ def test_url_cases(spark):
     assert [tuple(r)[1:] for r in urlfilter.filter_urls(df).orderBy("page_id").collect()] == list(urls.values())
     assert urlfilter.filter_urls(df, []).filter("verdict = 'allow' AND rule IS NULL").count() == len(urls)
     assert urlfilter.filter_urls(df.limit(0)).count() == 0
+    again = spark.createDataFrame([(None, "http://x.org/a", 1), (None, "http://x.org/a", 1), (7, "http://x.org/a", 1), (7, None, 1), (8, "http://x.org/" + "p" * 300_000, 1)], "page_id long, url string, verdict int")
+    assert [r.rule for r in urlfilter.filter_urls(again).orderBy("page_id", F.col("rule").asc_nulls_first()).collect()] == ["org/", "org/", None, "org/", "org/"]
 
 
 @settings(max_examples=60, deadline=None)
@@ -97,6 +138,21 @@ def test_token_counts_equal_the_library(spark, library):
     assert rows(tokens.count_tokens(df.limit(0))) == []
 
 
+def test_token_counts_of_odd_rows(spark, library, tmp_path):
+    n = len(library.encode("the end"))
+    df = spark.createDataFrame([(None, "the end", "x"), (1, "the end", "x"), (1, "the end", "x"), (2, None, "x")], "doc_id long, text string, n_tokens string")
+    assert rows(tokens.count_tokens(df, limit=1)) == sorted([(None, 7, n, n > 1), (1, 7, n, n > 1), (1, 7, n, n > 1), (2, 0, 0, False)], key=repr)
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(tokens.tokenizer_path(), "rb") as f:
+        model.ParseFromString(f.read())
+    model.pieces.add(piece="mine", score=0.0, type=4)
+    (tmp_path / "odd.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        tokens.PieceCounter(str(tmp_path / "odd.model"))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("ab the<s>▁\n\t é1…🙂"), max_size=40))
 def test_token_counts_of_any_text(library, text):
