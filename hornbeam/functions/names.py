@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMAIL = r"[\w\.-]+@[\w\.-]+"
-#: Private and reserved IPv4 addresses, by prefix (fixed values).
-PRIVATE_IPV4 = (
-    r"^(0\.|10\.|127\.|169\.254\.|192\.0\.0\.|192\.0\.2\.|192\.88\.99\.|192\.168\.|198\.51\.100\.|203\.0\.113\.|255\.255\.255\.255"
-    r"|198\.1[89]\.|22[4-9]\.|23[0-9]\.|24[0-9]\.|25[0-5]\.|172\.1[6-9]\.|172\.2[0-9]\.|172\.3[01]\.|100\.6[4-9]\.|100\.[7-9][0-9]\.|100\.1[01][0-9]\.|100\.12[0-7]\.)"
-)
+#: The IPv4 networks that are not for general use (RFC 6890, and RFC 5771 for multicast).
+PRIVATE_IPV4 = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+]
 
 
 def as_bytes(text: Column) -> Column:
@@ -47,6 +47,20 @@ def result_key(name: Column, version: Column, kind: Column, sudo: Column | None
     return F.concat_ws(".", F.concat_ws(":", file_name(name), F.coalesce(version, F.lit("latest")), mark), kind)
 
 
+#: What the file of each kind of result ends in, and whether it is one of a version.
+RESULT_KINDS = {
+    "trace": ("strace", True), "trace_dep": ("dep.strace", True), "metadata": ("metadata.json", True), "versions": ("versions.json", False), "version2hash": ("version2hash.json", False),
+    "dep": ("dep.json", True), "flatten_dep": ("flatten_dep.json", True), "astgen": ("astgen.txt", True), "compare_versions": ("compare_versions.json", False), "astfilter": ("astfilter.txt", True),
+    "taint": ("taint.txt", True), "danger": ("danger.txt", True), "static": ("static.txt", True), "dynamic": ("dynamic.txt", True), "concolic": ("dynamic.txt", True), "result": ("result.txt", True),
+}
+
+
+def result_keys(name: Column, version: Column, sudo: Column | None = None) -> Column:
+    """A map of kind -> file name for all of RESULT_KINDS; only kinds of a version carry it and the mark of sudo."""
+    of = lambda suffix, versioned: result_key(name, version, F.lit(suffix), sudo) if versioned else F.concat_ws(".", file_name(name), F.lit(suffix))
+    return F.create_map(*[x for kind, how in RESULT_KINDS.items() for x in (F.lit(kind), of(*how))])
+
+
 def split_container(name: Column) -> Column:
     """(package, version or null, sudo) of name..version..job, split from the right; null if there are not two splits."""
     pattern = r"^(.*)[.][.]((?:(?![.][.]).)*)[.][.]((?:(?![.][.]).)*)$"
@@ -74,8 +88,8 @@ def first_hostname(payload: Column) -> Column:
 
 
 def version_array(version: Column) -> Column:
-    """v1.10.0 -> [1, 10, 0]; arrays compare number by number; a blank or odd part counts as 0."""
-    return F.transform(F.split(F.btrim(version, F.lit("v")), "[.]"), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+    """v1.10.0 -> [1, 10, 0], of numbers of up to 38 digits; arrays compare number by number; a blank or odd part counts as 0."""
+    return F.transform(F.split(F.btrim(version, F.lit("v")), "[.]"), lambda x: F.coalesce(x.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
 
 
 def is_plain_version(version: Column) -> Column:
@@ -99,6 +113,12 @@ def md5_number(text: Column) -> Column:
     return F.conv(md5_prefix(text), 16, 10).cast("decimal(20,0)")
 
 
+def draw(key: Column, seed: int = 0) -> Column:
+    """A number from 0 up to 2**52 that key and seed decide, the same in any engine that has md5."""
+    digits = F.substring(F.md5(F.encode(F.concat(key.cast("string"), F.lit(f"|{seed}")), "UTF-8")), 1, 13)
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def is_ascii(text: Column) -> Column:
     return text.rlike(r"^[\x15-\x7f]*$")
 
@@ -117,6 +137,17 @@ def literal_map(cell: Column, value: str = "bigint") -> Column:
     return F.from_json(plain, f"map<string,{value}>")
 
 
+def literal_json(cell: Column) -> Column:
+    """A Python literal of dicts, lists, strings, numbers, True, False and None as JSON text, which from_json takes with
+    any schema. Strings may have the other kind of quote in them."""
+    strings = F.regexp_replace(cell, r"\bu(?=['\"])", "")
+    # a string in single quotes: its double quotes are escaped, its escaped single quotes are not, and its ends change
+    parts = F.regexp_extract_all(strings, F.lit(r"""('(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|[^'"]+)"""), F.lit(1))
+    quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), r'(?<!\\)"', r'\\"'), r"\\'", "'"), F.lit('"'))
+    words = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("'"), quoted(x)).when(x.startswith('"'), x).otherwise(words(x))), "")
+
+
 def is_yes(text: Column) -> Column:
     return F.coalesce(F.lower(text).isin("yes", "true", "t", "1", "enabled"), F.lit(False))
 
@@ -144,10 +175,6 @@ def reversed_octets(ip: Column) -> Column:
     return F.array_join(F.reverse(F.split(ip, "[.]")), ".")
 
 
-def is_private_ip(ip: Column) -> Column:
-    return F.coalesce(ip.rlike(PRIVATE_IPV4), F.lit(False))
-
-
 def ipv4_number(ip: Column) -> Column:
     p = F.split(ip, "[.]")
     octet = lambda k: F.get(p, k).try_cast("long")
@@ -163,6 +190,19 @@ def in_network(ip: Column, cidr: str) -> Column:
     return F.coalesce(ipv4_number(ip).between(low, low + size - 1), F.lit(False))
 
 
+def is_private_ip(ip: Column) -> Column:
+    """Whether an address is in one of PRIVATE_IPV4; false for anything else, null included."""
+    out = F.lit(False)
+    for network in PRIVATE_IPV4:
+        out = out | in_network(ip, network)
+    return out
+
+
+def has_domain(text: Column) -> Column:
+    """Whether two words stand side by side with a dot between them."""
+    return F.coalesce(text.rlike(r"\w[.]\w"), F.lit(False))
+
+
 def ends_with_any(text: Column, suffixes: list[str]) -> Column:
     out = F.lit(False)
     for s in suffixes:
