@@ -1,15 +1,58 @@
-"""Cutting lineage in loops with reliable checkpoints in the folder that the cluster shares."""
+"""Cutting lineage in loops with reliable checkpoints in the folder that the cluster shares, and bounded Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage. spark.checkpoint.dir holds them; where it is unset, as in tests, a folder of our own."""
+    """The same rows without their lineage. spark.checkpoint.dir holds them; where it is unset, a local session gets a
+    folder of its own, and any other raises: executors would write where the others cannot read."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hornbeam-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hornbeam-checkpoint-"))
     return df.checkpoint()
+
+
+class Parts:
+    """Rows that a loop adds round by round: each round's are stored once, and read with all others until MOST parts
+    have come together, which then become one."""
+
+    MOST = 16
+
+    def __init__(self, first: DataFrame):
+        self.parts = [cut(first)]
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The rows, stored."""
+        if len(self.parts) >= self.MOST:
+            self.parts = [cut(self.all())]
+        self.parts.append(cut(df))
+        return self.parts[-1]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
+#: Rows and bytes of a batch on its way to Python and back.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_arrow(df: DataFrame, work: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow in batches of bounded size: whole files and archives travel in them. The sizes are settings of the
+    session; they are lowered and never raised."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df.mapInArrow(work, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hornbeam.functions.storage import cut
+from hornbeam.functions.names import draw
+from hornbeam.functions.storage import Parts, cut
 
 
 def _clean(edges: DataFrame) -> DataFrame:
@@ -30,13 +31,25 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     Semi-naive: each round joins only the pairs that the last one found. Rounds: the longest shortest path."""
     e = cut(_clean(edges))
     step = e if seeds is None else e.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
-    found = frontier = cut(step)
+    found = Parts(step)
+    frontier = found.all()
+    on = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     while not frontier.isEmpty():
-        on = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
         new = frontier.join(on, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = cut(new.join(found, ["src", "dst"], "left_anti"))
-        found = cut(found.unionByName(frontier))
-    return found
+        frontier = found.add(new.join(found.all(), ["src", "dst"], "left_anti"))
+    return found.all()
+
+
+def inherited(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """(id, mark): the marks of each node and of all it depends on. Marks travel up along edges, round by round, so the
+    work follows what is found and not the number of pairs of nodes."""
+    e = cut(_clean(edges).select("src", F.col("dst").alias("id")))
+    found = Parts(marks.select("id", "mark").distinct())
+    frontier = found.all()
+    while not frontier.isEmpty():
+        new = frontier.join(e, "id").select(F.col("src").alias("id"), "mark").distinct()
+        frontier = found.add(new.join(found.all(), ["id", "mark"], "left_anti"))
+    return found.all()
 
 
 def descendants(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
@@ -62,6 +75,24 @@ def use_counts(packages: DataFrame, edges: DataFrame, key: str = "id") -> DataFr
     return packages.join(used, key, "left").fillna(0, ["use_count"])
 
 
+def high_impact(packages: DataFrame, edges: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(key, dependent) of all packages that depend on the given ones, and the given ones that the graph does not know."""
+    wanted = packages.select(F.col(key).alias("id")).distinct()
+    known = cut(wanted.join(nodes(edges), "id", "left_semi"))
+    found = ancestors(edges, known).select(F.col("src").alias(key), F.col("dst").alias("dependent"))
+    return found, wanted.join(known, "id", "left_anti").select(F.col("id").alias(key))
+
+
+def attractors(edges: DataFrame) -> DataFrame:
+    """(id, component, size): the strong components that no edge leaves, nodes on no cycle being their own."""
+    e = cut(without_loops(_clean(edges)))
+    own = cut(nodes(e).join(strong_components(e), "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    ends = e.join(own.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(own.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst")
+    left = ends.filter("a <> b").select(F.col("a").alias("component")).distinct()
+    last = own.join(left, "component", "left_anti")
+    return last.join(last.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, out_degree, in_degree) from one aggregation over both ends."""
     e = _clean(edges)
@@ -82,7 +113,7 @@ def induced(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def split(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(slice, src, dst): n subgraphs, each a slice of the nodes with all they depend on."""
-    part = nodes(edges).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int"))
+    part = nodes(edges).withColumn("slice", (draw(F.col("id"), seed) % n).cast("int"))
     reach = closure(edges).join(part, F.col("src") == F.col("id")).select("slice", F.col("dst").alias("id"))
     kept = cut(reach.union(part.select("slice", "id")).distinct())
     one = _clean(edges).join(kept.withColumnRenamed("id", "src"), "src")
@@ -110,18 +141,16 @@ def levels(edges: DataFrame) -> DataFrame:
     """(id, level): the longest path to a node without dependencies; every dependency is on a lower level. The graph
     must have no cycles: nodes on or above one would never be done, which raises."""
     e = cut(_clean(edges))
-    out = level = cut(nodes(e).join(e.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
-    left = cut(e)
-    k = 0
+    out = Parts(nodes(e).join(e.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
+    level, left, k = out.all(), e, 0
     while not left.isEmpty():
         k += 1
         rest = cut(left.join(level.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
         ready = left.select(F.col("src").alias("id")).distinct().join(rest.select(F.col("src").alias("id")), "id", "left_anti")
-        level = cut(ready.withColumn("level", F.lit(k)))
+        level, left = out.add(ready.withColumn("level", F.lit(k))), rest
         if level.isEmpty():
             raise ValueError("the graph has a cycle")
-        out, left = cut(out.unionByName(level)), rest
-    return out
+    return out.all()
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -141,12 +170,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 break
         ends = core.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst")
         within = cut(ends.filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
-        back = cut(colour.filter("id = c"))
-        frontier = back
+        reached = Parts(colour.filter("id = c"))
+        frontier = reached.all()
         while not frontier.isEmpty():
             more = within.join(frontier.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
-            frontier = cut(more.join(back, ["id", "c"], "left_anti"))
-            back = cut(back.unionByName(frontier))
+            frontier = reached.add(more.join(reached.all(), ["id", "c"], "left_anti"))
+        back = reached.all()
         part = back.select("id", F.col("c").alias("component"))
         out = part if out is None else cut(out.unionByName(part))
         rest = core.join(back.select(F.col("id").alias("src")), "src", "left_anti").join(back.select(F.col("id").alias("dst")), "dst", "left_anti")
@@ -175,19 +204,23 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30) -> DataFra
 
 def break_cycles(edges: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     """(src, dst) of an acyclic graph: loops go, then from every strong component its edge with the highest score, the
-    sum of both ends' ranks, ties by src and dst; again until none is left."""
+    sum of both ends' ranks, ties by src and dst; again until none is left. Only edges within components are worked
+    on: those that no component holds any more are put aside, and come back at the end."""
     e = cut(without_loops(_clean(edges)))
-    rank = cut((pagerank(e) if scores is None else scores).select("id", "rank"))
-    while True:
-        parts = strong_components(e)
-        if parts.isEmpty():
-            return e
-        parts = cut(parts)
-        inner = e.join(parts.select(F.col("id").alias("src"), "component"), "src").join(parts.select(F.col("id").alias("dst"), "component"), ["dst", "component"])
-        scored = inner.join(rank.select(F.col("id").alias("src"), F.col("rank").alias("a")), "src").join(rank.select(F.col("id").alias("dst"), F.col("rank").alias("b")), "dst")
-        first = F.row_number().over(Window.partitionBy("component").orderBy((F.col("a") + F.col("b")).desc(), F.col("src").desc(), F.col("dst").desc()))
-        worst = scored.withColumn("n", first).filter("n = 1").select("src", "dst")
-        e = cut(e.join(worst, ["src", "dst"], "left_anti"))
+    rank = (pagerank(e) if scores is None else scores).select("id", "rank")
+    ends = e.join(rank.select(F.col("id").alias("src"), F.col("rank").alias("a")), "src").join(rank.select(F.col("id").alias("dst"), F.col("rank").alias("b")), "dst")
+    scored = cut(ends.select("src", "dst", (F.col("a") + F.col("b")).alias("score")))
+    unscored = e.join(scored, ["src", "dst"], "left_anti")
+    if not unscored.isEmpty():
+        raise ValueError("a node has no score")
+    safe, last = Parts(scored.limit(0)), Window.partitionBy("component").orderBy(F.col("score").desc(), F.col("src").desc(), F.col("dst").desc())
+    while not scored.isEmpty():
+        parts = cut(strong_components(scored.select("src", "dst")))
+        inner = scored.join(parts.select(F.col("id").alias("src"), "component"), "src").join(parts.select(F.col("id").alias("dst"), "component"), ["dst", "component"])
+        inner = cut(inner.withColumn("n", F.row_number().over(last)))
+        safe.add(scored.join(inner, ["src", "dst"], "left_anti"))
+        scored = cut(inner.filter("n > 1").select("src", "dst", "score"))
+    return safe.all().select("src", "dst")
 
 
 def neighbour_similarity(edges: DataFrame, least: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hornbeam.functions.formula import satisfied
-from hornbeam.operators.graph import descendants
+from hornbeam.operators.graph import inherited
 
 
 def api_key(base: Column, name: Column, func_only: bool = False) -> Column:
@@ -67,8 +67,7 @@ def formula_verdicts(packages: DataFrame, usage: DataFrame, catalogue: DataFrame
     """(pkg, ids, satisfied): the formula over what each package and, with edges, all its dependencies use."""
     used = api_ids(usage, catalogue, func_only)
     if edges is not None:
-        inherited = descendants(edges, packages.select(F.col("pkg").alias("id"))).join(used.withColumnRenamed("pkg", "dst"), "dst").select(F.col("src").alias("pkg"), "id")
-        used = used.unionByName(inherited).distinct()
+        used = inherited(edges, used.select(F.col("pkg").alias("id"), F.col("id").alias("mark"))).select(F.col("id").alias("pkg"), F.col("mark").alias("id"))
     grouped = used.groupBy("pkg").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     none = F.array().cast(grouped.schema["ids"].dataType)
     return packages.select("pkg").distinct().join(grouped, "pkg", "left").select("pkg", F.coalesce("ids", none).alias("ids")).withColumn("satisfied", satisfied(formula, F.col("ids")))
