@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornbeam.functions.storage import in_arrow
+
 OUT = "method string, block int, seq int, out_degree int, loop_depth int"
 
 
@@ -81,4 +83,4 @@ def block_features(methods: DataFrame) -> DataFrame:
             kinds = [pa.string()] + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], [x.split()[0] for x in OUT.split(", ")])
 
-    return methods.select("method", F.col("blocks").cast("array<struct<block:int,stmt_count:int,successors:array<int>>>")).mapInArrow(work, OUT)
+    return methods.select("method", F.col("blocks").cast("array<struct<block:int,stmt_count:int,successors:array<int>>>")).transform(in_arrow, work, OUT)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornbeam.functions.storage import in_arrow
+
 CALL = "base_type string, name string, full_name string, arguments array<string>, source string, start_row int, start_col int, end_row int, end_col int"
 #: Language -> extensions (fixed values).
 EXTENSIONS = {"python": [".py"], "javascript": [".js"], "ruby": [".rb"], "php": [".php"], "java": [".class", ".jar", ".dex", ".apk"]}
@@ -52,16 +54,15 @@ def python_calls(source: str, mode: str = "reference") -> Iterator[Call]:
 
 #: Per language: strings and comments to pass over, and the shape of a call's name before its bracket.
 _BLANK = {
-    "javascript": r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`",
     "ruby": r"#[^\n]*|^=begin.*?^=end|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"",
     "php": r"//[^\n]*|#[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"",
 }
 _NAME = {
-    "javascript": r"(?:([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*|\)|\])\s*\.\s*)?([A-Za-z_$][\w$]*)\s*\(",
+    "javascript": r"(?:([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*|\)|\])\s*\??\.\s*)?([A-Za-z_$][\w$]*)\s*(?:\?\.\s*)?\(",
     "ruby": r"(?:([A-Za-z_@$][\w:@]*(?:\.[a-z_]\w*[?!]?)*)\s*(?:\.|&\.)\s*)?([A-Za-z_]\w*[?!]?)(?:\s*\(|[ \t]+(?=['\"\w:@$\[]))",
     "php": r"(?:(\$?[A-Za-z_\\][\w\\]*)\s*(?:->|::)\s*)?([A-Za-z_][\w\\]*)\s*\(",
 }
-_NOT_CALLS = {
+NOT_CALLS = {
     "javascript": {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "with", "super"},
     "ruby": {"if", "unless", "while", "until", "def", "class", "module", "return", "and", "or", "not", "end", "do", "then", "else", "elsif", "case", "when", "in", "puts_", "yield", "begin", "rescue", "ensure", "alias"},
     "php": {"if", "for", "foreach", "while", "switch", "catch", "function", "return", "array", "list", "isset", "empty", "elseif", "fn", "match", "declare"},
@@ -69,34 +70,105 @@ _NOT_CALLS = {
 _BACKTICK = {"ruby": "builtin_xstring", "php": "shell_exec"}
 
 
-def _masked(source: str, language: str) -> str:
+#: What ends plain code in a script: comments, strings, the start of a template, a slash; and braces, within templates.
+_SCRIPT = r"//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'?|\"(?:\\.|[^\"\\\n])*\"?|`|/"
+_IN_CODE, _IN_TEMPLATE_CODE = re.compile(_SCRIPT, re.S), re.compile(_SCRIPT + "|[{}]", re.S)
+_TEMPLATE = re.compile(r"(?:\\.|(?!\$\{)[^`\\])*", re.S)
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_BEFORE_REGEX = re.compile(r"(?:^|[^\w$)\]'\"`.]|(?<![\w$.])(?:return|typeof|case|in|of|delete|void|instanceof|new|do|else|throw|await|yield))$")
+
+
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
+
+
+def _masked_script(source: str) -> str:
+    """Strings, templates' text, regular expressions and comments blanked; what templates compute is kept. A slash
+    begins a regular expression where no value stands before it."""
+    out, at, depths, last = [], 0, [], ""
+    while True:
+        m = (_IN_TEMPLATE_CODE if depths else _IN_CODE).search(source, at)
+        gap = source[at : m.start() if m else len(source)]
+        out.append(gap)
+        last = (last + gap[-40:]).rstrip()[-20:]
+        if not m:
+            return "".join(out)
+        at, text = m.end(), m[0]
+        if text[:2] in ("//", "/*"):
+            out.append(_blank(text))
+            continue
+        if text == "/":
+            regex = _REGEX.match(source, m.start()) if _BEFORE_REGEX.search(last) else None
+            out.append(text if regex is None else "/" + _blank(regex[0][1:-1]) + "/")
+            at, last = (at, "/") if regex is None else (regex.end(), "]")
+            continue
+        if text == "{":
+            depths[-1] += 1
+            out.append(text)
+            last = "{"
+            continue
+        if text == "}" and depths[-1]:
+            depths[-1] -= 1
+            out.append(text)
+            last = "}"
+            continue
+        if text in "`}":  # into a template's text, or back to it
+            if text == "}":
+                depths.pop()
+            inside = _TEMPLATE.match(source, at)
+            out.append(("`" if text == "`" else " ") + _blank(inside[0]))
+            at = inside.end()
+            if source[at : at + 2] == "${":
+                out.append("  ")
+                depths.append(0)
+                at, last = at + 2, "{"
+            else:
+                out.append(source[at : at + 1])
+                at, last = at + 1, "`"
+            continue
+        out.append(text[0] + _blank(text[1:-1]) + (text[-1] if len(text) > 1 else ""))
+        last = '"'
+
+
+def masked(source: str, language: str) -> str:
     """The source with strings' and comments' insides blanked, places kept."""
-    return re.sub(_BLANK[language], lambda m: re.sub(r"[^\n]", " ", m[0]) if m[0][:1] in "/#=" else m[0][0] + re.sub(r"[^\n]", " ", m[0][1:-1]) + m[0][-1:], source, flags=re.S | re.M)
+    if language == "javascript":
+        return _masked_script(source)
+    return re.sub(_BLANK[language], lambda m: _blank(m[0]) if m[0][:1] in "/#=" else m[0][0] + _blank(m[0][1:-1]) + m[0][-1:], source, flags=re.S | re.M)
 
 
-def _close(text: str, at: int) -> int:
-    depth = 0
-    for k in range(at, len(text)):
-        depth += (text[k] in "([{") - (text[k] in ")]}")
-        if not depth:
-            return k
-    return len(text) - 1
+def brackets(text: str) -> dict[int, int]:
+    """Where each opening bracket is closed; one that never is, at the last character."""
+    out, open_ = {}, []
+    for m in re.finditer(r"[()\[\]{}]", text):
+        if m[0] in "([{":
+            open_.append(m.start())
+            out[m.start()] = len(text) - 1
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
 
 
-def _parts(source: str, plain: str, a: int, b: int) -> list[str]:
+def parts_of(source: str, plain: str, a: int, b: int, strip: bool = True) -> list[str]:
+    """What stands between the commas of source[a:b]."""
     out, depth, start = [], 0, a
-    for k in range(a, b):
-        depth += (plain[k] in "([{") - (plain[k] in ")]}")
-        if plain[k] == "," and not depth:
-            out.append(source[start:k].strip())
-            start = k + 1
-    last = source[start:b].strip()
-    return [*out, last] if last or out else []
+    for m in re.compile(r"[()\[\]{},]").finditer(plain, a, b):
+        depth += (m[0] in "([{") - (m[0] in ")]}")
+        if m[0] == "," and not depth:
+            out.append(source[start : m.start()])
+            start = m.end()
+    if out or source[start:b].strip():
+        out.append(source[start:b])
+    return [x.strip() for x in out] if strip else out
 
 
 def token_calls(source: str, language: str) -> Iterator[Call]:
     """Calls found by tokens: name, base as written (`dummy` after a bracket), arguments up to the closing bracket."""
-    plain = _masked(source, language)
+    plain, commands = masked(source, language), []
+    if language in _BACKTICK:
+        commands = [(m.start(), m.end() - 1, None, _BACKTICK[language], [m[0][1:-1]]) for m in re.finditer(r"`[^`]*`", plain)]
+        plain = re.sub(r"`[^`]*`", lambda m: "`" + _blank(m[0][1:-1]) + "`", plain)
+    closed = brackets(plain)
     line = [0, *(m.end() for m in re.finditer("\n", source))]
 
     def place(k: int) -> tuple[int, int]:
@@ -108,19 +180,17 @@ def token_calls(source: str, language: str) -> Iterator[Call]:
     found = []
     for m in re.finditer(_NAME[language], plain):
         name, base = m[2], m[1]
-        before = plain[: m.start(2)].rstrip()[-9:]
-        if name in _NOT_CALLS[language] or (base or "") in _NOT_CALLS[language] or re.search(r"\b(function|def|fn)$", before):
+        before = plain[max(0, m.start(2) - 100) : m.start(2)].rstrip()[-9:]
+        if name in NOT_CALLS[language] or (base or "") in NOT_CALLS[language] or re.search(r"\b(function|def|fn)$", before):
             continue
         if plain[m.end() - 1] == "(":
-            end = _close(plain, m.end() - 1)
-            arguments = _parts(source, plain, m.end(), end)
+            end = closed[m.end() - 1]
+            arguments = parts_of(source, plain, m.end(), end)
         else:
             end = (plain.find("\n", m.end()) + len(plain) + 1) % (len(plain) + 1) - 1
-            arguments = _parts(source, plain, m.end(), end + 1)
+            arguments = parts_of(source, plain, m.end(), end + 1)
         found.append((m.start(1) if base else m.start(2), end, "dummy" if base in (")", "]") else base, name, arguments))
-    if language in _BACKTICK:
-        found += [(m.start(), m.end() - 1, None, _BACKTICK[language], [m[0][1:-1]]) for m in re.finditer(r"`[^`]*`", plain)]
-    for a, b, base, name, arguments in sorted(found, key=lambda x: x[:2]):
+    for a, b, base, name, arguments in sorted(found + commands, key=lambda x: x[:2]):
         yield base, name, arguments, source[a : b + 1], *place(a), *place(b + 1)
 
 
@@ -151,7 +221,7 @@ def api_calls(files: DataFrame, mode: str = "reference", most_bytes: int = 8 <<
                 rows += own if error is None else [(pkg, version, language, path, *[None] * 9, error)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
 
-    return files.select("pkg", "version", "language", "path", F.col("content").cast("string")).mapInArrow(work, OUT)
+    return files.select("pkg", "version", "language", "path", F.col("content").cast("string")).transform(in_arrow, work, OUT)
 
 
 def known_calls(calls: DataFrame, catalogue: DataFrame, func_only: bool = False) -> DataFrame:

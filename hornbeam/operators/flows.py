@@ -1,89 +1,219 @@
-"""Source-to-sink reachability on code graphs, with summaries of dependencies and measures of control flow."""
+"""Source-to-sink reachability on code graphs, with summaries of dependencies and measures of control flow.
+
+Nodes of def-use edges are texts: `path|scope:name` for a name in a function (or <module>, or Class.method) of a file,
+`path|scope:call()` for a call's value, and `function#k` and `function#return` for what goes into and comes out of a
+function, which the whole package shares, so that flows cross its files. Flows never leave a package.
+"""
 
 from __future__ import annotations
 
 import ast
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.functions.storage import cut
+from hornbeam.functions.storage import Parts, cut, in_arrow
+from hornbeam.operators.extract import NOT_CALLS, brackets, masked, parts_of
 from hornbeam.operators.graph import levels
 
-EDGES = "pkg string, path string, src string, dst string, kind string"
-
-
-def def_use_edges(files: DataFrame) -> DataFrame:
-    """(pkg, path, src, dst, kind) of Python files: values flow from names and calls into what is assigned, passed or
-    returned. Nodes are function:name; calls are function:call name(). Files that do not parse have no edges."""
-
-    def edges(tree: ast.AST):
-        def inputs(node, scope):
-            for n in ast.walk(node):
-                if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load):
-                    yield f"{scope}:{n.id}"
-                elif isinstance(n, ast.Call):
-                    yield f"{scope}:{ast.unparse(n.func)}()"
-
-        def visit(node, scope):
-            for child in ast.iter_child_nodes(node):
-                inner = scope
-                if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                    inner = child.name
-                    for k, a in enumerate(child.args.args):
-                        yield f"{inner}#{k}", f"{inner}:{a.arg}", "parameter"
-                elif isinstance(child, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and child.value is not None:
-                    targets = child.targets if isinstance(child, ast.Assign) else [child.target]
-                    for t in targets:
-                        for n in ast.walk(t):
-                            if isinstance(n, ast.Name):
-                                for i in inputs(child.value, scope):
-                                    yield i, f"{scope}:{n.id}", "assign"
-                elif isinstance(child, ast.Return) and child.value is not None:
-                    for i in inputs(child.value, scope):
-                        yield i, f"{scope}#return", "return"
-                elif isinstance(child, ast.Call):
-                    called = f"{scope}:{ast.unparse(child.func)}()"
-                    for k, a in enumerate(child.args):
-                        for i in inputs(a, scope):
-                            yield i, called, "argument"
-                            if isinstance(child.func, ast.Name):
-                                yield i, f"{child.func.id}#{k}", "call"
-                    if isinstance(child.func, ast.Name):
-                        yield f"{child.func.id}#return", called, "result"
-                yield from visit(child, inner)
-
-        yield from visit(tree, "<module>")
+EDGES = "pkg string, path string, src string, dst string, kind string, place int"
+Edge = tuple[str, str, str, int | None]
+
+
+def python_edges(source: str) -> Iterator[Edge]:
+    def inputs(node, scope):
+        """Names and calls that a value is made of; what a call takes goes into the call only."""
+        if isinstance(node, ast.Call):
+            yield f"|{scope}:{ast.unparse(node.func)}()"
+            return
+        if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
+            yield f"|{scope}:{node.id}"
+        for child in ast.iter_child_nodes(node):
+            yield from inputs(child, scope)
+
+    def visit(node, scope, owner):
+        for child in ast.iter_child_nodes(node):
+            inner, within = scope, owner
+            if isinstance(child, ast.ClassDef):
+                within = f"{owner}{child.name}."
+            elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                inner, within = f"{owner}{child.name}", ""
+                for k, a in enumerate(child.args.args):
+                    yield f"{inner}#{k}", f"|{inner}:{a.arg}", "parameter", k
+            elif isinstance(child, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and child.value is not None:
+                for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
+                    for n in ast.walk(t):
+                        if isinstance(n, ast.Name):
+                            for i in inputs(child.value, scope):
+                                yield i, f"|{scope}:{n.id}", "assign", None
+            elif isinstance(child, ast.Return) and child.value is not None:
+                for i in inputs(child.value, scope):
+                    yield i, f"{scope}#return", "return", None
+            elif isinstance(child, ast.Call):
+                called = f"|{scope}:{ast.unparse(child.func)}()"
+                if isinstance(child.func, ast.Attribute):
+                    for i in inputs(child.func.value, scope):
+                        yield i, called, "receiver", None
+                for k, a in enumerate([*child.args, *(w.value for w in child.keywords)]):
+                    for i in inputs(a, scope):
+                        yield i, called, "argument", k
+                        if isinstance(child.func, ast.Name):
+                            yield i, f"{child.func.id}#{k}", "call", k
+                if isinstance(child.func, ast.Name):
+                    yield f"{child.func.id}#return", called, "result", None
+            yield from visit(child, inner, within)
+
+    yield from visit(ast.parse(source), "<module>", "")
+
+
+#: Per language: a name, a function's head (name, or the name it is assigned to, and parameters), an assignment's left side.
+_IDENTIFIER = {"javascript": r"[A-Za-z_$][\w$]*", "php": r"\$[A-Za-z_]\w*"}
+_FUNCTION = {
+    "javascript": r"(?:\bfunction\s*\*?\s*([\w$]+)?|([\w$]+)\s*[:=]\s*(?:async\s+)?function\s*\*?|([\w$]+)\s*=\s*(?:async\s*)?(?=\([\w$,\s]*\)\s*=>))\s*\(([^()]*)\)\s*(?:=>\s*)?\{",
+    "php": r"\bfunction\s+&?(\w+)()()\s*\(([^()]*)\)[^{;]*\{",
+}
+_ASSIGN = {
+    "javascript": r"(?<![\w$.])([A-Za-z_$][\w$]*)(?:\s*(?:\.[\w$]+|\[[^\]\n]*\]))*\s*(?:[+\-*/%|&^]|\|\||&&|\?\?)?=(?![=>])",
+    "php": r"(\$[A-Za-z_]\w*)(?:\s*(?:->\w+|\[[^\]\n]*\]))*\s*(?:[+\-*/%|&^.]|\?\?)?=(?![=>])",
+}
+_CALL = {
+    "javascript": r"((?:[A-Za-z_$][\w$]*\s*(?:\?\.|\.)\s*)*[A-Za-z_$][\w$]*)\s*\(",
+    "php": r"((?:\$?[A-Za-z_\\][\w\\]*\s*(?:->|::)\s*)*[A-Za-z_\\][\w\\]*)\s*\(",
+}
+_RESERVED = {"javascript": {"var", "let", "const", "new", "this", "true", "false", "null", "undefined", "function", "return", "typeof", "in", "of", "async", "await"}, "php": {"$this"}}
+
+
+def script_edges(source: str, language: str) -> Iterator[Edge]:
+    """Edges of a script, found by tokens: a statement's value goes from all names and calls in it to what is assigned,
+    returned, or called with it. Functions without a name share the scope that holds them."""
+    plain = masked(source, language)
+    closed = brackets(plain)
+    scopes = []  # (from, to, name, parameters)
+    for m in re.finditer(_FUNCTION[language], plain):
+        name = m[1] or m[2] or m[3]
+        if name:
+            scopes.append((m.end() - 1, closed[m.end() - 1], name, re.findall(_IDENTIFIER[language], m[4])))
+
+    def scope_at(k: int) -> str:
+        inside = [(a, name) for a, b, name, _ in scopes if a < k <= b]
+        return max(inside)[1] if inside else "<module>"
+
+    calls = []  # (from, bracket, to, name)
+    for m in re.finditer(_CALL[language], plain):
+        name = re.sub(r"\s", "", m[1])
+        if name.split(".")[0] not in NOT_CALLS[language] and not re.search(r"\bfunction\s*&?$", plain[max(0, m.start() - 20) : m.start()]):
+            calls.append((m.start(), m.end() - 1, closed[m.end() - 1], name))
+
+    def inputs(a: int, b: int, scope: str) -> Iterator[str]:
+        """Names and calls between two places; what a call takes, and whose it is, goes into the call only."""
+        outer, end = [], a
+        for start, _, close, name in calls:
+            if a <= start < b and start >= end:
+                outer.append((start, close))
+                end = close
+                yield f"|{scope}:{name}()"
+        for m in re.compile(rf"(?<![\w$.>:]){_IDENTIFIER[language]}(?![\w$])(?!\s*\()").finditer(plain, a, b):
+            if m[0] not in _RESERVED[language] and not any(x <= m.start() < y for x, y in outer):
+                yield f"|{scope}:{m[0]}"
+
+    def statement_end(k: int) -> int:
+        depth = 0
+        for i in range(k, len(plain)):
+            depth += (plain[i] in "([{") - (plain[i] in ")]}")
+            if depth < 0 or (depth == 0 and (plain[i] == ";" or (plain[i] == "\n" and language == "javascript" and plain[k:i].strip() and plain[i - 1] not in "=+,"))):
+                return i
+        return len(plain)
+
+    for _, _, name, parameters in scopes:
+        for k, p in enumerate(parameters):
+            yield f"{name}#{k}", f"|{name}:{p}", "parameter", k
+    for m in re.finditer(_ASSIGN[language], plain):
+        if m[1] not in _RESERVED[language]:
+            scope = scope_at(m.start())
+            for i in inputs(m.end(), statement_end(m.end()), scope):
+                yield i, f"|{scope}:{m[1]}", "assign", None
+    for m in re.finditer(r"\breturn\b", plain):
+        scope = scope_at(m.start())
+        for i in inputs(m.end(), statement_end(m.end()), scope):
+            yield i, f"{scope}#return", "return", None
+    for start, bracket, end, name in calls:
+        scope = scope_at(start)
+        base = re.match(_IDENTIFIER[language], name)
+        if base and base[0] != name and base[0] not in _RESERVED[language]:
+            yield f"|{scope}:{base[0]}", f"|{scope}:{name}()", "receiver", None
+        at = bracket + 1
+        for k, part in enumerate(parts_of(plain, plain, bracket + 1, end, strip=False)):
+            for i in inputs(at, at + len(part), scope):
+                yield i, f"|{scope}:{name}()", "argument", k
+                yield i, f"{name}#{k}", "call", k
+            at += len(part) + 1
+        yield f"{name}#return", f"|{scope}:{name}()", "result", None
+
+
+EDGE_READERS = {"python": python_edges} | {x: (lambda source, x=x: script_edges(source, x)) for x in ("javascript", "php")}
+
+
+def def_use_edges(files: DataFrame, language: str = "python") -> DataFrame:
+    """Rows of EDGES of files (pkg, path, content) in a language of EDGE_READERS: values flow from names and calls into
+    what is assigned, passed or returned; place is the argument's number. Files that do not parse have no edges."""
+    read = EDGE_READERS[language]
 
     def work(batches):
         for b in batches:
             rows = []
             for pkg, path, content in zip(*(c.to_pylist() for c in b.columns)):
+                full = lambda node: f"{path}{node}" if node[0] == "|" else node  # noqa: B023, E731
                 try:
-                    found = sorted(set(edges(ast.parse(content or ""))))
+                    found = sorted({(full(s), full(d), k, p) for s, d, k, p in read(content or "")}, key=str)
                 except (SyntaxError, ValueError, RecursionError):
                     found = []
                 rows += [(pkg, path, *e) for e in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 5)], [x.split()[0] for x in EDGES.split(", ")])
+            kinds = [pa.string()] * 5 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], [x.split()[0] for x in EDGES.split(", ")])
 
-    return files.select("pkg", "path", F.col("content").cast("string")).mapInArrow(work, EDGES)
+    return files.select("pkg", "path", F.col("content").cast("string")).transform(in_arrow, work, EDGES)
+
+
+def calls(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(pkg, id): the nodes of calls to the names (column name), whatever the file and function."""
+    ends = edges.select("pkg", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return ends.join(names.select("name").distinct(), F.regexp_extract("id", r"^[^|]*[|][^:]*:(.*)\(\)$", 1) == F.col("name"), "left_semi")
+
+
+def only_at(edges: DataFrame, sinks: DataFrame) -> DataFrame:
+    """edges without arguments at places that do not matter: sinks (name, parameter) are calls that do harm by these
+    arguments only; a name with a null parameter does by any."""
+    named = F.regexp_extract("dst", r"^[^|]*[|][^:]*:(.*)\(\)$", 1)
+    some = sinks.groupBy("name").agg(F.collect_set("parameter").alias("_places"), F.max(F.col("parameter").isNull()).alias("_any")).filter(~F.col("_any"))
+    joined = edges.join(some.withColumnRenamed("name", "_name"), named == F.col("_name"), "left")
+    return joined.filter((F.col("kind") != "argument") | F.col("_places").isNull() | F.array_contains("_places", F.col("place"))).select(*edges.columns)
 
 
 def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None, most_hops: int | None = None) -> DataFrame:
-    """(source, sink, hops): for each source and sink (column id) that it reaches, a shortest path, the first by text.
-    Edges out of sanitizers do not count. Every (source, node) is visited once, so cycles end; most_hops, if given, ends
-    the search after so many edges."""
-    e = edges.select("src", "dst").distinct()
-    e = cut(e if sanitizers is None else e.join(sanitizers.select(F.col("id").alias("src")), "src", "left_anti"))
-    found = frontier = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("at"), F.array("id").alias("hops")).distinct())
-    hops = 0
+    """([pkg,] source, sink, hops): for each source and sink (column id) that it reaches, a shortest path, the first by
+    text. Edges with a column pkg are walked within each package; sources, sinks and sanitizers may have it too, else
+    they count in all. Edges out of sanitizers do not count. Every (source, node) is visited once, so cycles end;
+    most_hops, if given, ends the search after so many edges."""
+    by = ["pkg"] if "pkg" in edges.columns else []
+    here = lambda df: [c for c in by if c in df.columns]
+    e = edges.select(*by, "src", "dst").distinct()
+    if sanitizers is not None:
+        e = e.join(sanitizers.select(*here(sanitizers), F.col("id").alias("src")), [*here(sanitizers), "src"], "left_anti")
+    e = cut(e)
+    start = sources.select(*here(sources), F.col("id").alias("source")).distinct()
+    if here(sources) != by:
+        start = start.join(e.select(*by, F.col("src").alias("source")).distinct(), "source")
+    found = Parts(start.select(*by, "source", F.col("source").alias("at"), F.array("source").alias("hops")))
+    frontier, hops = found.all(), 0
     while hops != most_hops and not frontier.isEmpty():
         hops += 1
-        step = frontier.join(e, F.col("at") == F.col("src")).select("source", F.col("dst").alias("at"), F.concat("hops", F.array("dst")).alias("hops"))
-        frontier = cut(step.groupBy("source", "at").agg(F.min("hops").alias("hops")).join(found, ["source", "at"], "left_anti"))
-        found = cut(found.unionByName(frontier))
-    return found.join(sinks.select(F.col("id").alias("at")).distinct(), "at", "left_semi").filter("size(hops) > 1").select("source", F.col("at").alias("sink"), "hops")
+        step = frontier.join(e.withColumnRenamed("src", "at"), [*by, "at"]).select(*by, "source", F.col("dst").alias("at"), F.concat("hops", F.array("dst")).alias("hops"))
+        frontier = found.add(step.groupBy(*by, "source", "at").agg(F.min("hops").alias("hops")).join(found.all().select(*by, "source", "at"), [*by, "source", "at"], "left_anti"))
+    ends = sinks.select(*here(sinks), F.col("id").alias("at")).distinct()
+    return found.all().join(ends, [*here(sinks), "at"], "left_semi").filter("size(hops) > 1").select(*by, "source", F.col("at").alias("sink"), "hops")
 
 
 def finding_id(path, sink, file):
@@ -91,11 +221,12 @@ def finding_id(path, sink, file):
 
 
 def summaries(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
-    """(function, functionality): functions whose return a source reaches are new sources; those whose parameters
+    """([pkg,] function, functionality): functions whose return a source reaches are new sources; those whose parameters
     reach a sink are new sinks."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    returns = flows(edges, sources, ends.filter(F.col("id").endswith("#return"))).select(F.split("sink", "#")[0].alias("function"), F.lit("SOURCE").alias("functionality"))
-    parameters = flows(edges, ends.filter(F.col("id").rlike(r"#\d+$")), sinks).select(F.split("source", "#")[0].alias("function"), F.lit("SINK").alias("functionality"))
+    by = ["pkg"] if "pkg" in edges.columns else []
+    ends = edges.select(*by, F.explode(F.array("src", "dst")).alias("id")).distinct()
+    returns = flows(edges, sources, ends.filter(F.col("id").endswith("#return"))).select(*by, F.split("sink", "#")[0].alias("function"), F.lit("SOURCE").alias("functionality"))
+    parameters = flows(edges, ends.filter(F.col("id").rlike(r"#\d+$")), sinks).select(*by, F.split("source", "#")[0].alias("function"), F.lit("SINK").alias("functionality"))
     return returns.union(parameters).distinct()
 
 
@@ -108,31 +239,34 @@ def taint_tree(dependencies: DataFrame, edges: DataFrame, sources: DataFrame, si
     known = {"SOURCE": cut(sources.select("name")), "SINK": cut(sinks.select("name"))}
     out = None
     for level in range((top if top is not None else -1) + 1):
-        own = cut(edges.join(done.filter(F.col("level") == level).select(F.col("id").alias("pkg")), "pkg", "left_semi").select("pkg", F.concat_ws("/", "pkg", "src").alias("src"), F.concat_ws("/", "pkg", "dst").alias("dst")))
-        ends = cut(own.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("name", F.regexp_extract("id", r":([^:/]+)\(\)$", 1)))
-        here = {k: cut(ends.join(v, "name", "left_semi").select("id")) for k, v in known.items()}
-        got = flows(own, here["SOURCE"], here["SINK"]).withColumn("pkg", F.substring_index("source", "/", 1)).select("pkg", "source", "sink", "hops")
+        own = cut(edges.join(done.filter(F.col("level") == level).select(F.col("id").alias("pkg")), "pkg", "left_semi").select("pkg", "src", "dst"))
+        here = {k: cut(calls(own, v)) for k, v in known.items()}
+        got = flows(own, here["SOURCE"], here["SINK"])
         out = got if out is None else out.unionByName(got)
-        new = summaries(own, here["SOURCE"], here["SINK"]).select(F.substring_index("function", "/", -1).alias("name"), "functionality").filter("name NOT LIKE '<%'")
-        new = cut(new)
+        new = cut(summaries(own, here["SOURCE"], here["SINK"]).select(F.col("function").alias("name"), "functionality").filter("name NOT LIKE '<%'").distinct())
         known = {k: cut(v.union(new.filter(F.col("functionality") == k).select("name")).distinct()) for k, v in known.items()}
     return out
 
 
+def flow_packages(found: DataFrame) -> DataFrame:
+    """(flow, packages): of each kind of flow, named by the calls at its ends, how many packages have it."""
+    end = lambda c: F.regexp_replace(F.col(c), r"^[^|]*[|][^:]*:", "")
+    rows = found.select(F.concat(end("source"), F.lit(" -> "), end("sink")).alias("flow"), "pkg").distinct()
+    return rows.groupBy("flow").agg(F.count("*").alias("packages"))
+
+
 def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(function, block, definition) that hold on entry: the fixpoint of out = generated or (in and not killed). blocks:
     (function, block, generates array, kills array); edges: (function, src, dst)."""
     made = cut(blocks.select("function", "block", F.explode("generates").alias("definition")))
     killed = cut(blocks.select("function", "block", F.explode("kills").alias("definition")))
     flow = cut(edges.select("function", F.col("src").alias("block"), "dst").distinct())
-    entering = cut(made.limit(0))
-    frontier = made
+    entering, frontier = Parts(made.limit(0)), made
     while not frontier.isEmpty():
         arrived = frontier.join(flow, ["function", "block"]).select("function", F.col("dst").alias("block"), "definition").distinct()
-        new = cut(arrived.join(entering, ["function", "block", "definition"], "left_anti"))
-        entering = cut(entering.unionByName(new))
+        new = entering.add(arrived.join(entering.all(), ["function", "block", "definition"], "left_anti"))
         frontier = new.join(killed, ["function", "block", "definition"], "left_anti")
-    return entering
+    return entering.all()
 
 
 def centroids(blocks: DataFrame, edges: DataFrame) -> DataFrame:
