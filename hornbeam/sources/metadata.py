@@ -10,6 +10,7 @@ from hornbeam.sources import schemas
 from hornbeam.sources.readers import declared
 
 HOOKS = ["preinstall", "install", "postinstall"]
+TESTS = ["test", "pretest", "posttest", "test:browser", "test:browserless"]
 NO_DEPS = "array<struct<name:string,version:string>>"
 
 
@@ -37,6 +38,7 @@ def normalize(docs: DataFrame, language: str) -> DataFrame:
     """Rows of schemas.METADATA of raw documents (pkg, value). A document that does not parse gives nulls and empty
     lists. Java comes from POMs (readers.poms) and raises here, as do languages without a registry."""
     none, off = F.lit(None).cast("string"), F.lit(False)
+    tests, exercise = off, F.lit(language in ("python", "ruby"))
     if language == "ruby":
         x = _rows(docs, schemas.GEM)
         cols = [F.col("d.authors"), _found(F.col("d.authors")), none, F.col("d.homepage_uri"), F.array_join("d.licenses", ", "), _gem_deps(F.col("d.dependencies.runtime")), _gem_deps(F.col("d.dependencies.development")), F.filter(F.array(F.struct(F.col("d.version").alias("version"), F.lit(None).cast("timestamp").alias("ts"))), lambda r: r.version.isNotNull()), off, off]
@@ -50,11 +52,13 @@ def normalize(docs: DataFrame, language: str) -> DataFrame:
     elif language == "javascript":
         x = _rows(docs, schemas.NPM)
         times = F.map_filter("d.time", lambda k, _: ~k.isin("created", "modified"))
-        hook = F.coalesce(F.arrays_overlap(F.map_keys("d.scripts"), F.array(*map(F.lit, HOOKS))), off)
+        script = lambda names: F.coalesce(F.arrays_overlap(F.map_keys("d.scripts"), F.array(*map(F.lit, names))), off)
+        hook, tests, exercise = script(HOOKS), script(TESTS), F.coalesce("d.main", "d.browser").isNotNull()
         runs = F.coalesce("d.bin", "d.main", "d.browser").isNotNull()
         cols = [F.array_join("d.maintainers", ", "), _found(F.array_join("d.maintainers", " ")), F.col("d.description"), F.col("d.homepage"), F.col("d.license"), _map_deps(F.col("d.dependencies")), _map_deps(F.col("d.devDependencies")), _releases(times), hook, runs]
     elif language == "php":
         x = _rows(docs, schemas.PACKAGIST)
+        exercise = F.coalesce(F.col("d.package.type") == "library", off)
         versions = F.map_filter("d.package.versions", lambda k, _: ~k.rlike("[#/]"))
         times = F.filter(F.map_values(versions), lambda v: v["time"].isNotNull())
         latest = F.element_at(F.array_sort(F.transform(times, lambda v: F.struct(v["time"].try_cast("timestamp").alias("ts"), v["version"].alias("version"), F.map_entries(v["require"]).alias("require"), F.coalesce(F.size(v["bin"]), F.lit(0)).alias("bins")))), F.when(F.size(times) > 0, -1).otherwise(F.lit(None)))
@@ -68,8 +72,8 @@ def normalize(docs: DataFrame, language: str) -> DataFrame:
         cols = [people, _found(people), none, none, none, F.array().cast(NO_DEPS), F.array().cast(NO_DEPS), F.transform(entries, lambda e: F.struct(e["version"].alias("version"), e["published"].try_cast("timestamp").alias("ts"))), off, off]
     else:
         raise ValueError(f"no normalizer for {language}")
-    names = ["author", "emails", "description", "homepage", "license", "dependencies", "dev_dependencies", "releases", "has_install", "has_main"]
-    return x.select("pkg", F.lit(language).alias("language"), *[c.alias(n) for c, n in zip(cols, names)])
+    names = ["author", "emails", "description", "homepage", "license", "dependencies", "dev_dependencies", "releases", "has_install", "has_main", "has_test", "has_exercise"]
+    return x.select("pkg", F.lit(language).alias("language"), *[c.alias(n) for c, n in zip([*cols, tests, exercise], names)])
 
 
 def release_rows(metadata: DataFrame) -> DataFrame:
@@ -77,6 +81,23 @@ def release_rows(metadata: DataFrame) -> DataFrame:
     return metadata.select("pkg", F.explode("releases").alias("r")).select("pkg", "r.version", "r.ts")
 
 
+def package_records(metadata: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """One row a package with its metadata and, of a dependency table (src, dst), its dependencies, declared ones where
+    that table has none; known tells what was found: metadata, dependencies, both."""
+    if dependencies is None:
+        return metadata.withColumn("known", F.lit("metadata"))
+    flat = dependencies.filter(F.col("dst").isNotNull()).groupBy(F.col("src").alias("pkg")).agg(F.array_sort(F.collect_set("dst")).alias("requires"))
+    both = metadata.withColumn("_m", F.lit(True)).join(flat, "pkg", "full_outer")
+    known = F.when(F.col("_m").isNull(), "dependencies").when(F.col("requires").isNull(), "metadata").otherwise("both")
+    names = F.coalesce("requires", F.array_sort(F.array_distinct(F.col("dependencies.name"))), F.array().cast("array<string>"))
+    return both.withColumn("known", known).withColumn("requires", names).drop("_m")
+
+
+def aggregated(packages: DataFrame, metadata: DataFrame) -> DataFrame:
+    """packages (package_name) with their metadata, null where there is none: the whole list in one table."""
+    return packages.join(metadata.withColumnRenamed("pkg", "package_name"), "package_name", "left")
+
+
 def with_time(packages: DataFrame, versions: DataFrame) -> DataFrame:
     """A package list with a row for each version, its time as yyyy-MM-dd."""
     v = versions.select(F.col("pkg").alias("package_name"), "version", F.date_format("ts", "yyyy-MM-dd").alias("release_time"))

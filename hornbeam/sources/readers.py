@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hornbeam.functions.storage import in_arrow
 from hornbeam.operators.extract import EXTENSIONS
 from hornbeam.sources.schemas import ALERTS, PACKAGES
 
@@ -53,6 +54,13 @@ def requirements(text: DataFrame, column: str = "value") -> DataFrame:
     return text.filter(F.trim(F.col(column)).rlike(r"^[^#=\s]+==\S+$")).select(F.lower(p[0]).alias("name"), p[1].alias("version"))
 
 
+def shown(text: DataFrame, column: str = "value") -> DataFrame:
+    """(name, version, requires) of printed package headers, one text a package: Name, Version and Requires lines."""
+    field = lambda k: F.nullif(F.trim(F.regexp_extract(column, rf"(?m)^{k}:[ \t]*(.*)$", 1)), F.lit(""))
+    requires = F.coalesce(F.filter(F.transform(F.split(field("Requires"), ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""), F.array().cast("array<string>"))
+    return text.select(F.lower(field("Name")).alias("name"), field("Version").alias("version"), requires.alias("requires")).filter("name IS NOT NULL")
+
+
 def declared(requirement: Column) -> Column:
     """The lower-case name that a requirement like `Name [extra] (>=1)` begins with."""
     return F.nullif(F.lower(F.regexp_extract(requirement, r"^\s*([A-Za-z0-9._-]+)", 1)), F.lit(""))
@@ -111,13 +119,9 @@ def one_a_name(table: DataFrame) -> DataFrame:
 
 
 def sources(spark: SparkSession, path: str, language: str) -> DataFrame:
-    """Files of a language by extension; Rakefiles count as Ruby."""
-    fits = F.lit(False)
-    for e in EXTENSIONS[language]:
-        fits = fits | F.col("path").endswith(e)
-    if language == "ruby":
-        fits = fits | F.col("path").rlike("(^|/)Rakefile$")
-    return files(spark, path).filter(fits).withColumn("language", F.lit(language))
+    """Files of a language by extension; Rakefiles count as Ruby. Other files are not opened."""
+    names = [f"*{e}" for e in EXTENSIONS[language]] + ["Rakefile"] * (language == "ruby")
+    return files(spark, path, "{" + ",".join(names) + "}").withColumn("language", F.lit(language))
 
 
 #: The first bytes of archives (fixed values).
@@ -133,65 +137,88 @@ def archive_kind(content: bytes, name: str = "") -> str | None:
     return None
 
 
-def members(content: bytes, name: str, most_bytes: int, depth: int = 5):
-    """(path, bytes) of an archive's files, archives within opened too and their paths joined by two dots. Names that
-    lead out of the archive are skipped; more than most_bytes in all raises."""
+def members(content: bytes, name: str, most_bytes: int):
+    """(path, bytes or None, error or None) of an archive's files, archives within opened too, however deep, and their
+    paths joined by two dots. Names that lead out of the archive are skipped; an archive that does not open, of a kind
+    that is known but not read (rar) too, is a row with its error; more than most_bytes in all, counted at every level,
+    ends the archive with an error."""
     left = [most_bytes]
 
-    def opened(data: bytes, deep: int):
-        kind = archive_kind(data) if deep else None
-
-        def read(stream) -> bytes:
-            got = stream.read(left[0] + 1)
-            left[0] -= len(got)
-            if left[0] < 0:
-                raise ValueError("the archive is too large")
-            return got
+    def read(stream) -> bytes:
+        got = stream.read(left[0] + 1)
+        left[0] -= len(got)
+        if left[0] < 0:
+            raise MemoryError("the archive is too large")
+        return got
 
+    def inside(kind: str, data: bytes):
+        """(path, bytes) of one archive; a compressed file that is no archive has the path None."""
         if kind == "zip":
             with zipfile.ZipFile(io.BytesIO(data)) as z:
-                inside = [(i.filename, read(z.open(i))) for i in z.infolist() if not i.is_dir()]
-        elif kind in ("gz", "bz2", "xz"):
-            make = {"gz": lambda b: gzip.GzipFile(fileobj=b), "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}[kind]
-            inner = read(make(io.BytesIO(data)))
-            if archive_kind(inner) != "tar":
-                yield "", inner
-                return
-            yield from opened(inner, deep)
-            return
+                for i in z.infolist():
+                    if not i.is_dir():
+                        yield i.filename, read(z.open(i))
         elif kind == "tar":
             with tarfile.open(fileobj=io.BytesIO(data)) as t:
-                inside = [(m.name, read(t.extractfile(m))) for m in t.getmembers() if m.isfile()]
+                for m in t:
+                    if m.isfile():
+                        yield m.name, read(t.extractfile(m))
+        elif kind in ("gz", "bz2", "xz"):
+            make = {"gz": lambda b: gzip.GzipFile(fileobj=b), "bz2": bz2.BZ2File, "xz": lzma.LZMAFile}[kind]
+            plain = read(make(io.BytesIO(data)))
+            if archive_kind(plain) == "tar":
+                yield from inside("tar", plain)
+            else:
+                yield None, plain
         else:
-            yield "", data
+            raise ValueError(f"{kind} archives are not read")
+
+    todo = [("", content)]  # of archives that are still closed
+    while todo:
+        outer, data = todo.pop()
+        kind = archive_kind(data)
+        if kind is None:
+            yield outer, data, None
+            continue
+        found = []
+        try:
+            for path, body in inside(kind, data):
+                path = outer if path is None else posixpath.normpath(path)
+                if path is not outer:
+                    if path.startswith(("/", "..")):
+                        continue
+                    path = f"{outer}..{path}" if outer else path
+                found.append((path, body))
+        except MemoryError as e:
+            yield outer or None, None, f"{type(e).__name__}: {e}"
             return
-        for path, body in inside:
-            path = posixpath.normpath(path)
-            if path.startswith(("/", "..")):
-                continue
-            for sub, data_ in opened(body, deep - 1):
-                yield (f"{path}..{sub}" if sub else path), data_
-
-    yield from opened(content, depth)
+        except Exception as e:  # noqa: BLE001  whatever a damaged archive makes of a decoder
+            yield outer or None, None, f"{type(e).__name__}: {e}"[:300]
+        todo += reversed(found)
 
 
 UNPACKED = "archive string, path string, content binary, error string"
 
 
 def unpack(table: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
-    """Rows of UNPACKED of (path, content): one a file in each archive; an archive that does not open gives its error."""
+    """Rows of UNPACKED of (path, content): one a file in each archive; what does not open gives its error. Files go on
+    as they are read, a few megabytes at a time."""
+    kinds, names = (pa.string(), pa.string(), pa.binary(), pa.string()), ["archive", "path", "content", "error"]
 
     def work(batches):
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    rows = [(path, p, c, None) for p, c in members(content or b"", path, most_bytes)]
-                except Exception as e:  # noqa: BLE001  whatever a damaged archive makes of a decoder
-                    rows = [(path, None, None, f"{type(e).__name__}: {e}"[:300])]
-                for at in range(0, len(rows), 200):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 200]), (pa.string(), pa.string(), pa.binary(), pa.string()))], ["archive", "path", "content", "error"])
+                rows, size = [], 0
+                for row in members(content or b"", path, most_bytes):
+                    rows.append((path, *row))
+                    size += len(row[1] or b"") + 100
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return table.select("path", "content").mapInArrow(work, UNPACKED)
+    return table.select("path", "content").transform(in_arrow, work, UNPACKED)
 
 
 def index_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -200,6 +227,28 @@ def index_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(found.alias("link")).filter(~F.col("link").startswith("..")).select(F.regexp_replace(F.element_at(F.split(F.regexp_replace("link", "/+$", ""), "/"), -1), r"\?.*$", "").alias("name")).filter("name <> ''").distinct()
 
 
+#: Registry -> where names stand in a saved list (fixed values of the registries' formats): JSON schema and expression.
+NAME_LISTS = {
+    "npm": ("struct<rows:array<struct<id:string>>>", lambda d: d["rows"]["id"]),
+    "npm_all": ("array<string>", lambda d: d),
+    "packagist": ("struct<packageNames:array<string>>", lambda d: d["packageNames"]),
+    "rubygems": ("array<struct<name:string>>", lambda d: d["name"]),
+    "nuget": ("struct<items:array<struct<`nuget:id`:string>>>", lambda d: d["items"]["nuget:id"]),
+}
+
+
+def listed_names(documents: DataFrame, kind: str, column: str = "value") -> DataFrame:
+    """(name): distinct names in saved lists of a registry, one JSON document a row; what does not parse has none."""
+    schema, names = NAME_LISTS[kind]
+    return documents.select(F.explode(names(F.from_json(F.col(column), schema))).alias("name")).filter("name <> ''").distinct()
+
+
+def without_urls(urls: DataFrame, done: DataFrame, column: str = "url") -> DataFrame:
+    """Rows whose URL a list of finished ones (same column) has not, whatever the scheme's case and slashes at the end."""
+    plain = lambda c: F.regexp_replace(F.concat(F.lower(F.regexp_extract(c, r"^[A-Za-z]+://[^/]*", 0)), F.regexp_replace(c, r"^[A-Za-z]+://[^/]*", "")), "/+$", "")
+    return urls.join(done.select(plain(F.col(column)).alias("_done")).distinct(), plain(F.col(column)) == F.col("_done"), "left_anti")
+
+
 def wrapped_lines(text: DataFrame, order: str = "n", column: str = "value", key: str = "file") -> DataFrame:
     """(file, name, version): a list in which a long name stands on a line of its own before its version."""
     from pyspark.sql import Window

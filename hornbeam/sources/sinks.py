@@ -15,8 +15,11 @@ def write_documents(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
-def as_mapping(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(json): one document {key: value} of a small table, keys in order."""
+def as_mapping(df: DataFrame, key: str, value: str, most: int = 1_000_000) -> DataFrame:
+    """(json): one document {key: value} of a small table, keys in order; a table of over `most` rows raises, since one
+    document is one row. write_documents() has no such bound."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows do not go into one document")
     pairs = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))))
     return df.agg(F.to_json(F.map_from_entries(pairs)).alias("json"))
 

@@ -26,9 +26,10 @@ def _with_time(alerts: DataFrame) -> DataFrame:
 
 
 def store(alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Appends distinct values of each micro-batch to a table by rule; counts over the table are those of the batch query."""
+    """Writes distinct values of each micro-batch to a table by batch and rule; counts over the table are those of the
+    batch query. A batch that is run again after a failure replaces its own rows."""
 
-    def save(batch: DataFrame, _: int) -> None:
-        alert_values(batch).distinct().write.mode("append").partitionBy("rule").parquet(path)
+    def save(batch: DataFrame, number: int) -> None:
+        alert_values(batch).distinct().write.mode("overwrite").partitionBy("rule").parquet(f"{path}/batch={number}")
 
     return alerts.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
