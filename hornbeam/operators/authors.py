@@ -45,6 +45,12 @@ def top_union(stats: DataFrame, key: str, measures: list[str], n: int = 200) ->
     return stats.join(best.distinct(), key, "left_semi")
 
 
+def author_packages(packages: DataFrame) -> DataFrame:
+    """(author, pkg): the same as rows, so that an author of very many packages is no larger a row than any other."""
+    own = packages.filter(F.col("author").isNotNull() & F.col("pkg").isNotNull()).select("author", "pkg").distinct()
+    return own.join(own.groupBy("author").count().filter("count > 1").select("author"), "author", "left_semi")
+
+
 def same_author(packages: DataFrame) -> DataFrame:
-    """(author, packages): names of packages that share an author, for authors of more than one."""
-    return packages.groupBy("author").agg(F.array_sort(F.collect_set("pkg")).alias("packages")).filter(F.size("packages") > 1)
+    """(author, packages): names of packages that share an author, for authors of more than one; a null author is none."""
+    return packages.filter(F.col("author").isNotNull()).groupBy("author").agg(F.array_sort(F.collect_set("pkg")).alias("packages")).filter(F.size("packages") > 1)

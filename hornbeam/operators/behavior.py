@@ -52,9 +52,15 @@ def dynamic_results(values: DataFrame) -> DataFrame:
 
 
 def value_counts(values: DataFrame, pkg: str = "pkg", kind: str = "rule", value: str = "value", most: int | None = NOISE, detail: bool = False) -> DataFrame:
-    """(kind, value, packages[, names]): distinct packages of each value, without values of more than `most`."""
-    found = values.filter(F.col(value).isNotNull()).groupBy(F.col(kind).alias("kind"), F.col(value).alias("value")).agg(F.count_distinct(pkg).alias("packages"), *([F.array_sort(F.collect_set(pkg)).alias("names")] if detail else []))
-    return found if most is None else found.filter(F.col("packages") <= most)
+    """(kind, value, packages[, names]): distinct packages of each value, without values of more than `most`. Names are
+    put together for the values that are left only."""
+    rows = values.filter(F.col(value).isNotNull()).select(F.col(kind).alias("kind"), F.col(value).alias("value"), F.col(pkg).alias("pkg"))
+    found = rows.groupBy("kind", "value").agg(F.count_distinct("pkg").alias("packages"))
+    found = found if most is None else found.filter(F.col("packages") <= most)
+    if not detail:
+        return found
+    names = rows.join(found, ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.array_sort(F.collect_set("pkg")).alias("names"))
+    return found.join(names, ["kind", "value"])
 
 
 def suspicious_installs(values: DataFrame, packages: DataFrame, key: str = "pkg", hook: str = "has_install", most: int = NOISE) -> DataFrame:

@@ -13,6 +13,13 @@ def common_packages(tables: list[DataFrame], key: str = "pkg") -> DataFrame:
     return out.distinct()
 
 
+def common_versions(hashes: DataFrame) -> DataFrame:
+    """(pkg, version) that every source of a package has, from (source, pkg, version); packages of one source are left out."""
+    rows = hashes.select("source", "pkg", "version").distinct()
+    sources = rows.groupBy("pkg").agg(F.count_distinct("source").alias("sources")).filter("sources > 1")
+    return rows.groupBy("pkg", "version").agg(F.count("*").alias("having")).join(sources, "pkg").filter("having = sources").select("pkg", "version")
+
+
 def hash_mismatches(hashes: DataFrame) -> DataFrame:
     """(pkg, version, sources, hashes) from (source, pkg, version, hash): at least two sources, and not one hash."""
     found = hashes.filter(F.col("hash").isNotNull()).groupBy("pkg", "version").agg(F.count_distinct("source").alias("sources"), F.count_distinct("hash").alias("hashes"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornbeam.functions.names import draw
+
 
 def downloads_of(stats: Column, field: str | None = None) -> Column:
     """A count from a map of download statistics: the field, which must be overall or last_month, else the first of both."""
@@ -32,17 +34,17 @@ def select_packages(packages: DataFrame, measure: str, key: str, top: int | None
 
 def sample_packages(packages: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows drawn by a hash of key and seed: the same ones in every run."""
-    return packages.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return packages.orderBy(draw(F.col(key), seed), key).limit(n)
 
 
 def slices(nodes: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """Every row with its slice 0 to n - 1: even in expectation, without a global order."""
-    return nodes.withColumn("slice", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n)).cast("int"))
+    return nodes.withColumn("slice", (draw(F.col(key), seed) % n).cast("int"))
 
 
 def even_slices(nodes: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """The same with sizes that differ by one at most; the order is global, so for small tables only."""
-    return nodes.withColumn("slice", F.ntile(n).over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1)
+    return nodes.withColumn("slice", F.ntile(n).over(Window.orderBy(draw(F.col(key), seed), key)) - 1)
 
 
 def near_pairs(pairs: DataFrame, most: int = 3) -> DataFrame:

@@ -22,6 +22,7 @@ class Rules:
     compared as one. Nulls make a comparison false."""
 
     def __init__(self, lists: dict[str, list[str]] | None = None, macros: dict[str, str] | None = None, rules: dict[str, str] | None = None):
+        self.fields: set[str] = set()  # columns that conditions have asked for
         self.lists, self.macros, self.rules = dict(lists or {}), {"always_true": "true", "never_true": "false"} | dict(macros or {}), dict(rules or {})
 
     def column(self, condition: str, open_: tuple[str, ...] = ()) -> Column:
@@ -87,7 +88,9 @@ class Rules:
         return out
 
     def _test(self, name: str, op: str, values, take) -> Column:
-        field, out = F.col(name.replace(".", "_").replace("[", "_").replace("]", "")), F.lit(False)
+        column = name.replace(".", "_").replace("[", "_").replace("]", "")
+        self.fields.add(column)
+        field, out = F.col(column), F.lit(False)
         text = field.cast("string")
         if op == "exists":
             return field.isNotNull()
@@ -113,9 +116,12 @@ class Rules:
         return F.coalesce(out, F.lit(False))
 
     def alerts(self, events: DataFrame) -> DataFrame:
-        """events with the rule that fits; an event that fits several rules gives a row for each."""
+        """events with the rule that fits; an event that fits several rules gives a row for each. Fields that events do
+        not have count as null."""
         fits = [F.when(self.column(c), F.lit(name)) for name, c in self.rules.items()]
-        return events.withColumn("rule", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull())))
+        missing = sorted(self.fields - set(events.columns))
+        every = events.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else events
+        return every.withColumn("rule", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull()))).drop(*missing)
 
 
 #: What package installs are watched for; names and paths are parameters of the macros' lists.
@@ -130,6 +136,14 @@ WATCH = Rules(
         "network_tools": ["nc", "ncat", "nmap", "dig", "tcpdump", "tshark", "ngrep", "telnet", "socat"],
         "copy_tools": ["rsync", "scp", "sftp", "dcp"],
         "databases": ["mysqld", "postgres", "redis-server", "mongod"],
+        "servers": ["httpd", "nginx", "apache2", "node", "java"],
+        "system_processes": ["cat", "chmod", "chown", "cp", "date", "df", "ls", "mkdir", "mv", "rm", "rmdir", "touch", "useradd", "passwd", "shadowconfig"],
+        "system_users": ["bin", "daemon", "games", "lp", "mail", "nobody", "sshd", "uucp", "www-data"],
+        "usual_users": ["root", "builder", "N/A"],
+        "usual_ports": ["53", "67", "68", "123"],
+        "search_tools": ["grep", "egrep", "find", "locate", "ag"],
+        "devices": ["/dev/null", "/dev/tty", "/dev/stdin", "/dev/stdout", "/dev/stderr", "/dev/random", "/dev/urandom", "/dev/console"],
+        "metadata_dirs": ["/metadata", "/home/metadata"],
     },
     macros={
         "container": "container.id != host",
@@ -146,14 +160,33 @@ WATCH = Rules(
         "ssh_file": "fd.name contains /.ssh/",
         "hidden": "fd.filename startswith .",
         "shell_file": "fd.filename in (shell_files)",
+        "modify": "evt.type in (rename, renameat, unlink, unlinkat, rmdir)",
+        "make_dir": "evt.type in (mkdir, mkdirat)",
+        "network_call": "outbound or inbound",
+        "in_binary_dir": "fd.directory in (binary_dirs)",
+        "modify_binary_dirs": "modify and in_binary_dir",
+        "mkdir_binary_dirs": "make_dir and in_binary_dir",
+        "modify_metadata": "modify and fd.name pmatch (metadata_dirs)",
+        "create_below_dev": "(open_write or evt.type = creat) and fd.directory = /dev and not fd.name in (devices)",
+        "ssh_connection": "outbound and fd.sport = 22 and not allowed_target",
+        "system_process_network": "network_call and proc.name in (system_processes) and not fd.sip in (local_networks)",
+        "unexpected_udp": "outbound and fd.l4proto = udp and not fd.sport in (usual_ports) and not allowed_target",
+        "untrusted_shell": "spawned and proc.name in (shells) and proc.pname in (servers)",
+        "database_child": "spawned and proc.pname in (databases)",
+        "interactive_system_user": "spawned and user.name in (system_users) and proc.name in (shells)",
+        "key_search": "spawned and proc.name in (search_tools) and (proc.cmdline icontains 'BEGIN RSA PRIVATE' or proc.cmdline contains id_rsa or proc.cmdline contains id_dsa or proc.cmdline icontains password)",
+        "remote_code": "spawned and proc.name in (nc, ncat) and (proc.cmdline contains ' -e' or proc.cmdline contains ' -c')",
+        "unexpected_user": "spawned and user.name exists and not user.name in (usual_users) and not user.name in (system_users)",
+        "crontab_call": "spawned and proc.name = crontab",
+        "plain_setuid": "evt.type in (setuid, setgid, setresuid) and not proc.name in (sudo, su) and not proc.pname in (sudo, su)",
     },
     rules={
         "outgoing_domain": "container and dns_query",
-        "outgoing_ip": "container and outbound and not allowed_target",
+        "outgoing_ip": "container and (outbound and not allowed_target or ssh_connection or system_process_network and outbound or unexpected_udp)",
         "incoming_ip": "container and inbound and not fd.cip in (local_networks) and not dns_query",
-        "write_file": "container and open_write and (fd.directory in (binary_dirs) or below_etc or below_root or cron_file or shell_file)",
+        "write_file": "container and (open_write and (in_binary_dir or below_etc or below_root or cron_file) or modify_binary_dirs or mkdir_binary_dirs or create_below_dev or modify_metadata)",
         "read_file": "container and open_read and (ssh_file or fd.name in (secret_files))",
-        "spawn_process": "container and spawned and (proc.name in (network_tools) or proc.name in (copy_tools) or (proc.name in (shells) and proc.pname in (databases)))",
-        "sensitive_operation": "container and (evt.type in (setuid, setgid, setresuid) or (evt.type in (symlink, symlinkat) and fd.name in (secret_files)))",
+        "spawn_process": "container and (open_write and shell_file or spawned and (proc.name in (network_tools) or proc.name in (copy_tools)) or database_child or untrusted_shell or interactive_system_user or key_search or remote_code or crontab_call or unexpected_user)",
+        "sensitive_operation": "container and (plain_setuid or evt.type in (symlink, symlinkat) and fd.name in (secret_files))",
     },
 )
