@@ -92,18 +92,33 @@ def behavior_address_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, 'outgoing_ip' AS rule FROM events WHERE event_type = 'click' AND NOT (json_extract_string(props, '$.k')::INT < 30)
-    UNION ALL SELECT event_id, 'write_file' FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k')::INT < 50
-    UNION ALL SELECT event_id, 'spawn_process' FROM events WHERE event_type = 'purchase'"""
+    """SELECT * FROM (SELECT event_id, CASE event_id % 16 WHEN 0 THEN 'outgoing_domain' WHEN 1 THEN CASE WHEN json_extract_string(props, '$.k')::INT >= 30 THEN 'outgoing_ip' END WHEN 2 THEN 'incoming_ip'
+      WHEN 3 THEN CASE WHEN json_extract_string(props, '$.k')::INT < 50 THEN 'write_file' END WHEN 4 THEN 'read_file' WHEN 5 THEN 'spawn_process' WHEN 6 THEN 'sensitive_operation'
+      WHEN 8 THEN 'write_file' WHEN 9 THEN 'write_file' WHEN 10 THEN 'spawn_process' WHEN 11 THEN 'spawn_process' WHEN 12 THEN 'spawn_process' WHEN 13 THEN 'sensitive_operation' END AS rule
+    FROM events) WHERE rule IS NOT NULL"""
 )
 def tracing_rules(spark: SparkSession, d: str) -> DataFrame:
-    e, none = table(spark, d, "events"), F.lit(None).cast("string")
-    kind = F.when(F.col("event_type") == "click", "connect").when(F.col("event_type") == "view", "open").when(F.col("event_type") == "purchase", "execve").otherwise("close")
+    """events as system calls: sixteen kinds, of which some fit a rule, some only with a certain value, some none."""
     k = F.get_json_object("props", "$.k").cast("int")
-    ip = F.when(k < 30, "192.168.7.9").otherwise("8.8.4.4")
-    path = F.when(k < 50, "/etc/passwd").otherwise("/tmp/x")
-    rows = e.select("event_id", F.lit("c1").alias("container_id"), kind.alias("evt_type"), ip.alias("fd_sip"), none.alias("fd_sip_name"), none.alias("fd_cip"), none.cast("int").alias("fd_sport"), path.alias("fd_name"), F.lit("/x").alias("fd_directory"), F.lit("x").alias("fd_filename"), F.lit("true").alias("evt_is_open_write"), F.lit("false").alias("evt_is_open_read"), F.lit("nc").alias("proc_name"), none.alias("proc_pname"))
-    return rules.WATCH.alerts(rows).select("event_id", "rule")
+    calls = [  # type and the fields that count
+        {"evt_type": "recvfrom", "fd_sport": "53"}, {"evt_type": "connect", "fd_sip": F.when(k < 30, "192.168.7.9").otherwise("8.8.4.4")}, {"evt_type": "accept", "fd_cip": "8.8.4.4"},
+        {"evt_type": "open", "evt_is_open_write": "true", "fd_name": F.when(k < 50, "/etc/passwd").otherwise("/tmp/x")}, {"evt_type": "open", "evt_is_open_read": "true", "fd_name": "/home/u/.ssh/id"},
+        {"evt_type": "execve", "proc_name": "nc"}, {"evt_type": "setuid", "proc_name": "node"}, {"evt_type": "execve", "proc_name": "nc", "container_id": "host"},
+        {"evt_type": "rename", "fd_directory": "/usr/bin"}, {"evt_type": "creat", "fd_directory": "/dev", "fd_name": "/dev/x"}, {"evt_type": "execve", "proc_name": "sh", "proc_pname": "mysqld"},
+        {"evt_type": "execve", "proc_name": "grep", "proc_cmdline": "grep -r id_rsa /"}, {"evt_type": "execve", "proc_name": "ls", "user_name": "eve"}, {"evt_type": "symlink", "fd_name": "/etc/shadow"},
+        {"evt_type": "setuid", "proc_name": "sudo"}, {"evt_type": "connect", "fd_sip_name": "pypi.org", "fd_sip": "8.8.4.4"},
+    ]
+    fields = sorted({f for c in calls for f in c} | {"container_id"})
+    which = F.col("event_id") % len(calls)
+    lit = lambda v: F.lit(v) if isinstance(v, str) else v
+
+    def field(name: str) -> Column:
+        out = F.lit("c1" if name == "container_id" else None).cast("string")
+        for n, c in enumerate(calls):
+            out = F.when(which == n, lit(c[name])).otherwise(out) if name in c else out
+        return out.alias(name)
+
+    return rules.WATCH.alerts(table(spark, d, "events").select("event_id", *map(field, fields))).select("event_id", "rule")
 
 
 # Names
@@ -499,14 +514,42 @@ def strong_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.strong_components(cyclic_edges(spark, d))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (user_id * user_id + 1) % 150 AS dst FROM events WHERE user_id <> (user_id * user_id + 1) % 150),
+    c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src),
+    s AS (SELECT a.src AS id, min(a.dst) AS component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY 1),
+    g AS (SELECT dst AS id, count(*) AS n FROM e GROUP BY 1),
+    worst AS (SELECT e.src, e.dst FROM e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst AND a.component = b.component LEFT JOIN g x ON x.id = e.src LEFT JOIN g y ON y.id = e.dst
+      QUALIFY row_number() OVER (PARTITION BY a.component ORDER BY coalesce(x.n, 0) + coalesce(y.n, 0) DESC, e.src DESC, e.dst DESC) = 1)
+    SELECT src, dst FROM e EXCEPT SELECT src, dst FROM worst"""
+)
 def scc_break_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return graph.break_cycles(cyclic_edges(spark, d))
+    """Scored by in-degree. Every node has one edge out, so each strong component is one cycle and loses one edge."""
+    e = graph.without_loops(cyclic_edges(spark, d))
+    return graph.break_cycles(e, graph.degrees(e).select("id", F.col("in_degree").alias("rank")))
+
+
+PAGERANK_ROUNDS = 20
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = [
+        """e AS MATERIALIZED (SELECT DISTINCT user_id AS src, (user_id * user_id + 1) % 150 AS dst FROM events)""",
+        """n AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e)""",
+        """o AS MATERIALIZED (SELECT src, count(*) AS out FROM e GROUP BY 1)""",
+        """r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)""",
+    ]
+    for k in range(rounds):
+        steps.append(
+            f"""r{k + 1} AS MATERIALIZED (SELECT n.id, (0.15::DOUBLE + 0.85::DOUBLE * coalesce((SELECT sum(rank) FROM r{k} WHERE id NOT IN (SELECT src FROM o)), 0)) / (SELECT count(*) FROM n) + 0.85::DOUBLE * coalesce(got, 0) AS rank
+            FROM n LEFT JOIN (SELECT e.dst AS id, sum(rank / out) AS got FROM e JOIN r{k} ON r{k}.id = e.src JOIN o ON o.src = e.src GROUP BY 1) g ON g.id = n.id)"""
+        )
+    return f"WITH {', '.join(steps)} SELECT id, round(rank, 10) AS rank FROM r{rounds}"
 
 
-@query()
+@query(_pagerank_sql(PAGERANK_ROUNDS))
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(cyclic_edges(spark, d), rounds=20)
+    return graph.pagerank(cyclic_edges(spark, d), rounds=PAGERANK_ROUNDS).withColumn("rank", F.round("rank", 10))
 
 
 @query(
@@ -531,28 +574,64 @@ def without_dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 # Sources
 
-#: Small samples of our own.
-SAMPLES = [
-    ("one", "1.0", "python", "setup.py", "from base64 import b64decode as d\nimport os\nexec(d('x'))\nos.system('ls', **opts)\n"),
-    ("one", "1.0", "python", "bad.py", "def broken(:\n"),
-    ("two", "2.1", "javascript", "index.js", "const cp = require('child_process');\ncp.exec('ls', function () {});\nnew Buffer('eval(1)');\n// eval(no)\neval(x);\n"),
-    ("three", "0.3", "ruby", "lib.rb", "eval(params)\nx = `ls -l`\nKernel.system 'a', 'b'\n"),
-    ("four", "1.1", "php", "a.php", "<?php\n$o->run($x);\nA::go(1, 2);\necho `id`;\neval($_GET['c']);\n"),
-]
-FILES = "pkg string, version string, language string, path string, content string"
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    """(k, pkg, version, language, path, content): a small file for every part, in five kinds, one of which does not parse."""
+    k = F.col("p_partkey").cast("string")
+    kinds = [
+        ("python", "setup.py", "from base64 import b64decode as d\nimport os\nexec(d('{k}'))\nos.system('ls', {k})\n"),
+        ("python", "bad.py", "def broken_{k}(:\n"),
+        ("javascript", "index.js", "const cp = require('child_process');\nvar r = /eval(x)/.source;\ncp.exec(`ls ${eval({k})}`);\n// eval(no)\n"),
+        ("ruby", "lib.rb", "eval(params)\nx = `ls {k}`\n"),
+        ("php", "a.php", "<?php\n$o->run($x, {k});\nA::go(1);\n"),
+    ]
+    which = F.col("p_partkey") % len(kinds)
 
+    def of(place: int) -> Column:
+        out = F.lit(None).cast("string")
+        for n, kind in enumerate(kinds):
+            out = F.when(which == n, F.replace(F.lit(kind[place]), F.lit("{k}"), k) if place == 2 else F.lit(kind[place])).otherwise(out)
+        return out
 
-@query()
+    return table(spark, d, "part").select(F.concat(F.lit("p"), k).alias("pkg"), F.lit("1.0").alias("version"), of(0).alias("language"), of(1).alias("path"), of(2).alias("content"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_partkey::VARCHAR AS k FROM part),
+    calls(kind, language, file, base_type, name, arguments, source, start_row, start_col, end_row, end_col) AS (VALUES
+      (0, 'python', 'setup.py', NULL, 'exec', 'd(''{k}'')', 'exec(d(''{k}''))', 3, 0, 3, '{k}+11'), (0, 'python', 'setup.py', 'base64', 'b64decode', '''{k}''', 'd(''{k}'')', 3, 5, 3, '{k}+10'),
+      (0, 'python', 'setup.py', 'os', 'system', '''ls''; {k}', 'os.system(''ls'', {k})', 4, 0, 4, '{k}+17'),
+      (2, 'javascript', 'index.js', NULL, 'require', '''child_process''', 'require(''child_process'')', 1, 11, 1, '35'), (2, 'javascript', 'index.js', 'cp', 'exec', '`ls ${eval({k})}`', 'cp.exec(`ls ${eval({k})}`)', 3, 0, 3, '{k}+23'),
+      (2, 'javascript', 'index.js', NULL, 'eval', '{k}', 'eval({k})', 3, 14, 3, '{k}+20'),
+      (3, 'ruby', 'lib.rb', NULL, 'eval', 'params', 'eval(params)', 1, 0, 1, '12'), (3, 'ruby', 'lib.rb', NULL, 'builtin_xstring', 'ls {k}', '`ls {k}`', 2, 4, 2, '{k}+9'),
+      (4, 'php', 'a.php', '$o', 'run', '$x; {k}', '$o->run($x, {k})', 2, 0, 2, '{k}+13'), (4, 'php', 'a.php', 'A', 'go', '1', 'A::go(1)', 3, 0, 3, '8'))
+    SELECT 'p' || k AS pkg, language, file, base_type, name, coalesce(base_type || '.', '') || name AS full_name, replace(arguments, '{k}', k) AS arguments, replace(source, '{k}', k) AS source,
+      start_row, start_col, end_row, CASE WHEN starts_with(end_col, '{k}+') THEN length(k) + substr(end_col, 5)::INT ELSE end_col::INT END::INTEGER AS end_col, FALSE AS failed
+    FROM p JOIN calls ON p_partkey % 5 = kind
+    UNION ALL SELECT 'p' || k, 'python', 'bad.py', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, TRUE FROM p WHERE p_partkey % 5 = 1"""
+)
 def source_api_calls(spark: SparkSession, d: str) -> DataFrame:
-    return extract.api_calls(spark.createDataFrame(SAMPLES, FILES)).withColumn("arguments", joined(F.col("arguments"), "; "))
+    got = extract.api_calls(source_files(spark, d)).withColumn("arguments", joined(F.col("arguments"), "; "))
+    return got.select("pkg", "language", "file", "base_type", "name", "full_name", "arguments", "source", "start_row", "start_col", "end_row", "end_col", F.col("error").isNotNull().alias("failed"))
 
 
-@query()
+@query(
+    """SELECT 'c' || c_custkey AS pkg, 'a.py|get:input()' AS source, 'b.py|<module>:run()' AS sink,
+      'a.py|get:input() > a.py|get:x > get#return > b.py|<module>:get() > b.py|<module>:y > b.py|<module>:run()' AS hops
+    FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE')"""
+)
 def taint_flows(spark: SparkSession, d: str) -> DataFrame:
-    code = "def read():\n    x = input()\n    return x\ndef main():\n    y = read()\n    z = y + 'a'\n    run(z)\n"
-    edges = flows.def_use_edges(spark.createDataFrame([("p", "a.py", code)], "pkg string, path string, content string"))
-    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
-    return flows.flows(edges, ids("read:input()"), ids("main:run()")).withColumn("hops", joined(F.col("hops"), " > "))
+    """Each customer's package reads in one file and runs in another: some clean what they have read, some run what they
+    have not read, some pass it where it does no harm; the files of one package name the functions of all."""
+    segment = F.col("c_mktsegment")
+    run = F.when(segment == "BUILDING", "run(clean(y))").when(segment == "MACHINERY", "run(z)").when(segment == "FURNITURE", "run(1, y)").otherwise("run(y)")
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("pkg"), F.concat(F.lit("from a import get\ny = get()\n"), run, F.lit("\n")).alias("b"))
+    one = F.struct(F.lit("a.py").alias("path"), F.lit("def get():\n    x = input()\n    return x\n").alias("content"))
+    files = c.select("pkg", F.explode(F.array(one, F.struct(F.lit("b.py").alias("path"), F.col("b").alias("content")))).alias("f")).select("pkg", "f.*")
+    edges = flows.def_use_edges(files)
+    names = lambda *x: spark.createDataFrame([(i,) for i in x], "name string")
+    edges = flows.only_at(edges, spark.createDataFrame([("run", 0)], "name string, parameter int"))
+    found = flows.flows(edges, flows.calls(edges, names("input")), flows.calls(edges, names("run")), flows.calls(edges, names("clean")))
+    return found.withColumn("hops", joined(F.col("hops"), " > "))
 
 
 @query("SELECT 'SINK' AS functionality, p_brand AS full_name, min(p_type) AS sink_type FROM part GROUP BY 2")

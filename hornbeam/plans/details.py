@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hornbeam.functions import names, syscalls
-from hornbeam.operators import authors, catalogue, content, extract, flows, graph, ranking, rules, usage, versions
-from hornbeam.plans.catalog import event_values, joined, part_usage, query, table
+from hornbeam.operators import authors, catalogue, content, dispatch, extract, flows, graph, ranking, rules, usage, versions
+from hornbeam.plans.catalog import CYCLIC, TREE, USAGE, cyclic_edges, event_values, joined, part_usage, query, table, tree_edges
 from hornbeam.sources import metadata, readers
 
 # Parsers of text, on lines made from the tables
@@ -74,12 +74,18 @@ def index_page_names(spark: SparkSession, d: str) -> DataFrame:
 # Scalar functions
 
 
+#: Every listed call in lower case, and three that no list has.
+CALLS = [(c.lower(), kind) for kind, calls in syscalls.CATEGORIES.items() for c in calls] + [("unknown_call", None), ("sched_nonsense", None), ("mmap64", None)]
+
+
 @query(
-    """SELECT event_id, CASE event_type WHEN 'click' THEN 'file' WHEN 'view' THEN 'network' WHEN 'purchase' THEN 'process' END AS category FROM events"""
+    "WITH c(k, call, category) AS (VALUES "
+    + ", ".join(f"({k}, '{call}', {kind and repr(kind) or 'NULL'})" for k, (call, kind) in enumerate(CALLS))
+    + f") SELECT event_id, call, category FROM events JOIN c ON event_id % {len(CALLS)} = k"
 )
 def syscall_categories(spark: SparkSession, d: str) -> DataFrame:
-    call = F.when(F.col("event_type") == "click", "openat").when(F.col("event_type") == "view", "connect").when(F.col("event_type") == "purchase", "execve").otherwise("unknown_call")
-    return table(spark, d, "events").select("event_id", syscalls.category(call).alias("category"))
+    call = F.element_at(F.array(*[F.lit(c) for c, _ in CALLS]), (F.col("event_id") % len(CALLS) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", call.alias("call")).withColumn("category", syscalls.category(F.col("call")))
 
 
 @query(
@@ -218,33 +224,166 @@ def formula_by_function(spark: SparkSession, d: str) -> DataFrame:
     return usage.formula_verdicts(packages, o, known, "(1 & 2) | 3", func_only=True).select("pkg", F.col("satisfied").alias("used"))
 
 
-@query()
+DRAW = "('0x' || substr(md5({} || '|0'), 1, 13))::BIGINT"
+
+
+@query(f"SELECT c_custkey, ({DRAW.format('c_custkey')} % 20)::INTEGER AS slice FROM customer")
 def package_slices(spark: SparkSession, d: str) -> DataFrame:
     return ranking.slices(table(spark, d, "customer").select("c_custkey"), "c_custkey", 20)
 
 
-@query()
+@query(f"SELECT c_custkey FROM customer ORDER BY {DRAW.format('c_custkey')}, c_custkey LIMIT 100")
 def package_sample(spark: SparkSession, d: str) -> DataFrame:
     return ranking.sample_packages(table(spark, d, "customer").select("c_custkey"), "c_custkey", 100)
 
 
-@query()
-def graph_split(spark: SparkSession, d: str) -> DataFrame:
-    from hornbeam.plans.catalog import tree_edges
+@query(f"SELECT c_custkey, (ntile(20) OVER (ORDER BY {DRAW.format('c_custkey')}, c_custkey) - 1)::INTEGER AS slice FROM customer")
+def package_even_slices(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.even_slices(table(spark, d, "customer").select("c_custkey"), "c_custkey", 20)
+
 
+@query(
+    f"""{TREE}, n AS (SELECT p_partkey AS id FROM part UNION SELECT p_partkey // 2 FROM part), s AS (SELECT id, ({DRAW.format('id')} % 8)::INTEGER AS slice FROM n),
+    k AS (SELECT slice, dst AS id FROM c JOIN s ON c.src = s.id UNION SELECT slice, id FROM s)
+    SELECT a.slice, p_partkey AS src, p_partkey // 2 AS dst FROM part JOIN k a ON a.id = p_partkey JOIN k b ON b.id = p_partkey // 2 AND a.slice = b.slice WHERE p_partkey > 0"""
+)
+def graph_split(spark: SparkSession, d: str) -> DataFrame:
     return graph.split(tree_edges(spark, d), 8)
 
 
-@query()
+@query(
+    """WITH b AS (SELECT o_custkey || '-' || year(o_orderdate) AS function, o_orderkey AS block, lead(o_orderkey) OVER (PARTITION BY o_custkey, year(o_orderdate), o_orderpriority ORDER BY o_orderkey) AS next FROM orders)
+    SELECT i.function, j.block, i.block::VARCHAR AS definition FROM b i JOIN b j ON i.function = j.function AND j.block > i.block AND (i.next IS NULL OR j.block <= i.next)"""
+)
 def reaching_definitions(spark: SparkSession, d: str) -> DataFrame:
-    """Nations as blocks of a region's function: each defines itself and kills the definition of the nation before."""
-    n = table(spark, d, "nation").withColumn("function", F.col("n_regionkey").cast("string"))
-    blocks = n.select("function", F.col("n_nationkey").alias("block"), F.array("n_name").alias("generates"), F.array(F.lit("FRANCE")).alias("kills"))
-    edges = n.select("function", F.col("n_nationkey").alias("src")).join(n.select("function", F.col("n_nationkey").alias("dst")), "function").filter("src < dst")
+    """A customer's orders of a year as blocks in a row: each defines the variable its priority names and kills the
+    other definitions of it."""
+    function = F.concat_ws("-", F.col("o_custkey").cast("string"), F.year("o_orderdate").cast("string"))
+    o = table(spark, d, "orders").select(function.alias("function"), F.col("o_orderkey").alias("block"), F.col("o_orderkey").cast("string").alias("definition"), "o_orderpriority")
+    every = F.collect_set("definition").over(Window.partitionBy("function", "o_orderpriority"))
+    own = F.array("definition")
+    blocks = o.select("function", "block", own.alias("generates"), F.array_except(every, own).alias("kills"))
+    edges = o.select("function", F.col("block").alias("src"), F.lead("block").over(Window.partitionBy("function").orderBy("block")).alias("dst")).filter("dst IS NOT NULL")
     return flows.reaching_definitions(blocks, edges)
 
 
-@query()
+@query(
+    """SELECT user_id::INTEGER AS pid, event_id + 0.5::DOUBLE AS ts, 'openat' AS syscall, 'AT_FDCWD|"/tmp/a,' || event_id || '"|O_RDONLY' AS args, '3' AS return, 'file' AS category FROM events WHERE event_type = 'click'
+    UNION ALL SELECT NULL, event_id + 0.5, 'connect', '3|{sa_family=AF_INET, sin_port=htons(' || event_id || ')}|16', '0', 'network' FROM events WHERE event_type = 'view'
+    UNION ALL SELECT user_id, NULL, 'execve', '''a,b ' || event_id || '''|["x\\"", "y"]...', '-1', 'process' FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')"""
+)
 def trace_lines(spark: SparkSession, d: str) -> DataFrame:
-    line = F.format_string('%d %d.5 openat(AT_FDCWD, "/tmp/%d", O_RDONLY) = 3', "user_id", "event_id", "event_id")
+    kind = F.col("event_type")
+    line = (
+        F.when(kind == "click", F.format_string('%d %d.5 openat(AT_FDCWD, "/tmp/a,%d", O_RDONLY) = 3', "user_id", "event_id", "event_id"))
+        .when(kind == "view", F.format_string("%d.5 connect(3, {sa_family=AF_INET, sin_port=htons(%d)}, 16) = 0", "event_id", "event_id"))
+        .when(kind == "purchase", F.format_string("""[pid %d] execve('a,b %d', ["x\\"", "y"]...) = -1 ENOENT (none)""", "user_id", "event_id"))
+        .otherwise("--- SIGCHLD ---")
+    )
     return syscalls.parse_trace(table(spark, d, "events").select(line.alias("value"))).withColumn("args", joined(F.col("args"), "|"))
+
+
+# Results by type, keys, records
+
+
+@query(
+    f"""SELECT full_name AS key, count(DISTINCT pkg) AS packages FROM {USAGE} GROUP BY 1 UNION ALL SELECT 'analyzed', count(DISTINCT pkg) FROM {USAGE}"""
+)
+def statistics_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return dispatch.statistics("api", part_usage(spark, d))
+
+
+@query(
+    """SELECT flow AS key, count(DISTINCT o_custkey) AS packages FROM (SELECT o_custkey, 'read_' || lower(o_orderstatus) || '() -> run_' || substr(o_orderpriority, 1, 1) || '()' AS flow FROM orders) GROUP BY 1
+    UNION ALL SELECT 'analyzed', count(DISTINCT o_custkey) FROM orders"""
+)
+def flow_packages(spark: SparkSession, d: str) -> DataFrame:
+    source = F.concat(F.col("o_orderkey").cast("string"), F.lit(".py|main:read_"), F.lower("o_orderstatus"), F.lit("()"))
+    sink = F.concat(F.lit("x.py|main:run_"), F.substring("o_orderpriority", 1, 1), F.lit("()"))
+    return dispatch.statistics("taint", table(spark, d, "orders").select(F.col("o_custkey").alias("pkg"), source.alias("source"), sink.alias("sink")))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT l_returnflag AS source, o_custkey AS pkg, o_orderpriority AS version FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT pkg, count(DISTINCT source) AS n FROM r GROUP BY 1)
+    SELECT pkg, version FROM r JOIN n USING (pkg) WHERE n > 1 GROUP BY pkg, version, n HAVING count(*) = n"""
+)
+def common_versions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("pkg"), F.col("o_orderpriority").alias("version"))
+    return content.common_versions(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("source"), "l_orderkey").join(o, "l_orderkey"))
+
+
+@query(
+    "WITH k(kind, suffix, versioned) AS (VALUES " + ", ".join(f"('{k}', '{s}', {v})" for k, (s, v) in names.RESULT_KINDS.items()) + """)
+    SELECT s_suppkey, kind, 'x..' || replace(s_name, '#', '..') || CASE WHEN versioned THEN ':' || CASE s_nationkey % 2 WHEN 0 THEN 'latest' ELSE s_nationkey || '.0' END || CASE WHEN s_suppkey % 3 = 0 THEN ':sudo' ELSE '' END ELSE '' END || '.' || suffix AS file
+    FROM supplier, k"""
+)
+def result_file_names(spark: SparkSession, d: str) -> DataFrame:
+    s, n = table(spark, d, "supplier"), F.col("s_nationkey")
+    keys = names.result_keys(F.concat(F.lit("x/"), F.col("s_name")), F.when(n % 2 != 0, F.concat(n.cast("string"), F.lit(".0"))), F.col("s_suppkey") % 3 == 0)
+    return s.select("s_suppkey", F.explode(keys).alias("kind", "file"))
+
+
+@query(
+    f"""{TREE} SELECT 'found' AS kind, c.dst AS id, c.src AS dependent FROM c WHERE c.dst IN (3, 5) AND c.dst IN (SELECT p_partkey FROM part)
+    UNION ALL SELECT 'unknown', x, NULL FROM (VALUES (3), (5), (-7)) t(x) WHERE x NOT IN (SELECT p_partkey FROM part UNION SELECT p_partkey // 2 FROM part)"""
+)
+def high_impact_packages(spark: SparkSession, d: str) -> DataFrame:
+    found, unknown = graph.high_impact(spark.createDataFrame([(3,), (5,), (-7,)], "id long"), tree_edges(spark, d))
+    return found.select(F.lit("found").alias("kind"), "id", "dependent").unionByName(unknown.select(F.lit("unknown").alias("kind"), "id", F.lit(None).cast("long").alias("dependent")))
+
+
+@query(
+    f"""{CYCLIC}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT a.src AS id, a.dst AS other FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src UNION SELECT id, id FROM n),
+    s AS (SELECT id, min(other) AS component FROM r GROUP BY 1), l AS (SELECT DISTINCT a.component FROM e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst WHERE a.component <> b.component)
+    SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM s WHERE component NOT IN (SELECT component FROM l)"""
+)
+def graph_attractors(spark: SparkSession, d: str) -> DataFrame:
+    return graph.attractors(cyclic_edges(spark, d))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT o_custkey AS pkg, list_sort(list(DISTINCT 'd' || o_orderstatus) OVER (PARTITION BY o_custkey)) AS declared FROM orders WHERE o_custkey % 3 <> 0),
+    d AS (SELECT o_custkey AS pkg, list_sort(list(DISTINCT 'p' || o_orderpriority)) AS requires FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)
+    SELECT coalesce(m.pkg, d.pkg)::VARCHAR AS pkg, array_to_string(coalesce(requires, declared), ',') AS requires, CASE WHEN m.pkg IS NULL THEN 'dependencies' WHEN d.pkg IS NULL THEN 'metadata' ELSE 'both' END AS known
+    FROM m FULL JOIN d ON m.pkg = d.pkg"""
+)
+def package_records(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    declared = F.map_from_entries(F.collect_set(F.struct(F.concat(F.lit("d"), F.col("o_orderstatus")), F.lit("*"))))
+    docs = o.filter("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").cast("string").alias("pkg")).agg(F.to_json(F.struct(declared.alias("dependencies"))).alias("value"))
+    resolved = o.filter("o_custkey % 2 = 0").select(F.col("o_custkey").cast("string").alias("src"), F.concat(F.lit("p"), F.col("o_orderpriority")).alias("dst"))
+    return metadata.package_records(metadata.normalize(docs, "javascript"), resolved).select("pkg", joined(F.col("requires")).alias("requires"), "known")
+
+
+@query("SELECT DISTINCT c_custkey AS k, c_name || '''s \"' || c_mktsegment || '\"' AS email, c_nationkey AS n FROM customer")
+def literal_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Nested cells as scripts print them, with both kinds of quotes."""
+    cell = F.format_string("""{u'owners': [{'email': '%s\\'s "%s"', 'n': %d}, {"email": None, 'n': True}]}""", "c_name", "c_mktsegment", "c_nationkey")
+    owners = F.from_json(names.literal_json(cell), "struct<owners:array<struct<email:string,n:string>>>")["owners"]
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"), owners[0]["email"].alias("email"), owners[0]["n"].cast("int").alias("n")).distinct()
+
+
+@query("SELECT c_custkey AS k, lower(replace(c_name, '#', '-')) AS name, c_nationkey || '.1' AS version, 'six,' || lower(c_mktsegment) AS requires FROM customer")
+def shown_packages(spark: SparkSession, d: str) -> DataFrame:
+    text = F.format_string("Name: %s\nVersion: %d.1\nSummary: Version: 9\nRequires: six, %s\nk: %d", F.replace("c_name", F.lit("#"), F.lit("-")), "c_nationkey", "c_mktsegment", "c_custkey")
+    got = readers.shown(table(spark, d, "customer").select(text.alias("value")))
+    return got.select(F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("k"), "name", "version", joined(F.col("requires")).alias("requires"))
+
+
+@query("SELECT DISTINCT 'n' || l_partkey AS name FROM lineitem")
+def listed_names(spark: SparkSession, d: str) -> DataFrame:
+    names_ = F.array_sort(F.collect_set(F.concat(F.lit("n"), F.col("l_partkey").cast("string"))))
+    docs = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.to_json(F.struct(names_.alias("packageNames"))).alias("value"))
+    return readers.listed_names(docs, "packagist")
+
+
+@query(
+    """WITH a AS (SELECT event_id, [(event_id * 7919) % 256, (event_id * 31) % 256, user_id % 256, 1] AS o FROM events), n AS (SELECT event_id, o[1] AS a, o[2] AS b, o[3] AS c FROM a)
+    SELECT event_id, a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 192 AND b = 88 AND c = 99)
+      OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) AS private FROM n"""
+)
+def private_addresses(spark: SparkSession, d: str) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    ip = F.concat_ws(".", ((e * 7919) % 256).cast("string"), ((e * 31) % 256).cast("string"), (u % 256).cast("string"), F.lit("1"))
+    return table(spark, d, "events").select("event_id", names.is_private_ip(ip).alias("private"))

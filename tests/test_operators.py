@@ -1,12 +1,14 @@
 import datetime as dt
+import hashlib
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hornbeam.operators import behavior, catalogue, extract, flows, graph, rules, similarity, usage, versions
+from hornbeam.operators import authors, behavior, catalogue, dispatch, extract, flows, graph, rules, similarity, usage, versions
 from tests.conftest import rows
 
 
@@ -114,9 +116,15 @@ def test_python_calls():
 
 
 def test_other_languages_and_errors(spark):
-    from hornbeam.plans.catalog import FILES, SAMPLES
-
-    got = extract.api_calls(spark.createDataFrame([*SAMPLES, ("x", "1", "cobol", "a.cob", "CALL 'X'."), ("x", "1", "python", "n.py", None)], FILES))
+    samples = [
+        ("one", "1.0", "python", "setup.py", "from base64 import b64decode as d\nimport os\nexec(d('x'))\nos.system('ls', **opts)\n"),
+        ("one", "1.0", "python", "bad.py", "def broken(:\n"),
+        ("two", "2.1", "javascript", "index.js", "const cp = require('child_process');\ncp.exec('ls', function () {});\nnew Buffer('eval(1)');\n// eval(no)\neval(x);\n"),
+        ("three", "0.3", "ruby", "lib.rb", "eval(params)\nx = `ls -l`\nKernel.system 'a', 'b'\n"),
+        ("four", "1.1", "php", "a.php", "<?php\n$o->run($x);\nA::go(1, 2);\necho `id`;\neval($_GET['c']);\n"),
+        ("x", "1", "cobol", "a.cob", "CALL 'X'."), ("x", "1", "python", "n.py", None),
+    ]
+    got = extract.api_calls(spark.createDataFrame(samples, "pkg string, version string, language string, path string, content string"))
     names = {(r.language, r.full_name) for r in got.filter("error IS NULL").collect()}
     assert {("javascript", "cp.exec"), ("javascript", "eval"), ("ruby", "eval"), ("ruby", "builtin_xstring"), ("ruby", "Kernel.system"), ("php", "$o.run"), ("php", "A.go"), ("php", "shell_exec"), ("php", "eval"), ("python", "base64.b64decode")} <= names
     assert got.filter("language = 'javascript' AND full_name = 'eval'").count() == 1  # not the ones in a string and a comment
@@ -132,19 +140,59 @@ def test_flows_and_summaries(spark):
     assert rows(flows.flows(edges, ids("s"), ids("t", "t2"), ids("clean"))) == [("s", "t", ["s", "a", "b", "t"])]
     code = "def get():\n    return input()\ndef put(v):\n    run(v)\n"
     e = flows.def_use_edges(spark.createDataFrame([("p", "a.py", code), ("p", "b.py", "def (")], "pkg string, path string, content string"))
-    got = flows.summaries(e, ids("get:input()"), ids("put:run()"))
-    assert rows(got) == [("get", "SOURCE"), ("put", "SINK")]
-    tree = e.unionByName(flows.def_use_edges(spark.createDataFrame([("q", "c.py", "def main():\n    x = get()\n    put(x)\n")], "pkg string, path string, content string")))
     names = lambda *x: spark.createDataFrame([(i,) for i in x], "name string")
+    got = flows.summaries(e, flows.calls(e, names("input")), flows.calls(e, names("run")))
+    assert rows(got) == [("p", "get", "SOURCE"), ("p", "put", "SINK")]
+    tree = e.unionByName(flows.def_use_edges(spark.createDataFrame([("q", "c.py", "def main():\n    x = get()\n    put(x)\n")], "pkg string, path string, content string")))
     found = flows.taint_tree(spark.createDataFrame([("q", "p")], "src string, dst string"), tree.select("pkg", "src", "dst"), names("input"), names("run"))
-    assert [(r.pkg, r.source, r.sink) for r in found.collect()] == [("q", "q/main:get()", "q/main:put()")]
+    assert [(r.pkg, r.source, r.sink) for r in found.collect()] == [("q", "c.py|main:get()", "c.py|main:put()")]
+    assert rows(flows.flow_packages(found)) == [("get() -> put()", 1)]
+    assert found.select(flows.finding_id("source", "sink", "pkg").alias("x")).first().x == hashlib.sha256(b"c.py|main:get()-c.py|main:put()-q").hexdigest()
+
+
+def test_flows_stay_in_their_package_and_file(spark):
+    """Names are the same everywhere: what one package or function reads must not reach what another runs."""
+    reads, runs = "def f():\n    x = input()\n", "def f():\n    x = 1\n    run(x)\n"
+    both = "class A:\n    def f(self):\n        x = input()\nclass B:\n    def f(self, x):\n        run(x)\n"
+    files = [("p", "a.py", reads), ("q", "a.py", runs), ("r", "a.py", reads), ("r", "b.py", runs), ("s", "a.py", both), ("t", "a.py", reads + "    run(x)\n")]
+    e = flows.def_use_edges(spark.createDataFrame(files, "pkg string, path string, content string"))
+    names = lambda x: spark.createDataFrame([(x,)], "name string")
+    assert [r.pkg for r in flows.flows(e, flows.calls(e, names("input")), flows.calls(e, names("run"))).collect()] == ["t"]
+
+
+def test_flows_of_scripts(spark):
+    js = "function get(u) { var x = read(u);\n  return x; }\nfunction put(a, b) { run(b); }\nvar y = get(1);\nconst s = `v ${y}`;\nput(0, s);\nlet z = clean(y)\nput(z, 1)\n"
+    php = "<?php\nfunction get($u) { $x = read($u); return $x; }\n$y = 'a' . get(1);\n$o->run($y);\nrun('$y');\n"
+    for language, path, code, sink in (("javascript", "a.js", js, "run"), ("php", "a.php", php, "$o->run")):
+        e = flows.def_use_edges(spark.createDataFrame([("p", path, code)], "pkg string, path string, content string"), language)
+        names = lambda x: spark.createDataFrame([(x,)], "name string")
+        found = flows.flows(e, flows.calls(e, names("read")), flows.calls(e, names(sink)), flows.calls(e, names("clean"))).collect()
+        assert len(found) == 1 and found[0].hops[-1].endswith(f":{sink}()"), language
+    harmless = spark.createDataFrame([("put", 0), ("other", None)], "name string, parameter int")
+    e = flows.def_use_edges(spark.createDataFrame([("p", "a.js", js)], "pkg string, path string, content string"), "javascript")
+    at = lambda e: {r.place for r in e.filter("kind = 'argument' AND dst LIKE '%:put()'").collect()}
+    assert at(e) == {0, 1} and at(flows.only_at(e, harmless)) == {0}
+
+
+def test_script_tokens():
+    code = "var r = /eval(x)['\"]/g.test(s);\nvar q = a / b(1) / c;\nlet t = `x ${ f({a: `in ${g(1, 2)}`}) } eval(no)`;\na?.b(3);\na?.b?.c(4);\nif (/h(1)/.test(y)) k?.(5); // l(6)\n"
+    assert [(b, n, a) for b, n, a, *_ in extract.token_calls(code, "javascript")] == [
+        (None, "test", ["s"]), (None, "b", ["1"]), (None, "f", ["{a: `in ${g(1, 2)}`}"]), (None, "g", ["1", "2"]), ("a", "b", ["3"]), ("a?.b", "c", ["4"]), (None, "test", ["y"]), (None, "k", ["5"]),
+    ]
+    for language in ("javascript", "ruby", "php"):
+        for odd in (code, "`", "`${", "'", '"\\', "/*", "//", "/", "f(", "f(,)", "}", "`${`${`"):
+            assert len(extract.masked(odd, language)) == len(odd)
+            list(extract.token_calls(odd, language))
+    began = time.perf_counter()
+    assert sum(1 for _ in extract.token_calls("f(g(1), [2]);\n" * 100_000, "javascript")) == 200_000
+    assert time.perf_counter() - began < 20
 
 
 def test_flows_of_many_hops(spark):
-    edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(55)], "src string, dst string").coalesce(1)
+    edges = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(110)], "src string, dst string").coalesce(1)
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
-    assert [(r.source, r.sink, len(r.hops)) for r in flows.flows(edges, ids("n00"), ids("n55")).collect()] == [("n00", "n55", 56)]
-    assert flows.flows(edges, ids("n00"), ids("n55"), most_hops=54).count() == 0
+    assert [(r.source, r.sink, len(r.hops)) for r in flows.flows(edges, ids("n000"), ids("n110")).collect()] == [("n000", "n110", 111)]
+    assert flows.flows(edges, ids("n000"), ids("n110"), most_hops=20).count() == 0
 
 
 def test_reaching_definitions_and_centroids(spark):
@@ -194,3 +242,41 @@ def test_control_flow(spark):
     df = spark.createDataFrame([("m", blocks), ("empty", [])], "method string, blocks array<struct<block:int,stmt_count:int,successors:array<int>>>")
     got = {r.block: (r.seq, r.out_degree, r.loop_depth) for r in control.block_features(df).collect()}
     assert got == {0: (0, 1, 0), 1: (1, 2, 1), 4: (2, 0, 0), 2: (3, 2, 2), 3: (4, 1, 2)}
+
+
+def test_break_cycles_leaves_no_cycle_and_drops_what_it_says(spark):
+    # two components: 1 -> 2 -> 3 -> 1 with a chord 2 -> 1, and 7 -> 8 -> 7; 9 -> 1 is in none
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 1), (7, 8), (8, 7), (9, 1), (5, 5)], "src long, dst long")
+    scores = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 3.0), (7, 1.0), (8, 1.0), (9, 9.0)], "id long, rank double")
+    got = graph.break_cycles(edges, scores)
+    # the dearest is 2 -> 3 (8), which leaves 1 <-> 2, where 2 -> 1 and 1 -> 2 cost the same and the larger source goes
+    assert rows(got) == [(1, 2), (3, 1), (7, 8), (9, 1)] and graph.is_dag(got)
+    with pytest.raises(ValueError):
+        graph.break_cycles(edges, scores.filter("id <> 9"))
+
+
+def test_marks_travel_up(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "src string, dst string")
+    marks = spark.createDataFrame([("c", 1), ("z", 2)], "id string, mark int")
+    assert rows(graph.inherited(edges, marks)) == [("a", 1), ("b", 1), ("c", 1), ("d", 1), ("z", 2)]
+    found, unknown = graph.high_impact(spark.createDataFrame([("c",), ("q",)], "id string"), edges)
+    assert {r.dependent for r in found.collect()} == {"a", "b", "d"} and rows(unknown) == [("q",)]
+    assert rows(graph.attractors(edges.union(spark.createDataFrame([("a", "e")], "src string, dst string")))) == [("e", "e", 1)]
+
+
+def test_dispatch(spark):
+    rows_ = spark.createDataFrame([("p", "a.b", "x.py"), ("q", "a.b", "y.py")], "pkg string, full_name string, file string")
+    assert rows(dispatch.statistics("api", rows_)) == [("a.b", 2), ("analyzed", 2)]
+    known = spark.createDataFrame([("a.b", "SINK", None, "EXEC")], "full_name string, functionality string, source_type string, sink_type string")
+    assert rows(dispatch.statistics("permission", rows_, known)) == [("EXEC", 2), ("analyzed", 2)]
+    with pytest.raises(ValueError):
+        dispatch.statistics("weather", rows_)
+
+
+def test_authors_and_values_without_a_name(spark):
+    p = spark.createDataFrame([(None, "a"), (None, "b"), ("x", "c"), ("x", "d"), ("y", "e")], "author string, pkg string")
+    assert rows(authors.same_author(p)) == [("x", ["c", "d"])] and rows(authors.author_packages(p)) == [("x", "c"), ("x", "d")]
+    cell = spark.createDataFrame([("{'owners': [{'email': 'a@b.c', 'web': 'd@e.f'}]}",)], "x string")
+    assert cell.select(authors.author_emails("x", "ruby")).first()[0] == ["a@b.c"] and cell.select(authors.author_emails("x", "python")).first()[0] == ["a@b.c", "d@e.f"]
+    v = spark.createDataFrame([("p", "r", "1"), ("q", "r", "1"), ("p", "r", "2")], "pkg string, rule string, value string")
+    assert rows(behavior.value_counts(v, most=1, detail=True)) == [("r", "2", 1, ["p"])]

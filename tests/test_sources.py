@@ -4,6 +4,8 @@ import json
 import tarfile
 import zipfile
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from hornbeam.sources import metadata, readers, sinks
@@ -91,7 +93,7 @@ def test_stream_equals_batch(spark, tmp_path):
     read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     stream.store(read, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     batch = alert_values(spark.read.schema(schema).json(str(tmp_path / "in"))).distinct()
-    got = spark.read.parquet(str(tmp_path / "out")).distinct().select(*batch.columns)
+    got = spark.read.parquet(str(tmp_path / "out")).select(*batch.columns).distinct()
     assert got.withColumn("version", F.col("version").cast("string")).exceptAll(batch).count() == 0 and got.count() == batch.count() == 15
     q = stream.windowed_sets(read).writeStream.format("memory").queryName("sets").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -105,3 +107,100 @@ def test_sync_keeps_each_row_once(spark, tmp_path):
         (tmp_path / "in" / name).write_text(snap(*vs))
         sync.sync(sync.snapshots(spark, str(tmp_path / "in")), str(tmp_path / "known"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.version for r in spark.read.parquet(str(tmp_path / "known")).collect()) == ["1", "2", "3"]
+    # a table that is there but cannot be read is an error, not an empty one
+    (tmp_path / "broken" / "part=1").mkdir(parents=True)
+    (tmp_path / "broken" / "part=1" / "x.parquet").write_bytes(b"no parquet")
+    (tmp_path / "in2").mkdir()
+    (tmp_path / "in2" / "1.json").write_text("\n".join(json.dumps({"pkg": f"p{k}", "version": "1", "url": "u"}) for k in range(2000)))
+    with pytest.raises(StreamingQueryException):
+        sync.sync(sync.snapshots(spark, str(tmp_path / "in2")), str(tmp_path / "broken"), str(tmp_path / "cp2")).awaitTermination()
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    line = {"rule": "read_file", "output_fields": {"container.name": "p..1.0..job", "fd.name": "/f"}}
+    (tmp_path / "in" / "1.json").write_text(json.dumps(line))
+    for k in range(2):  # as if the first run had failed before it was marked as done
+        read = spark.readStream.schema("rule string, output_fields map<string,string>").json(str(tmp_path / "in"))
+        stream.store(read, str(tmp_path / "out"), str(tmp_path / f"cp{k}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_deep_and_unread_archives(spark):
+    data = b"deep"
+    for k in range(7):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(f"{k}.zip" if k else "x.txt", data)
+        data = out.getvalue()
+    mixed = io.BytesIO()
+    with zipfile.ZipFile(mixed, "w") as z:
+        z.writestr("a.rar", b"Rar!\x1a\x07\x00rest")
+        z.writestr("b.zip", b"PK\x03\x04 no archive")
+        z.writestr("c.txt.gz", gzip.compress(b"plain"))
+    df = spark.createDataFrame([("deep.zip", bytearray(data)), ("mixed.zip", bytearray(mixed.getvalue())), ("none", None)], "path string, content binary")
+    got = {(r.archive, r.path): r for r in readers.unpack(df).collect()}
+    assert bytes(got["deep.zip", "6.zip..5.zip..4.zip..3.zip..2.zip..1.zip..x.txt"].content) == b"deep"
+    assert got["mixed.zip", "a.rar"].error and got["mixed.zip", "b.zip"].error and bytes(got["mixed.zip", "c.txt.gz"].content) == b"plain" and len(got) == 5
+
+
+def test_files_by_language(spark, tmp_path):
+    for name in ("a.py", "b.rb", "Rakefile", "sub/c.py", "d.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = lambda language: sorted(r.path.split("/")[-1] for r in readers.sources(spark, str(tmp_path), language).collect())
+    assert found("python") == ["a.py", "c.py"] and found("ruby") == ["Rakefile", "b.rb"] and readers.files(spark, str(tmp_path)).count() == 5
+    assert readers.one_a_name(readers.files(spark, str(tmp_path)).select("path")).count() == 5
+
+
+def test_small_readers(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"a": 1,\n "b": "x"}')
+    assert tuple(readers.documents(spark, str(tmp_path / "d.json"), "a int, b string").first()) == (1, "x")
+    frozen = spark.createDataFrame([("six", "1"), ("os", "2")], "name string, version string")
+    assert rows(readers.frozen_and_declared(frozen, spark.createDataFrame([("Six",)], "name string"))) == [("six", "1")]
+    doc = json.dumps({"name": "p", "versions": {"1": {"dist": {"tarball": "u1"}}, "2": {"dist": {"tarball": "u2"}}}})
+    assert rows(readers.npm_tarballs(text(spark, doc, "{"))) == [("p", "1", "u1"), ("p", "2", "u2")]
+    records = spark.createDataFrame([("p", "with_mirrors", 3), ("p", "with_mirrors", 4), ("p", "without_mirrors", 1)], "pkg string, category string, downloads long")
+    assert rows(readers.recorded_downloads(records)) == [("p", 7)]
+    assert rows(readers.shown(text(spark, "Name: Six\nVersion: 1.0\nRequires: A, b\n", "Version: 2"))) == [("six", "1.0", ["a", "b"])]
+    lists = {"npm": {"rows": [{"id": "a"}]}, "npm_all": ["a"], "packagist": {"packageNames": ["a"]}, "rubygems": [{"name": "a"}], "nuget": {"items": [{"nuget:id": "a"}]}}
+    for kind, d in lists.items():
+        assert rows(readers.listed_names(text(spark, json.dumps(d), "no json"), kind)) == [("a",)], kind
+    urls = spark.createDataFrame([("HTTP://X.org/A/",), ("http://x.org/b",)], "url string")
+    assert rows(readers.without_urls(urls, spark.createDataFrame([("http://x.org/A",)], "url string"))) == [("http://x.org/b",)]
+
+
+def test_small_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert json.loads(sinks.as_mapping(df, "k", "v").first().json) == {"a": 1, "b": 2}
+    with pytest.raises(ValueError):
+        sinks.as_mapping(df, "k", "v", most=1)
+    sinks.write_documents(df, str(tmp_path / "docs"))
+    assert spark.read.json(str(tmp_path / "docs")).count() == 2
+    for _ in range(2):
+        sinks.append_results(df.withColumn("language", F.lit("x")), str(tmp_path / "results"))
+    assert spark.read.parquet(str(tmp_path / "results")).count() == 4
+    assert rows(sinks.without_done(spark.createDataFrame([("a",), ("z",)], "k string"), str(tmp_path / "results"), ["k"])) == [("z",)]
+    sinks.write_graph(spark.createDataFrame([("a", "b")], "src string, dst string"), str(tmp_path / "graph"))
+    assert spark.read.parquet(str(tmp_path / "graph")).count() == 1
+    wide = spark.createDataFrame([("a", 0, 2), ("b", None, 0)], "name string, a int, b int")
+    assert rows(sinks.pairs_from_matrix(wide, "name")) == [("a", "a", 0), ("a", "b", 2), ("b", "b", 0)]
+
+
+def test_small_metadata(spark):
+    v = spark.createDataFrame([("p", "1", "2020-01-02 03:04:05")], "pkg string, version string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    listed = spark.createDataFrame([("p", "x"), ("q", "y")], "package_name string, version string")
+    assert rows(metadata.with_time(listed, v)) == [("p", "1", "2020-01-02")]
+    npm = metadata.normalize(spark.createDataFrame([("p", json.dumps({"maintainers": ["m <m@n.o>"], "scripts": {"pretest": "x"}, "browser": "b", "dependencies": {"z": "1"}}))], "pkg string, value string"), "javascript")
+    assert npm.select("has_test", "has_exercise", "has_install").first() == (True, True, False)
+    assert {r.package_name: r.emails for r in metadata.with_author(listed, npm).collect()} == {"p": ["m@n.o"], "q": None}
+    assert {r.package_name: r.has_test for r in metadata.aggregated(listed, npm).collect()} == {"p": True, "q": None}
+    edges = metadata.versioned_edges(spark.createDataFrame([("a", "1", "b", None)], "src string, src_version string, dst string, dst_version string"))
+    assert rows(edges) == [("a==1", "b==latest")]
+    c = spark.createDataFrame([(["Programming Language :: Python :: 3"],), (["Programming Language :: Python :: 3", "Programming Language :: Python :: 2"],), (None,)], "c array<string>")
+    assert [r[0] for r in c.select(metadata.python_major(F.col("c"))).collect()] == ["python3", "python2", "python2"]
+    s = spark.createDataFrame([({"1": "ok", "2": "bad"},)], "s map<string,string>")
+    assert s.select(metadata.valid_versions(F.col("s"))).first()[0] == {"1": "ok"}
+    both = metadata.package_records(npm, spark.createDataFrame([("p", "y"), ("q", "w")], "src string, dst string"))
+    assert sorted((r.pkg, tuple(r.requires), r.known) for r in both.collect()) == [("p", ("y",), "both"), ("q", ("w",), "dependencies")]
+    assert metadata.package_records(npm).first().known == "metadata"
