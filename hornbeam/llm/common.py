@@ -96,12 +96,12 @@ def in_arrow(df: DataFrame, work: Callable, schema: str | T.StructType) -> DataF
         try:
             yield from work(batches)
         finally:
-            _give_back()
+            give_back()
 
     return df.mapInArrow(tidy, schema)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """What allocators keep for later goes back to the system: idle workers live on beside others' tasks."""
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -12,6 +12,12 @@ some whole block agrees too; one that is still larger is cut into chunks: each p
 the tree of one sent to it and the other as queries, so none outgrows a task. Only links that join two groups of a
 shard are given out, so a group of n near copies gives n - 1 links, not all pairs.
 
+Near copies by similarity (keep_alike): 64 bits do not tell a similarity of 0.8, at which about 10 of them differ, from
+chance. Wide fingerprints of WORDS times 64 bits over distinct shingles of ALIKE_SHINGLE words do: as many bits differ as
+the angle between the sets says. Blocks that must agree would be too short here, so a fingerprint is sharded by many
+choices of bits, so many that two of the wanted similarity agree on all bits of some choice with probability SURE. A
+shard over the limit takes more bits of its choice. In each shard a BK-tree links what is within the radius.
+
 Null and blank texts have fingerprint zero, linked like any other. Null ids are kept; a class's id is its smallest
 id that is not null (null if it has none). Repeated rows stay; extra columns are left out, whatever their names; an
 empty table gives an empty result.
@@ -19,6 +25,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +35,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.llm.common import bounds, buckets, cut, in_arrow, runs, skewed_join
 from hornbeam.llm.graphs import components
+from hornbeam.llm.substring import shingles
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 SHARD = 4096
@@ -186,33 +194,39 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     return keyed.repartition(buckets(spark), *shards).sortWithinPartitions(*shards, "fp").transform(in_arrow, work, "a long, b long")
 
 
-def _named(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """fingerprints() with component_id, and first: the id and mark of the class's one row that stays."""
-    own = cut(fingerprints(docs, shingle))
+def _named(own: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (doc_id, mark, fp) with component_id, and first: the id and mark of the class's one row that stays. link: the
+    distinct fp, with whatever else own has of them -> (a, b)."""
+    own = cut(own)
     row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
-    fps = cut(own.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")))
-    found = components(links(fps.select("fp"), radius, shard))
+    more = [F.min(c).alias(c) for c in own.columns if c not in ("doc_id", "mark", "fp")]
+    fps = cut(own.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n"), *more))
+    found = components(link(fps))
     named = fps.join(found, fps.fp == found.node, "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     linked = named.join(found.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
     by_fp = cut(named.join(linked, "root", "left").select("fp", "n", F.coalesce("least", "first").alias("first")))
-    joined = skewed_join(own, by_fp, "fp", "n")
+    joined = skewed_join(own.select("doc_id", "mark", "fp"), by_fp, "fp", "n")
     return joined.select("doc_id", "mark", "fp", F.col("first.doc_id").alias("component_id"), "first")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id that links reach from each document, its own included."""
-    return _named(docs, shingle, radius, shard).select("doc_id", "fp", "component_id")
+    return _named(fingerprints(docs, shingle), lambda fps: links(fps, radius, shard)).select("doc_id", "fp", "component_id")
 
 
 #: Ids of documents to leave out are broadcast while there are at most this many (16 bytes each).
 BROADCAST = 500_000
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """docs with one row of each class, the one with the smallest id, with all its columns. Rows without an id stay. A
     row is told by its id and its text: of rows that share an id, those with texts of other classes stay where they are
     the first of their class; of rows equal in both, one stays."""
-    found = cut(_named(docs, **options).filter("doc_id IS NOT NULL"))
+    return _first_of_each(docs, _named(fingerprints(docs, shingle), lambda fps: links(fps, radius, shard)))
+
+
+def _first_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    found = cut(named.filter("doc_id IS NOT NULL"))
     me = F.struct("doc_id", "mark")
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST else df
     names = [F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")]
@@ -225,3 +239,141 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     again = small(again)
     repeated = kept.join(again, same, "inner").dropDuplicates(["_id", "_mark"]).select(*kept.columns)
     return kept.join(again, same, "left_anti").unionByName(repeated)
+
+
+#: Wide fingerprints: words of 64 bits, words of a shingle, similarity that is wanted, and how sure it is found in a shard.
+WORDS, ALIKE_SHINGLE, ALIKE, SURE = 4, 5, 0.8, 0.95
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MIXERS = np.random.default_rng(17).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(text: str | None) -> bytes:
+    """64 * WORDS bits: each set if it is in over half the hashes of the distinct shingles (fewer words: the whole text's;
+    none: zero)."""
+    h = np.unique(shingles(text))
+    if not len(h):
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not words:
+            return bytes(8 * WORDS)
+        from xxhash import xxh64_intdigest
+
+        h = np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    counts = np.zeros((WORDS, 64), np.int64)
+    for at in range(0, len(h), 1 << 14):
+        x = h[None, at : at + (1 << 14)] * _MIXERS[:, None]
+        x ^= x >> np.uint64(32)
+        x *= _MIXERS[::-1, None]
+        x ^= x >> np.uint64(29)
+        counts += np.unpackbits(x.view(np.uint8).reshape(WORDS, -1, 8), axis=2, bitorder="little").sum(1, dtype=np.int64)
+    return np.packbits(counts.reshape(-1) * 2 > len(h), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, wide, fp): the wide fingerprint and a hash of it."""
+
+    def work(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t) for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "mark", "wide"])
+
+    wanted = docs.select(docs[id_col].cast("long"), mark_of(docs[text_col]), docs[text_col].cast("string"))
+    return wanted.transform(in_arrow, work, "doc_id long, mark long, wide binary").withColumn("fp", F.xxhash64("wide"))
+
+
+def share_of_bits(similarity: float) -> float:
+    """The share of bits that differ between sets of one size with a Jaccard similarity: their angle over a half turn."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_radius(similarity: float = ALIKE) -> int:
+    """Bits within which 19 of 20 pairs of that similarity differ."""
+    n, p = 64 * WORDS, share_of_bits(similarity)
+    return round(n * p + 1.645 * (n * p * (1 - p)) ** 0.5)
+
+
+def bit_choices(n: int, similarity: float = ALIKE, sure: float = SURE) -> tuple[int, np.ndarray]:
+    """(bits, choices): how many bits of each choice, an order of all bits, must agree: about 8 of n fingerprints do."""
+    bits = min(max(8, int(np.ceil(np.log2(max(n, 2)))) - 3), 48)
+    agree = (1 - share_of_bits(similarity)) ** bits
+    many = int(np.ceil(np.log(1 - sure) / np.log(1 - agree)))
+    rng = np.random.default_rng(19)
+    return bits, np.stack([rng.permutation(64 * WORDS) for _ in range(many)])
+
+
+def _choice_keys(bits: np.ndarray, choices: np.ndarray, take: np.ndarray) -> np.ndarray:
+    """A hash of the bits of each row's choice, `take` of them. bits: (rows, all bits); choices: (rows, all bits)."""
+    chosen = np.take_along_axis(bits, choices, 1)
+    chosen[np.arange(bits.shape[1])[None] >= take[:, None]] = 0
+    words = np.packbits(chosen, axis=1, bitorder="little").view(np.uint64)
+    h = take.astype(np.uint64)
+    for k in range(words.shape[1]):
+        h = (h ^ words[:, k]) * _GOLDEN
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def wide_links(fps: DataFrame, similarity: float = ALIKE, shard: int = SHARD) -> DataFrame:
+    """(a, b): links, by their hashes, that join all fingerprints (fp, wide; distinct) that a choice of bits and the radius
+    connect."""
+    spark, radius = fps.sparkSession, wide_radius(similarity)
+    bits, choices = bit_choices(fps.count(), similarity)
+    most, salts = choices.shape[1], np.arange(1, len(choices) + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
+
+    def keys(batches):
+        for b in batches:
+            own, wide = b.column(0), b.column(1)
+            x = np.unpackbits(np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
+            for c in range(len(choices)):
+                agreed = np.packbits(x[:, choices[c, :bits]], axis=1, bitorder="little")
+                key = np.zeros((len(x), 8), np.uint8)  # no more than 64 bits
+                key[:, : agreed.shape[1]] = agreed
+                key = (key.view(np.uint64)[:, 0] ^ salts[c]) * _GOLDEN + salts[c]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(x), c, np.int32)), own, wide], ["key", "c", "fp", "wide"])
+
+    def longer(batches):
+        for b in batches:
+            x = np.unpackbits(np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
+            c, more = b.column("c").to_numpy(), b.column("more").to_numpy()
+            key = _choice_keys(x, choices[c], np.minimum(bits + more, most)) ^ salts[c]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("fp"), b.column("wide")], ["key", "fp", "wide"])
+
+    def work(batches):
+        for t in runs(batches, ["key"], 10 * SHARD):
+            key, own = t.column("key").to_numpy(), t.column("fp").to_numpy()
+            wide, at, out = t.column("wide").to_pylist(), bounds(key), []
+            for k in np.flatnonzero(np.diff(at) > 1).tolist():
+                _join_all([int.from_bytes(w, "little") for w in wide[at[k] : at[k + 1]]], own[at[k] : at[k + 1]].tolist(), radius, out)
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    keyed = fps.select("fp", "wide").transform(in_arrow, keys, "key long, c int, fp long, wide binary")
+    large = keyed.groupBy("key").count().filter(F.col("count") > shard).select("key", (F.ceil(F.log2(F.col("count") / shard)) + 4).cast("int").alias("more"))
+    large = cut(large)
+    rows = keyed.select("key", "fp", "wide")
+    if n := large.count():
+        large = F.broadcast(large) if n <= LARGE else large
+        finer = keyed.join(large, "key").select("c", "more", "fp", "wide").transform(in_arrow, longer, "key long, fp long, wide binary")
+        rows = keyed.join(large, "key", "left_anti").select("key", "fp", "wide").unionByName(finer)
+    return rows.repartition(buckets(spark), "key").sortWithinPartitions("key").transform(in_arrow, work, "a long, b long")
+
+
+def _join_all(values: list[int], names: list[int], radius: int, out: list[tuple[int, int]]) -> None:
+    """Links by name that join all values connected within the radius, one fewer than there are in each group."""
+    tree, of, top = BKTree(), {}, {v: v for v in values}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    for v, name in zip(values, names):
+        for g in tree.near(v, radius):
+            if (a := root(v)) != (b := root(g)):
+                top[max(a, b)] = min(a, b)
+                out.append((name, of[g]))
+        of[v] = name
+        tree.add(v)
+
+
+def keep_alike(docs: DataFrame, similarity: float = ALIKE, shard: int = SHARD) -> DataFrame:
+    """As keep_one(), for classes of documents whose sets of shingles have that Jaccard similarity, by wide fingerprints."""
+    return _first_of_each(docs, _named(wide_fingerprints(docs), lambda fps: wide_links(fps, similarity, shard)))

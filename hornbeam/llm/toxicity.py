@@ -17,6 +17,7 @@ gives an empty result; extra columns, `score` among them, are left out by score(
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hornbeam.llm.common import fold, in_arrow, stored
+from hornbeam.llm.common import fold, give_back, in_arrow, stored
 
 ORDERS, BITS = (3, 4, 5), 20
 SAMPLE, CHARS, SMOOTH = 4000, 25_000_000, 1.0
@@ -33,6 +34,7 @@ COST, SWEEPS, STILL = 1.0, 60, 1e-3
 #: A likelihood ratio (twice its logarithm) at which a place's counts are taken as they are.
 SURE = 20.0
 FOLDS, HELD = 5, 0
+END = 1 << BITS
 #: Characters of text hashed at a time; longer texts are taken in pieces that overlap by an n-gram.
 PIECE = 1 << 20
 
@@ -86,17 +88,18 @@ def scales(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray
     return np.where(both > 0, ratio * np.clip(telling / SURE, 0, 1) ** 2, 0.0)
 
 
-def fit(texts: list[np.ndarray], toxic: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
-    """Weights and intercept from the distinct places of each text. Minimizes half the squared norm of the coefficients
+def fit(texts: Sequence[np.ndarray], toxic: np.ndarray, cost: float = COST) -> tuple[np.ndarray, float]:
+    """Weights and intercept from the distinct places of each text, ended by END. Minimizes half the squared norm of the coefficients
     of the scaled features, the intercept's among them, and cost times the sum of logistic losses. Of the dual one
     variable a text is solved for at a time, by Newton steps; weights are kept times their scale."""
-    counts = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, y in zip(texts, toxic) if y == k)]).astype(np.int64), minlength=1 << BITS) for k in (0, 1)]
     toxic = np.asarray(toxic)
-    square = np.append(scales(*counts, int((toxic == 0).sum()), int((toxic == 1).sum())) ** 2, 1.0).astype(np.float32)
-    texts = [np.append(t, np.int32(1 << BITS)) for t in texts]
+    counts = np.zeros((2, END + 1), np.int32)
+    for t, y in zip(texts, toxic.tolist()):
+        counts[y, t] += 1
+    square = np.append(scales(*counts[:, :END], int((toxic == 0).sum()), int((toxic == 1).sum())) ** 2, 1.0).astype(np.float32)
     norms = [float(square[t].sum(dtype=np.float64)) for t in texts]
     sign = np.where(toxic == 1, 1.0, -1.0).tolist()
-    w, dual = np.zeros((1 << BITS) + 1, np.float32), [1e-3 * cost] * len(texts)
+    w, dual = np.zeros(END + 1, np.float32), [1e-3 * cost] * len(texts)
     for t, y, a in zip(texts, sign, dual):
         w[t] += np.float32(y * a) * square[t]
     rng = np.random.default_rng(7)
@@ -107,7 +110,7 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, cost: float = COST) -> tuple
             margin, x = y * float(w[t].sum(dtype=np.float64)), old
             for _ in range(50):
                 step = (q * (x - old) + margin + math.log(x / (cost - x))) / (q + cost / (x * (cost - x)))
-                new = min(max(x - step, x / 10), (x + 9 * cost) / 10)
+                new = min(max(x - step, x / 10, 1e-12 * cost), (x + 9 * cost) / 10, (1 - 1e-12) * cost)
                 done, x = abs(new - x) < 1e-9 * cost, new
                 if done:
                     break
@@ -120,6 +123,11 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, cost: float = COST) -> tuple
     return w[:-1].copy(), float(w[-1])
 
 
+def features(text: str | None) -> np.ndarray:
+    """The distinct places of a text in order, and END, the intercept's."""
+    return np.append(np.unique(places(text)).astype(np.int32), np.int32(END))
+
+
 def _pack(found: np.ndarray) -> bytes:
     """Sorted places, as the steps between them."""
     import zstandard
@@ -127,10 +135,19 @@ def _pack(found: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.diff(found, prepend=0).astype(np.int32).tobytes())
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    import zstandard
+class _Packed(Sequence):
+    """Packed places of texts, unpacked one at a time: the sample's take the driver some tens of megabytes."""
+
+    def __init__(self, rows: list[bytes]):
+        import zstandard
+
+        self.rows, self.decompress = rows, zstandard.ZstdDecompressor().decompress
+
+    def __len__(self) -> int:
+        return len(self.rows)
 
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32), dtype=np.int32)
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.cumsum(np.frombuffer(self.decompress(self.rows[i]), np.int32), dtype=np.int32)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = CHARS) -> Model:
@@ -151,17 +168,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
         return flat
     some = texts.filter(below("h", "characters", F.when(F.col("toxic") == 1, min(1.0, chars / sizes[1])).otherwise(min(1.0, chars / sizes[0]))))
 
-    def features(batches):
+    def packed(batches):
         for b in batches:
-            out = [_pack(np.unique(places(t)).astype(np.int32)) for t in b.column(1).to_pylist()]
+            out = [_pack(features(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["toxic", "features"])
 
-    got = some.select("toxic", "text").transform(in_arrow, features, "toxic int, features binary").toArrow()
+    got = some.select("toxic", "text").transform(in_arrow, packed, "toxic int, features binary").toArrow()
     rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))  # reruns agree whatever the tasks' order
-    y = np.array([k for k, _ in rows])
+    del got
+    y, each = np.array([k for k, _ in rows]), _Packed([x for _, x in rows])
+    del rows
     if not 0 < y.sum() < len(y):
         return flat
-    weights, intercept = fit([_unpack(x) for _, x in rows], y)
+    weights, intercept = fit(each, y)
+    del each
+    give_back()
     s1 = int(y.sum())
     return Model(weights, float(intercept + np.log(toxic / clean) - np.log(s1 / (len(y) - s1))))
 

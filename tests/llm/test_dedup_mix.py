@@ -163,6 +163,49 @@ def test_only_local_sessions_make_their_own_folder(spark):
     assert [common.is_local(m) for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,1024]", "spark://x:7077", "yarn")] == [True, True, True, False, False, False]
 
 
+def jaccard(a, b):
+    one, two = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+@pytest.mark.parametrize("shard", [4096, 3])
+def test_keep_alike_finds_near_copies_and_leaves_others(spark, shard):
+    r = random.Random(8)
+    texts, pairs = [], []
+    for k in range(80):
+        w = words(r.randint(120, 400), 3000 + k)
+        v = list(w)
+        for place in r.sample(range(len(w)), max(1, round(len(w) * r.uniform(0.002, 0.022)))):
+            v[place] = words(1, 50_000 + 500 * k + place)[0]
+        if jaccard(" ".join(w), " ".join(v)) >= simhash.ALIKE:
+            pairs.append((len(texts) + 1, len(texts) + 2))
+        texts += [" ".join(w), " ".join(v)]
+    alone = [" ".join(words(200, 9000 + k)) for k in range(100)] + ["one", "one two", "a b c d", "a b c e"]
+    half = words(300, 7)  # half alike is not alike
+    alone += [" ".join(half), " ".join(half[:150] + words(150, 8))]
+    copies = ["Same TEXT here and there again", "same text here and there again", None, "", " "]
+    df = docs(spark, texts + alone + copies)
+    kept = {x.doc_id for x in simhash.keep_alike(df, shard=shard).collect()}
+    n, m = len(texts), len(texts) + len(alone)
+    assert len(pairs) > 40 and sum(b not in kept for _, b in pairs) >= 0.9 * len(pairs)
+    assert kept >= set(range(n + 1, m + 1)) and kept & set(range(m + 1, m + 6)) == {m + 1, m + 3}
+    assert all(a in kept or a - 1 in kept for a in range(1, n + 1))
+    assert simhash.keep_alike(df.limit(0)).count() == 0 and simhash.keep_alike(df).columns == df.columns
+
+
+def test_wide_fingerprints_are_as_far_apart_as_the_sets():
+    base = words(3000, 1)
+    for share in (0.005, 0.02):
+        r = random.Random(3)
+        other = list(base)
+        for place in r.sample(range(3000), round(3000 * share)):
+            other[place] = words(1, 10_000 + place)[0]
+        j = jaccard(" ".join(base), " ".join(other))
+        a, b = (int.from_bytes(simhash.wide_fingerprint(" ".join(t)), "little") for t in (base, other))
+        assert abs((a ^ b).bit_count() - 256 * simhash.share_of_bits(j)) < 20
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" ") == bytes(32) != simhash.wide_fingerprint("a")
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(100 + k, 100) for k in range(1, 20)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(7, 7)]

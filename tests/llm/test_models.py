@@ -172,7 +172,7 @@ def test_toxicity_equals_brute_force():
         p = 1 / (1 + np.exp(sign * m))
         step = np.linalg.solve(np.diag(p * (1 - p) * toxicity.COST) @ kernel + np.eye(len(y)), c - toxicity.COST * sign * p)
         c -= step
-    weights, intercept = toxicity.fit([np.unique(toxicity.places(t)).astype(np.int32) for t in texts], y)
+    weights, intercept = toxicity.fit([toxicity.features(t) for t in texts], y)
     model = toxicity.Model(weights, intercept)
     want = 1 / (1 + np.exp(-(kernel @ c)))
     got = np.array([model.score(t) for t in texts])
