@@ -226,15 +226,21 @@ def break_cycles(edges: DataFrame, scores: DataFrame | None = None) -> DataFrame
 def neighbour_similarity(edges: DataFrame, least: float = 0.5) -> DataFrame:
     """(a, b, jaccard) of nodes whose sets of dependencies are at least so similar.
 
-    Sets that similar share one of their rarest dependencies: of n, those in front when all but the last
-    ceil(least * n) - 1 count. Only these meet in the join, so what everybody depends on makes no pairs."""
+    Sets are in an order in which rare dependencies come first. Similar sets share one of those in front, when of n all
+    but the last ceil(least * n) - 1 count; only these meet in the join, so what everybody depends on makes no pairs. Of
+    pairs that meet, sizes and what can still follow the last dependency in common must be enough for the similarity;
+    only for those that are left are whole sets compared."""
     e = _clean(edges)
     common = e.groupBy("dst").agg(F.count("*").alias("f"))
     sets = e.join(common, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("f", "dst"))).alias("s"))
-    sets = cut(sets.select("src", F.transform("s", lambda x: x["dst"]).alias("s")))
-    front = F.size("s") - F.ceil(F.size("s") * least - 1e-9).cast("int") + 1
-    short = sets.select("src", F.explode(F.slice("s", 1, F.least(front, F.size("s")))).alias("dst"))
-    pairs = short.withColumnRenamed("src", "a").join(short.withColumnRenamed("src", "b"), "dst").filter("a < b").select("a", "b").distinct()
+    sets = cut(sets.select("src", F.transform("s", lambda x: x["dst"]).alias("s"), F.size("s").alias("n")))
+    front = F.least(F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1, F.col("n"))
+    short = sets.select("src", "n", F.posexplode(F.slice("s", 1, front)).alias("place", "dst"))
+    side = lambda x: short.select(F.col("src").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), "dst")
+    sizes = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    met = side("a").join(side("b"), "dst").filter((F.col("a") < F.col("b")) & sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    room = F.col("m") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    pairs = met.filter(room >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
     full = pairs.join(sets.select(F.col("src").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("src").alias("b"), F.col("s").alias("sb")), "b")
     m = F.size(F.array_intersect("sa", "sb"))
     return full.select("a", "b", (m / (F.size("sa") + F.size("sb") - m)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hornbeam.functions.names import as_bytes, edit_distance
+from hornbeam.functions.storage import cut
 
 
 def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
@@ -14,32 +15,64 @@ def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
     return start, F.floor(length * (k + 1) / parts).cast("int") - start
 
 
-def edit_distance_pairs(left: DataFrame, right: DataFrame | None = None, name: str = "name", limit: int = 2, metric: str = "bytes", include_self: bool = False) -> DataFrame:
-    """(a, b, distance) of distinct names within the limit; without `right`, unordered pairs a < b of `left`.
+#: A key that so many names share is split by a second one.
+HOT = 1000
 
-    A name is cut into limit + 1 even segments; one that is within the limit must have one of them unchanged, shifted
-    by the limit at most. Both sides become (length, segment number, text) keys for one equi-join, so the work follows
-    the number of near names, not the square of all. A limit of 0 keeps every pair that shares its only key: equal ones."""
-    plain = as_bytes if metric != "chars" else (lambda c: c)
-    parts = limit + 1
-    ours = left.select(F.col(name).alias("a")).filter(F.col(name).isNotNull()).distinct().withColumn("x", plain(F.col("a"))).withColumn("n", F.length("x"))
-    theirs = (left if right is None else right).select(F.col(name).alias("b")).filter(F.col(name).isNotNull()).distinct().withColumn("y", plain(F.col("b"))).withColumn("m", F.length("y"))
-    keys = []
+
+def _own_keys(x: Column, parts: int) -> Column:
+    """A name's segments: what they are looked up by (length of the name, number, text) and where they stand."""
+    keys, n = [], F.length(x)
     for k in range(parts):
-        start, size = _segment(F.col("n"), k, parts)
-        keys.append(F.struct(F.col("n").alias("len"), F.lit(k).alias("part"), F.col("x").substr(start + 1, size).alias("text")))
-    one = ours.select("a", F.explode(F.array(*keys)).alias("key"))
-    keys = []
+        start, size = _segment(n, k, parts)
+        keys.append(F.struct(F.struct(n.alias("len"), F.lit(k).alias("part"), x.substr(start + 1, size).alias("text")).alias("key"), start.alias("at"), size.alias("size")))
+    return F.array(*keys)
+
+
+def _near_keys(y: Column, parts: int) -> Column:
+    """The segments that a name within parts - 1 edits of y can have unchanged, as they are found in y."""
+    keys, m, limit = [], F.length(y), parts - 1
     for change in range(-limit, limit + 1):
-        n = F.col("m") + change
+        n = m + change
         for k in range(parts):
             start, size = _segment(n, k, parts)
             for shift in range(-limit, limit + 1):
                 at = start + shift
-                fits = (n >= 0) & (at >= 0) & (at + size <= F.col("m"))
-                keys.append(F.when(fits, F.struct(n.alias("len"), F.lit(k).alias("part"), F.col("y").substr(at + 1, size).alias("text"))))
-    two = theirs.select("b", F.explode(F.array_distinct(F.filter(F.array(*keys), lambda x: x.isNotNull()))).alias("key"))
-    found = one.join(two, "key").select("a", "b").distinct()
+                fits = (n >= 0) & (at >= 0) & (at + size <= m)
+                key = F.struct(n.alias("len"), F.lit(k).alias("part"), y.substr(at + 1, size).alias("text"))
+                keys.append(F.when(fits, F.struct(key.alias("key"), at.alias("at"), size.alias("size"))))
+    return F.array_distinct(F.filter(F.array(*keys), lambda x: x.isNotNull()))
+
+
+def _rest(x: str) -> Column:
+    """A name without the segment of its key."""
+    c = F.col(x)
+    return F.concat(c.substr(F.lit(1), F.col("at")), c.substr(F.col("at") + F.col("size") + 1, F.length(c)))
+
+
+def edit_distance_pairs(left: DataFrame, right: DataFrame | None = None, name: str = "name", limit: int = 2, metric: str = "bytes", include_self: bool = False) -> DataFrame:
+    """(a, b, distance) of distinct names within the limit; without `right`, unordered pairs a < b of `left`.
+
+    A name is cut into limit + 1 even segments; one that is within the limit must have one of them unchanged, shifted
+    by the limit at most. Both sides become (length, segment number, text) keys for one equi-join, so the work follows
+    the number of near names, not the square of all. Names that share a frequent segment, as those of one scope do, meet
+    only if what is left of them shares a segment too: it is within the limit as well. A limit of 0 keeps every pair that
+    shares its only key: equal ones."""
+    plain = as_bytes if metric != "chars" else (lambda c: c)
+    parts = limit + 1
+    ours = left.select(F.col(name).alias("a")).filter(F.col(name).isNotNull()).distinct().withColumn("x", plain(F.col("a")))
+    theirs = (left if right is None else right).select(F.col(name).alias("b")).filter(F.col(name).isNotNull()).distinct().withColumn("y", plain(F.col("b")))
+    one = ours.select("a", "x", F.explode(_own_keys(F.col("x"), parts)).alias("k")).select("a", "x", "k.*")
+    two = theirs.select("b", "y", F.explode(_near_keys(F.col("y"), parts)).alias("k")).select("b", "y", "k.*")
+    hot = one.groupBy("key").count().filter(F.col("count") > HOT).select("key")
+    if limit == 0 or hot.isEmpty():
+        found = one.select("a", "key").join(two.select("b", "key"), "key")
+    else:
+        hot = cut(hot)
+        found = one.join(hot, "key", "left_anti").select("a", "key").join(two.select("b", "key"), "key").select("a", "b")
+        far = one.join(hot, "key", "left_semi").select("a", "key", F.explode(_own_keys(_rest("x"), parts)).alias("k")).select("a", "key", F.col("k.key").alias("second"))
+        near = two.join(hot, "key", "left_semi").select("b", "key", F.explode(_near_keys(_rest("y"), parts)).alias("k")).select("b", "key", F.col("k.key").alias("second"))
+        found = found.unionByName(far.join(near, ["key", "second"]).select("a", "b"))
+    found = found.select("a", "b").distinct()
     if right is None:
         found = found.filter(F.col("a") <= F.col("b") if include_self else F.col("a") < F.col("b"))
     measure = "chars" if metric == "chars" else "bytes"
@@ -47,12 +80,28 @@ def edit_distance_pairs(left: DataFrame, right: DataFrame | None = None, name: s
     return near if metric != "normalized" else near.withColumn("distance", edit_distance(F.col("a"), F.col("b"), "normalized"))
 
 
+#: How much of a name is compared where its leading run is frequent.
+WIDE = 24
+
+
 def combo_squats(names: DataFrame, name: str = "name", longer_than: int = 5) -> DataFrame:
     """(first, second): first is a proper part of second, both longer than so many characters. First's leading
-    characters are looked up among the runs of as many characters of all names."""
+    characters are looked up among the runs of as many characters of all names; where very many names begin alike, as
+    those of one scope do, up to WIDE of them, or the whole name, are."""
     width = longer_than + 1
-    n = names.select(F.col(name).alias("first")).filter(F.length("first") > longer_than).distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("second") - longer_than), lambda i: F.col("second").substr(i, F.lit(width))))
+    n = names.select(F.col(name).alias("first")).filter(F.length("first") > longer_than).distinct().withColumn("gram", F.substring("first", 1, width))
+    at = F.sequence(F.lit(1), F.length("second") - longer_than)
+    grams = F.array_distinct(F.transform(at, lambda i: F.col("second").substr(i, F.lit(width))))
     wide = n.select(F.col("first").alias("second")).select("second", F.explode(grams).alias("gram"))
-    found = n.withColumn("gram", F.substring("first", 1, width)).join(wide, "gram")
+    hot = n.groupBy("gram").count().filter(F.col("count") > HOT).select("gram")
+    if hot.isEmpty():
+        found = n.join(wide, "gram")
+    else:
+        hot = cut(hot)
+        cold = n.join(hot, "gram", "left_anti").join(wide, "gram").select("first", "second")
+        places = n.select(F.col("first").alias("second")).select("second", F.explode(at).alias("at")).withColumn("gram", F.col("second").substr(F.col("at"), F.lit(width))).join(hot, "gram", "left_semi")
+        sizes = F.sequence(F.lit(width), F.least(F.lit(WIDE), F.length("second") - F.col("at") + 1))
+        runs = places.select("second", F.explode(F.transform(sizes, lambda k: F.col("second").substr(F.col("at"), k))).alias("run")).distinct()
+        begun = n.join(hot, "gram", "left_semi").withColumn("run", F.substring("first", 1, WIDE))
+        found = cold.unionByName(begun.join(runs, "run").select("first", "second"))
     return found.filter((F.col("first") != F.col("second")) & F.contains("second", "first")).select("first", "second")

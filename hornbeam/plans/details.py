@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hornbeam.functions import names, syscalls
-from hornbeam.operators import authors, catalogue, content, dispatch, extract, flows, graph, ranking, rules, usage, versions
+from hornbeam.operators import authors, catalogue, content, dispatch, extract, findings, flows, graph, ranking, rules, usage, versions
 from hornbeam.plans.catalog import CYCLIC, TREE, USAGE, cyclic_edges, event_values, joined, part_usage, query, table, tree_edges
 from hornbeam.sources import metadata, readers
 
@@ -387,3 +387,55 @@ def private_addresses(spark: SparkSession, d: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     ip = F.concat_ws(".", ((e * 7919) % 256).cast("string"), ((e * 31) % 256).cast("string"), (u % 256).cast("string"), F.lit("1"))
     return table(spark, d, "events").select("event_id", names.is_private_ip(ip).alias("private"))
+
+
+# Other engines
+
+
+@query(
+    """SELECT c_custkey AS k, 'read_' || c_nationkey AS source, 'a.php' AS source_file, c_custkey::INTEGER AS source_line, 'run_' || c_mktsegment AS sink, 'b.php' AS sink_file, 7 AS sink_line, 'injection' AS kind, 'id' || c_custkey AS finding FROM customer"""
+)
+def engine_findings(spark: SparkSession, d: str) -> DataFrame:
+    """A report of two equal findings for each customer."""
+    one = F.struct(
+        F.array(F.format_string("read_%d", "c_nationkey")).alias("source_name"), F.array(F.col("c_custkey")).alias("source_line"), F.array(F.lit("a.php")).alias("source_file"), F.concat(F.lit("run_"), F.col("c_mktsegment")).alias("sink_name"),
+        F.lit(7).alias("sink_line"), F.lit("b.php").alias("sink_file"), F.lit("injection").alias("vuln_name"), F.format_string("id%d", "c_custkey").alias("vuln_id"),
+    )
+    reports = table(spark, d, "customer").select(F.col("c_custkey").alias("pkg"), F.to_json(F.array(one, one)).alias("value"))
+    return findings.parsed(reports, "php").withColumnRenamed("pkg", "k")
+
+
+@query(
+    """SELECT DISTINCT '<' || p_brand || ': void ' || split_part(p_type, ' ', 1) || '(int,' || p_size || ')> -> ' || CASE WHEN p_brand < 'Brand#3' THEN '_SOURCE_' ELSE '_SINK_' END AS line
+    FROM part WHERE p_size > 10"""
+)
+def engine_signatures(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").withColumn("name", F.substring_index("p_type", " ", 1))
+    signatures = p.filter("p_size > 10").select(F.col("p_brand").alias("base_type"), "name", F.lit("void").alias("result"), F.array(F.lit("int"), F.col("p_size").cast("string")).alias("arguments"))
+    known = p.select(F.col("p_brand").alias("base_type"), "name", F.when(F.col("p_brand") < "Brand#3", "SOURCE").otherwise("DANGER").alias("functionality"))
+    return findings.signature_lines(signatures, known)
+
+
+@query(f"SELECT pkg, file, count(*) AS calls FROM {USAGE} GROUP BY 1, 2")
+def calls_by_file(spark: SparkSession, d: str) -> DataFrame:
+    return findings.file_counts(part_usage(spark, d))
+
+
+@query("SELECT seed FROM (SELECT DISTINCT split_part(p_type, ' ', 1) AS seed FROM part UNION SELECT DISTINCT 'g' || s_nationkey FROM supplier)")
+def group_seeds(spark: SparkSession, d: str) -> DataFrame:
+    one = table(spark, d, "part").select(F.concat(F.substring_index("p_type", " ", 1), F.lit("/"), F.col("p_name")).alias("name"))
+    return findings.group_seeds(one, table(spark, d, "supplier").select(F.format_string("g%d/a", "s_nationkey").alias("name")))
+
+
+@query("SELECT o_custkey::VARCHAR AS pkg, count(DISTINCT o_orderkey)::INTEGER AS versions, count(DISTINCT o_orderpriority)::INTEGER AS dependencies FROM orders GROUP BY 1")
+def metadata_counts(spark: SparkSession, d: str) -> DataFrame:
+    times = F.map_from_entries(F.collect_set(F.struct(F.col("o_orderkey").cast("string"), F.lit("2020-01-01T00:00:00Z"))))
+    needs = F.map_from_entries(F.collect_set(F.struct("o_orderpriority", F.lit("*"))))
+    docs = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("pkg")).agg(F.to_json(F.struct(times.alias("time"), needs.alias("dependencies"))).alias("value"))
+    return findings.metadata_counts(metadata.normalize(docs, "javascript"))
+
+
+@query("SELECT DISTINCT o_custkey AS a, min(o_orderkey) OVER (PARTITION BY o_custkey) AS b FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
+def author_packages(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("author"), F.col("o_orderkey").alias("pkg"))
+    return authors.author_packages(o).groupBy(F.col("author").alias("a")).agg(F.min("pkg").alias("b"))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hornbeam.operators import authors, behavior, catalogue, dispatch, extract, flows, graph, rules, similarity, usage, versions
+from hornbeam.operators import authors, behavior, catalogue, dispatch, extract, findings, flows, graph, rules, similarity, usage, versions
 from tests.conftest import rows
 
 
@@ -241,7 +241,15 @@ def test_control_flow(spark):
     blocks = [{"block": k, "stmt_count": 1, "successors": v} for k, v in graph_.items()]
     df = spark.createDataFrame([("m", blocks), ("empty", [])], "method string, blocks array<struct<block:int,stmt_count:int,successors:array<int>>>")
     got = {r.block: (r.seq, r.out_degree, r.loop_depth) for r in control.block_features(df).collect()}
-    assert got == {0: (0, 1, 0), 1: (1, 2, 1), 4: (2, 0, 0), 2: (3, 2, 2), 3: (4, 1, 2)}
+    assert got == {0: (0, 1, 0), 1: (1, 2, 1), 2: (2, 2, 2), 3: (3, 1, 2), 4: (4, 0, 0)}
+    # two branches join in 4, which comes after both; the branch with more statements, then the larger digest, comes first
+    split = {0: [1, 2], 1: [4], 2: [3], 3: [4], 4: []}
+    assert control.joins(split) == {0: 4, 1: 4, 2: 3, 3: 4, 4: None} and control.joins({0: [1], 1: [0]}) == {0: None, 1: None}
+    assert control.number_blocks(split, 0, {1: ["x", "y"], 2: ["x"]}) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
+    assert control.number_blocks(split, 0, {1: ["x"], 2: ["x", "y"]}) == {0: 0, 2: 1, 3: 2, 1: 3, 4: 4}
+    texts = [{"block": k, "stmt_count": 1, "successors": v, "statements": [f"s{k}"]} for k, v in split.items()]
+    df = spark.createDataFrame([("m", texts)], "method string, blocks array<struct<block:int,stmt_count:int,successors:array<int>,statements:array<string>>>")
+    assert control.block_features(df).count() == 5
 
 
 def test_break_cycles_leaves_no_cycle_and_drops_what_it_says(spark):
@@ -280,3 +288,51 @@ def test_authors_and_values_without_a_name(spark):
     assert cell.select(authors.author_emails("x", "ruby")).first()[0] == ["a@b.c"] and cell.select(authors.author_emails("x", "python")).first()[0] == ["a@b.c", "d@e.f"]
     v = spark.createDataFrame([("p", "r", "1"), ("q", "r", "1"), ("p", "r", "2")], "pkg string, rule string, value string")
     assert rows(behavior.value_counts(v, most=1, detail=True)) == [("r", "2", 1, ["p"])]
+
+
+def test_names_of_one_scope_do_not_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HOT", 20)
+    r = random.Random(4)
+    names = ["scope-" + "".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(400)]
+    names += [n[:9] + "x" + n[9:] for n in names[:40]] + [n[:7] + n[8:] for n in names[40:80]] + ["sc" + n[3:] for n in names[80:120]] + ["a", "", "scope-"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(x.a, x.b): x.distance for x in similarity.edit_distance_pairs(df, limit=2).collect()}
+    every = sorted(set(names))
+    want = {(a, b): d for i, a in enumerate(every) for b in every[i + 1 :] if abs(len(a) - len(b)) <= 2 and (d := distance(a, b)) <= 2}
+    assert got == want and len(want) > 120
+
+
+@pytest.mark.parametrize("least", [0.15, 0.5, 0.8])
+def test_neighbour_similarity_equals_all_pairs(spark, least):
+    r = random.Random(6)
+    sets = {k: {r.randrange(30) if r.random() < 0.7 else 99 for _ in range(r.randint(1, 12))} for k in range(60)}
+    sets |= {100 + k: set(list(sets[k])[:-1]) or {1} for k in range(20)}
+    df = spark.createDataFrame([(a, b) for a, s in sets.items() for b in s], "src long, dst long")
+    got = {(x.a, x.b): x.jaccard for x in graph.neighbour_similarity(df, least).collect()}
+    want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) / len(x | y) >= least}
+    assert got == pytest.approx(want)
+
+
+def test_findings_and_lists_of_engines(spark):
+    import json
+
+    ruby = json.dumps({"warnings": [{"warning_type": "SQL", "fingerprint": "f1", "file": "a.rb", "line": 3, "code": "q(x)", "user_input": "params"}] * 2})
+    python = json.dumps({"vulnerabilities": [{"source": {"label": "l", "line_number": 1, "path": "a.py"}, "sink": {"label": "m", "line_number": 9, "path": "a.py"}, "source_trigger_word": "input(", "sink_trigger_word": "run("}]})
+    reports = lambda x: spark.createDataFrame([("p", x), ("q", "no json"), ("r", None)], "pkg string, value string")
+    assert [(r.pkg, r.source, r.sink_line, r.finding) for r in findings.parsed(reports(ruby), "ruby").collect()] == [("p", "params", 3, "f1")]
+    got = findings.parsed(reports(python), "python").first()
+    assert (got.source, got.sink, got.source_line, got.sink_line) == ("input(", "run(", 1, 9) and len(got.finding) == 64
+    known = spark.createDataFrame([("a.b", "b", "a", "SINK", [0]), ("c", "c", None, "SOURCE", []), ("d", "d", None, "DANGER", [])], "full_name string, name string, base_type string, functionality string, arg_ids array<int>")
+    assert json.loads(findings.report_of(known, "python").first().json) == {"sources": ["c", "d"], "sinks": {"a.b": {}}}
+    assert json.loads(findings.report_of(known, "php").first().json) == {"sources": [{"name": "c"}], "sinks": [{"name": "b", "instanceof": "a", "parameters": ["1"]}]}
+    with pytest.raises(ValueError):
+        findings.report_of(known, "cobol")
+
+
+def test_parts_of_names_of_one_scope(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HOT", 10)
+    r = random.Random(9)
+    names = ["react-native-" + "".join(r.choice("ab") for _ in range(k % 14)) for k in range(150)] + ["x-react-native-ab", "react-", "react-n", "native", "other-name", "my-other-name", "short"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    every = sorted(set(names))
+    assert rows(similarity.combo_squats(df)) == sorted((a, b) for a in every for b in every if a != b and len(a) > 5 and len(b) > 5 and a in b)
