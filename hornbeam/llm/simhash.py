@@ -285,9 +285,9 @@ def share_of_bits(similarity: float) -> float:
 
 
 def wide_radius(similarity: float = ALIKE) -> int:
-    """Bits within which 19 of 20 pairs of that similarity differ."""
+    """Bits within which 99 of 100 pairs of that similarity differ, if bits were drawn one by one."""
     n, p = 64 * WORDS, share_of_bits(similarity)
-    return round(n * p + 1.645 * (n * p * (1 - p)) ** 0.5)
+    return round(n * p + 2.326 * (n * p * (1 - p)) ** 0.5)
 
 
 def bit_choices(n: int, similarity: float = ALIKE, sure: float = SURE) -> tuple[int, np.ndarray]:
