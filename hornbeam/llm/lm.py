@@ -13,7 +13,8 @@ no table of words is ever held in one place. Words meet by 64-bit hash, follower
 exchanges are pre-aggregated, so a very frequent word is one entry a batch.
 
 Defined results: null and empty texts are the end token alone; a null id is not held out; repeated rows count and are
-scored each; with no training tokens the base score is 0; an empty table gives an empty result.
+scored each; with no training tokens the base score is 0; an empty table gives an empty result; extra columns, whatever
+their names, are left out. Two followers of one word whose 40 bits are the same count as one (one pair in 10^12).
 """
 
 from __future__ import annotations
