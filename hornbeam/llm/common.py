@@ -71,11 +71,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of plans that nothing refers to any more, which Spark does when memory is cleared: of
-    the driver's Python first, then of its JVM, which finds out in a second round what the first has set free."""
-    for _ in range(2):
+    the driver's Python first, then of its JVM, which finds out in a second round what the first has set free. Executors
+    on other machines get a moment each time to do as they are told."""
+    wait = 0.1 if is_local(spark.sparkContext.master) else 1.0
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.java.lang.System.gc()
-        time.sleep(0.3)
+        time.sleep(wait)
 
 
 #: Rows and bytes of a batch on its way to Python and back.

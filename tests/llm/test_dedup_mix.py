@@ -239,6 +239,20 @@ def test_compact_windows_partition_all_subsequences(values, least):
                 assert len(holds) == 1 and holds[0][1] == low
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 30), max_size=40), max_size=6), st.integers(1, 9), st.integers(0, 30))
+def test_windows_within_reach(lists, least, more):
+    """Of texts side by side, each for itself, and as far as they are followed."""
+    h = np.array([x for t in lists for x in t], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    edges, reach = np.cumsum([0, *map(len, lists)]), least + more
+    got = sorted(zip(*(x.tolist() for x in substring.compact_windows(h, least, 2, edges, reach)[:4])))
+    every = []
+    for t, at in zip(lists, edges.tolist()):
+        own = substring.compact_windows(np.array(t, np.uint64) * np.uint64(0x9E3779B97F4A7C15), least, 2)
+        every += [(j, max(a, c - reach) + at, c + at, min(b, c + reach) + at) for j, a, c, b in zip(*(x.tolist() for x in own[:4]))]
+    assert got == sorted(every)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text("ab \n", max_size=30)), max_size=12), st.integers(1, 60))
 def test_texts_side_by_side_have_their_own_shingles(texts, most):
