@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornbeam.llm import decontaminate, langid, lm, media_ogg, mixing, simhash, substring, tokens, toxicity, urlfilter
+from hornbeam.llm import bpe, decontaminate, importance, langid, lm, media_ogg, mixing, simhash, substring, tokens, toxicity, urlfilter, vectorcodes
 from hornbeam.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,24 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_vector_codes"] = vectorcodes.SQL
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_importance_resampling"] = importance.SQL
