@@ -84,36 +84,42 @@ class Features:
         self.seen: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
         self.alone, self.after, self.length = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
-    def _numbers(self, raw: bytes) -> np.ndarray:
-        seen, out, at = self.seen, [], 0
-        while at < len(raw):
-            m = _GAP.search(raw, at + CHUNK) if len(raw) - at > CHUNK else None
-            end = m.start() if m else len(raw)
-            words = _WORD.findall(raw, at, end)
-            out.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-            at = end
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
-
-    def of(self, text: str | None) -> Iterator[np.ndarray]:
-        """The buckets of a text's features, those of about TOGETHER words at a time; words come first, as an array of
-        their own for each stretch."""
+    def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of texts, by number, side by side, and how many each text has."""
         if len(self.seen) > REMEMBERED:
             self.forget()
-        old = len(self.seen)
-        number = self._numbers((text or "").encode("utf-8", "surrogatepass").lower())
-        if new := list(itertools.islice(self.seen, old, None)):
+        seen, old, out, sizes = self.seen, len(self.seen), [], []
+        for text in texts:
+            raw, at, n = (text or "").encode("utf-8", "surrogatepass").lower(), 0, 0
+            while at < len(raw):
+                m = _GAP.search(raw, at + CHUNK) if len(raw) - at > CHUNK else None
+                end = m.start() if m else len(raw)
+                found = _WORD.findall(raw, at, end)
+                out.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
+                n += len(found)
+                at = end
+            sizes.append(n)
+        if new := list(itertools.islice(seen, old, None)):
             self.alone = np.concatenate((self.alone, np.array([zlib.crc32(w) for w in new], np.uint32)))
             self.after = np.concatenate((self.after, np.array([zlib.crc32(b" " + w) for w in new], np.uint32)))
             self.length = np.concatenate((self.length, np.array([len(w) + 1 for w in new], np.int64)))
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(sizes, np.int64)
+
+    def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, bucket) of all features of texts, those that begin at TOGETHER words at a time; text: its place."""
+        number, sizes = self.words(texts)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(number))  # words from here to the end of the text
         for at in range(0, len(number), TOGETHER):
             k = number[at : at + TOGETHER + self.longest - 1]
-            n = min(len(k), TOGETHER)  # features begin at these words
+            n = min(len(k), TOGETHER)
             crc = self.alone[k]
-            yield crc[:n] % np.uint32(self.buckets)
+            yield text[at : at + n], crc[:n] % np.uint32(self.buckets)
             for more in range(1, self.longest):
                 next_ = k[more:]
                 crc = moved(crc[: len(next_)], self.length[next_]) ^ self.after[next_]
-                yield crc[:n] % np.uint32(self.buckets)
+                inside = np.flatnonzero(left[at : at + min(n, len(next_))] > more)
+                yield text[at + inside], crc[inside] % np.uint32(self.buckets)
 
 
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGEST, text_col: str = "text") -> np.ndarray:
@@ -122,9 +128,8 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, longest: int = LONGES
     def work(batches):
         own, total = Features(buckets, longest), np.zeros(buckets, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                for some in own.of(text):
-                    total += np.bincount(some, minlength=buckets)
+            for _, some in own.of(b.column(0).to_pylist()):
+                total += np.bincount(some, minlength=buckets)
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["bucket", "n"])
 
@@ -147,15 +152,12 @@ def weighed(docs: DataFrame, gain: np.ndarray, longest: int = LONGEST, id_col: s
     def work(batches):
         own = Features(len(gain), longest)
         for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                sizes, weight = [0] * longest, 0
-                for k, some in enumerate(own.of(text)):
-                    sizes[k % longest] += len(some)
-                    weight += int(gain[some].sum())
-                rows.append((sizes[0], sum(sizes), weight))
-            cols = list(zip(*rows)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_words", "n_features", "weight"])
+            texts = b.column(1).to_pylist()
+            weight, sizes = np.zeros(len(texts), np.int64), np.zeros((longest, len(texts)), np.int64)
+            for k, (text, some) in enumerate(own.of(texts)):
+                sizes[k % longest] += np.bincount(text, minlength=len(texts))
+                weight += np.bincount(text, gain[some], len(texts)).astype(np.int64)  # whole numbers far below 2**53
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes[0]), pa.array(sizes.sum(0)), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
 
     return docs.select(docs[id_col].cast("long"), docs[text_col].cast("string")).transform(in_arrow, work, "doc_id long, n_words long, n_features long, weight long")
 

@@ -179,10 +179,10 @@ def test_features_are_checksums_of_word_runs(text, together):
     own = importance.Features()
     importance.TOGETHER, kept = together, importance.TOGETHER
     try:
-        got = np.concatenate([*own.of(text), np.zeros(0, np.uint32)]).tolist()
+        got = [pair for a, b in own.of([text, None, text[:9], "a b"]) for pair in zip(a.tolist(), b.tolist())]
     finally:
         importance.TOGETHER = kept
-    assert sorted(got) == sorted(plain_features(text)[1])
+    assert sorted(got) == sorted((k, b) for k, t in enumerate([text, None, text[:9], "a b"]) for b in plain_features(t)[1])
 
 
 def test_features_of_long_words_and_texts(monkeypatch):
@@ -192,7 +192,7 @@ def test_features_of_long_words_and_texts(monkeypatch):
         monkeypatch.setattr(importance, "REMEMBERED", remembered)
         own = importance.Features()
         for _ in range(2):
-            assert sorted(np.concatenate(list(own.of(text))).tolist()) == sorted(plain_features(text)[1])
+            assert sorted(np.concatenate([b for _, b in own.of([text])]).tolist()) == sorted(plain_features(text)[1])
 
 
 def brute_resample(docs, target):
