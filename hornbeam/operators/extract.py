@@ -11,9 +11,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hornbeam.functions.deadline import within
 from hornbeam.functions.storage import in_arrow
 
 CALL = "base_type string, name string, full_name string, arguments array<string>, source string, start_row int, start_col int, end_row int, end_col int"
@@ -35,7 +36,9 @@ def python_calls(source: str, mode: str = "reference") -> Iterator[Call]:
         elif isinstance(node, ast.Import):
             for a in node.names:
                 bases.setdefault(a.asname or a.name, a.name)
-    text = lambda n: ast.get_source_segment(source, n) or ast.unparse(n)
+    raw = source.encode("utf-8", "surrogatepass")
+    line = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", raw))]  # places are counted in bytes of a line
+    text = lambda n: raw[line[n.lineno - 1] + n.col_offset : line[n.end_lineno - 1] + n.end_col_offset].decode("utf-8", "surrogatepass") or ast.unparse(n)
     calls = sorted((n for n in ast.walk(tree) if isinstance(n, ast.Call)), key=lambda n: (n.lineno, n.col_offset, -(n.end_lineno or 0), -(n.end_col_offset or 0)))
     for node in calls:
         f = node.func
@@ -54,13 +57,13 @@ def python_calls(source: str, mode: str = "reference") -> Iterator[Call]:
 
 #: Per language: strings and comments to pass over, and the shape of a call's name before its bracket.
 _BLANK = {
-    "ruby": r"#[^\n]*|^=begin.*?^=end|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"",
+    "ruby": r"#(?!\{)[^\n]*|^=begin.*?^=end|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"",
     "php": r"//[^\n]*|#[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"",
 }
 _NAME = {
     "javascript": r"(?:([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*|\)|\])\s*\??\.\s*)?([A-Za-z_$][\w$]*)\s*(?:\?\.\s*)?\(",
-    "ruby": r"(?:([A-Za-z_@$][\w:@]*(?:\.[a-z_]\w*[?!]?)*)\s*(?:\.|&\.)\s*)?([A-Za-z_]\w*[?!]?)(?:\s*\(|[ \t]+(?=['\"\w:@$\[]))",
-    "php": r"(?:(\$?[A-Za-z_\\][\w\\]*)\s*(?:->|::)\s*)?([A-Za-z_][\w\\]*)\s*\(",
+    "ruby": r"(?:([A-Za-z_@$][\w:@]*(?:\.[a-z_]\w*[?!]?)*|\)|\])\s*(?:\.|&\.)\s*)?([A-Za-z_]\w*[?!]?)(?:\s*\(|[ \t]+(?=['\"\w:@$\[]))",
+    "php": r"(?:(\$?[A-Za-z_\\][\w\\]*|\)|\])\s*(?:->|::)\s*)?([A-Za-z_][\w\\]*)\s*\(",
 }
 NOT_CALLS = {
     "javascript": {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "with", "super"},
@@ -198,9 +201,26 @@ EXTRACTORS: dict[str, Callable[[str, str], Iterator[Call]]] = {"python": python_
 OUT = f"pkg string, version string, language string, file string, {CALL}, error string"
 
 
-def api_calls(files: DataFrame, mode: str = "reference", most_bytes: int = 8 << 20) -> DataFrame:
+#: Seconds that one file may take.
+SECONDS = 60.0
+
+
+def file_calls(language: str, content: str | None, mode: str = "reference", most_bytes: int = 8 << 20, seconds: float | None = SECONDS) -> tuple[list[Call], str | None]:
+    """The calls of one file, or none and why."""
+    try:
+        if content is None or len(content) > most_bytes:
+            raise ValueError("no content" if content is None else "too large")
+        if language not in EXTRACTORS:
+            raise ValueError(f"no extractor for {language}")
+        with within(seconds):
+            return list(EXTRACTORS[language](content, mode)), None
+    except (SyntaxError, ValueError, RecursionError, MemoryError, TimeoutError) as e:
+        return [], f"{type(e).__name__}: {e}"[:500]
+
+
+def api_calls(files: DataFrame, mode: str = "reference", most_bytes: int = 8 << 20, seconds: float | None = SECONDS) -> DataFrame:
     """Rows of OUT from files (pkg, version, language, path, content): one a call, or one with an error for a file that
-    is null, larger than most_bytes, of a language without an extractor, or does not parse."""
+    is null, larger than most_bytes, of a language without an extractor, does not parse, or not in so many seconds."""
     names = [x.split()[0] for x in OUT.replace("array<string>", "a").split(", ")]
     kinds = [pa.string()] * 7 + [pa.list_(pa.string()), pa.string()] + [pa.int32()] * 4 + [pa.string()]
 
@@ -208,22 +228,32 @@ def api_calls(files: DataFrame, mode: str = "reference", most_bytes: int = 8 <<
         for b in batches:
             rows = []
             for pkg, version, language, path, content in zip(*(c.to_pylist() for c in b.columns)):
-                own, error = [], None
-                try:
-                    if content is None or len(content) > most_bytes:
-                        raise ValueError("no content" if content is None else "too large")
-                    if language not in EXTRACTORS:
-                        raise ValueError(f"no extractor for {language}")
-                    for base, name, arguments, source, *where in EXTRACTORS[language](content, mode):
-                        own.append((pkg, version, language, path, base, name, f"{base}.{name}" if base else name, arguments, source, *where, None))
-                except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-                    own, error = [], f"{type(e).__name__}: {e}"[:500]
-                rows += own if error is None else [(pkg, version, language, path, *[None] * 9, error)]
+                found, error = file_calls(language, content, mode, most_bytes, seconds)
+                if error is not None:
+                    rows.append((pkg, version, language, path, *[None] * 9, error))
+                for base, name, arguments, source, *where in found:
+                    rows.append((pkg, version, language, path, base, name, f"{base}.{name}" if base else name, arguments, source, *where, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
 
     return files.select("pkg", "version", "language", "path", F.col("content").cast("string")).transform(in_arrow, work, OUT)
 
 
+class ApiCalls:
+    """The table function: a row a call of one source, or one row with its error."""
+
+    def eval(self, language: str, source: str, mode: str = "reference"):
+        found, error = file_calls(language, source, mode)
+        if error is not None:
+            yield (*[None] * 9, error)
+        for base, name, arguments, text, *where in found:
+            yield base, name, f"{base}.{name}" if base else name, arguments, text, *where, None
+
+
+def register(spark: SparkSession, name: str = "api_calls_of") -> None:
+    """SQL then has it: SELECT ... FROM files f, LATERAL api_calls_of(f.language, f.content [, mode]) c."""
+    spark.udtf.register(name, F.udtf(ApiCalls, returnType=f"{CALL}, error string"))
+
+
 def known_calls(calls: DataFrame, catalogue: DataFrame, func_only: bool = False) -> DataFrame:
     """Calls in the catalogue: by full name, or by function alone (with a base .name). Both `::` and `->` count as dots."""
     key = lambda c: F.regexp_replace(c, "::|->", ".")

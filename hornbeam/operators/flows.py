@@ -8,6 +8,8 @@ function, which the whole package shares, so that flows cross its files. Flows n
 from __future__ import annotations
 
 import ast
+import bisect
+import functools
 import re
 from collections.abc import Iterator
 
@@ -15,19 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hornbeam.functions.deadline import within
 from hornbeam.functions.storage import Parts, cut, in_arrow
 from hornbeam.operators.extract import NOT_CALLS, brackets, masked, parts_of
 from hornbeam.operators.graph import levels
 
 EDGES = "pkg string, path string, src string, dst string, kind string, place int"
-Edge = tuple[str, str, str, int | None]
+#: What def_use_edges() adds: the call that an edge goes into or comes out of, and what happens to the value on its way.
+DETAILS = ", site string, label string"
+Edge = tuple[str, str, str, int | None, str | None, str]
+#: The name in a call's node, with or without its site.
+CALLED = r"^[^|]*[|][^:]*:(.*)\(\)(?:@[\d.]+)?$"
 
 
-def python_edges(source: str) -> Iterator[Edge]:
+def python_edges(source: str, sites: bool = False) -> Iterator[Edge]:
+    def called(node, scope):
+        return f"|{scope}:{ast.unparse(node.func)}()" + (f"@{node.lineno}.{node.col_offset}" if sites else "")
+
     def inputs(node, scope):
         """Names and calls that a value is made of; what a call takes goes into the call only."""
         if isinstance(node, ast.Call):
-            yield f"|{scope}:{ast.unparse(node.func)}()"
+            yield called(node, scope)
             return
         if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Load):
             yield f"|{scope}:{node.id}"
@@ -42,28 +52,28 @@ def python_edges(source: str) -> Iterator[Edge]:
             elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 inner, within = f"{owner}{child.name}", ""
                 for k, a in enumerate(child.args.args):
-                    yield f"{inner}#{k}", f"|{inner}:{a.arg}", "parameter", k
+                    yield f"{inner}#{k}", f"|{inner}:{a.arg}", "parameter", k, None, PLAIN
             elif isinstance(child, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and child.value is not None:
                 for t in child.targets if isinstance(child, ast.Assign) else [child.target]:
                     for n in ast.walk(t):
                         if isinstance(n, ast.Name):
                             for i in inputs(child.value, scope):
-                                yield i, f"|{scope}:{n.id}", "assign", None
+                                yield i, f"|{scope}:{n.id}", "assign", None, None, PLAIN
             elif isinstance(child, ast.Return) and child.value is not None:
                 for i in inputs(child.value, scope):
-                    yield i, f"{scope}#return", "return", None
+                    yield i, f"{scope}#return", "return", None, None, PLAIN
             elif isinstance(child, ast.Call):
-                called = f"|{scope}:{ast.unparse(child.func)}()"
+                call, site = called(child, scope), f"{child.lineno}.{child.col_offset}"
                 if isinstance(child.func, ast.Attribute):
                     for i in inputs(child.func.value, scope):
-                        yield i, called, "receiver", None
+                        yield i, call, "receiver", None, None, PLAIN
                 for k, a in enumerate([*child.args, *(w.value for w in child.keywords)]):
                     for i in inputs(a, scope):
-                        yield i, called, "argument", k
+                        yield i, call, "argument", k, site, PLAIN
                         if isinstance(child.func, ast.Name):
-                            yield i, f"{child.func.id}#{k}", "call", k
+                            yield i, f"{child.func.id}#{k}", "call", k, site, PLAIN
                 if isinstance(child.func, ast.Name):
-                    yield f"{child.func.id}#return", called, "result", None
+                    yield f"{child.func.id}#return", call, "result", None, site, PLAIN
             yield from visit(child, inner, within)
 
     yield from visit(ast.parse(source), "<module>", "")
@@ -80,86 +90,223 @@ _ASSIGN = {
     "php": r"(\$[A-Za-z_]\w*)(?:\s*(?:->\w+|\[[^\]\n]*\]))*\s*(?:[+\-*/%|&^.]|\?\?)?=(?![=>])",
 }
 _CALL = {
-    "javascript": r"((?:[A-Za-z_$][\w$]*\s*(?:\?\.|\.)\s*)*[A-Za-z_$][\w$]*)\s*\(",
-    "php": r"((?:\$?[A-Za-z_\\][\w\\]*\s*(?:->|::)\s*)*[A-Za-z_\\][\w\\]*)\s*\(",
+    "javascript": r"((?<![\w$])(?:[A-Za-z_$][\w$]*\s*(?:\?\.|\.)\s*)*[A-Za-z_$][\w$]*)\s*\(",
+    "php": r"((?<![\w\\])(?:\$?[A-Za-z_\\][\w\\]*\s*(?:->|::)\s*)*[A-Za-z_\\][\w\\]*)\s*\(",
 }
 _RESERVED = {"javascript": {"var", "let", "const", "new", "this", "true", "false", "null", "undefined", "function", "return", "typeof", "in", "of", "async", "await"}, "php": {"$this"}}
-
-
-def script_edges(source: str, language: str) -> Iterator[Edge]:
+#: What happens to a value on its way: nothing that is known, between single quotes in a longer text, made a number, an
+#: array's element or an object's field is read, it becomes an array's element.
+PLAIN, QUOTED, CAST, ELEMENT, FIELD, COLLECT = "plain", "quoted", "cast", "element", "field", "collect"
+#: PHP: a text that ends in a quote and goes on, a cast to a number, texts with names in them, tests of a name.
+_AFTER_QUOTE = re.compile(r"'\s*\"\s*\.\s*$|\\'\s*'\s*\.\s*$")
+_AFTER_CAST = re.compile(r"\(\s*(?:int|integer|float|double|bool|boolean)\s*\)\s*$")
+_TEXT = re.compile(r"\"(?:\\.|[^\"\\])*\"", re.S)
+_TEST = re.compile(r"\bif\s*\(\s*(!?)\s*([A-Za-z_\\][\w\\]*)\s*\(")
+_ELSE = re.compile(r"\s*else\s*\{")
+
+
+class _Script:
+    """What stands where in a script: found once, looked up by bisection, so that the work follows the script's length."""
+
+    def __init__(self, source: str, language: str):
+        self.source, self.language = source, language
+        self.plain = plain = masked(source, language)
+        self.closed = brackets(plain)
+        self.functions = []  # (bracket, name, parameters)
+        for m in re.finditer(_FUNCTION[language], plain):
+            if name := m[1] or m[2] or m[3]:
+                self.functions.append((m.end() - 1, name, re.findall(_IDENTIFIER[language], m[4])))
+        self.calls = []  # (from, bracket, to, name)
+        for m in re.finditer(_CALL[language], plain):
+            name = re.sub(r"\s", "", m[1])
+            if name.split(".")[0] not in NOT_CALLS[language] and not re.search(r"\bfunction\s*&?$", plain[max(0, m.start() - 20) : m.start()]):
+                self.calls.append((m.start(), m.end() - 1, self.closed[m.end() - 1], name))
+        self.call_starts = [c[0] for c in self.calls]
+        found = [(m.start(), m[0], False) for m in re.finditer(rf"(?<![\w$.>:]){_IDENTIFIER[language]}(?![\w$])(?!\s*\()", plain) if m[0] not in _RESERVED[language]]
+        if language == "php":
+            found += self._in_texts()
+            found.sort()
+        self.names, self.name_starts = found, [x[0] for x in found]
+        self._scopes()
+        self._statements()
+        self.guards = self._guards() if language == "php" else {}
+
+    def _in_texts(self) -> list[tuple[int, str, bool]]:
+        """Names in texts between double quotes; whether single quotes stand around them."""
+        out = []
+        for t in _TEXT.finditer(self.source):
+            if self.plain[t.start()] == '"' == self.plain[t.end() - 1] and "$" in t[0]:
+                for m in re.finditer(_IDENTIFIER["php"], t[0]):
+                    before = t[0][: m.start()].rstrip("{")
+                    if m[0] not in _RESERVED["php"] and not before.endswith("\\"):
+                        out.append((t.start() + m.start(), m[0], before.endswith("'")))
+        return out
+
+    def _scopes(self) -> None:
+        self.scope_starts, self.scope_names, inside = [0], ["<module>"], []
+
+        def leave(until: int) -> None:
+            while inside and inside[-1][0] < until:
+                end, _ = inside.pop()
+                self.scope_starts.append(end + 1)
+                self.scope_names.append(inside[-1][1] if inside else "<module>")
+
+        for a, name, _ in sorted(self.functions):
+            leave(a)
+            inside.append((self.closed[a], name))
+            self.scope_starts.append(a + 1)
+            self.scope_names.append(name)
+        leave(len(self.plain) + 1)
+
+    def scope(self, k: int) -> str:
+        return self.scope_names[bisect.bisect_right(self.scope_starts, k) - 1]
+
+    def _statements(self) -> None:
+        """Between which brackets each place is, and where statements between the same brackets end."""
+        self.level_starts, self.levels, inside = [0], [0], [0]
+        self.level_ends, self.stops, self.lines = [len(self.plain)], [[]], [[]]
+        for m in re.finditer(r"[()\[\]{};\n]", self.plain):
+            k, c = m.start(), m[0]
+            if c in "([{":
+                inside.append(len(self.level_ends))
+                self.level_ends.append(len(self.plain))
+                self.stops.append([])
+                self.lines.append([])
+            elif c in ")]}":
+                if len(inside) == 1:
+                    self.stops[0].append(k)
+                    continue
+                self.level_ends[inside.pop()] = k
+            else:
+                if c == ";":
+                    self.stops[inside[-1]].append(k)
+                elif self.language == "javascript" and self.plain[k - 1 : k] not in ("=", "+", ","):
+                    self.lines[inside[-1]].append(k)
+                continue
+            self.level_starts.append(k + 1)
+            self.levels.append(inside[-1])
+
+    def statement_end(self, k: int) -> int:
+        level = self.levels[bisect.bisect_right(self.level_starts, k) - 1]
+        end, stops, lines = self.level_ends[level], self.stops[level], self.lines[level]
+        if (i := bisect.bisect_left(stops, k)) < len(stops):
+            end = min(end, stops[i])
+        if lines and (m := _SOLID.search(self.plain, k)) and (i := bisect.bisect_right(lines, m.start())) < len(lines):
+            end = min(end, lines[i])
+        return end
+
+    def _guards(self) -> dict[str, list[tuple[int, int, str]]]:
+        """Name -> (from, to, function): where a test by that function has said yes to the name as it is."""
+        out: dict[str, list[tuple[int, int, str]]] = {}
+        for m in _TEST.finditer(self.plain):
+            outer, end = self.plain.find("(", m.start()), self.closed[m.end() - 1]
+            if self.plain[end + 1 : self.closed[outer]].strip():
+                continue
+            block = re.compile(r"\s*\{").match(self.plain, self.closed[outer] + 1)
+            if block and m[1]:
+                block = _ELSE.match(self.plain, self.closed[block.end() - 1] + 1)
+            if block:
+                for part in parts_of(self.plain, self.plain, m.end(), end):
+                    if re.fullmatch(_IDENTIFIER["php"], part):
+                        out.setdefault(part, []).append((block.end() - 1, self.closed[block.end() - 1], m[2]))
+        return out
+
+    def label(self, k: int, end: int, name: str = "", quoted: bool = False) -> str:
+        """What happens to the value of the name, or call, from k to end."""
+        for a, b, test in self.guards.get(name, ()):
+            if a < k < b:
+                return f"valid:{test}"
+        if self.language != "php":
+            return PLAIN
+        if quoted:
+            return QUOTED
+        before, after = self.source[max(0, k - 40) : k], self.plain[end : end + 40].lstrip()
+        if _AFTER_CAST.search(before):
+            return CAST
+        if _AFTER_QUOTE.search(before):
+            return QUOTED
+        if after.startswith("["):
+            return ELEMENT
+        if after.startswith("->"):
+            return FIELD
+        level = self.levels[bisect.bisect_right(self.level_starts, k) - 1]
+        if level:
+            opened = self.openings[level]
+            if self.plain[opened] == "[" and not re.search(r"[\w\])$]\s*$", self.plain[max(0, opened - 20) : opened]) or re.search(r"\barray\s*$", self.plain[max(0, opened - 20) : opened]):
+                return COLLECT
+        return PLAIN
+
+    @functools.cached_property
+    def openings(self) -> list[int]:
+        """Where each pair of brackets, numbered as in levels, begins."""
+        return [-1, *(m.start() for m in re.finditer(r"[(\[{]", self.plain))]
+
+    def inputs(self, a: int, b: int, scope: str, sites: bool) -> Iterator[tuple[str, str]]:
+        """(node, label) of names and calls between two places; what a call takes, and whose it is, goes into the call
+        only."""
+        i, at = bisect.bisect_left(self.call_starts, a), a
+        while at < b:
+            call = self.calls[i] if i < len(self.calls) and self.calls[i][0] < b else None
+            end = call[0] if call else b
+            for n in range(bisect.bisect_left(self.name_starts, at), bisect.bisect_left(self.name_starts, end)):
+                k, name, quoted = self.names[n]
+                yield f"|{scope}:{name}", self.label(k, k + len(name), name, quoted)
+            if call is None:
+                return
+            yield self.node(call, scope, sites), self.label(call[0], call[2] + 1)
+            at = call[2]
+            i = bisect.bisect_left(self.call_starts, at, i + 1)
+
+    def node(self, call: tuple[int, int, int, str], scope: str, sites: bool) -> str:
+        return f"|{scope}:{call[3]}()" + (f"@{call[0]}" if sites else "")
+
+
+_SOLID = re.compile(r"\S")
+
+
+def script_edges(source: str, language: str, sites: bool = False) -> Iterator[Edge]:
     """Edges of a script, found by tokens: a statement's value goes from all names and calls in it to what is assigned,
     returned, or called with it. Functions without a name share the scope that holds them."""
-    plain = masked(source, language)
-    closed = brackets(plain)
-    scopes = []  # (from, to, name, parameters)
-    for m in re.finditer(_FUNCTION[language], plain):
-        name = m[1] or m[2] or m[3]
-        if name:
-            scopes.append((m.end() - 1, closed[m.end() - 1], name, re.findall(_IDENTIFIER[language], m[4])))
-
-    def scope_at(k: int) -> str:
-        inside = [(a, name) for a, b, name, _ in scopes if a < k <= b]
-        return max(inside)[1] if inside else "<module>"
-
-    calls = []  # (from, bracket, to, name)
-    for m in re.finditer(_CALL[language], plain):
-        name = re.sub(r"\s", "", m[1])
-        if name.split(".")[0] not in NOT_CALLS[language] and not re.search(r"\bfunction\s*&?$", plain[max(0, m.start() - 20) : m.start()]):
-            calls.append((m.start(), m.end() - 1, closed[m.end() - 1], name))
-
-    def inputs(a: int, b: int, scope: str) -> Iterator[str]:
-        """Names and calls between two places; what a call takes, and whose it is, goes into the call only."""
-        outer, end = [], a
-        for start, _, close, name in calls:
-            if a <= start < b and start >= end:
-                outer.append((start, close))
-                end = close
-                yield f"|{scope}:{name}()"
-        for m in re.compile(rf"(?<![\w$.>:]){_IDENTIFIER[language]}(?![\w$])(?!\s*\()").finditer(plain, a, b):
-            if m[0] not in _RESERVED[language] and not any(x <= m.start() < y for x, y in outer):
-                yield f"|{scope}:{m[0]}"
-
-    def statement_end(k: int) -> int:
-        depth = 0
-        for i in range(k, len(plain)):
-            depth += (plain[i] in "([{") - (plain[i] in ")]}")
-            if depth < 0 or (depth == 0 and (plain[i] == ";" or (plain[i] == "\n" and language == "javascript" and plain[k:i].strip() and plain[i - 1] not in "=+,"))):
-                return i
-        return len(plain)
-
-    for _, _, name, parameters in scopes:
+    s = _Script(source, language)
+    for _, name, parameters in s.functions:
         for k, p in enumerate(parameters):
-            yield f"{name}#{k}", f"|{name}:{p}", "parameter", k
-    for m in re.finditer(_ASSIGN[language], plain):
+            yield f"{name}#{k}", f"|{name}:{p}", "parameter", k, None, PLAIN
+    for m in re.finditer(_ASSIGN[language], s.plain):
         if m[1] not in _RESERVED[language]:
-            scope = scope_at(m.start())
-            for i in inputs(m.end(), statement_end(m.end()), scope):
-                yield i, f"|{scope}:{m[1]}", "assign", None
-    for m in re.finditer(r"\breturn\b", plain):
-        scope = scope_at(m.start())
-        for i in inputs(m.end(), statement_end(m.end()), scope):
-            yield i, f"{scope}#return", "return", None
-    for start, bracket, end, name in calls:
-        scope = scope_at(start)
+            scope = s.scope(m.start())
+            for i, label in s.inputs(m.end(), s.statement_end(m.end()), scope, sites):
+                yield i, f"|{scope}:{m[1]}", "assign", None, None, label
+    for m in re.finditer(r"\breturn\b", s.plain):
+        scope = s.scope(m.start())
+        for i, label in s.inputs(m.end(), s.statement_end(m.end()), scope, sites):
+            yield i, f"{scope}#return", "return", None, None, label
+    for call in s.calls:
+        start, bracket, end, name = call
+        scope, node, site = s.scope(start), s.node(call, s.scope(start), sites), str(start)
         base = re.match(_IDENTIFIER[language], name)
         if base and base[0] != name and base[0] not in _RESERVED[language]:
-            yield f"|{scope}:{base[0]}", f"|{scope}:{name}()", "receiver", None
+            yield f"|{scope}:{base[0]}", node, "receiver", None, None, PLAIN
         at = bracket + 1
-        for k, part in enumerate(parts_of(plain, plain, bracket + 1, end, strip=False)):
-            for i in inputs(at, at + len(part), scope):
-                yield i, f"|{scope}:{name}()", "argument", k
-                yield i, f"{name}#{k}", "call", k
+        for k, part in enumerate(parts_of(s.plain, s.plain, bracket + 1, end, strip=False)):
+            for i, label in s.inputs(at, at + len(part), scope, sites):
+                yield i, node, "argument", k, site, label
+                yield i, f"{name}#{k}", "call", k, site, label
             at += len(part) + 1
-        yield f"{name}#return", f"|{scope}:{name}()", "result", None
+        yield f"{name}#return", node, "result", None, site, PLAIN
 
 
-EDGE_READERS = {"python": python_edges} | {x: (lambda source, x=x: script_edges(source, x)) for x in ("javascript", "php")}
+EDGE_READERS = {"python": python_edges} | {x: (lambda source, sites=False, x=x: script_edges(source, x, sites)) for x in ("javascript", "php")}
+#: Seconds that one file may take.
+SECONDS = 60.0
 
 
-def def_use_edges(files: DataFrame, language: str = "python") -> DataFrame:
+def def_use_edges(files: DataFrame, language: str = "python", sites: bool = False, seconds: float = SECONDS) -> DataFrame:
     """Rows of EDGES of files (pkg, path, content) in a language of EDGE_READERS: values flow from names and calls into
-    what is assigned, passed or returned; place is the argument's number. Files that do not parse have no edges."""
+    what is assigned, passed or returned; place is the argument's number. sites: each call is a node of its own, named by
+    its place in the file, and the columns of DETAILS are added. Files that do not parse, or not in so many seconds, have
+    no edges."""
     read = EDGE_READERS[language]
+    schema = EDGES + (DETAILS if sites else "")
 
     def work(batches):
         for b in batches:
@@ -167,26 +314,29 @@ def def_use_edges(files: DataFrame, language: str = "python") -> DataFrame:
             for pkg, path, content in zip(*(c.to_pylist() for c in b.columns)):
                 full = lambda node: f"{path}{node}" if node[0] == "|" else node  # noqa: B023, E731
                 try:
-                    found = sorted({(full(s), full(d), k, p) for s, d, k, p in read(content or "")}, key=str)
-                except (SyntaxError, ValueError, RecursionError):
-                    found = []
-                rows += [(pkg, path, *e) for e in found]
-            kinds = [pa.string()] * 5 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], [x.split()[0] for x in EDGES.split(", ")])
+                    with within(seconds):
+                        found = {(full(s), full(d), k, p, f"{path}@{site}" if site else None, label) for s, d, k, p, site, label in read(content or "", sites)}
+                except (SyntaxError, ValueError, RecursionError, TimeoutError):
+                    found = set()
+                rows += [(pkg, path, *e) for e in sorted(found if sites else {e[:4] for e in found}, key=str)]
+            kinds = [pa.string()] * 5 + [pa.int32()] + [pa.string()] * 2 * sites
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return files.select("pkg", "path", F.col("content").cast("string")).transform(in_arrow, work, EDGES)
+    return files.select("pkg", "path", F.col("content").cast("string")).transform(in_arrow, work, schema)
 
 
 def calls(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """(pkg, id): the nodes of calls to the names (column name), whatever the file and function."""
+    """([pkg,] id): the nodes of calls to the names (column name, and pkg where a name counts in one package only),
+    whatever the file and function."""
     ends = edges.select("pkg", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return ends.join(names.select("name").distinct(), F.regexp_extract("id", r"^[^|]*[|][^:]*:(.*)\(\)$", 1) == F.col("name"), "left_semi")
+    by = [c for c in ("pkg", "name") if c in names.columns]
+    return ends.withColumn("name", F.regexp_extract("id", CALLED, 1)).join(names.select(*by).distinct(), by, "left_semi").select("pkg", "id")
 
 
 def only_at(edges: DataFrame, sinks: DataFrame) -> DataFrame:
     """edges without arguments at places that do not matter: sinks (name, parameter) are calls that do harm by these
     arguments only; a name with a null parameter does by any."""
-    named = F.regexp_extract("dst", r"^[^|]*[|][^:]*:(.*)\(\)$", 1)
+    named = F.regexp_extract("dst", CALLED, 1)
     some = sinks.groupBy("name").agg(F.collect_set("parameter").alias("_places"), F.max(F.col("parameter").isNull()).alias("_any")).filter(~F.col("_any"))
     joined = edges.join(some.withColumnRenamed("name", "_name"), named == F.col("_name"), "left")
     return joined.filter((F.col("kind") != "argument") | F.col("_places").isNull() | F.array_contains("_places", F.col("place"))).select(*edges.columns)
@@ -231,26 +381,33 @@ def summaries(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFra
 
 
 def taint_tree(dependencies: DataFrame, edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
-    """(pkg, source, sink, hops) level by level: packages without dependencies first, and what their summaries add to
-    sources and sinks counts for packages above. dependencies (src, dst) must have no cycle; edges (pkg, src, dst);
-    sources and sinks: call names (column name)."""
-    done = cut(levels(dependencies))
+    """(pkg, source, sink, hops) level by level: packages without dependencies first. What their summaries say counts as
+    sources and sinks in the packages that depend on them, directly or through others, and nowhere else. dependencies
+    (src, dst) must have no cycle; edges (pkg, src, dst); sources and sinks: call names (column name)."""
+    needs = cut(dependencies.select(F.col("src").alias("pkg"), F.col("dst").alias("of")).filter("pkg IS NOT NULL AND of IS NOT NULL").distinct())
+    done = levels(dependencies)
+    alone = edges.select(F.col("pkg").alias("id")).distinct().join(done.select("id"), "id", "left_anti").withColumn("level", F.lit(0))
+    done = cut(done.unionByName(alone))
     top = done.agg(F.max("level")).first()[0]
-    known = {"SOURCE": cut(sources.select("name")), "SINK": cut(sinks.select("name"))}
+    given = {"SOURCE": cut(sources.select("name")), "SINK": cut(sinks.select("name"))}
+    seen = Parts(edges.sparkSession.createDataFrame([], "pkg string, name string, functionality string"))  # names that count in a package and in those above
     out = None
     for level in range((top if top is not None else -1) + 1):
-        own = cut(edges.join(done.filter(F.col("level") == level).select(F.col("id").alias("pkg")), "pkg", "left_semi").select("pkg", "src", "dst"))
-        here = {k: cut(calls(own, v)) for k, v in known.items()}
+        mine = done.filter(F.col("level") == level).select(F.col("id").alias("pkg"))
+        own = cut(edges.join(mine, "pkg", "left_semi").select("pkg", "src", "dst"))
+        came = needs.join(mine, "pkg", "left_semi").join(seen.all().withColumnRenamed("pkg", "of"), "of").select("pkg", "name", "functionality").distinct()
+        came = seen.add(came)
+        here = {k: cut(calls(own, v).unionByName(calls(own, came.filter(F.col("functionality") == k))).distinct()) for k, v in given.items()}
         got = flows(own, here["SOURCE"], here["SINK"])
         out = got if out is None else out.unionByName(got)
-        new = cut(summaries(own, here["SOURCE"], here["SINK"]).select(F.col("function").alias("name"), "functionality").filter("name NOT LIKE '<%'").distinct())
-        known = {k: cut(v.union(new.filter(F.col("functionality") == k).select("name")).distinct()) for k, v in known.items()}
-    return out
+        new = summaries(own, here["SOURCE"], here["SINK"]).select("pkg", F.col("function").alias("name"), "functionality").filter("name NOT LIKE '<%'").distinct()
+        seen.add(new.join(came, ["pkg", "name", "functionality"], "left_anti"))
+    return edges.select("pkg", F.col("src").alias("source"), F.col("dst").alias("sink"), F.array("src").alias("hops")).limit(0) if out is None else out
 
 
 def flow_packages(found: DataFrame) -> DataFrame:
     """(flow, packages): of each kind of flow, named by the calls at its ends, how many packages have it."""
-    end = lambda c: F.regexp_replace(F.col(c), r"^[^|]*[|][^:]*:", "")
+    end = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), r"^[^|]*[|][^:]*:", ""), r"@[\d.]+$", "")
     rows = found.select(F.concat(end("source"), F.lit(" -> "), end("sink")).alias("flow"), "pkg").distinct()
     return rows.groupBy("flow").agg(F.count("*").alias("packages"))
 

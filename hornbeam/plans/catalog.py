@@ -647,4 +647,4 @@ def formula_on_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", satisfied("(1 & 4) | () | (3 & 2)", ids).alias("satisfied"))
 
 
-from hornbeam.plans import details  # noqa: E402, F401  registers more queries
+from hornbeam.plans import analysis, details  # noqa: E402, F401  these register more queries
