@@ -299,65 +299,100 @@ def bit_choices(n: int, similarity: float = ALIKE, sure: float = SURE) -> tuple[
     return bits, np.stack([rng.permutation(64 * WORDS) for _ in range(many)])
 
 
-def _choice_keys(bits: np.ndarray, choices: np.ndarray, take: np.ndarray) -> np.ndarray:
-    """A hash of the bits of each row's choice, `take` of them. bits: (rows, all bits); choices: (rows, all bits)."""
-    chosen = np.take_along_axis(bits, choices, 1)
-    chosen[np.arange(bits.shape[1])[None] >= take[:, None]] = 0
-    words = np.packbits(chosen, axis=1, bitorder="little").view(np.uint64)
-    h = take.astype(np.uint64)
-    for k in range(words.shape[1]):
-        h = (h ^ words[:, k]) * _GOLDEN
-        h ^= h >> np.uint64(29)
-    return h
+#: How often a shard over the limit is cut finer, how sure a pair in it meets again each time, bits that it takes beyond
+#: those that its size asks for.
+LEVELS, AGAIN, FINER = 4, 0.99, 4
+
+
+def _many(bits: int, similarity: float, sure: float) -> int:
+    """Choices of so many bits of which a pair of that similarity agrees on one with probability `sure`."""
+    return int(np.ceil(np.log(1 - sure) / np.log(1 - (1 - share_of_bits(similarity)) ** bits)))
+
+
+def _unpacked(wide: pa.Array) -> np.ndarray:
+    """(row, bit) of fingerprints."""
+    return np.unpackbits(np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
+
+
+def _key_of(bits: np.ndarray, salt: np.ndarray | np.uint64) -> np.ndarray:
+    """A hash of each row's bits, 64 at most, and a salt."""
+    agreed = np.packbits(bits, axis=1, bitorder="little")
+    key = np.zeros((len(bits), 8), np.uint8)
+    key[:, : agreed.shape[1]] = agreed
+    return ((key.view(np.uint64)[:, 0] ^ salt) * _GOLDEN + salt).view(np.int64)
 
 
 def wide_links(fps: DataFrame, similarity: float = ALIKE, shard: int = SHARD) -> DataFrame:
     """(a, b): links, by their hashes, that join all fingerprints (fp, wide; distinct) that a choice of bits and the radius
-    connect."""
+    connect. A shard over the limit is cut by more bits, by so many choices of them that a pair in it still meets with
+    probability AGAIN, and again while a part is over the limit, LEVELS times at most; what is still larger, fingerprints
+    that agree nearly everywhere, is worked in pairs of chunks, which misses nothing."""
     spark, radius = fps.sparkSession, wide_radius(similarity)
     bits, choices = bit_choices(fps.count(), similarity)
-    most, salts = choices.shape[1], np.arange(1, len(choices) + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    salts = np.arange(1, len(choices) + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
 
     def keys(batches):
         for b in batches:
             own, wide = b.column(0), b.column(1)
-            x = np.unpackbits(np.frombuffer(b"".join(wide.to_pylist()), np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
+            x = _unpacked(wide)
             for c in range(len(choices)):
-                agreed = np.packbits(x[:, choices[c, :bits]], axis=1, bitorder="little")
-                key = np.zeros((len(x), 8), np.uint8)  # no more than 64 bits
-                key[:, : agreed.shape[1]] = agreed
-                key = (key.view(np.uint64)[:, 0] ^ salts[c]) * _GOLDEN + salts[c]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(x), c, np.int32)), own, wide], ["key", "c", "fp", "wide"])
-
-    def longer(batches):
-        for b in batches:
-            x = np.unpackbits(np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little")
-            c, more = b.column("c").to_numpy(), b.column("more").to_numpy()
-            key = _choice_keys(x, choices[c], np.minimum(bits + more, most)) ^ salts[c]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("fp"), b.column("wide")], ["key", "fp", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array(_key_of(x[:, choices[c, :bits]], salts[c])), own, wide], ["key", "fp", "wide"])
+
+    def finer(level: int):
+        def work(batches):
+            for b in batches:
+                x, key, more = _unpacked(b.column("wide")), b.column("key").to_numpy().view(np.uint64), b.column("more").to_numpy()
+                for n in np.unique(more).tolist():
+                    rows = np.flatnonzero(more == n)
+                    own, wide = (b.column(c).take(pa.array(rows)) for c in ("fp", "wide"))
+                    for k in range(_many(n, similarity, AGAIN)):
+                        chosen = np.random.default_rng([23, level, n, k]).permutation(64 * WORDS)[:n]
+                        salt = (key[rows] ^ np.uint64((k + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)) * _GOLDEN
+                        yield pa.RecordBatch.from_arrays([pa.array(_key_of(x[rows][:, chosen], salt)), own, wide], ["key", "fp", "wide"])
+
+        return work
+
+    keyed = fps.select("fp", "wide").transform(in_arrow, keys, "key long, fp long, wide binary")
+    done: DataFrame | None = None
+    for level in range(LEVELS + 1):
+        large = cut(keyed.groupBy("key").count().filter(F.col("count") > shard))
+        n = large.count()
+        if not n:
+            break
+        large = F.broadcast(large) if n <= LARGE else large
+        small = keyed.join(large, "key", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        keyed = keyed.join(large, "key")
+        if level < LEVELS:
+            more = F.least(F.ceil(F.log2(F.col("count") / shard)) + FINER, F.lit(64)).cast("int")
+            keyed = keyed.select("key", more.alias("more"), "fp", "wide").transform(in_arrow, finer(level), "key long, fp long, wide binary")
+    chunks = F.ceil(F.col("count") / shard).cast("int") if "count" in keyed.columns else F.lit(1)
+    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "wide")
+    if done is not None:
+        none = F.lit(0)
+        rows = rows.unionByName(done.select("key", none.alias("i"), none.alias("j"), none.alias("own"), "fp", "wide"))
 
     def work(batches):
-        for t in runs(batches, ["key"], 10 * SHARD):
-            key, own = t.column("key").to_numpy(), t.column("fp").to_numpy()
-            wide, at, out = t.column("wide").to_pylist(), bounds(key), []
+        for t in runs(batches, ["key", "i", "j"], 10 * SHARD):
+            cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+            own, names = t.column("own").to_numpy(), t.column("fp").to_numpy()
+            wide, at, out = t.column("wide").to_pylist(), bounds(*cols), []
             for k in np.flatnonzero(np.diff(at) > 1).tolist():
-                _join_all([int.from_bytes(w, "little") for w in wide[at[k] : at[k + 1]]], own[at[k] : at[k + 1]].tolist(), radius, out)
+                a, b = int(at[k]), int(at[k + 1])
+                i, j = int(cols[1][a]), int(cols[2][a])
+                _join_all([int.from_bytes(w, "little") for w in wide[a:b]], names[a:b].tolist(), radius, out, None if i == j else (own[a:b] == i).tolist())
             pairs = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    keyed = fps.select("fp", "wide").transform(in_arrow, keys, "key long, c int, fp long, wide binary")
-    large = keyed.groupBy("key").count().filter(F.col("count") > shard).select("key", (F.ceil(F.log2(F.col("count") / shard)) + 4).cast("int").alias("more"))
-    large = cut(large)
-    rows = keyed.select("key", "fp", "wide")
-    if n := large.count():
-        large = F.broadcast(large) if n <= LARGE else large
-        finer = keyed.join(large, "key").select("c", "more", "fp", "wide").transform(in_arrow, longer, "key long, fp long, wide binary")
-        rows = keyed.join(large, "key", "left_anti").select("key", "fp", "wide").unionByName(finer)
-    return rows.repartition(buckets(spark), "key").sortWithinPartitions("key").transform(in_arrow, work, "a long, b long")
+    cell = ["key", "i", "j"]
+    return rows.repartition(buckets(spark), *cell).sortWithinPartitions(*cell).transform(in_arrow, work, "a long, b long")
 
 
-def _join_all(values: list[int], names: list[int], radius: int, out: list[tuple[int, int]]) -> None:
-    """Links by name that join all values connected within the radius, one fewer than there are in each group."""
+def _join_all(values: list[int], names: list[int], radius: int, out: list[tuple[int, int]], first: list[bool] | None = None) -> None:
+    """Links by name that join all values connected within the radius, one fewer than there are in each group. first: where
+    given, those that it marks are the tree and the others look for them only."""
     tree, of, top = BKTree(), {}, {v: v for v in values}
 
     def root(x: int) -> int:
@@ -365,13 +400,21 @@ def _join_all(values: list[int], names: list[int], radius: int, out: list[tuple[
             top[x] = x = top[top[x]]
         return x
 
-    for v, name in zip(values, names):
-        for g in tree.near(v, radius):
-            if (a := root(v)) != (b := root(g)):
-                top[max(a, b)] = min(a, b)
-                out.append((name, of[g]))
-        of[v] = name
-        tree.add(v)
+    marks = first or [True] * len(values)
+    if first is not None:
+        for v, name, mark in zip(values, names, marks):
+            if mark:
+                of[v] = name
+                tree.add(v)
+    for v, name, mark in zip(values, names, marks):
+        if first is None or not mark:
+            for g in tree.near(v, radius):
+                if (a := root(v)) != (b := root(g)):
+                    top[max(a, b)] = min(a, b)
+                    out.append((name, of[g]))
+        if first is None:
+            of[v] = name
+            tree.add(v)
 
 
 def keep_alike(docs: DataFrame, similarity: float = ALIKE, shard: int = SHARD) -> DataFrame:

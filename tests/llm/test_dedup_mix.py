@@ -193,6 +193,22 @@ def test_keep_alike_finds_near_copies_and_leaves_others(spark, shard):
     assert simhash.keep_alike(df.limit(0)).count() == 0 and simhash.keep_alike(df).columns == df.columns
 
 
+@pytest.mark.parametrize("shard", [1, 16])
+def test_large_shards_lose_no_more_pairs_than_small_ones(spark, shard):
+    """300 pairs at a similarity of 0.80 to 0.82, and every shard over the limit."""
+    r, texts = random.Random(8), []
+    vocabulary = [f"w{k}" for k in range(5000)]
+    while len(texts) < 600:
+        w = [r.choice(vocabulary) for _ in range(300)]
+        v = list(w)
+        for place in r.sample(range(300), 7):
+            v[place] = r.choice(vocabulary)
+        if 0.8 <= jaccard(" ".join(w), " ".join(v)) <= 0.82:
+            texts += [" ".join(w), " ".join(v)]
+    kept = {x.doc_id for x in simhash.keep_alike(docs(spark, texts), shard=shard).collect()}
+    assert sum(k not in kept for k in range(2, 601, 2)) >= 0.93 * 300 and kept >= set(range(1, 601, 2))
+
+
 def test_wide_fingerprints_are_as_far_apart_as_the_sets():
     base = words(3000, 1)
     for share in (0.005, 0.02):
