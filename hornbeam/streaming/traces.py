@@ -15,8 +15,9 @@ IDLE = 3600
 def sessions(events: DataFrame, by: list[str], idle: int = IDLE, ts: str = "ts") -> DataFrame:
     """(by, start, last, events): runs of events of which none is more than idle seconds after the one before it. Of a
     stream with a watermark, a run is given out when the watermark has passed its end, and later rows are dropped.
-    Partial runs are merged before and after the shuffle, so a key's events need not be in one task at a time."""
-    window = F.session_window(F.col(ts), f"{idle} seconds 1 microsecond")
+    Partial runs are merged before and after the shuffle, so a key's events need not be in one task at a time. Rows without
+    a time are left out."""
+    window = F.session_window(F.col(ts), f"{idle} seconds")  # runs that touch are one
     return events.filter(F.col(ts).isNotNull()).groupBy(*by, window).agg(F.min(ts).alias("start"), F.max(ts).alias("last"), F.count("*").alias("events")).select(*by, "start", "last", "events")
 
 
@@ -24,7 +25,7 @@ def rolled(events: DataFrame, by: list[str], idle: int = IDLE, ts: str = "ts") -
     """(quiet, active) traces: sessions() that ended more than idle seconds before the latest event of all, and others."""
     found = sessions(events, by, idle, ts)
     now = events.agg(F.max(ts)).first()[0]
-    quiet = F.col("last") < F.lit(now) - F.expr(f"INTERVAL {idle} SECONDS")
+    quiet = F.col("last") < F.lit(now).cast(events.schema[ts].dataType) - F.expr(f"INTERVAL {idle} SECONDS")
     return found.filter(quiet), found.filter(~quiet)
 
 
@@ -37,7 +38,7 @@ def overtime(events: DataFrame, timeout: int, now=None, ts: str = "ts") -> DataF
         now = events.agg(F.max(ts)).first()[0]
     lives = events.groupBy("container").agg(when("start").alias("started"), when("stop").alias("stopped"))
     limit = F.col("started") + F.expr(f"INTERVAL {timeout} SECONDS")
-    return lives.filter(limit < F.coalesce("stopped", F.lit(now))).select("container", "started", limit.alias("evicted"))
+    return lives.filter(limit < F.coalesce("stopped", F.lit(now).cast(events.schema[ts].dataType))).select("container", "started", limit.alias("evicted"))
 
 
 class Evictor(StatefulProcessor):
@@ -62,7 +63,7 @@ class Evictor(StatefulProcessor):
     def _row(self, key, at: int) -> pd.DataFrame:
         return pd.DataFrame({"container": [key[0]], "started": [pd.Timestamp(at, unit="us")], "evicted": [pd.Timestamp(at + self.timeout * 1_000_000, unit="us")]})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for r in pd.concat(list(rows)).sort_values("micros").itertuples(index=False):
             if r.event == "start" and not self.started.exists():
                 self.started.update((int(r.micros),))
@@ -73,7 +74,7 @@ class Evictor(StatefulProcessor):
                 if r.micros > at + self.timeout * 1_000_000:
                     yield self._row(key, at)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.started.exists():
             at = self.started.get()[0]
             self.started.clear()

@@ -8,7 +8,8 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from hornbeam.sources import metadata, readers, sinks
+from hornbeam.sources import merged, metadata, readers, sinks
+from hornbeam.sources import registry as registry_source
 from hornbeam.streaming import alerts as stream
 from hornbeam.streaming import sync
 from tests.conftest import rows
@@ -204,3 +205,100 @@ def test_small_metadata(spark):
     both = metadata.package_records(npm, spark.createDataFrame([("p", "y"), ("q", "w")], "src string, dst string"))
     assert sorted((r.pkg, tuple(r.requires), r.known) for r in both.collect()) == [("p", ("y",), "both"), ("q", ("w",), "dependencies")]
     assert metadata.package_records(npm).first().known == "metadata"
+
+
+DOCUMENTS = {
+    "npmjs": ("@a/b", {"description": "d", "dependencies": {"x": "^1"}, "time": {"1.0.0": "2020-01-01T00:00:00Z"}}),
+    "pypi": ("flask", {"info": {"author": "A", "requires_dist": ["jinja2 (>=2)"]}, "releases": {"1.0": [{"upload_time": "2020-01-01T00:00:00"}]}}),
+    "rubygems": ("rails", {"authors": "B", "version": "6.0", "dependencies": {"runtime": [{"name": "rack", "requirements": ">= 0"}], "development": []}}),
+    "packagist": ("mono/log", {"package": {"description": "l", "type": "library", "versions": {"1.0": {"version": "1.0", "time": "2020-01-01T00:00:00+00:00", "require": {"psr/log": "1.*"}}}}}),
+    "nuget": ("Json", {"items": [{"items": [{"catalogEntry": {"id": "Json", "version": "1.0", "published": "2020-01-01T00:00:00Z", "authors": "C"}}]}]}),
+}
+
+
+def save(folder, registry, pkg, document):
+    import json
+
+    (folder / registry).mkdir(parents=True, exist_ok=True)
+    file = folder / registry / registry_source.file_name(pkg)
+    file.write_text(json.dumps(document))
+    return file
+
+
+def test_registries_as_a_source(spark, tmp_path):
+    registry_source.register(spark)
+    for name, (pkg, document) in DOCUMENTS.items():
+        save(tmp_path / "in", name, pkg, document)
+    (tmp_path / "in" / "notes.txt").write_text("x")
+    docs = spark.read.format("registry").load(str(tmp_path / "in"))
+    assert sorted((r.registry, r.pkg) for r in docs.collect()) == sorted((k, v[0]) for k, v in DOCUMENTS.items())
+    got = {r.registry: r for r in registry_source.all_normalized(docs).collect()}
+    assert set(got) == set(registry_source.REGISTRIES) and [d.name for d in got["pypi"].dependencies] == ["jinja2"] and got["packagist"].pkg == "mono/log" and got["nuget"].author == "C"
+    assert {k: [r.version for r in v.releases] for k, v in got.items()} == {"npmjs": ["1.0.0"], "pypi": ["1.0"], "rubygems": ["6.0"], "packagist": ["1.0"], "nuget": ["1.0"]}
+    with pytest.raises(ValueError):
+        registry_source.normalized(docs, "cpan")
+    assert spark.read.format("registry").load(str(tmp_path / "none")).count() == 0
+
+
+def test_registry_partitions_and_filters(spark, tmp_path, monkeypatch):
+    for k in range(5):
+        save(tmp_path, "pypi", f"p{k}", {})
+    save(tmp_path, "npmjs", "p1", {})
+    monkeypatch.setattr(registry_source, "FILES", 2)
+    reader = registry_source.RegistryReader(str(tmp_path))
+    assert [len(p.files) for p in reader.partitions()] == [1, 2, 2, 1]
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    left = list(reader.pushFilters([EqualTo(("registry",), "pypi"), GreaterThan(("pkg",), "p"), EqualTo(("registry",), "npmjs"), EqualTo(("value",), "x")]))
+    assert [type(f).__name__ for f in left] == ["GreaterThan", "EqualTo", "EqualTo"] and [len(p.files) for p in reader.partitions()] == [2, 2, 1]
+    registry_source.register(spark)
+    docs = spark.read.format("registry").load(str(tmp_path))
+    one = docs.filter("registry = 'pypi' AND pkg = 'p1'")
+    assert [(r.registry, r.pkg) for r in one.collect()] == [("pypi", "p1")] and one.rdd.getNumPartitions() == 1
+    assert docs.filter("pkg = 'p1' AND registry = 'npmjs' AND registry = 'pypi'").count() == 0
+
+
+def test_registry_stream(spark, tmp_path):
+    import os
+
+    registry_source.register(spark)
+    for k in range(5):
+        os.utime(save(tmp_path / "in", "pypi", f"p{k}", {"k": k}), (1000 + k, 1000 + k))
+
+    def run():
+        docs = spark.readStream.format("registry").option("maxFilesPerTrigger", 2).load(str(tmp_path / "in"))
+        q = docs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted(r.pkg for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == ["p0", "p1", "p2", "p3", "p4"]
+    os.utime(save(tmp_path / "in", "pypi", "p9", {}), (2000, 2000))
+    assert run() == ["p0", "p1", "p2", "p3", "p4", "p9"]  # begins again where it has stopped
+
+
+def test_a_table_that_many_add_to(spark, tmp_path):
+    t = merged.MergedTable(spark, str(tmp_path / "t"), "pkg string, version string, files array<string>, hosts array<string>, n int", ["pkg", "version"], ["files", "hosts"])
+    assert t.read().count() == 0
+    rows_of = lambda *x: spark.createDataFrame(x, "pkg string, version string, files array<string>, hosts array<string>, n int")
+    one, two = rows_of(("p", "1", ["b", "a"], [], 1), ("p", "1", ["c"], ["h"], 3), ("q", None, None, ["h"], 1)), rows_of(("p", "1", ["a", "d"], ["g"], 2))
+    for _ in range(2):  # the second time is a rerun
+        t.add(one, "one", 0)
+        t.add(two, "two", 0)
+    want = [("p", "1", ["a", "b", "c", "d"], ["g", "h"], 3), ("q", None, [], ["h"], 1)]
+    got = lambda: sorted((r.pkg, r.version, r.files or [], r.hosts, r.n) for r in t.read().collect())
+    assert got() == want
+    t.compact()
+    assert got() == want
+    t.add(two, "two", 0)  # again after it was compacted
+    assert got() == want
+    t.add(rows_of(("p", "1", ["e"], None, None)), "two", 1)
+    want[0] = ("p", "1", ["a", "b", "c", "d", "e"], ["g", "h"], 3)
+    assert got() == want
+    t.compact()
+    t.compact()
+    assert got() == want
+    (tmp_path / "t" / "added" / "three@0").mkdir()  # not finished
+    assert got() == want
+    with pytest.raises(ValueError):
+        t.add(one, "a/b", 0)
