@@ -514,3 +514,31 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize("options,least", [({}, 0.95), ({"exact": True}, 1.0)])
+def test_passages_behind_frequent_pieces(spark, options, least):
+    """Ten pairs of passages of 150 words with an edit about every 30 words; each piece of 35 of their words is in 64
+    earlier documents as well."""
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    noise = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    pairs = []
+    for _ in range(10):
+        one = noise(150)
+        two = list(one)
+        for place in range(15 + r.randrange(5), 150, 30):
+            two[place] = r.choice(vocabulary)
+        pairs.append((one, two))
+    quoted = [" ".join(noise(30) + one[at : at + 35] + noise(30)) for one, _ in pairs for at in range(0, 150, 35) for _ in range(64)]
+    texts = quoted + [" ".join(noise(40) + x + noise(40)) for pair in pairs for x in pair]
+    df = docs(spark, texts).repartition(4)
+
+    def found(df, **options):
+        out = set()
+        for p in substring.find(df, **options).collect():
+            out |= {(p.doc_id, k) for k in range(p.start_word, p.end_word)}
+        return out
+
+    want = found(df.filter(F.col("doc_id") > len(quoted)))
+    assert len(want) > 1000 and len(found(df, **options) & want) >= least * len(want)
