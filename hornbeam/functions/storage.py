@@ -7,19 +7,27 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage. spark.checkpoint.dir holds them; where it is unset, a local session gets a
-    folder of its own, and any other raises: executors would write where the others cannot read."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own,
+    and any other raises: executors would write where the others cannot read."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="hornbeam-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="hornbeam-checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -436,5 +436,14 @@ def centroids(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return both.groupBy("method").agg(mean("src", "dst").alias("x"), mean("src_out_degree", "dst_out_degree").alias("y"), mean("src_loop_depth", "dst_loop_depth").alias("z"), F.sum(a + b).alias("w"))
 
 
+def method_centroids(blocks: DataFrame, edges: DataFrame, invokes: bool = False) -> DataFrame:
+    """centroids(), and of methods of one block the block itself. invokes: a block weighs its statements and the calls in
+    it (column invokes) together."""
+    weight = F.col("stmt_count") + (F.coalesce("invokes", F.lit(0)) if invokes else F.lit(0))
+    weighed = blocks.withColumn("stmt_count", weight)
+    one = weighed.groupBy("method").agg(F.count("*").alias("n"), *[F.first(c).cast("double").alias(x) for c, x in (("seq", "x"), ("out_degree", "y"), ("loop_depth", "z"))], F.first("stmt_count").alias("w"))
+    return centroids(weighed, edges).unionByName(one.filter("n = 1").select("method", "x", "y", "z", "w"))
+
+
 def relation_counts(relations: DataFrame) -> DataFrame:
     return relations.groupBy("class1", "class2", "relation").agg(F.count("*").alias("n"))

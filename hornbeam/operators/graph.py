@@ -71,7 +71,7 @@ def dependency_counts(edges: DataFrame) -> DataFrame:
 
 def use_counts(packages: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """packages with use_count: how many depend on each; 0 where the graph does not know it."""
-    used = ancestors(edges).groupBy(F.col("src").alias(key)).agg(F.count("*").alias("use_count"))
+    used = ancestors(edges, packages.select(F.col(key).alias("id"))).groupBy(F.col("src").alias(key)).agg(F.count("*").alias("use_count"))
     return packages.join(used, key, "left").fillna(0, ["use_count"])
 
 
@@ -112,10 +112,10 @@ def induced(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def split(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(slice, src, dst): n subgraphs, each a slice of the nodes with all they depend on."""
-    part = nodes(edges).withColumn("slice", (draw(F.col("id"), seed) % n).cast("int"))
-    reach = closure(edges).join(part, F.col("src") == F.col("id")).select("slice", F.col("dst").alias("id"))
-    kept = cut(reach.union(part.select("slice", "id")).distinct())
+    """(slice, src, dst): n subgraphs, each a slice of the nodes with all they depend on. A slice's mark travels down its
+    nodes' edges, so the work is that of n marks for each node at most and not of all pairs of nodes."""
+    part = nodes(edges).withColumn("mark", (draw(F.col("id"), seed) % n).cast("int"))
+    kept = cut(inherited(reverse(edges), part).select(F.col("mark").alias("slice"), "id"))
     one = _clean(edges).join(kept.withColumnRenamed("id", "src"), "src")
     return one.join(kept.withColumnRenamed("id", "dst"), ["slice", "dst"], "left_semi").select("slice", "src", "dst")
 
@@ -202,10 +202,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30) -> DataFra
     return rank.select("id", "rank")
 
 
-def break_cycles(edges: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+#: Rounds in which every component loses one edge, before what is left is settled by halves.
+ROUNDS = 2
+
+
+def break_cycles(edges: DataFrame, scores: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(src, dst) of an acyclic graph: loops go, then from every strong component its edge with the highest score, the
     sum of both ends' ranks, ties by src and dst; again until none is left. Only edges within components are worked
-    on: those that no component holds any more are put aside, and come back at the end."""
+    on: those that no component holds any more are put aside, and come back at the end. So many rounds go edge by edge;
+    what they leave is settled by halves, in as many rounds as its number of edges has binary digits."""
     e = cut(without_loops(_clean(edges)))
     rank = (pagerank(e) if scores is None else scores).select("id", "rank")
     ends = e.join(rank.select(F.col("id").alias("src"), F.col("rank").alias("a")), "src").join(rank.select(F.col("id").alias("dst"), F.col("rank").alias("b")), "dst")
@@ -214,15 +219,53 @@ def break_cycles(edges: DataFrame, scores: DataFrame | None = None) -> DataFrame
     if not unscored.isEmpty():
         raise ValueError("a node has no score")
     safe, last = Parts(scored.limit(0)), Window.partitionBy("component").orderBy(F.col("score").desc(), F.col("src").desc(), F.col("dst").desc())
+    done = 0
     while not scored.isEmpty():
         parts = cut(strong_components(scored.select("src", "dst")))
         inner = scored.join(parts.select(F.col("id").alias("src"), "component"), "src").join(parts.select(F.col("id").alias("dst"), "component"), ["dst", "component"])
         inner = cut(inner.withColumn("n", F.row_number().over(last)))
         safe.add(scored.join(inner, ["src", "dst"], "left_anti"))
+        if done >= rounds and not inner.isEmpty():
+            gone = _dropped_by_halves(inner)
+            safe.add(inner.select("src", "dst", "score").join(gone, ["src", "dst"], "left_anti"))
+            break
         scored = cut(inner.filter("n > 1").select("src", "dst", "score"))
+        done += 1
     return safe.all().select("src", "dst")
 
 
+def _dropped_by_halves(inner: DataFrame) -> DataFrame:
+    """(src, dst) of the edges that go, of strong components' edges (component, src, dst, n: their place from the highest
+    score down).
+
+    If edges came back from the lowest score up, those that go are the ones whose ends are strongly connected as soon as
+    they are there: an edge that is kept is on no cycle when all higher ones have been decided, so a cycle through an edge
+    that goes has only lower ones. When the ends of an edge become connected is found by halves, for all edges together: the
+    strong components of each part's lower half say in which half it is. The lower half goes on by itself, the upper half
+    with the components as its nodes; every edge is in one part at a time."""
+    size = F.max("n").over(Window.partitionBy("component"))
+    rows = inner.withColumn("t", (size - F.col("n") + 1).cast("long")).withColumn("hi", F.col("t") + F.col("n") - 1)
+    rows = cut(rows.select(F.col("component").cast("string").alias("part"), F.col("src").alias("u"), F.col("dst").alias("v"), "t", F.lit(0).cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "src", "dst", F.lit(True).alias("open")))
+    gone = Parts(rows.limit(0).select("src", "dst"))
+    while True:
+        gone.add(rows.filter("open AND hi - lo = 1").select("src", "dst"))
+        rows = rows.filter("hi - lo > 1").withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2))
+        alive = rows.filter("open").select("part").distinct()
+        rows = cut(rows.join(alive, "part", "left_semi"))
+        if rows.isEmpty():
+            return gone.all()
+        at = lambda c: F.struct(F.col("part"), F.col(c).alias("node"))
+        found = cut(strong_components(rows.filter("t <= mid").select(at("u").alias("src"), at("v").alias("dst"))))
+        end = lambda c: found.select(F.col("id.part").alias("part"), F.col("id.node").alias(c), F.col("component.node").alias(f"{c}c"))
+        rows = rows.join(end("u"), ["part", "u"], "left").join(end("v"), ["part", "v"], "left")
+        rows = rows.withColumn("uc", F.coalesce("uc", "u")).withColumn("vc", F.coalesce("vc", "v"))
+        rows = cut(rows.withColumn("met", F.col("uc") == F.col("vc")))
+        gone.add(rows.filter("met AND open AND t > mid").select("src", "dst"))
+        low = rows.filter("met AND t <= mid").select(F.concat("part", F.lit("/0")).alias("part"), "u", "v", "t", "lo", F.col("mid").alias("hi"), "src", "dst", "open")
+        high = rows.filter("NOT met").select(F.concat("part", F.lit("/1")).alias("part"), F.col("uc").alias("u"), F.col("vc").alias("v"), "t", F.col("mid").alias("lo"), "hi", "src", "dst", (F.col("open") & (F.col("t") > F.col("mid"))).alias("open"))
+        rows = low.unionByName(high)
+
+
 def neighbour_similarity(edges: DataFrame, least: float = 0.5) -> DataFrame:
     """(a, b, jaccard) of nodes whose sets of dependencies are at least so similar.
 

@@ -86,6 +86,22 @@ def best_match(findings: DataFrame, catalogue: DataFrame, name: str = "name") ->
     return findings.join(best, F.col(name) == F.col("n"), "left").drop("n")
 
 
+def last_match(findings: DataFrame, catalogue: DataFrame, name: str = "name") -> DataFrame:
+    """findings with id and full_name of the last entry of the catalogue (id, full_name), by id, whose full name contains
+    the finding's, brackets left out; null where none does, and for a name of brackets only. Names meet by their first
+    three characters, which entries are looked up by at every place."""
+    width = 3
+    bare = findings.select(F.col(name).alias("_name"), F.translate(F.col(name), "([", "").alias("_bare")).filter("_bare <> ''").distinct()
+    probe = bare.withColumn("_key", F.substring("_bare", 1, width))
+    at = F.sequence(F.lit(1), F.greatest(F.length("full_name"), F.lit(1)))
+    keys = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.col("full_name").substr(i, F.lit(k)) for k in range(1, width + 1)]))))
+    entries = catalogue.select("id", "full_name").filter("full_name <> ''").distinct()
+    wanted = entries.select("id", "full_name", F.explode(keys).alias("_key")).join(probe.select("_key").distinct(), "_key", "left_semi")
+    hits = probe.join(wanted, "_key").filter(F.contains("full_name", "_bare"))
+    last = hits.groupBy("_name").agg(F.max(F.struct("id", "full_name")).alias("m")).select("_name", "m.*")
+    return findings.join(last, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
 def distinct_findings(findings: DataFrame, *keys: str) -> DataFrame:
     """Findings that differ in more than their volatile fields: one for each value of the keys, those columns only."""
     return findings.select(*keys).distinct()

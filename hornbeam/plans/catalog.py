@@ -269,13 +269,13 @@ def report_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS m FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size > 25),
+    """WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS m FROM part UNION SELECT DISTINCT CASE WHEN p_size > 25 THEN p_name ELSE split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) END FROM part),
     f AS (SELECT DISTINCT p_name || ' x' AS name FROM part)
     SELECT name, m AS match FROM f LEFT JOIN n ON contains(name, m) QUALIFY row_number() OVER (PARTITION BY name ORDER BY length(m) DESC, m) = 1"""
 )
 def best_name_match(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
-    known = p.select(F.substring_index("p_name", " ", 1).alias("full_name")).union(p.filter("p_size > 25").select("p_name")).distinct()
+    known = p.select(F.substring_index("p_name", " ", 1).alias("full_name")).union(p.select(F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.concat_ws(" ", F.split("p_name", " ")[0], F.split("p_name", " ")[1])))).distinct()
     return usage.best_match(p.select(F.concat("p_name", F.lit(" x")).alias("name")).distinct(), known)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hornbeam.functions import names, syscalls
+from hornbeam.functions.storage import shared_folder
 from hornbeam.operators import authors, catalogue, content, dispatch, extract, findings, flows, graph, ranking, rules, usage, versions
 from hornbeam.plans.catalog import CYCLIC, TREE, USAGE, cyclic_edges, event_values, joined, part_usage, query, table, tree_edges
-from hornbeam.sources import metadata, readers
+from hornbeam.sources import graphs, metadata, readers
 
 # Parsers of text, on lines made from the tables
 
@@ -74,8 +77,14 @@ def index_page_names(spark: SparkSession, d: str) -> DataFrame:
 # Scalar functions
 
 
-#: Every listed call in lower case, and three that no list has.
-CALLS = [(c.lower(), kind) for kind, calls in syscalls.CATEGORIES.items() for c in calls] + [("unknown_call", None), ("sched_nonsense", None), ("mmap64", None)]
+#: Calls with what they are expected to be, written out: some of every kind, and three that no list has.
+CALLS = [
+    ("openat", "file"), ("close", "file"), ("statx", "file"), ("epoll_wait", "file"), ("getdents64", "file"), ("ioctl", "file"), ("sendfile64", "file"), ("umask", "file"), ("write", "file"),
+    ("accept4", "network"), ("bind", "network"), ("connect", "network"), ("getsockopt", "network"), ("recvmsg", "network"), ("socketpair", "network"), ("setdomainname", "network"),
+    ("brk", "process"), ("clone", "process"), ("execveat", "process"), ("getppid", "process"), ("mprotect", "process"), ("ptrace", "process"), ("seccomp", "process"), ("setresuid", "process"), ("vfork", "process"), ("wait4", "process"),
+    ("clock_gettime", "time"), ("gettimeofday", "time"), ("nanosleep", "time"), ("timer_settime", "time"), ("eventfd2", "signal"), ("kill", "signal"), ("rt_sigreturn", "signal"), ("tgkill", "signal"),
+    ("futex", "ipc"), ("mq_open", "ipc"), ("pipe2", "ipc"), ("semop", "ipc"), ("shmat", "ipc"), ("vmsplice", "ipc"), ("add_key", "key_management"), ("keyctl", "key_management"), ("unknown_call", None), ("sched_nonsense", None), ("mmap64", None),
+]
 
 
 @query(
@@ -314,7 +323,9 @@ def common_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH k(kind, suffix, versioned) AS (VALUES " + ", ".join(f"('{k}', '{s}', {v})" for k, (s, v) in names.RESULT_KINDS.items()) + """)
+    """WITH k(kind, suffix, versioned) AS (VALUES ('trace', 'strace', TRUE), ('trace_dep', 'dep.strace', TRUE), ('metadata', 'metadata.json', TRUE), ('versions', 'versions.json', FALSE), ('version2hash', 'version2hash.json', FALSE),
+      ('dep', 'dep.json', TRUE), ('flatten_dep', 'flatten_dep.json', TRUE), ('astgen', 'astgen.txt', TRUE), ('compare_versions', 'compare_versions.json', FALSE), ('astfilter', 'astfilter.txt', TRUE),
+      ('taint', 'taint.txt', TRUE), ('danger', 'danger.txt', TRUE), ('static', 'static.txt', TRUE), ('dynamic', 'dynamic.txt', TRUE), ('concolic', 'dynamic.txt', TRUE), ('result', 'result.txt', TRUE))
     SELECT s_suppkey, kind, 'x..' || replace(s_name, '#', '..') || CASE WHEN versioned THEN ':' || CASE s_nationkey % 2 WHEN 0 THEN 'latest' ELSE s_nationkey || '.0' END || CASE WHEN s_suppkey % 3 = 0 THEN ':sudo' ELSE '' END ELSE '' END || '.' || suffix AS file
     FROM supplier, k"""
 )
@@ -407,11 +418,11 @@ def engine_findings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT DISTINCT '<' || p_brand || ': void ' || split_part(p_type, ' ', 1) || '(int,' || p_size || ')> -> ' || CASE WHEN p_brand < 'Brand#3' THEN '_SOURCE_' ELSE '_SINK_' END AS line
-    FROM part WHERE p_size > 10"""
+    FROM part"""
 )
 def engine_signatures(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").withColumn("name", F.substring_index("p_type", " ", 1))
-    signatures = p.filter("p_size > 10").select(F.col("p_brand").alias("base_type"), "name", F.lit("void").alias("result"), F.array(F.lit("int"), F.col("p_size").cast("string")).alias("arguments"))
+    signatures = p.select(F.col("p_brand").alias("base_type"), "name", F.lit("void").alias("result"), F.array(F.lit("int"), F.col("p_size").cast("string")).alias("arguments"))
     known = p.select(F.col("p_brand").alias("base_type"), "name", F.when(F.col("p_brand") < "Brand#3", "SOURCE").otherwise("DANGER").alias("functionality"))
     return findings.signature_lines(signatures, known)
 
@@ -439,3 +450,59 @@ def metadata_counts(spark: SparkSession, d: str) -> DataFrame:
 def author_packages(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("author"), F.col("o_orderkey").alias("pkg"))
     return authors.author_packages(o).groupBy(F.col("author").alias("a")).agg(F.min("pkg").alias("b"))
+
+
+@query(
+    """WITH b AS (SELECT o_custkey AS method, o_orderkey AS seq, o_orderkey % 3 AS od, o_orderkey % 5 AS ld, o_orderkey % 7 + 1 + o_orderkey % 2 AS w, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    e AS (SELECT a.method, a.w AS wa, b.w AS wb, a.seq AS sa, b.seq AS sb, a.od AS oa, b.od AS ob, a.ld AS la, b.ld AS lb FROM b a JOIN b ON a.nxt = b.seq AND a.method = b.method)
+    SELECT method, round(sum(wa * sa + wb * sb)::DOUBLE / sum(wa + wb), 6) AS x, round(sum(wa * oa + wb * ob)::DOUBLE / sum(wa + wb), 6) AS y, round(sum(wa * la + wb * lb)::DOUBLE / sum(wa + wb), 6) AS z, sum(wa + wb)::BIGINT AS w FROM e GROUP BY 1
+    UNION ALL SELECT method, seq::DOUBLE, od::DOUBLE, ld::DOUBLE, w FROM b WHERE n = 1"""
+)
+def invoke_centroids(spark: SparkSession, d: str) -> DataFrame:
+    """Centroids of all methods, those of one block too, by statements and calls."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("next", F.lead(k).over(Window.partitionBy("o_custkey").orderBy(k)))
+    blocks = o.select(F.col("o_custkey").alias("method"), k.alias("seq"), (k % 3).alias("out_degree"), (k % 5).alias("loop_depth"), (k % 7 + 1).alias("stmt_count"), (k % 2).alias("invokes"))
+    got = flows.method_centroids(blocks, o.filter("next IS NOT NULL").select(F.col("o_custkey").alias("method"), k.alias("src"), F.col("next").alias("dst")), invokes=True)
+    return got.select("method", *[F.round(c, 6).alias(c) for c in "xyz"], "w")
+
+
+@query(
+    """SELECT p_name || ' ' || p_partkey AS name, p_brand AS author, p_size || '.0' AS version, 'http://x/' || p_partkey AS url, p_partkey AS downloads, CASE WHEN p_size > 10 THEN split_part(p_name, ' ', 1) || ',' || split_part(p_name, ' ', 2) ELSE '' END AS dependencies FROM part"""
+)
+def gem_records(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda name: F.struct(name.alias("name"), F.lit(">= 0").alias("requirements"))
+    words = F.split("p_name", " ")
+    needs = F.when(F.col("p_size") > 10, F.struct(F.array(one(words[0]), one(words[1])).alias("runtime"), F.array(one(F.lit("rake"))).alias("development")))
+    fields = [F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("name"), F.col("p_brand").alias("authors"), F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("version"), F.concat(F.lit("http://x/"), F.col("p_partkey").cast("string")).alias("project_uri"), F.col("p_partkey").alias("downloads"), needs.alias("dependencies")]
+    docs = table(spark, d, "part").select(F.col("p_name").alias("pkg"), F.to_json(F.struct(*fields)).alias("value"))
+    return metadata.gem_records(docs).withColumn("dependencies", joined(F.col("dependencies")))
+
+
+@query(
+    """WITH f AS (SELECT DISTINCT substr(split_part(p_name, ' ', 2), 1, 4) AS name FROM part), c AS (SELECT p_partkey AS id, p_brand || '.' || p_name AS full_name FROM part)
+    SELECT name || '(' AS name, id, full_name FROM f LEFT JOIN c ON contains(full_name, name) QUALIFY row_number() OVER (PARTITION BY name ORDER BY id DESC) = 1"""
+)
+def last_name_match(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue's last entry whose full name has a finding's name in it."""
+    p = table(spark, d, "part")
+    found = p.select(F.concat(F.substring(F.split("p_name", " ")[1], 1, 4), F.lit("(")).alias("name")).distinct()
+    return usage.last_match(found, p.select(F.col("p_partkey").alias("id"), F.concat_ws(".", "p_brand", "p_name").alias("full_name")))
+
+
+@query(
+    """SELECT 'overall' AS kind, 'p' || p_partkey AS src, 'p' || p_partkey // 2 AS dst FROM part WHERE p_partkey > 0
+    UNION ALL SELECT 'popular', 'p' || p_partkey, 'p' || p_partkey // 2 FROM part WHERE p_partkey > 0 AND p_partkey < 64
+    UNION ALL SELECT 'popular_versions', 'p' || p_partkey || '==' || p_size, 'p' || p_partkey // 2 || '==latest' FROM part WHERE p_partkey > 0 AND p_partkey < 64"""
+)
+def dependency_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """The three graphs of a tree of parts, written and read again by kind: all, what 32 to 63 need, and its versions."""
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    p = table(spark, d, "part").filter("p_partkey > 0")
+    rows = p.select(name(F.col("p_partkey")).alias("src"), F.col("p_size").cast("string").alias("src_version"), name(F.floor(F.col("p_partkey") / 2)).alias("dst"), F.lit(None).cast("string").alias("dst_version"))
+    popular = table(spark, d, "part").filter("p_partkey BETWEEN 32 AND 63").select(name(F.col("p_partkey")).alias("id"))
+    folder = f"{shared_folder(spark)}/graphs-{uuid.uuid4().hex}"
+    graphs.write(graphs.kinds(rows, popular), folder)
+    wanted = {"overall": {}, "popular": {"popular": True}, "popular_versions": {"popular": True, "versions": True}}
+    parts = [graphs.load(spark, folder, **how).select(F.lit(kind).alias("kind"), "src", "dst") for kind, how in wanted.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

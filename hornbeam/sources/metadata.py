@@ -76,6 +76,14 @@ def normalize(docs: DataFrame, language: str) -> DataFrame:
     return x.select("pkg", F.lit(language).alias("language"), *[c.alias(n) for c, n in zip([*cols, tests, exercise], names)])
 
 
+def gem_records(docs: DataFrame) -> DataFrame:
+    """(name, author, version, url, downloads, dependencies) of gem documents (value); dependencies: names of those that
+    are needed to run, none where the document tells of none. A document that does not parse gives no row."""
+    d = docs.select(F.from_json("value", f"{schemas.GEM}, project_uri string").alias("d")).filter("d.name IS NOT NULL")
+    needs = F.coalesce(F.col("d.dependencies.runtime.name"), F.array().cast("array<string>"))
+    return d.select("d.name", F.col("d.authors").alias("author"), "d.version", F.col("d.project_uri").alias("url"), "d.downloads", needs.alias("dependencies"))
+
+
 def release_rows(metadata: DataFrame) -> DataFrame:
     """(pkg, version, ts): one row a release."""
     return metadata.select("pkg", F.explode("releases").alias("r")).select("pkg", "r.version", "r.ts")

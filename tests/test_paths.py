@@ -6,7 +6,7 @@ import time
 import pytest
 
 from hornbeam.functions.deadline import within
-from hornbeam.operators import checks, extract, flows, paths
+from hornbeam.operators import checks, extract, flows, graph, paths
 from tests.conftest import rows
 
 
@@ -175,3 +175,50 @@ def test_the_table_function(spark):
     df = spark.createDataFrame([(1, "python", "f(1)"), (2, "python", "f("), (3, "cobol", "x"), (4, None, None)], "k int, l string, s string")
     got = spark.sql("SELECT k, name, error IS NOT NULL FROM {df}, LATERAL api_calls_of(l, s)", df=df)
     assert rows(got) == [(1, "f", False), (2, None, True), (3, None, True), (4, None, True)]
+
+
+def one_by_one(edges, rank):
+    """Edges that are left when the highest one of every strong component goes, again and again."""
+    left = {(a, b) for a, b in edges if a != b}
+    while True:
+        reach = {}
+        for a in {x for e in left for x in e}:
+            seen, todo = set(), [a]
+            while todo:
+                x = todo.pop()
+                for s, d in left:
+                    if s == x and d not in seen:
+                        seen.add(d)
+                        todo.append(d)
+            reach[a] = seen
+        parts = {}
+        for a, b in left:
+            if a in reach[b]:
+                parts.setdefault(min(x for x in reach[a] if a in reach[x]), []).append((rank[a] + rank[b], a, b))
+        if not parts:
+            return left
+        for own in parts.values():
+            left.remove(max(own)[1:])
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_cycles_are_broken_as_one_by_one(spark, rounds):
+    rnd, edges, rank = random.Random(6), set(), {}
+    for part in range(2):
+        nodes = [f"{part}.{k}" for k in range(9)]
+        rank |= {n: rnd.choice([0.5, 1.0, 2.0, 3.0]) for n in nodes}
+        edges |= {(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(16 + 6 * part)}
+    e, scores = spark.createDataFrame(sorted(edges), "src string, dst string"), spark.createDataFrame(sorted(rank.items()), "id string, rank double")
+    want = one_by_one(edges, rank)
+    assert set(rows(graph.break_cycles(e, scores, rounds=rounds))) == want and len(want) < len(edges) - 4
+
+
+def test_many_cycles_take_few_rounds(spark, monkeypatch):
+    """All edges between ten nodes, both ways: 45 go, in far fewer rounds."""
+    called, count = graph.strong_components, []
+    monkeypatch.setattr(graph, "strong_components", lambda e: count.append(1) or called(e))
+    n = 10
+    e = spark.createDataFrame([(a, b) for a in range(n) for b in range(n) if a != b], "src long, dst long")
+    scores = spark.createDataFrame([(k, float(k)) for k in range(n)], "id long, rank double")
+    got = graph.break_cycles(e, scores, rounds=1)
+    assert set(rows(got)) == one_by_one({(r.src, r.dst) for r in e.collect()}, {k: float(k) for k in range(n)}) and len(count) <= 11

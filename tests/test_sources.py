@@ -302,3 +302,22 @@ def test_a_table_that_many_add_to(spark, tmp_path):
     assert got() == want
     with pytest.raises(ValueError):
         t.add(one, "a/b", 0)
+
+
+def test_graphs_by_kind(spark, tmp_path):
+    from hornbeam.sources import graphs
+
+    rows_ = [("a", "1", "b", None), ("b", "2", "c", "3"), ("d", "1", "a", "1"), ("a", "2", "b", None), (None, "1", "b", None)]
+    made = graphs.kinds(spark.createDataFrame(rows_, "src string, src_version string, dst string, dst_version string"), spark.createDataFrame([("a",), ("zz",)], "id string"))
+    graphs.write(made, str(tmp_path / "g"))
+    got = lambda **how: sorted(map(tuple, graphs.load(spark, str(tmp_path / "g"), **how).collect()))
+    assert got() == [("a", "b"), ("b", "c"), ("d", "a")] and got(popular=True) == [("a", "b"), ("b", "c")]
+    assert got(popular=True, versions=True) == [("a==1", "b==latest"), ("a==2", "b==latest"), ("b==2", "c==3")]
+    with pytest.raises(ValueError):
+        graphs.load(spark, str(tmp_path / "g"), versions=True)
+    assert "PartitionFilters: [isnotnull(kind" in graphs.load(spark, str(tmp_path / "g"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gem_records_of_odd_documents(spark):
+    docs = spark.createDataFrame([(x,) for x in ('{"name": "a", "authors": "b", "version": "1", "project_uri": "u", "downloads": 3}', "no", None, "{}")], "value string")
+    assert [tuple(r) for r in metadata.gem_records(docs).collect()] == [("a", "b", "1", "u", 3, [])]
