@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,46 +36,69 @@ def _rows(docs: DataFrame, schema: str) -> DataFrame:
     return docs.select("pkg", F.from_json("value", schema).alias("d"))
 
 
+def _ruby() -> dict[str, Column]:
+    made = F.array(F.struct(F.col("d.version").alias("version"), F.lit(None).cast("timestamp").alias("ts")))
+    return {
+        "author": F.col("d.authors"), "emails": _found(F.col("d.authors")), "homepage": F.col("d.homepage_uri"), "license": F.array_join("d.licenses", ", "),
+        "dependencies": _gem_deps(F.col("d.dependencies.runtime")), "dev_dependencies": _gem_deps(F.col("d.dependencies.development")), "releases": F.filter(made, lambda r: r.version.isNotNull()), "has_exercise": F.lit(True),
+    }
+
+
+def _python() -> dict[str, Column]:
+    deps = F.transform("d.info.requires_dist", lambda r: F.struct(declared(r).alias("name"), F.nullif(F.trim(F.regexp_replace(r, r"^\s*[A-Za-z0-9._-]+", "")), F.lit("")).alias("version")))
+    made = F.map_filter("d.releases", lambda _, v: F.size(v) > 0)
+    last = lambda v: F.array_max(F.transform(v, lambda f: f["upload_time"].try_cast("timestamp")))
+    who = F.concat_ws(" ", "d.info.author_email", "d.info.maintainer", "d.info.maintainer_email")
+    return {
+        "author": F.col("d.info.author"), "emails": _found(who), "description": F.col("d.info.summary"), "homepage": F.col("d.info.home_page"), "license": F.col("d.info.license"),
+        "dependencies": F.coalesce(deps, F.array().cast(NO_DEPS)), "releases": _releases(made, last), "has_exercise": F.lit(True),
+    }
+
+
+def _javascript() -> dict[str, Column]:
+    times = F.map_filter("d.time", lambda k, _: ~k.isin("created", "modified"))
+    script = lambda names: F.coalesce(F.arrays_overlap(F.map_keys("d.scripts"), F.array(*map(F.lit, names))), F.lit(False))
+    return {
+        "author": F.array_join("d.maintainers", ", "), "emails": _found(F.array_join("d.maintainers", " ")), "description": F.col("d.description"), "homepage": F.col("d.homepage"), "license": F.col("d.license"),
+        "dependencies": _map_deps(F.col("d.dependencies")), "dev_dependencies": _map_deps(F.col("d.devDependencies")), "releases": _releases(times), "has_install": script(HOOKS), "has_main": F.coalesce("d.bin", "d.main", "d.browser").isNotNull(),
+        "has_test": script(TESTS), "has_exercise": F.coalesce("d.main", "d.browser").isNotNull(),
+    }
+
+
+def _php() -> dict[str, Column]:
+    versions = F.map_filter("d.package.versions", lambda k, _: ~k.rlike("[#/]"))
+    times = F.filter(F.map_values(versions), lambda v: v["time"].isNotNull())
+    latest = F.element_at(F.array_sort(F.transform(times, lambda v: F.struct(v["time"].try_cast("timestamp").alias("ts"), v["version"].alias("version"), F.map_entries(v["require"]).alias("require"), F.coalesce(F.size(v["bin"]), F.lit(0)).alias("bins")))), F.when(F.size(times) > 0, -1).otherwise(F.lit(None)))
+    deps = F.transform(F.filter(latest["require"], lambda e: e.key.contains("/")), lambda e: F.struct(e.key.alias("name"), e.value.alias("version")))
+    people = F.filter(F.array_distinct(F.flatten(F.transform(F.map_values(versions), lambda v: F.coalesce(F.transform(v["authors"], lambda a: a["email"]), F.array().cast("array<string>"))))), lambda e: e.isNotNull())
+    return {
+        "emails": F.coalesce(people, F.array().cast("array<string>")), "description": F.col("d.package.description"), "dependencies": F.coalesce(deps, F.array().cast(NO_DEPS)),
+        "releases": _releases(versions, lambda v: v["time"].try_cast("timestamp")), "has_main": F.coalesce(latest["bins"] > 0, F.lit(False)), "has_exercise": F.coalesce(F.col("d.package.type") == "library", F.lit(False)),
+    }
+
+
+def _csharp() -> dict[str, Column]:
+    entries = F.coalesce(F.transform(F.flatten(F.transform("d.items", lambda p: p["items"])), lambda i: i["catalogEntry"]), F.array().cast("array<struct<id:string,version:string,published:string,authors:string>>"))
+    people = F.array_join(F.array_distinct(F.filter(F.transform(entries, lambda e: e["authors"]), lambda a: a.isNotNull())), ", ")
+    return {"author": people, "emails": _found(people), "releases": F.transform(entries, lambda e: F.struct(e["version"].alias("version"), e["published"].try_cast("timestamp").alias("ts")))}
+
+
+#: Language -> the schema of its registry's documents, and columns of schemas.METADATA made of a document d; columns that
+#: a registry does not tell of are null, empty or false. A new registry is a new entry.
+NORMALIZERS: dict[str, tuple[str, Callable[[], dict[str, Column]]]] = {
+    "ruby": (schemas.GEM, _ruby), "python": (schemas.PYPI, _python), "javascript": (schemas.NPM, _javascript), "php": (schemas.PACKAGIST, _php), "csharp": (schemas.NUGET, _csharp),
+}
+
+
 def normalize(docs: DataFrame, language: str) -> DataFrame:
     """Rows of schemas.METADATA of raw documents (pkg, value). A document that does not parse gives nulls and empty
     lists. Java comes from POMs (readers.poms) and raises here, as do languages without a registry."""
-    none, off = F.lit(None).cast("string"), F.lit(False)
-    tests, exercise = off, F.lit(language in ("python", "ruby"))
-    if language == "ruby":
-        x = _rows(docs, schemas.GEM)
-        cols = [F.col("d.authors"), _found(F.col("d.authors")), none, F.col("d.homepage_uri"), F.array_join("d.licenses", ", "), _gem_deps(F.col("d.dependencies.runtime")), _gem_deps(F.col("d.dependencies.development")), F.filter(F.array(F.struct(F.col("d.version").alias("version"), F.lit(None).cast("timestamp").alias("ts"))), lambda r: r.version.isNotNull()), off, off]
-    elif language == "python":
-        x = _rows(docs, schemas.PYPI)
-        deps = F.coalesce(F.transform("d.info.requires_dist", lambda r: F.struct(declared(r).alias("name"), F.nullif(F.trim(F.regexp_replace(r, r"^\s*[A-Za-z0-9._-]+", "")), F.lit("")).alias("version"))), F.array().cast(NO_DEPS))
-        made = F.map_filter("d.releases", lambda _, v: F.size(v) > 0)
-        last = lambda v: F.array_max(F.transform(v, lambda f: f["upload_time"].try_cast("timestamp")))
-        who = F.concat_ws(" ", "d.info.author_email", "d.info.maintainer", "d.info.maintainer_email")
-        cols = [F.col("d.info.author"), _found(who), F.col("d.info.summary"), F.col("d.info.home_page"), F.col("d.info.license"), deps, F.array().cast(NO_DEPS), _releases(made, last), off, off]
-    elif language == "javascript":
-        x = _rows(docs, schemas.NPM)
-        times = F.map_filter("d.time", lambda k, _: ~k.isin("created", "modified"))
-        script = lambda names: F.coalesce(F.arrays_overlap(F.map_keys("d.scripts"), F.array(*map(F.lit, names))), off)
-        hook, tests, exercise = script(HOOKS), script(TESTS), F.coalesce("d.main", "d.browser").isNotNull()
-        runs = F.coalesce("d.bin", "d.main", "d.browser").isNotNull()
-        cols = [F.array_join("d.maintainers", ", "), _found(F.array_join("d.maintainers", " ")), F.col("d.description"), F.col("d.homepage"), F.col("d.license"), _map_deps(F.col("d.dependencies")), _map_deps(F.col("d.devDependencies")), _releases(times), hook, runs]
-    elif language == "php":
-        x = _rows(docs, schemas.PACKAGIST)
-        exercise = F.coalesce(F.col("d.package.type") == "library", off)
-        versions = F.map_filter("d.package.versions", lambda k, _: ~k.rlike("[#/]"))
-        times = F.filter(F.map_values(versions), lambda v: v["time"].isNotNull())
-        latest = F.element_at(F.array_sort(F.transform(times, lambda v: F.struct(v["time"].try_cast("timestamp").alias("ts"), v["version"].alias("version"), F.map_entries(v["require"]).alias("require"), F.coalesce(F.size(v["bin"]), F.lit(0)).alias("bins")))), F.when(F.size(times) > 0, -1).otherwise(F.lit(None)))
-        deps = F.coalesce(F.transform(F.filter(latest["require"], lambda e: e.key.contains("/")), lambda e: F.struct(e.key.alias("name"), e.value.alias("version"))), F.array().cast(NO_DEPS))
-        people = F.filter(F.array_distinct(F.flatten(F.transform(F.map_values(versions), lambda v: F.coalesce(F.transform(v["authors"], lambda a: a["email"]), F.array().cast("array<string>"))))), lambda e: e.isNotNull())
-        cols = [none, F.coalesce(people, F.array().cast("array<string>")), F.col("d.package.description"), none, none, deps, F.array().cast(NO_DEPS), _releases(versions, lambda v: v["time"].try_cast("timestamp")), off, F.coalesce(latest["bins"] > 0, off)]
-    elif language == "csharp":
-        x = _rows(docs, schemas.NUGET)
-        entries = F.coalesce(F.transform(F.flatten(F.transform("d.items", lambda p: p["items"])), lambda i: i["catalogEntry"]), F.array().cast("array<struct<id:string,version:string,published:string,authors:string>>"))
-        people = F.array_join(F.array_distinct(F.filter(F.transform(entries, lambda e: e["authors"]), lambda a: a.isNotNull())), ", ")
-        cols = [people, _found(people), none, none, none, F.array().cast(NO_DEPS), F.array().cast(NO_DEPS), F.transform(entries, lambda e: F.struct(e["version"].alias("version"), e["published"].try_cast("timestamp").alias("ts"))), off, off]
-    else:
+    if language not in NORMALIZERS:
         raise ValueError(f"no normalizer for {language}")
-    names = ["author", "emails", "description", "homepage", "license", "dependencies", "dev_dependencies", "releases", "has_install", "has_main", "has_test", "has_exercise"]
-    return x.select("pkg", F.lit(language).alias("language"), *[c.alias(n) for c, n in zip([*cols, tests, exercise], names)])
+    schema, columns = NORMALIZERS[language]
+    text, none, off = F.lit(None).cast("string"), F.array().cast(NO_DEPS), F.lit(False)
+    unknown = {"author": text, "emails": F.array().cast("array<string>"), "description": text, "homepage": text, "license": text, "dependencies": none, "dev_dependencies": none, "releases": F.array().cast("array<struct<version:string,ts:timestamp>>"), "has_install": off, "has_main": off, "has_test": off, "has_exercise": off}
+    return _rows(docs, schema).select("pkg", F.lit(language).alias("language"), *[c.alias(k) for k, c in (unknown | columns()).items()])
 
 
 def gem_records(docs: DataFrame) -> DataFrame:

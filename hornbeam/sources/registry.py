@@ -1,8 +1,9 @@
 """Saved registry documents as a data source: spark.read.format("registry") and spark.readStream.
 
 A folder holds one folder for each registry, and in it a document for each package, as JSON, named by the package with
-`/` written as `%2F`. Each file is listed once, in the driver; tasks read the files, some of each registry a partition. A
-filter on registry or pkg by equality leaves files out before any is read. Stores that pyarrow knows (local and HDFS
+`/` written as `%2F`. Each file is listed once, in the driver; tasks read the files, some of each registry a partition.
+The options registry and pkg leave other files out before any is read. (Filters are not pushed down: this version of Spark
+keeps what is pushed with the source and not with the scan, so that two filters on one DataFrame would meet.) Stores that pyarrow knows (local and HDFS
 paths, object stores) can be read; the path must be seen by all executors. As a stream, a folder's new files come in the
 order of their times of change, FILES of them at a time.
 """
@@ -14,7 +15,8 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from hornbeam.sources import metadata
 
@@ -86,19 +88,14 @@ def _parts(files: list[tuple[int, str, str, str]]) -> list[Documents]:
 
 
 class RegistryReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-        self.equal: dict[str, str] = {}
+    def __init__(self, path: str, registry: str | None = None, pkg: str | None = None):
+        self.path, self.registry, self.pkg = path, registry, pkg
 
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("registry",), ("pkg",)) and self.equal.setdefault(f.attribute[0], f.value) == f.value:
-                continue
-            yield f
+    def wanted(self, registry: str, pkg: str) -> bool:
+        return self.registry in (None, registry) and self.pkg in (None, pkg)
 
     def partitions(self) -> list[Documents]:
-        keep = lambda registry, pkg: self.equal.get("registry", registry) == registry and self.equal.get("pkg", pkg) == pkg
-        return _parts(_files(self.path, keep)) or [Documents(())]
+        return _parts(_files(self.path, self.wanted)) or [Documents(())]
 
     def read(self, partition: Documents) -> Iterator[tuple]:
         return _read(self.path, partition)
@@ -137,7 +134,7 @@ class RegistryStream(DataSourceStreamReader):
 
 
 class RegistrySource(DataSource):
-    """Options: path (the folder), maxFilesPerTrigger (of a stream)."""
+    """Options: path (the folder), registry and pkg (of a batch: these only), maxFilesPerTrigger (of a stream)."""
 
     @classmethod
     def name(cls) -> str:
@@ -147,16 +144,14 @@ class RegistrySource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return RegistryReader(self.options["path"])
+        return RegistryReader(self.options["path"], self.options.get("registry"), self.options.get("pkg"))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return RegistryStream(self.options["path"], int(self.options.get("maxfilespertrigger", BATCH)))
 
 
 def register(spark: SparkSession) -> None:
-    """spark.read.format("registry").load(folder) then works. The session must allow Python sources to take filters, which
-    is turned on here."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """spark.read.format("registry").load(folder) then works."""
     spark.dataSource.register(RegistrySource)
 
 
@@ -167,12 +162,10 @@ def normalized(docs: DataFrame, registry: str) -> DataFrame:
     return metadata.normalize(docs.filter(docs["registry"] == registry).select("pkg", "value"), REGISTRIES[registry].language)
 
 
-def all_normalized(docs: DataFrame) -> DataFrame:
+def all_normalized(spark: SparkSession, path: str) -> DataFrame:
     """Rows of schemas.METADATA with their registry, of every registry that is known."""
-    from pyspark.sql import functions as F
-
     out = None
     for name in REGISTRIES:
-        one = normalized(docs, name).withColumn("registry", F.lit(name))
+        one = normalized(spark.read.format("registry").option("registry", name).load(path), name).withColumn("registry", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out

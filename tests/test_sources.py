@@ -232,7 +232,7 @@ def test_registries_as_a_source(spark, tmp_path):
     (tmp_path / "in" / "notes.txt").write_text("x")
     docs = spark.read.format("registry").load(str(tmp_path / "in"))
     assert sorted((r.registry, r.pkg) for r in docs.collect()) == sorted((k, v[0]) for k, v in DOCUMENTS.items())
-    got = {r.registry: r for r in registry_source.all_normalized(docs).collect()}
+    got = {r.registry: r for r in registry_source.all_normalized(spark, str(tmp_path / "in")).collect()}
     assert set(got) == set(registry_source.REGISTRIES) and [d.name for d in got["pypi"].dependencies] == ["jinja2"] and got["packagist"].pkg == "mono/log" and got["nuget"].author == "C"
     assert {k: [r.version for r in v.releases] for k, v in got.items()} == {"npmjs": ["1.0.0"], "pypi": ["1.0"], "rubygems": ["6.0"], "packagist": ["1.0"], "nuget": ["1.0"]}
     with pytest.raises(ValueError):
@@ -240,22 +240,20 @@ def test_registries_as_a_source(spark, tmp_path):
     assert spark.read.format("registry").load(str(tmp_path / "none")).count() == 0
 
 
-def test_registry_partitions_and_filters(spark, tmp_path, monkeypatch):
+def test_registry_partitions_and_options(spark, tmp_path, monkeypatch):
     for k in range(5):
         save(tmp_path, "pypi", f"p{k}", {})
     save(tmp_path, "npmjs", "p1", {})
     monkeypatch.setattr(registry_source, "FILES", 2)
     reader = registry_source.RegistryReader(str(tmp_path))
     assert [len(p.files) for p in reader.partitions()] == [1, 2, 2, 1]
-    from pyspark.sql.datasource import EqualTo, GreaterThan
-
-    left = list(reader.pushFilters([EqualTo(("registry",), "pypi"), GreaterThan(("pkg",), "p"), EqualTo(("registry",), "npmjs"), EqualTo(("value",), "x")]))
-    assert [type(f).__name__ for f in left] == ["GreaterThan", "EqualTo", "EqualTo"] and [len(p.files) for p in reader.partitions()] == [2, 2, 1]
+    assert [len(p.files) for p in registry_source.RegistryReader(str(tmp_path), "pypi").partitions()] == [2, 2, 1]
     registry_source.register(spark)
-    docs = spark.read.format("registry").load(str(tmp_path))
-    one = docs.filter("registry = 'pypi' AND pkg = 'p1'")
+    one = spark.read.format("registry").option("registry", "pypi").option("pkg", "p1").load(str(tmp_path))
     assert [(r.registry, r.pkg) for r in one.collect()] == [("pypi", "p1")] and one.rdd.getNumPartitions() == 1
-    assert docs.filter("pkg = 'p1' AND registry = 'npmjs' AND registry = 'pypi'").count() == 0
+    docs = spark.read.format("registry").load(str(tmp_path))
+    both = docs.filter("registry = 'pypi' AND pkg = 'p2'").union(docs.filter("registry = 'npmjs'"))
+    assert rows(both.select("registry", "pkg")) == [("npmjs", "p1"), ("pypi", "p2")]
 
 
 def test_registry_stream(spark, tmp_path):
