@@ -299,9 +299,11 @@ def bit_choices(n: int, similarity: float = ALIKE, sure: float = SURE) -> tuple[
     return bits, np.stack([rng.permutation(64 * WORDS) for _ in range(many)])
 
 
-#: How often a shard over the limit is cut finer, how sure a pair in it meets again each time, bits that it takes beyond
-#: those that its size asks for.
-LEVELS, AGAIN, FINER = 4, 0.99, 4
+#: How sure a pair in a shard over the limit meets again in a finer one; how often what is still over it is cut; bits that
+#: a cut takes beyond those that the size asks for.
+AGAIN, CUTS, FINER = 0.95, 4, 4
+#: Values of a shard from which it is looked for one that many are near to.
+CROWD = 64
 
 
 def _many(bits: int, similarity: float, sure: float) -> int:
@@ -325,8 +327,9 @@ def _key_of(bits: np.ndarray, salt: np.ndarray | np.uint64) -> np.ndarray:
 def wide_links(fps: DataFrame, similarity: float = ALIKE, shard: int = SHARD) -> DataFrame:
     """(a, b): links, by their hashes, that join all fingerprints (fp, wide; distinct) that a choice of bits and the radius
     connect. A shard over the limit is cut by more bits, by so many choices of them that a pair in it still meets with
-    probability AGAIN, and again while a part is over the limit, LEVELS times at most; what is still larger, fingerprints
-    that agree nearly everywhere, is worked in pairs of chunks, which misses nothing."""
+    probability AGAIN. What is over the limit even then, a group of so many near copies that agree nearly everywhere, is
+    cut by more bits again, by one choice, and its members are linked to the first of them that is near: pairs of such a
+    group that neither meet nor are near its first are lost."""
     spark, radius = fps.sparkSession, wide_radius(similarity)
     bits, choices = bit_choices(fps.count(), similarity)
     salts = np.arange(1, len(choices) + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
@@ -345,54 +348,54 @@ def wide_links(fps: DataFrame, similarity: float = ALIKE, shard: int = SHARD) ->
                 for n in np.unique(more).tolist():
                     rows = np.flatnonzero(more == n)
                     own, wide = (b.column(c).take(pa.array(rows)) for c in ("fp", "wide"))
-                    for k in range(_many(n, similarity, AGAIN)):
+                    for k in range(1 if level else _many(n, similarity, AGAIN)):
                         chosen = np.random.default_rng([23, level, n, k]).permutation(64 * WORDS)[:n]
                         salt = (key[rows] ^ np.uint64((k + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)) * _GOLDEN
                         yield pa.RecordBatch.from_arrays([pa.array(_key_of(x[rows][:, chosen], salt)), own, wide], ["key", "fp", "wide"])
 
         return work
 
-    keyed = fps.select("fp", "wide").transform(in_arrow, keys, "key long, fp long, wide binary")
-    done: DataFrame | None = None
-    for level in range(LEVELS + 1):
-        large = cut(keyed.groupBy("key").count().filter(F.col("count") > shard))
-        n = large.count()
-        if not n:
-            break
-        large = F.broadcast(large) if n <= LARGE else large
-        small = keyed.join(large, "key", "left_anti")
-        done = small if done is None else done.unionByName(small)
-        keyed = keyed.join(large, "key")
-        if level < LEVELS:
-            more = F.least(F.ceil(F.log2(F.col("count") / shard)) + FINER, F.lit(64)).cast("int")
-            keyed = keyed.select("key", more.alias("more"), "fp", "wide").transform(in_arrow, finer(level), "key long, fp long, wide binary")
-    chunks = F.ceil(F.col("count") / shard).cast("int") if "count" in keyed.columns else F.lit(1)
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    keyed = keyed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = keyed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "wide")
-    if done is not None:
-        none = F.lit(0)
-        rows = rows.unionByName(done.select("key", none.alias("i"), none.alias("j"), none.alias("own"), "fp", "wide"))
-
     def work(batches):
-        for t in runs(batches, ["key", "i", "j"], 10 * SHARD):
-            cols = [t.column(c).to_numpy() for c in ("key", "i", "j")]
-            own, names = t.column("own").to_numpy(), t.column("fp").to_numpy()
-            wide, at, out = t.column("wide").to_pylist(), bounds(*cols), []
+        for t in runs(batches, ["key"], 10 * SHARD):
+            key, names = t.column("key").to_numpy(), t.column("fp").to_numpy()
+            wide, at, out = t.column("wide").to_pylist(), bounds(key), []
             for k in np.flatnonzero(np.diff(at) > 1).tolist():
-                a, b = int(at[k]), int(at[k + 1])
-                i, j = int(cols[1][a]), int(cols[2][a])
-                _join_all([int.from_bytes(w, "little") for w in wide[a:b]], names[a:b].tolist(), radius, out, None if i == j else (own[a:b] == i).tolist())
+                _join_all(wide[at[k] : at[k + 1]], names[at[k] : at[k + 1]].tolist(), radius, out)
             pairs = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    cell = ["key", "i", "j"]
-    return rows.repartition(buckets(spark), *cell).sortWithinPartitions(*cell).transform(in_arrow, work, "a long, b long")
-
+    def near_first(batches):
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, WORDS) for c in ("wide", "first_wide"))
+            near = np.bitwise_count(one ^ two).sum(1, dtype=np.int64) <= radius
+            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("first")], ["a", "b"]).filter(pa.array(near))
 
-def _join_all(values: list[int], names: list[int], radius: int, out: list[tuple[int, int]], first: list[bool] | None = None) -> None:
-    """Links by name that join all values connected within the radius, one fewer than there are in each group. first: where
-    given, those that it marks are the tree and the others look for them only."""
+    keyed = fps.select("fp", "wide").transform(in_arrow, keys, "key long, fp long, wide binary")
+    small, links = None, None
+    for level in range(CUTS + 1):
+        first = F.min(F.struct("fp", "wide"))
+        large = cut(keyed.groupBy("key").agg(F.count("*").alias("count"), first.alias("f")).filter(F.col("count") > shard).select("key", "count", F.col("f.fp").alias("first"), F.col("f.wide").alias("first_wide")))
+        n = large.count()
+        if not n or level == CUTS:
+            break
+        large = F.broadcast(large) if n <= LARGE else large
+        rest = keyed.join(large, "key", "left_anti")
+        small = rest if small is None else small.unionByName(rest)
+        over = keyed.join(large, "key")
+        if level:
+            star = over.filter(F.col("fp") != F.col("first")).select("fp", "wide", "first", "first_wide").transform(in_arrow, near_first, "a long, b long")
+            links = star if links is None else links.unionByName(star)
+        more = F.least(F.ceil(F.log2(F.col("count") / shard)) + FINER, F.lit(64)).cast("int")
+        keyed = over.select("key", more.alias("more"), "fp", "wide").transform(in_arrow, finer(level), "key long, fp long, wide binary")
+    rows = keyed if small is None else small.unionByName(keyed)
+    found = rows.repartition(buckets(spark), "key").sortWithinPartitions("key").transform(in_arrow, work, "a long, b long")
+    return found if links is None else found.unionByName(links)
+
+
+def _join_all(wide: list[bytes], names: list[int], radius: int, out: list[tuple[int, int]]) -> None:
+    """Links by name that join all values connected within the radius. In a crowd, all that are within half the radius of
+    the value in its middle are near each other, so they are linked to that one and look for no others."""
+    values, settled = [int.from_bytes(w, "little") for w in wide], [False] * len(wide)
     tree, of, top = BKTree(), {}, {v: v for v in values}
 
     def root(x: int) -> int:
@@ -400,20 +403,29 @@ def _join_all(values: list[int], names: list[int], radius: int, out: list[tuple[
             top[x] = x = top[top[x]]
         return x
 
-    marks = first or [True] * len(values)
-    if first is not None:
-        for v, name, mark in zip(values, names, marks):
-            if mark:
-                of[v] = name
-                tree.add(v)
-    for v, name, mark in zip(values, names, marks):
-        if first is None or not mark:
+    def join(a: int, b: int, name: int, other: int) -> None:
+        if (x := root(a)) != (y := root(b)):
+            top[max(x, y)] = min(x, y)
+            out.append((name, other))
+
+    if len(wide) >= CROWD:
+        x = np.frombuffer(b"".join(wide), np.uint64).reshape(len(wide), -1)
+        middle = np.packbits(np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.int64) * 2 > len(wide)).view(np.uint64)
+        leader = int(np.bitwise_count(x ^ middle).sum(1, dtype=np.int64).argmin())
+        close = np.bitwise_count(x ^ x[leader]).sum(1, dtype=np.int64) <= radius // 2
+        settled = close.tolist()
+        for k in np.flatnonzero(close).tolist():
+            if k != leader:
+                join(values[k], values[leader], names[k], names[leader])
+    for v, name in zip(values, names):
+        of[v] = name
+    for v, mark in zip(values, settled):
+        if mark:
+            tree.add(v)
+    for v, name, mark in zip(values, names, settled):
+        if not mark:
             for g in tree.near(v, radius):
-                if (a := root(v)) != (b := root(g)):
-                    top[max(a, b)] = min(a, b)
-                    out.append((name, of[g]))
-        if first is None:
-            of[v] = name
+                join(v, g, name, of[g])
             tree.add(v)
 
 
