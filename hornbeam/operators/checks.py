@@ -71,8 +71,12 @@ def find(calls: DataFrame, checks: DataFrame) -> DataFrame:
         raise ValueError(f"more than {BROADCAST} checks")
     named = checks.filter("methods IS NOT NULL").withColumn("method", F.explode(F.array_distinct("methods")))
     by_name = calls.join(F.broadcast(named), "method")
-    by_pattern = calls.join(F.broadcast(checks.filter("methods IS NULL AND method_pattern IS NOT NULL")), F.expr("rlike(method, method_pattern)"))
-    both = by_name.select(*calls.columns, *checks.columns).unionByName(by_pattern)
+    both = by_name.select(*calls.columns, *checks.columns)
+    loose = checks.filter("methods IS NULL AND method_pattern IS NOT NULL")
+    if patterns := [r.method_pattern for r in loose.select("method_pattern").distinct().collect()]:  # BROADCAST at most
+        fits = F.filter(F.array(*map(F.lit, patterns)), lambda x: F.rlike("method", x))
+        by_pattern = calls.withColumn("method_pattern", F.explode(fits)).join(F.broadcast(loose), "method_pattern")
+        both = both.unionByName(by_pattern.select(*both.columns))
     on = F.when(F.coalesce("chained", F.lit(False)), F.col("root")).otherwise(F.col("target"))
     both = both.withColumn("_on", on)
     target = F.expr("(targets IS NULL AND target_pattern IS NULL) OR coalesce(array_contains(targets, _on), false) OR coalesce(rlike(_on, target_pattern), false)")
