@@ -31,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all shuffle partitions, by the keys if there are any: for few bytes that make many rows, or much work, in
+    the next step, which adaptive execution would put into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class Parts:
     """Rows that a loop adds round by round: each round's are stored once, and read with all others until MOST parts
     have come together, which then become one."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hornbeam.functions.names import as_bytes, edit_distance
-from hornbeam.functions.storage import cut
+from hornbeam.functions.storage import cut, spread
 
 
 def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
@@ -17,6 +17,8 @@ def _segment(length: Column, k: int, parts: int) -> tuple[Column, Column]:
 
 #: A key that so many names share is split by a second one.
 HOT = 1000
+#: Two keys that so many names share are followed by a third.
+SECOND = 100
 
 
 def _own_keys(x: Column, parts: int) -> Column:
@@ -49,18 +51,28 @@ def _rest(x: str) -> Column:
     return F.concat(c.substr(F.lit(1), F.col("at")), c.substr(F.col("at") + F.col("size") + 1, F.length(c)))
 
 
+def _shortened(x: Column, limit: int) -> Column:
+    """A name without none, and up to so many, of its characters. Names within the limit have one of these in common."""
+    found = F.array(x)
+    for _ in range(limit):
+        found = F.array_distinct(F.flatten(F.transform(found, lambda v: F.transform(F.sequence(F.lit(0), F.length(v)), lambda i: F.concat(v.substr(F.lit(1), i - 1), v.substr(i + 1, F.length(v)))))))
+    return found
+
+
 def edit_distance_pairs(left: DataFrame, right: DataFrame | None = None, name: str = "name", limit: int = 2, metric: str = "bytes", include_self: bool = False) -> DataFrame:
     """(a, b, distance) of distinct names within the limit; without `right`, unordered pairs a < b of `left`.
 
     A name is cut into limit + 1 even segments; one that is within the limit must have one of them unchanged, shifted
     by the limit at most. Both sides become (length, segment number, text) keys for one equi-join, so the work follows
     the number of near names, not the square of all. Names that share a frequent segment, as those of one scope do, meet
-    only if what is left of them shares a segment too: it is within the limit as well. A limit of 0 keeps every pair that
-    shares its only key: equal ones."""
+    only if what is left of them shares a segment too: it is within the limit as well. Where both segments are frequent,
+    as in numbered names, they meet, up to a limit of 2, by what is left without so many of its characters: what shares
+    that is within twice the limit, so no key is frequent. A limit of 0 keeps every pair that shares its only key: equal
+    ones."""
     plain = as_bytes if metric != "chars" else (lambda c: c)
     parts = limit + 1
-    ours = left.select(F.col(name).alias("a")).filter(F.col(name).isNotNull()).distinct().withColumn("x", plain(F.col("a")))
-    theirs = (left if right is None else right).select(F.col(name).alias("b")).filter(F.col(name).isNotNull()).distinct().withColumn("y", plain(F.col("b")))
+    ours = left.select(F.col(name).alias("a")).filter(F.col(name).isNotNull()).distinct().transform(spread).withColumn("x", plain(F.col("a")))
+    theirs = (left if right is None else right).select(F.col(name).alias("b")).filter(F.col(name).isNotNull()).distinct().transform(spread).withColumn("y", plain(F.col("b")))
     one = ours.select("a", "x", F.explode(_own_keys(F.col("x"), parts)).alias("k")).select("a", "x", "k.*")
     two = theirs.select("b", "y", F.explode(_near_keys(F.col("y"), parts)).alias("k")).select("b", "y", "k.*")
     hot = one.groupBy("key").count().filter(F.col("count") > HOT).select("key")
@@ -68,13 +80,19 @@ def edit_distance_pairs(left: DataFrame, right: DataFrame | None = None, name: s
         found = one.select("a", "key").join(two.select("b", "key"), "key")
     else:
         hot = cut(hot)
-        found = one.join(hot, "key", "left_anti").select("a", "key").join(two.select("b", "key"), "key").select("a", "b")
-        far = one.join(hot, "key", "left_semi").select("a", "key", F.explode(_own_keys(_rest("x"), parts)).alias("k")).select("a", "key", F.col("k.key").alias("second"))
-        near = two.join(hot, "key", "left_semi").select("b", "key", F.explode(_near_keys(_rest("y"), parts)).alias("k")).select("b", "key", F.col("k.key").alias("second"))
-        found = found.unionByName(far.join(near, ["key", "second"]).select("a", "b"))
-    found = found.select("a", "b").distinct()
+        found = one.join(hot, "key", "left_anti").select("a", "key").join(two.select("b", "key").hint("merge"), "key").select("a", "b")
+        step = lambda df, who, x, keys: spread(df.join(hot, "key", "left_semi").select(who, "key", _rest(x).alias(x)).distinct()).select(who, "key", x, F.explode(keys(F.col(x), parts)).alias("k")).select(who, F.struct("key", F.col("k.key").alias("second")).alias("key"), x, "k.at", "k.size")
+        far, near = cut(step(one, "a", "x", _own_keys)), step(two, "b", "y", _near_keys)
+        hot = far.groupBy("key").count().filter(F.col("count") > SECOND).select("key")
+        if limit <= 2 and not (hot := cut(hot)).isEmpty():
+            near = cut(near.join(far.select("key").distinct().hint("merge"), "key", "left_semi"))
+            last = lambda df, who, x: spread(df.join(hot, "key", "left_semi").select(who, "key", _rest(x).alias(x)).distinct()).select(who, "key", F.explode(_shortened(F.col(x), limit)).alias("left"))
+            found = found.unionByName(last(far, "a", "x").join(last(near, "b", "y").hint("merge"), ["key", "left"]).select("a", "b"))
+            far = far.join(hot, "key", "left_anti")
+        found = found.unionByName(far.select("a", "key").join(near.select("b", "key").hint("merge"), "key").select("a", "b"))
     if right is None:
         found = found.filter(F.col("a") <= F.col("b") if include_self else F.col("a") < F.col("b"))
+    found = spread(found.select("a", "b"), "a").distinct()
     measure = "chars" if metric == "chars" else "bytes"
     near = found.withColumn("distance", edit_distance(F.col("a"), F.col("b"), measure, limit)).filter(F.col("distance") >= 0)
     return near if metric != "normalized" else near.withColumn("distance", edit_distance(F.col("a"), F.col("b"), "normalized"))

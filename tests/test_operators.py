@@ -302,6 +302,16 @@ def test_names_of_one_scope_do_not_all_meet(spark, monkeypatch):
     assert got == want and len(want) > 120
 
 
+def test_numbered_names_meet_by_a_third_key(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "HOT", 20)
+    monkeypatch.setattr(similarity, "SECOND", 5)
+    for limit in (1, 2):
+        every = sorted({f"Supplier#{k * 7 % 3000:09d}" for k in range(150)} | {"Supplier#00000001", "Supplier#0000000212", "upplier#000000021"})
+        got = {(x.a, x.b): x.distance for x in similarity.edit_distance_pairs(spark.createDataFrame([(n,) for n in every], "name string"), limit=limit).collect()}
+        want = {(a, b): d for i, a in enumerate(every) for b in every[i + 1 :] if abs(len(a) - len(b)) <= limit and (d := distance(a, b)) <= limit}
+        assert got == want and len(want) > 50
+
+
 @pytest.mark.parametrize("least", [0.15, 0.5, 0.8])
 def test_neighbour_similarity_equals_all_pairs(spark, least):
     r = random.Random(6)
