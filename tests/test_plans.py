@@ -2,7 +2,8 @@
 
 import pytest
 
-from hornbeam.plans import catalog
+from hornbeam.functions import syscalls
+from hornbeam.plans import catalog, details
 
 SF = "/root/testdata/sf0.001"
 LOOPS = {"scc_break_cycles", "strong_components", "pagerank", "graph_closure_cyclic", "graph_descendants", "graph_ancestors", "graph_levels", "graph_induced_subgraph", "component_labels", "formula_with_dependencies"}
@@ -29,3 +30,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_top_k_sorts_no_more_than_it_returns(spark):
     assert "TakeOrderedAndProject" in plan(catalog.QUERIES["select_top_packages"](spark, SF))
+
+
+def test_every_listed_system_call_is_asked_for():
+    asked = {call.upper() for call, kind in details.CALLS if kind}
+    assert asked == {c for calls in syscalls.CATEGORIES.values() for c in calls}
