@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornbeam.functions.deadline import within
-from hornbeam.functions.storage import Parts, cut, in_arrow
+from hornbeam.functions.storage import Parts, cut, in_arrow, spread
 from hornbeam.operators.extract import NOT_CALLS, brackets, masked, parts_of
 from hornbeam.operators.graph import levels
 
@@ -298,6 +298,8 @@ def script_edges(source: str, language: str, sites: bool = False) -> Iterator[Ed
 EDGE_READERS = {"python": python_edges} | {x: (lambda source, sites=False, x=x: script_edges(source, x, sites)) for x in ("javascript", "php")}
 #: Seconds that one file may take.
 SECONDS = 60.0
+#: A task keeps the edges of so many contents of so few characters: many packages have the same small files.
+KEPT, SHORT = 200, 4000
 
 
 def def_use_edges(files: DataFrame, language: str = "python", sites: bool = False, seconds: float = SECONDS) -> DataFrame:
@@ -305,24 +307,51 @@ def def_use_edges(files: DataFrame, language: str = "python", sites: bool = Fals
     what is assigned, passed or returned; place is the argument's number. sites: each call is a node of its own, named by
     its place in the file, and the columns of DETAILS are added. Files that do not parse, or not in so many seconds, have
     no edges."""
-    read = EDGE_READERS[language]
     schema = EDGES + (DETAILS if sites else "")
 
     def work(batches):
+        read = functools.lru_cache(KEPT)(lambda text: [*EDGE_READERS[language](text, sites)])
         for b in batches:
             rows = []
             for pkg, path, content in zip(*(c.to_pylist() for c in b.columns)):
                 full = lambda node: f"{path}{node}" if node[0] == "|" else node  # noqa: B023, E731
                 try:
                     with within(seconds):
-                        found = {(full(s), full(d), k, p, f"{path}@{site}" if site else None, label) for s, d, k, p, site, label in read(content or "", sites)}
+                        found = {(full(s), full(d), k, p, f"{path}@{site}" if site else None, label) for s, d, k, p, site, label in (read if len(content or "") <= SHORT else read.__wrapped__)(content or "")}
                 except (SyntaxError, ValueError, RecursionError, TimeoutError):
                     found = set()
                 rows += [(pkg, path, *e) for e in sorted(found if sites else {e[:4] for e in found}, key=str)]
             kinds = [pa.string()] * 5 + [pa.int32()] + [pa.string()] * 2 * sites
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return files.select("pkg", "path", F.col("content").cast("string")).transform(in_arrow, work, schema)
+    return files.select("pkg", "path", F.col("content").cast("string")).transform(spread).transform(in_arrow, work, schema)
+
+
+def alike(*tables: DataFrame) -> DataFrame | None:
+    """(pkg, of): every package and the first of those that have the same rows in all tables (pkg, ...), by two hashes of
+    64 bits of the sets of rows; null unless there are at least two packages for each such set. What is found in one
+    package, and names no package, is found in its copies too."""
+    rows = None
+    for k, t in enumerate(tables):
+        fields = [x for c in sorted(t.columns) if c != "pkg" for x in (F.col(c).isNull(), F.col(c))]
+        own = t.distinct().select("pkg", *[F.xxhash64(F.lit(f"{seed}/{k}"), *fields).alias(f"h{seed}") for seed in range(2)])
+        rows = own if rows is None else rows.unionByName(own)
+    same = ["n", "h0", "h1"]
+    sets = cut(rows.groupBy("pkg").agg(F.count("*").alias("n"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1")))
+    first = cut(sets.groupBy(*same).agg(F.min("pkg").alias("of")))
+    if 2 * first.count() > sets.count():
+        return None
+    return cut(sets.join(first, same).select("pkg", "of"))
+
+
+def only_first(table: DataFrame, members: DataFrame | None) -> DataFrame:
+    """The rows of the first package of each kind."""
+    return table if members is None or "pkg" not in table.columns else table.join(members.filter("pkg = of").select("pkg"), "pkg", "left_semi")
+
+
+def for_all(found: DataFrame, members: DataFrame | None) -> DataFrame:
+    """What was found in the first package of each kind, for all of the kind."""
+    return found if members is None else found.withColumnRenamed("pkg", "of").join(members, "of").select(*found.columns)
 
 
 def calls(edges: DataFrame, names: DataFrame) -> DataFrame:
@@ -346,7 +375,16 @@ def flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: Da
     """([pkg,] source, sink, hops): for each source and sink (column id) that it reaches, a shortest path, the first by
     text. Edges with a column pkg are walked within each package; sources, sinks and sanitizers may have it too, else
     they count in all. Edges out of sanitizers do not count. Every (source, node) is visited once, so cycles end;
-    most_hops, if given, ends the search after so many edges."""
+    most_hops, if given, ends the search after so many edges. Packages that are alike are walked once."""
+    if "pkg" not in edges.columns:
+        return _flows(edges, sources, sinks, sanitizers, most_hops)
+    edges = cut(edges.select("pkg", "src", "dst").distinct())
+    members = alike(edges, *[t.select("pkg", "id") for t in (sources, sinks, sanitizers) if t is not None and "pkg" in t.columns])
+    mine = [t if t is None else only_first(t, members) for t in (edges, sources, sinks, sanitizers)]
+    return for_all(_flows(*mine, most_hops), members)
+
+
+def _flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None, most_hops: int | None = None) -> DataFrame:
     by = ["pkg"] if "pkg" in edges.columns else []
     here = lambda df: [c for c in by if c in df.columns]
     e = edges.select(*by, "src", "dst").distinct()
@@ -375,8 +413,8 @@ def summaries(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFra
     reach a sink are new sinks."""
     by = ["pkg"] if "pkg" in edges.columns else []
     ends = edges.select(*by, F.explode(F.array("src", "dst")).alias("id")).distinct()
-    returns = flows(edges, sources, ends.filter(F.col("id").endswith("#return"))).select(*by, F.split("sink", "#")[0].alias("function"), F.lit("SOURCE").alias("functionality"))
-    parameters = flows(edges, ends.filter(F.col("id").rlike(r"#\d+$")), sinks).select(*by, F.split("source", "#")[0].alias("function"), F.lit("SINK").alias("functionality"))
+    returns = _flows(edges, sources, ends.filter(F.col("id").endswith("#return"))).select(*by, F.split("sink", "#")[0].alias("function"), F.lit("SOURCE").alias("functionality"))
+    parameters = _flows(edges, ends.filter(F.col("id").rlike(r"#\d+$")), sinks).select(*by, F.split("source", "#")[0].alias("function"), F.lit("SINK").alias("functionality"))
     return returns.union(parameters).distinct()
 
 
@@ -384,6 +422,7 @@ def taint_tree(dependencies: DataFrame, edges: DataFrame, sources: DataFrame, si
     """(pkg, source, sink, hops) level by level: packages without dependencies first. What their summaries say counts as
     sources and sinks in the packages that depend on them, directly or through others, and nowhere else. dependencies
     (src, dst) must have no cycle; edges (pkg, src, dst); sources and sinks: call names (column name)."""
+    edges = cut(edges.select("pkg", "src", "dst").distinct())
     needs = cut(dependencies.select(F.col("src").alias("pkg"), F.col("dst").alias("of")).filter("pkg IS NOT NULL AND of IS NOT NULL").distinct())
     done = levels(dependencies)
     alone = edges.select(F.col("pkg").alias("id")).distinct().join(done.select("id"), "id", "left_anti").withColumn("level", F.lit(0))
@@ -398,9 +437,12 @@ def taint_tree(dependencies: DataFrame, edges: DataFrame, sources: DataFrame, si
         came = needs.join(mine, "pkg", "left_semi").join(seen.all().withColumnRenamed("pkg", "of"), "of").select("pkg", "name", "functionality").distinct()
         came = seen.add(came)
         here = {k: cut(calls(own, v).unionByName(calls(own, came.filter(F.col("functionality") == k))).distinct()) for k, v in given.items()}
-        got = flows(own, here["SOURCE"], here["SINK"])
+        members = alike(own, here["SOURCE"], here["SINK"])  # packages that are alike are walked once
+        first = cut(only_first(own, members))
+        here = {k: cut(only_first(v, members)) for k, v in here.items()}
+        got = for_all(_flows(first, here["SOURCE"], here["SINK"]), members)
         out = got if out is None else out.unionByName(got)
-        new = summaries(own, here["SOURCE"], here["SINK"]).select("pkg", F.col("function").alias("name"), "functionality").filter("name NOT LIKE '<%'").distinct()
+        new = for_all(summaries(first, here["SOURCE"], here["SINK"]), members).select("pkg", F.col("function").alias("name"), "functionality").filter("name NOT LIKE '<%'").distinct()
         seen.add(new.join(came, ["pkg", "name", "functionality"], "left_anti"))
     return edges.select("pkg", F.col("src").alias("source"), F.col("dst").alias("sink"), F.array("src").alias("hops")).limit(0) if out is None else out
 

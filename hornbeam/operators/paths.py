@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornbeam.functions.storage import Parts, cut
-from hornbeam.operators.flows import CALLED, CAST, COLLECT, ELEMENT, FIELD, PLAIN, QUOTED
+from hornbeam.operators.flows import CALLED, CAST, COLLECT, ELEMENT, FIELD, PLAIN, QUOTED, alike, for_all, only_first
 
 #: Rows of an automaton that are broadcast.
 BROADCAST = 100_000
@@ -64,7 +64,16 @@ def realizable(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizer
     """([pkg,] source, sink, hops): as flows.flows(), along paths only that come back from a function to where they went
     in; a path may leave the function it began in to any caller, and end in a function that it has not left. A call that
     it passes through is one hop. edges: as for summary_edges(), each call a node of its own (def_use_edges with sites);
-    what is passed to a call of a function that the package defines is not the call's value by itself."""
+    what is passed to a call of a function that the package defines is not the call's value by itself. Packages that are
+    alike are walked once."""
+    if "pkg" not in edges.columns:
+        return _realizable(edges, sources, sinks, sanitizers)
+    edges = cut(edges.select("pkg", "src", "dst", "kind", "site").distinct())
+    members = alike(edges, *[t.select("pkg", "id") for t in (sources, sinks, sanitizers) if t is not None and "pkg" in t.columns])
+    return for_all(_realizable(*[t if t is None else only_first(t, members) for t in (edges, sources, sinks, sanitizers)]), members)
+
+
+def _realizable(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None) -> DataFrame:
     by = [c for c in ("pkg",) if c in edges.columns]
     here = lambda df: [c for c in by if c in df.columns]
     e = edges.select(*by, "src", "dst", "kind", "site").distinct()
@@ -124,7 +133,14 @@ def conditional_flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sa
     sanitizers (name, prevents array<string>): what they clean a value of: attacks, QUOTES, ALL. validators (name): tests
     that make a name harmless where they have said yes.
 
-    The tables of names are catalogues: they, and the automaton made from them, go through the driver."""
+    The tables of names are catalogues: they, and the automaton made from them, go through the driver. Packages that are
+    alike are walked once."""
+    edges = cut(edges.select("pkg", "src", "dst", "kind", "place", "label").distinct())
+    members = alike(edges)
+    return for_all(_conditional_flows(only_first(edges, members), sources, sinks, sanitizers, validators), members)
+
+
+def _conditional_flows(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, validators: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     cleaners = {r.name: list(r.prevents or []) for r in sanitizers.collect()}
     listed = [(r.name, r.parameter, r.condition, r.attack) for r in sinks.collect()]

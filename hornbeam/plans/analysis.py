@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hornbeam.functions.storage import cut
 from hornbeam.operators import checks, extract, flows, paths
 from hornbeam.plans.catalog import ORACLES, joined, query, source_files, table
 from hornbeam.streaming import limits, traces
@@ -58,7 +59,7 @@ def matched_call_flows(spark: SparkSession, d: str) -> DataFrame:
     tainted. One file passes it through a second function, one down into another, one into one that drops it."""
     head = "def same(x):\n    return x\ndef const(x):\n    return 1\na = same(input())\nb = same(2)\n"
     ends = ["run(a)\n", "run(b)\n", "run(const(a))\n", "def deep(z):\n    return same(z)\nrun(deep(a))\n", "def out(y):\n    run(y)\nout(a)\n"]
-    e = flows.def_use_edges(customer_files(spark, d, (F.col("c_custkey") % 5).cast("int"), [head + x for x in ends], "a.py"), sites=True)
+    e = flows.def_use_edges(customer_files(spark, d, (F.col("c_custkey") % 5).cast("int"), [head + x for x in ends], "a.py"), sites=True).transform(cut)
     names = lambda x: spark.createDataFrame([(x,)], "name string")
     return paths.realizable(e, flows.calls(e, names("input")), flows.calls(e, names("run"))).withColumn("hops", joined(F.col("hops"), " > "))
 

@@ -210,3 +210,13 @@ def test_cycles_are_broken_as_one_by_one(spark):
     e, scores = spark.createDataFrame(sorted(edges), "src string, dst string"), spark.createDataFrame(sorted(rank.items()), "id string, rank double")
     want = one_by_one(edges, rank)
     assert set(rows(graph.break_cycles(e, scores, rounds=0))) == want and len(want) < len(edges)
+
+
+def test_packages_that_are_alike_are_walked_once(spark):
+    rows_of = lambda p, *more: [(p, "a", "b"), (p, "b", "c"), *((p, *m) for m in more)]
+    e = spark.createDataFrame(rows_of("p") + rows_of("q") + rows_of("r") + rows_of("s", ("c", "d")) + rows_of("t", ("c", "d")) + rows_of("u"), "pkg string, src string, dst string")
+    s, t = spark.createDataFrame([(x, "a") for x in "pqrstu"], "pkg string, id string"), spark.createDataFrame([(x, "c") for x in "pqrst"], "pkg string, id string")
+    members = flows.alike(e, s, t)
+    assert rows(members) == [("p", "p"), ("q", "p"), ("r", "p"), ("s", "s"), ("t", "s"), ("u", "u")]
+    assert {x.pkg for x in flows.flows(e, s, t).collect()} == set("pqrst")
+    assert flows.alike(e.filter("pkg IN ('p', 's')")) is None
