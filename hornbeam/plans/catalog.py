@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.functions import names
 from hornbeam.functions.formula import satisfied
+from hornbeam.functions.storage import cut
 from hornbeam.operators import authors, behavior, catalogue, content, extract, flows, graph, ranking, rules, similarity, usage, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,7 +630,7 @@ def taint_flows(spark: SparkSession, d: str) -> DataFrame:
     files = c.select("pkg", F.explode(F.array(one, F.struct(F.lit("b.py").alias("path"), F.col("b").alias("content")))).alias("f")).select("pkg", "f.*")
     edges = flows.def_use_edges(files)
     names = lambda *x: spark.createDataFrame([(i,) for i in x], "name string")
-    edges = flows.only_at(edges, spark.createDataFrame([("run", 0)], "name string, parameter int"))
+    edges = cut(flows.only_at(edges, spark.createDataFrame([("run", 0)], "name string, parameter int")))
     found = flows.flows(edges, flows.calls(edges, names("input")), flows.calls(edges, names("run")), flows.calls(edges, names("clean")))
     return found.withColumn("hops", joined(F.col("hops"), " > "))
 
