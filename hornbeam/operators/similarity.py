@@ -98,6 +98,18 @@ def edit_distance_pairs(left: DataFrame, right: DataFrame | None = None, name: s
     return near if metric != "normalized" else near.withColumn("distance", edit_distance(F.col("a"), F.col("b"), "normalized"))
 
 
+def near_in_groups(names: DataFrame, group: str, key: str, name: str, limit: int = 2) -> DataFrame:
+    """(a, b, distance) of rows (group, key, name) of one group with names within the limit by bytes, both ways, each row
+    with itself. Names meet by what is left of them without up to so many bytes, so the work follows the rows and the near
+    pairs, and not the square of a group; a name of n bytes has some n ** limit of these."""
+    x = as_bytes(F.col(name))
+    rows = spread(names.select(F.col(group).alias("g"), F.col(key).alias("k"), x.alias("x")).filter("g IS NOT NULL AND x IS NOT NULL"))
+    short = cut(rows.select("g", "k", "x", F.explode(_shortened(F.col("x"), limit)).alias("left")).select("g", "k", "x", F.xxhash64("left").alias("h")))
+    side = lambda k, x: short.select("g", "h", F.col("k").alias(k), F.col("x").alias(x))
+    met = side("a", "x").join(side("b", "y").hint("merge"), ["g", "h"]).withColumn("distance", F.levenshtein("x", "y", limit))
+    return met.filter(F.col("distance").between(0, limit)).select("a", "b", "distance").distinct()
+
+
 #: How much of a name is compared where its leading run is frequent.
 WIDE = 24
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.functions import names, syscalls
 from hornbeam.functions.storage import shared_folder
-from hornbeam.operators import authors, catalogue, content, dispatch, extract, findings, flows, graph, ranking, rules, usage, versions
+from hornbeam.operators import authors, catalogue, content, dispatch, extract, findings, flows, graph, ranking, rules, similarity, usage, versions
 from hornbeam.plans.catalog import CYCLIC, TREE, USAGE, cyclic_edges, event_values, joined, part_usage, query, table, tree_edges
 from hornbeam.sources import graphs, metadata, readers
 
@@ -221,8 +221,7 @@ def author_package_edges(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b, levenshtein(a.s_name, b.s_name)::INTEGER AS distance FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey WHERE a.s_suppkey <> b.s_suppkey AND levenshtein(a.s_name, b.s_name) <= 2")
 def distance_matrix_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")
-    both = s.select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_name").alias("x")).join(s.select("s_nationkey", F.col("s_suppkey").alias("b"), F.col("s_name").alias("y")), "s_nationkey")
-    return ranking.near_pairs(both.select("a", "b", names.edit_distance(F.col("x"), F.col("y")).alias("distance")), 2)
+    return ranking.near_pairs(similarity.near_in_groups(s, "s_nationkey", "s_suppkey", "s_name", 2), 2)
 
 
 @query("SELECT s_suppkey AS class1, n_name AS class2, l_returnflag AS relation, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3")

@@ -302,6 +302,15 @@ def test_names_of_one_scope_do_not_all_meet(spark, monkeypatch):
     assert got == want and len(want) > 120
 
 
+def test_near_names_of_a_group(spark):
+    r = random.Random(8)
+    some = [(k % 3, k, "n" + "".join(r.choice("ab1") for _ in range(r.randrange(7)))) for k in range(90)] + [(None, 90, "n"), (1, 91, None), (1, 92, "é1")]
+    got = rows(similarity.near_in_groups(spark.createDataFrame(some, "g int, k int, n string"), "g", "k", "n", 2))
+    text = lambda x: x.encode().decode("latin-1")
+    want = [(a, b, d) for g, a, x in some for h, b, y in some if g is not None and g == h and x is not None and y is not None and (d := distance(text(x), text(y))) <= 2]
+    assert got == sorted(want, key=repr)
+
+
 def test_numbered_names_meet_by_a_third_key(spark, monkeypatch):
     monkeypatch.setattr(similarity, "HOT", 20)
     monkeypatch.setattr(similarity, "SECOND", 5)
