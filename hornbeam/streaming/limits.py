@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from hornbeam.functions.storage import spread
+
 MICROS = 1_000_000
 
 
@@ -102,15 +104,15 @@ def limited(events: DataFrame, key: str, rate: int = 1, per: int = 1, burst: int
             x, end = min(r["top"][k], x + r["shift"][k]), begin + width
         return table.select([key, "_range"]).append_column("_x", pa.array(out, pa.int64()))
 
-    functions = t.select(key, "_range", "_t").groupBy(key, "_range").applyInArrow(function, f"{key} {kind}, _range long, low array<long>, shift array<long>, top array<long>")
-    begins = functions.groupBy(key).applyInArrow(chain, f"{key} {kind}, _range long, _x long")
+    functions = spread(t.select(key, "_range", "_t"), key, "_range").groupBy(key, "_range").applyInArrow(function, f"{key} {kind}, _range long, low array<long>, shift array<long>, top array<long>")
+    begins = spread(functions, key).groupBy(key).applyInArrow(chain, f"{key} {kind}, _range long, _x long")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_t", "ascending"), (order, "ascending")])
         passed, _, _ = bucket.run(table.column("_x")[0].as_py(), table.column("_range")[0].as_py() * width, table.column("_t").to_pylist())
         return table.select(columns).append_column("passed", pa.array(passed, pa.bool_()))
 
-    out = t.join(begins, [key, "_range"]).groupBy(key, "_range").applyInArrow(run, StructType([*events.schema, StructField("passed", BooleanType())]))
+    out = spread(t.join(begins, [key, "_range"]), key, "_range").groupBy(key, "_range").applyInArrow(run, StructType([*events.schema, StructField("passed", BooleanType())]))
     lost = events.filter(F.col(key).isNull() | F.col(ts).isNull()).withColumn("passed", F.lit(False))
     return out.unionByName(lost)
 

@@ -136,3 +136,11 @@ def test_overtime_of_a_stream_with_a_restart(spark, tmp_path):
         assert rows(spark.read.parquet(str(tmp_path / "out"))) == [("late", at(900), at(1000)), ("lost", at(20), at(120)), ("slow", at(10), at(110))]
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_ranges_of_time_go_to_all_partitions(spark):
+    from hornbeam.streaming import limits
+
+    events = spark.createDataFrame([(1, 1, datetime.datetime(2024, 1, 1))], "user_id int, event_id int, ts timestamp")
+    said = limits.limited(events, "user_id")._jdf.queryExecution().executedPlan().toString()
+    assert said.count("REPARTITION_BY_NUM") >= 2, said  # of functions, and of events with their beginnings
