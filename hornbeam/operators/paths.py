@@ -60,13 +60,13 @@ def summary_edges(edges: DataFrame) -> DataFrame:
     return made.all().select(*by, F.col("at").alias("src"), F.col("to").alias("dst"))
 
 
-def realizable(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None) -> DataFrame:
+def realizable(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None, copies: bool = True) -> DataFrame:
     """([pkg,] source, sink, hops): as flows.flows(), along paths only that come back from a function to where they went
     in; a path may leave the function it began in to any caller, and end in a function that it has not left. A call that
     it passes through is one hop. edges: as for summary_edges(), each call a node of its own (def_use_edges with sites);
     what is passed to a call of a function that the package defines is not the call's value by itself. Packages that are
-    alike are walked once."""
-    if "pkg" not in edges.columns:
+    alike are walked once; copies=False leaves out the search for them, where all are known to differ."""
+    if not copies or "pkg" not in edges.columns:
         return _realizable(edges, sources, sinks, sanitizers)
     edges = cut(edges.select("pkg", "src", "dst", "kind", "site").distinct())
     members = alike(edges, *[t.select("pkg", "id") for t in (sources, sinks, sanitizers) if t is not None and "pkg" in t.columns])

@@ -38,7 +38,7 @@ def matched_calls(spark: SparkSession, d: str) -> DataFrame:
     e = e.unionByName(edge(o.filter("lvl > 0 AND st <> 'P'"), text("f", lvl), text("v", k), "inner")).unionByName(edge(o.filter("lvl > 0 AND pr < '4'"), text("r", k), text("f", lvl, "r"), "inner"))
     e = e.unionByName(edge(o.select("pkg").distinct(), F.lit("f3"), F.lit("f3r"), "inner"))
     top = o.filter("lvl = 0")
-    return paths.realizable(e, top.select("pkg", text("v", k).alias("id")), top.select("pkg", text("r", k).alias("id"))).select("pkg", "source", "sink")
+    return paths.realizable(e, top.select("pkg", text("v", k).alias("id")), top.select("pkg", text("r", k).alias("id")), copies=False).select("pkg", "source", "sink")
 
 
 def customer_files(spark: SparkSession, d: str, which, variants: list[str], path: str) -> DataFrame:
