@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -37,6 +39,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of the key, of batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        value = b.column(key)
+        cuts = np.flatnonzero(np.diff(value.to_numpy())) + 1
+        for k, (at, end) in enumerate(zip([0, *cuts], [*cuts, len(value)])):
+            if held and (k or held[-1].column(key)[-1] != value[at]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Parts:
     """Rows that a loop adds round by round: each round's are stored once, and read with all others until MOST parts
     have come together, which then become one."""

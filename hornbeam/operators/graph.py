@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hornbeam.functions.names import draw
-from hornbeam.functions.storage import Parts, cut
+from hornbeam.functions.storage import Parts, cut, groups, in_arrow, spread
 
 
 def _clean(edges: DataFrame) -> DataFrame:
@@ -266,19 +272,29 @@ def _dropped_by_halves(inner: DataFrame) -> DataFrame:
         rows = low.unionByName(high)
 
 
+#: Sets, and their elements, that are about as many in a block where all sets are compared with all.
+BLOCK, ELEMENTS = 4096, 1 << 20
+
+
 def neighbour_similarity(edges: DataFrame, least: float = 0.5) -> DataFrame:
     """(a, b, jaccard) of nodes whose sets of dependencies are at least so similar.
 
     Sets are in an order in which rare dependencies come first. Similar sets share one of those in front, when of n all
     but the last ceil(least * n) - 1 count; only these meet in the join, so what everybody depends on makes no pairs. Of
     pairs that meet, sizes and what can still follow the last dependency in common must be enough for the similarity;
-    only for those that are left are whole sets compared."""
+    only for those that are left are whole sets compared. Where most sets share much, that join has more rows than the
+    sets have elements once for each block of them; blocks are then compared with each other, and no pair is shuffled."""
     e = _clean(edges)
-    common = e.groupBy("dst").agg(F.count("*").alias("f"))
-    sets = e.join(common, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("f", "dst"))).alias("s"))
-    sets = cut(sets.select("src", F.transform("s", lambda x: x["dst"]).alias("s"), F.size("s").alias("n")))
+    common = cut(e.groupBy("dst").agg(F.count("*").alias("f"))).withColumn("code", F.monotonically_increasing_id())
+    sets = e.join(common, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("f", "code"))).alias("s"))
+    sets = cut(sets.select("src", F.transform("s", lambda x: x["code"]).alias("s"), F.size("s").alias("n")))
     front = F.least(F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1, F.col("n"))
     short = sets.select("src", "n", F.posexplode(F.slice("s", 1, front)).alias("place", "dst"))
+    count, size = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(-(-count // BLOCK), -(-size // ELEMENTS), 1)
+    meet = short.groupBy("dst").count().agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2)).first()[0] or 0
+    if meet > size * (blocks + 1):
+        return _similar_by_blocks(sets, blocks, least)
     side = lambda x: short.select(F.col("src").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), "dst")
     sizes = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
     met = side("a").join(side("b"), "dst").filter((F.col("a") < F.col("b")) & sizes).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
@@ -289,6 +305,81 @@ def neighbour_similarity(edges: DataFrame, least: float = 0.5) -> DataFrame:
     return full.select("a", "b", (m / (F.size("sa") + F.size("sb") - m)).alias("jaccard")).filter(F.col("jaccard") >= least - 1e-9)
 
 
+def _similar_by_blocks(sets: DataFrame, blocks: int, least: float) -> DataFrame:
+    """The same of (src, s, n), s without repeats: sets are dealt into blocks by a hash, and each two blocks, and each
+    with itself, come together in a task, which holds one such pair at a time."""
+    kind = sets.schema["src"].dataType
+    out = T.StructType([T.StructField("x", kind), T.StructField("y", kind), T.StructField("m", T.LongType()), T.StructField("sum", T.LongType())])
+
+    def work(batches):
+        for pair in groups(batches, "pair"):
+            i, j = divmod(pair.column("pair")[0].as_py(), blocks)
+            one = pair.filter(pc.equal(pair.column("block"), i))
+            two = one if i == j else pair.filter(pc.equal(pair.column("block"), j))
+            for x, y, m, total in similar_sets(*(part for t in (one, two) for part in _flat(t)), least, i == j):
+                yield from pa.Table.from_arrays([one.column("src").take(pa.array(x)), two.column("src").take(pa.array(y)), pa.array(m), pa.array(total)], ["x", "y", "m", "sum"]).combine_chunks().to_batches()
+
+    dealt = sets.select(F.pmod(F.xxhash64("src"), F.lit(blocks)).cast("long").alias("block"), "src", "s")
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = other.select((F.least("block", "other") * F.lit(blocks) + F.greatest("block", "other")).alias("pair"), "block", "src", "s")
+    met = spread(rows, "pair").sortWithinPartitions("pair").transform(in_arrow, work, out)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("m") / (F.col("sum") - F.col("m"))).alias("jaccard"))
+
+
+def _flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of column s one after another, and where each set's begin, and the end."""
+    s = t.column("s")
+    return pc.list_flatten(s).to_numpy(), np.cumsum(np.concatenate(([0], pc.list_value_length(s).to_numpy()))).astype(np.int64)
+
+
+#: Columns of a product, and rows of it that are looked through at a time. Elements that fewer than one in RARE of all
+#: pairs share are counted pair by pair.
+COLUMNS, LOOK, RARE = 1024, 256, 128
+
+
+def similar_sets(one: np.ndarray, one_at: np.ndarray, two: np.ndarray, two_at: np.ndarray, least: float, same: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x, y, shared, both sizes together) of the sets x of one and y of two, given by their elements and where each
+    begins, that are at least so similar; with same, of x < y only."""
+    na, nb = np.diff(one_at), np.diff(two_at)
+    values, code = np.unique(np.concatenate((one, two)), return_inverse=True)
+    a, b = code[: len(one)], code[len(one) :]
+    ra, rb = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    fa, fb = np.bincount(a, minlength=len(values)), np.bincount(b, minlength=len(values))
+    shared = np.zeros((len(na), len(nb)), np.float32)
+    many = fa * fb > len(na) * len(nb) / RARE
+    place = np.full(len(values), -1)
+    place[many] = np.arange(many.sum())
+    for at in range(0, int(many.sum()), COLUMNS):
+        parts = []
+        for c, r, n in ((a, ra, len(na)), (b, rb, len(nb))):
+            some = (place[c] >= at) & (place[c] < at + COLUMNS)
+            part = np.zeros((n, min(COLUMNS, int(many.sum()) - at)), np.float32)
+            part[r[some], place[c[some]] - at] = 1
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    few = (fa > 0) & (fb > 0) & ~many
+    ka, kb = few[a], few[b]
+    a, ra, b, rb = a[ka], ra[ka], b[kb], rb[kb]
+    order = np.argsort(b, kind="stable")
+    b, rb = b[order], rb[order]
+    for at in range(0, len(a), 1 << 11):
+        some = slice(at, at + (1 << 11))
+        low, high = np.searchsorted(b, a[some]), np.searchsorted(b, a[some], "right")
+        n = high - low
+        x = np.repeat(ra[some], n)
+        y = rb[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        np.add.at(shared, (x, y), 1)
+    for at in range(0, len(na), LOOK):
+        m = shared[at : at + LOOK].astype(np.int64)
+        total = na[at : at + LOOK, None] + nb[None]
+        found = (m > 0) & (m >= least * (total - m) - 1e-9 * (total - m))
+        if same:
+            found &= np.arange(at, at + len(m))[:, None] < np.arange(len(nb))[None]
+        x, y = np.nonzero(found)
+        if len(x):
+            yield x + at, y, m[x, y], total[x, y]
+
+
 def component_labels(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id that is connected, by least labels with shortcuts."""
     e = _clean(edges)

@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import itertools
 import random
 import time
 
@@ -355,3 +356,21 @@ def test_parts_of_names_of_one_scope(spark, monkeypatch):
     df = spark.createDataFrame([(n,) for n in names], "name string")
     every = sorted(set(names))
     assert rows(similarity.combo_squats(df)) == sorted((a, b) for a in every for b in every if a != b and len(a) > 5 and len(b) > 5 and a in b)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_neighbour_similarity_of_sets_that_mostly_meet_shuffles_no_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(graph, "BLOCK", 64)
+    monkeypatch.setattr(graph, "COLUMNS", 16)
+    rng = random.Random(7)
+    sets = {k: frozenset(rng.sample(range(100), rng.randint(20, 40)) + [1000 + k % 90]) for k in range(250)}
+    df = spark.createDataFrame([(k, d) for k, v in sets.items() for d in v], "src long, dst long").select(F.col("src").cast(kind), F.col("dst").cast(kind))
+    found = graph.neighbour_similarity(df, 0.3)
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    name = int if kind == "long" else str
+    want = {}
+    for a, b in itertools.combinations(sets, 2):
+        if (s := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.3:
+            want[tuple(sorted((name(a), name(b))))] = s
+    got = {(x.a, x.b): x.jaccard for x in found.collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
