@@ -19,6 +19,12 @@ def _clean(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct()
 
 
+def _met(rows: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined with other by shuffle: what a round finds may be few bytes, but a broadcast in each of them goes through
+    the driver."""
+    return rows.join(other.hint("merge"), on, how)
+
+
 def without_loops(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("src") != F.col("dst"))
 
@@ -36,13 +42,13 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 
     Semi-naive: each round joins only the pairs that the last one found. Rounds: the longest shortest path."""
     e = cut(_clean(edges))
-    step = e if seeds is None else e.join(seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    step = e if seeds is None else _met(e, seeds.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
     found = Parts(step)
     frontier = found.all()
     on = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     while not frontier.isEmpty():
-        new = frontier.join(on, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = found.add(new.join(found.all(), ["src", "dst"], "left_anti"))
+        new = _met(frontier, on, "dst").select("src", F.col("next").alias("dst")).distinct()
+        frontier = found.add(_met(new, found.all(), ["src", "dst"], "left_anti"))
     return found.all()
 
 
@@ -72,19 +78,19 @@ def dependency_counts(edges: DataFrame) -> DataFrame:
     """(id, dep_count, flatten_dep_count) of every node."""
     direct = degrees(edges).select("id", F.col("out_degree").alias("dep_count"))
     flat = descendants(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("flatten_dep_count"))
-    return direct.join(flat, "id", "left").fillna(0, ["flatten_dep_count"])
+    return _met(direct, flat, "id", "left").fillna(0, ["flatten_dep_count"])
 
 
 def use_counts(packages: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """packages with use_count: how many depend on each; 0 where the graph does not know it."""
     used = ancestors(edges, packages.select(F.col(key).alias("id"))).groupBy(F.col("src").alias(key)).agg(F.count("*").alias("use_count"))
-    return packages.join(used, key, "left").fillna(0, ["use_count"])
+    return _met(packages, used, key, "left").fillna(0, ["use_count"])
 
 
 def high_impact(packages: DataFrame, edges: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(key, dependent) of all packages that depend on the given ones, and the given ones that the graph does not know."""
     wanted = packages.select(F.col(key).alias("id")).distinct()
-    known = cut(wanted.join(nodes(edges), "id", "left_semi"))
+    known = cut(_met(wanted, nodes(edges), "id", "left_semi"))
     found = ancestors(edges, known).select(F.col("src").alias(key), F.col("dst").alias("dependent"))
     return found, wanted.join(known, "id", "left_anti").select(F.col("id").alias(key))
 

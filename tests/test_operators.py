@@ -374,3 +374,18 @@ def test_neighbour_similarity_of_sets_that_mostly_meet_shuffles_no_pairs(spark,
             want[tuple(sorted((name(a), name(b))))] = s
     got = {(x.a, x.b): x.jaccard for x in found.collect()}
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_rounds_of_graph_loops_broadcast_nothing(spark):
+    """What each round joins is small here, so a join without more said would be broadcast by adaptive execution."""
+    edges = spark.createDataFrame([(k, k // 2) for k in range(1, 200)], "src long, dst long")
+    marks = spark.createDataFrame([(k, k % 3) for k in range(0, 200, 5)], "id long, mark int")
+    seen, sc = [], spark.sparkContext._jsc.sc()
+    store = spark._jsparkSession.sharedState().statusStore()
+    for run in (lambda: graph.dependency_counts(edges), lambda: graph.use_counts(marks.select("id"), edges), lambda: graph.high_impact(marks.limit(2).select("id"), edges)[0]):
+        before = store.executionsCount()
+        run().collect()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        ran = store.executionsList(before, 10_000)
+        seen.append([k for k in range(ran.size()) if "BroadcastExchange" in ran.apply(k).physicalPlanDescription()])
+    assert seen == [[]] * 3
