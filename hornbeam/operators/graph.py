@@ -59,8 +59,8 @@ def inherited(edges: DataFrame, marks: DataFrame) -> DataFrame:
     found = Parts(marks.select("id", "mark").distinct())
     frontier = found.all()
     while not frontier.isEmpty():
-        new = frontier.join(e, "id").select(F.col("src").alias("id"), "mark").distinct()
-        frontier = found.add(new.join(found.all(), ["id", "mark"], "left_anti"))
+        new = _met(frontier, e, "id").select(F.col("src").alias("id"), "mark").distinct()
+        frontier = found.add(_met(new, found.all(), ["id", "mark"], "left_anti"))
     return found.all()
 
 

@@ -55,12 +55,13 @@ def permission_counts(usage: DataFrame, catalogue: DataFrame, *by: str) -> DataF
 
 
 def api_ids(usage: DataFrame, catalogue: DataFrame, func_only: bool = False) -> DataFrame:
-    """(pkg, id): catalogue ids of what each package uses; by function only, of all that share the function's name."""
+    """(pkg, id): catalogue ids of what each package uses; by function only, of all that share the function's name. The
+    catalogue, a list of APIs, is broadcast, and never what packages use, however few bytes it is."""
     if not func_only:
-        return usage.select("pkg", "full_name").distinct().join(catalogue.select("full_name", "id"), "full_name").select("pkg", "id").distinct()
+        return usage.select("pkg", "full_name").distinct().join(F.broadcast(catalogue.select("full_name", "id")), "full_name").select("pkg", "id").distinct()
     last = lambda c: F.when(c.contains("."), F.concat(F.lit("."), F.element_at(F.split(c, "[.]"), -1))).otherwise(c)
     ours = usage.select("pkg", last(F.col("full_name")).alias("k")).distinct()
-    return ours.join(catalogue.select(last(F.col("full_name")).alias("k"), "id"), "k").select("pkg", "id").distinct()
+    return ours.join(F.broadcast(catalogue.select(last(F.col("full_name")).alias("k"), "id")), "k").select("pkg", "id").distinct()
 
 
 def formula_verdicts(packages: DataFrame, usage: DataFrame, catalogue: DataFrame, formula: str, edges: DataFrame | None = None, func_only: bool = False) -> DataFrame:
@@ -70,7 +71,7 @@ def formula_verdicts(packages: DataFrame, usage: DataFrame, catalogue: DataFrame
         used = inherited(edges, used.select(F.col("pkg").alias("id"), F.col("id").alias("mark"))).select(F.col("id").alias("pkg"), F.col("mark").alias("id"))
     grouped = used.groupBy("pkg").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     none = F.array().cast(grouped.schema["ids"].dataType)
-    return packages.select("pkg").distinct().join(grouped, "pkg", "left").select("pkg", F.coalesce("ids", none).alias("ids")).withColumn("satisfied", satisfied(formula, F.col("ids")))
+    return packages.select("pkg").distinct().join(grouped.hint("merge"), "pkg", "left").select("pkg", F.coalesce("ids", none).alias("ids")).withColumn("satisfied", satisfied(formula, F.col("ids")))
 
 
 def best_match(findings: DataFrame, catalogue: DataFrame, name: str = "name") -> DataFrame:
