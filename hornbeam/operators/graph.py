@@ -153,12 +153,12 @@ def levels(edges: DataFrame) -> DataFrame:
     """(id, level): the longest path to a node without dependencies; every dependency is on a lower level. The graph
     must have no cycles: nodes on or above one would never be done, which raises."""
     e = cut(_clean(edges))
-    out = Parts(nodes(e).join(e.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
+    out = Parts(_met(nodes(e), e.select(F.col("src").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
     level, left, k = out.all(), e, 0
     while not left.isEmpty():
         k += 1
-        rest = cut(left.join(level.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-        ready = left.select(F.col("src").alias("id")).distinct().join(rest.select(F.col("src").alias("id")), "id", "left_anti")
+        rest = cut(_met(left, level.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        ready = _met(left.select(F.col("src").alias("id")).distinct(), rest.select(F.col("src").alias("id")), "id", "left_anti")
         level, left = out.add(ready.withColumn("level", F.lit(k))), rest
         if level.isEmpty():
             raise ValueError("the graph has a cycle")

@@ -382,10 +382,10 @@ def test_rounds_of_graph_loops_broadcast_nothing(spark):
     marks = spark.createDataFrame([(k, k % 3) for k in range(0, 200, 5)], "id long, mark int")
     seen, sc = [], spark.sparkContext._jsc.sc()
     store = spark._jsparkSession.sharedState().statusStore()
-    for run in (lambda: graph.dependency_counts(edges), lambda: graph.use_counts(marks.select("id"), edges), lambda: graph.high_impact(marks.limit(2).select("id"), edges)[0], lambda: graph.inherited(edges, marks)):
+    for run in (lambda: graph.dependency_counts(edges), lambda: graph.use_counts(marks.select("id"), edges), lambda: graph.high_impact(marks.limit(2).select("id"), edges)[0], lambda: graph.inherited(edges, marks), lambda: graph.levels(edges)):
         before = store.executionsCount()
         run().collect()
         sc.listenerBus().waitUntilEmpty(30_000)
         ran = store.executionsList(before, 10_000)
         seen.append([k for k in range(ran.size()) if "BroadcastExchange" in ran.apply(k).physicalPlanDescription()])
-    assert seen == [[]] * 4
+    assert seen == [[]] * 5
