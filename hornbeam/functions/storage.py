@@ -39,6 +39,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows of a task where a step sorts or groups all rows of a large table.
+TASK_ROWS = 500_000
+
+
+def sized(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """df dealt by the keys into as many partitions as so many rows need, so that what a task holds does not grow with the
+    table; into no fewer than all shuffle partitions. As it is where rows is None."""
+    if rows is None:
+        return df
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return df.repartition(n, *keys)
+
+
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows of each value of the key, of batches that are sorted by it."""
     held: list[pa.RecordBatch] = []

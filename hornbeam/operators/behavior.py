@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hornbeam.functions.names import first_hostname, split_container
+from hornbeam.functions.storage import sized
 
 #: Fields of an alert that are read (fixed values).
 FIELDS = ["container.name", "fd.sip", "fd.cip", "fd.name", "proc.name", "proc.cmdline", "user.name", "evt.type", "evt.arg.data"]
@@ -71,6 +72,7 @@ def suspicious_installs(values: DataFrame, packages: DataFrame, key: str = "pkg"
     return network.join(rare, ["rule", "value"], "left_semi").join(hooked, key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("value")).alias("values"))
 
 
-def containers_by_pair(connections: DataFrame) -> DataFrame:
-    """(pair, containers) of src:dst addresses, most containers first."""
-    return connections.groupBy(F.concat_ws(":", "src", "dst").alias("pair")).agg(F.count_distinct("container").alias("containers")).orderBy(F.col("containers").desc(), "pair")
+def containers_by_pair(connections: DataFrame, rows: int | None = None) -> DataFrame:
+    """(pair, containers) of src:dst addresses, most containers first; rows: about how many connections there are."""
+    pairs = connections.select(F.concat_ws(":", "src", "dst").alias("pair"), "container")
+    return sized(pairs, rows, "pair", "container").groupBy("pair").agg(F.count_distinct("container").alias("containers")).orderBy(F.col("containers").desc(), "pair")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hornbeam.functions.names import ends_with_any, is_plain_version, time_bucket, version_array
+from hornbeam.functions.storage import sized
 
 #: APIs and permissions of interest (fixed values).
 INTEREST = {
@@ -64,9 +65,11 @@ def out_of_turn(versions: DataFrame) -> DataFrame:
     return v.filter((F.col("above") < F.col("ts")) & (F.col("ts") > F.col("below"))).select("pkg", "version", "ts")
 
 
-def compare(items: DataFrame, scope: str = "package") -> DataFrame:
+def compare(items: DataFrame, scope: str = "package", rows: int | None = None) -> DataFrame:
     """(pkg, version, key, n, is_common, is_unique) from (pkg, version, key): how often each version has a key;
-    common: all versions of the package have it; unique: it is not common in the scope, package or global (all packages)."""
+    common: all versions of the package have it; unique: it is not common in the scope, package or global (all packages).
+    rows: about how many items there are, which tasks are cut by."""
+    items = sized(items, rows, "pkg", "key")
     counts = items.groupBy("pkg", "version", "key").agg(F.count("*").alias("n"))
     totals = items.groupBy("pkg").agg(F.count_distinct("version").alias("versions"))
     having = counts.groupBy("pkg", "key").agg(F.count("*").alias("having"))
@@ -79,8 +82,8 @@ def compare(items: DataFrame, scope: str = "package") -> DataFrame:
     return out.join(shared, "key").withColumn("is_unique", ~F.col("global")).drop("global")
 
 
-def common_keys(items: DataFrame) -> DataFrame:
-    return compare(items).filter("is_common").select("pkg", "key").distinct()
+def common_keys(items: DataFrame, rows: int | None = None) -> DataFrame:
+    return compare(items, rows=rows).filter("is_common").select("pkg", "key").distinct()
 
 
 def interesting(items: DataFrame, versions: DataFrame, apis: list[str], as_of: str, days: int = 730) -> DataFrame:
@@ -97,15 +100,16 @@ def with_sensitive_permissions(rows: DataFrame, permissions: DataFrame, suffixes
     return rows.join(permissions.filter(ends_with_any(F.col("permission"), suffixes)).select("pkg").distinct(), "pkg", "left_semi")
 
 
-def correlate(differences: DataFrame, usage: DataFrame, versions: DataFrame, blocked: list[str] = [], only_out_of_turn: bool = False) -> DataFrame:  # noqa: B006
+def correlate(differences: DataFrame, usage: DataFrame, versions: DataFrame, blocked: list[str] = [], only_out_of_turn: bool = False, rows: int | None = None) -> DataFrame:  # noqa: B006
     """(pkg, version, key, calls): files and sources of calls to a version's unique APIs, from differences (pkg, version,
-    key, is_unique), where the version is known and no blocked text is in the path; optionally of packages with a version out of turn."""
+    key, is_unique), where the version is known and no blocked text is in the path; optionally of packages with a version out of turn. rows:
+    about how many rows usage has."""
     unique = differences.filter("is_unique").select("pkg", "version", "key").join(versions.select("pkg", "version"), ["pkg", "version"], "left_semi")
     bad = F.lit(False)
     for text in blocked:
         bad = bad | F.contains("file", F.lit(text))
     calls = usage.filter(~bad).select("pkg", "version", F.col("full_name").alias("key"), F.struct("file", "source").alias("call"))
-    found = unique.join(calls, ["pkg", "version", "key"]).groupBy("pkg", "version", "key").agg(F.array_sort(F.collect_list("call")).alias("calls"))
+    found = unique.join(sized(calls, rows, "pkg", "version", "key"), ["pkg", "version", "key"]).groupBy("pkg", "version", "key").agg(F.array_sort(F.collect_list("call")).alias("calls"))
     if only_out_of_turn:
         odd = out_of_turn(versions).join(found.select("pkg", "version").distinct(), ["pkg", "version"], "left_semi").select("pkg").distinct()
         found = found.join(odd, "pkg", "left_semi")

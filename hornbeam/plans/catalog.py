@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hornbeam.functions import names
 from hornbeam.functions.formula import satisfied
-from hornbeam.functions.storage import cut
+from hornbeam.functions.storage import cut, sized
 from hornbeam.operators import authors, behavior, catalogue, content, extract, flows, graph, ranking, rules, similarity, usage, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,8 +88,10 @@ def behavior_alert_parsing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_nationkey || ':' || c_nationkey AS pair, count(DISTINCT o_orderkey) AS containers FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1")
 def behavior_address_pairs(spark: SparkSession, d: str) -> DataFrame:
-    facts = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return behavior.containers_by_pair(facts.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"), F.col("o_orderkey").alias("container")))
+    n, lines = line_count(spark, d), table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    facts = sized(lines.select("l_orderkey", "s_nationkey"), n, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return behavior.containers_by_pair(facts.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"), F.col("o_orderkey").alias("container")), n)
 
 
 @query(
@@ -288,10 +290,15 @@ def order_versions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_custkey").alias("pkg"), F.concat(F.lit("v1."), F.col("o_orderkey").cast("string")).alias("version"), F.col("o_orderdate").alias("ts"))
 
 
+def line_count(spark: SparkSession, d: str) -> int:
+    """Rows of lineitem, from its files' footers."""
+    return table(spark, d, "lineitem").count()
+
+
 def version_items(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("key"))
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version"), "l_partkey").join(part, "l_partkey")
-    return lines.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("pkg")), "version").select("pkg", "version", "key")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version"), "l_partkey").join(part, "l_partkey").select("version", "key")
+    return sized(lines, line_count(spark, d), "version").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("pkg")), "version").select("pkg", "version", "key")
 
 
 ITEMS = "(SELECT o_custkey AS pkg, l_orderkey AS version, p_brand AS key FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"
@@ -302,12 +309,12 @@ ITEMS = "(SELECT o_custkey AS pkg, l_orderkey AS version, p_brand AS key FROM li
     SELECT i.pkg, i.version, i.key, count(*) AS n, m = v AS is_common, m <> v AS is_unique FROM i JOIN t ON i.pkg = t.pkg JOIN h ON i.pkg = h.pkg AND i.key = h.key GROUP BY i.pkg, i.version, i.key, m, v"""
 )
 def version_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return versions.compare(version_items(spark, d))
+    return versions.compare(version_items(spark, d), rows=line_count(spark, d))
 
 
 @query(f"WITH i AS (SELECT * FROM {ITEMS}), t AS (SELECT pkg, count(DISTINCT version) AS v FROM i GROUP BY 1) SELECT i.pkg, key FROM i JOIN t USING (pkg) GROUP BY i.pkg, key, v HAVING count(DISTINCT version) = v")
 def version_common_unique(spark: SparkSession, d: str) -> DataFrame:
-    return versions.common_keys(version_items(spark, d))
+    return versions.common_keys(version_items(spark, d), line_count(spark, d))
 
 
 @query(

@@ -389,3 +389,16 @@ def test_rounds_of_graph_loops_broadcast_nothing(spark):
         ran = store.executionsList(before, 10_000)
         seen.append([k for k in range(ran.size()) if "BroadcastExchange" in ran.apply(k).physicalPlanDescription()])
     assert seen == [[]] * 5
+
+
+def test_tasks_are_cut_by_rows_and_not_by_the_number_of_shuffle_partitions(spark, monkeypatch):
+    from hornbeam.functions import storage
+
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    items = spark.range(2000).select((F.col("id") % 50).alias("pkg"), (F.col("id") % 7).alias("version"), F.concat(F.lit("k"), (F.col("id") % 11).cast("string")).alias("key"))
+    for cut, whole in (
+        (versions.compare(items, rows=2000), versions.compare(items)), (versions.compare(items, "global", 2000), versions.compare(items, "global")), (versions.common_keys(items, 2000), versions.common_keys(items)),
+        (behavior.containers_by_pair(items.select(F.col("pkg").alias("src"), F.col("version").alias("dst"), F.col("key").alias("container")), 2000), behavior.containers_by_pair(items.select(F.col("pkg").alias("src"), F.col("version").alias("dst"), F.col("key").alias("container")))),
+    ):
+        assert rows(cut) == rows(whole)
+        assert ", 20), REPARTITION_BY_NUM" in cut._jdf.queryExecution().toString()
