@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hornbeam.functions import names, syscalls
-from hornbeam.functions.storage import shared_folder
+from hornbeam.functions.storage import shared_folder, sized
 from hornbeam.operators import authors, catalogue, content, dispatch, extract, findings, flows, graph, ranking, rules, similarity, usage, versions
-from hornbeam.plans.catalog import CYCLIC, TREE, USAGE, cyclic_edges, event_values, joined, part_usage, query, table, tree_edges
+from hornbeam.plans.catalog import CYCLIC, TREE, USAGE, cyclic_edges, event_values, joined, line_count, part_usage, query, table, tree_edges
 from hornbeam.sources import graphs, metadata, readers
 
 # Parsers of text, on lines made from the tables
@@ -182,9 +182,10 @@ def version_latest_stable(spark: SparkSession, d: str) -> DataFrame:
 def version_api_details(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("full_name"), F.col("p_type").alias("source"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("pkg"), F.col("o_orderdate").alias("ts"))
-    calls = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version"), "l_partkey", F.col("l_returnflag").alias("file")).join(part, "l_partkey").join(orders, "version")
-    differences = versions.compare(calls.select("pkg", "version", F.col("full_name").alias("key")))
-    return versions.correlate(differences, calls, orders, blocked=["N"]).select("pkg", "version", "key", F.size("calls").cast("long").alias("calls"))
+    n, lines = line_count(spark, d), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version"), "l_partkey", F.col("l_returnflag").alias("file")).join(part, "l_partkey")
+    calls = sized(lines, n, "version").join(orders, "version")
+    differences = versions.compare(calls.select("pkg", "version", F.col("full_name").alias("key")), rows=n)
+    return versions.correlate(differences, calls, orders, blocked=["N"], rows=n).select("pkg", "version", "key", F.size("calls").cast("long").alias("calls"))
 
 
 @query(
