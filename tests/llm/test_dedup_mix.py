@@ -542,3 +542,20 @@ def test_passages_behind_frequent_pieces(spark, options, least):
 
     want = found(df.filter(F.col("doc_id") > len(quoted)))
     assert len(want) > 1000 and len(found(df, **options) & want) >= least * len(want)
+
+
+@pytest.mark.parametrize("contexts,copies", [(7, 1), (8, 1), (7, 3)])
+def test_holders_of_a_key_are_counted_where_they_meet(contexts, copies):
+    """With 8 contexts, all that there are, a signature and what comes before it are frequent: holders link to the first,
+    and all are told. Copies of a context do not count."""
+    n = contexts * copies
+    doc, c = np.arange(n), np.full(n, 20)
+    pack = substring._pack(1, c - 20, c, c + 26)
+    sides, tag = (5 << 32) + np.arange(n) % contexts, (np.arange(n) % contexts + 1) << 32
+    got = list(substring._links(8)([substring._table(np.full(n, 3), doc, pack, sides, tag)]))
+    a, pa_, b, _ = (np.concatenate([t.column(k).to_numpy() for t in got]) for k in range(4))
+    links, lost = a != b, pa_.view(np.uint64) >> np.uint64(substring.LOST)
+    if contexts < 8:
+        assert not lost.any() and links.all() and len(a) == contexts * (contexts - 1) // 2 + n - contexts
+    else:
+        assert sorted(b[links]) == list(range(1, n)) and (a == 0).all() and (lost[links] == 1).all() and list(b[~links]) == [0]
