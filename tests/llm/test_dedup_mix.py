@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -559,3 +560,27 @@ def test_holders_of_a_key_are_counted_where_they_meet(contexts, copies):
         assert not lost.any() and links.all() and len(a) == contexts * (contexts - 1) // 2 + n - contexts
     else:
         assert sorted(b[links]) == list(range(1, n)) and (a == 0).all() and (lost[links] == 1).all() and list(b[~links]) == [0]
+
+
+def test_runs_that_are_found_are_not_looked_up_again():
+    """All windows of a text are lost to their sides; shingles 20 to 119 of it have been found, as two stretches."""
+    text = " ".join(words(204, 1))
+    h, edges = substring.shingles(text), np.array([0, 200])
+    pack = substring._windows_of(h, edges, 46, 6, substring._powers(200))[4]
+    marks = np.concatenate([substring._marks(pack, k) for k in (1, 2)])
+
+    def looked_up(*spans):
+        row = [pa.array([x]) for x in (7, text, marks.tolist(), [a for a, _ in spans], [b + 5 for _, b in spans])]
+        row[3:] = [x.cast(pa.list_(pa.int64())) for x in row[3:]]
+        got = substring._behind(46, 6, 2)([pa.RecordBatch.from_arrays(row, ["doc_id", "text", "marks", "first", "last"])])
+        packs = np.concatenate([t.column("pb").to_numpy() * 0 + t.column("pa").to_numpy() for t in got])
+        return {int(c) - 23 for m, _, c, _ in zip(*substring._unpack(packs)) if m == 63}
+
+    assert looked_up() == set(range(155))
+    assert looked_up((20, 119), (20, 90), (0, 44)) == set(range(155)) - set(range(20, 75))
+    marked = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([marks.tolist()]), pa.array([[0]]), pa.array([[205]])], substring.LEFT_NAMES)
+    left = [m >> 10 for b in substring._left(46, 6, 2)([marked]) for m in b.column("marks").to_pylist()[0]]
+    assert set(left) <= set(range(155, 200))  # where the text ends is not known there
+    x, parts = np.arange(300, dtype=np.uint32), []
+    y = np.where(x == 100, 999, x).astype(np.uint32)
+    assert [p[:4] for p in substring.compare(x, y, parts=parts)] == [(0, 299, 0, 299)] and [p[2:] for p in parts] == [(0, 99), (101, 299)]
