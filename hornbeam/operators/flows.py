@@ -13,8 +13,10 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hornbeam.functions.deadline import within
@@ -454,12 +456,34 @@ def flow_packages(found: DataFrame) -> DataFrame:
     return rows.groupBy("flow").agg(F.count("*").alias("packages"))
 
 
+#: A function of more blocks, edges and definitions, generated or killed, is worked on by all tasks, in rounds of joins.
+LARGE = 2000
+#: Rows of whole functions that a task works on together.
+TOGETHER = 20_000
+
+
 def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(function, block, definition) that hold on entry: the fixpoint of out = generated or (in and not killed). blocks:
-    (function, block, generates array, kills array); edges: (function, src, dst)."""
-    made = cut(blocks.select("function", "block", F.explode("generates").alias("definition")))
-    killed = cut(blocks.select("function", "block", F.explode("kills").alias("definition")))
-    flow = cut(edges.select("function", F.col("src").alias("block"), "dst").distinct())
+    (function, block, generates array, kills array); edges: (function, src, dst). What is known of a function is brought
+    together once; where that is at most LARGE rows, a task finds its fixpoint."""
+    block = blocks.select("block").union(edges.select("src")).union(edges.select("dst")).schema[0].dataType
+    lists = blocks.schema["generates"].dataType
+    own = blocks.select("function", F.col("block").cast(block).alias("block"), F.lit(None).cast(block).alias("dst"), F.lit(False).alias("edge"), "generates", F.col("kills").cast(lists).alias("kills"))
+    to = edges.select("function", F.col("src").cast(block).alias("block"), F.col("dst").cast(block).alias("dst"), F.lit(True).alias("edge"), F.lit(None).cast(lists).alias("generates"), F.lit(None).cast(lists).alias("kills"))
+    rows = own.unionByName(to).filter("function IS NOT NULL AND block IS NOT NULL")
+    size = F.sum(1 + F.greatest(F.size("generates"), F.lit(0)) + F.greatest(F.size("kills"), F.lit(0)))
+    rows = cut(spread(rows, "function").withColumn("n", size.over(Window.partitionBy("function"))))
+    out = rows.select("function", "block", F.element_at("generates", 1).alias("definition")).limit(0)
+    found = rows.filter(F.col("n") <= LARGE).drop("n").transform(in_arrow, _reaching, out.schema)
+    if (rows.agg(F.max("n")).first()[0] or 0) <= LARGE:
+        return found
+    return found.unionByName(_reaching_in_rounds(rows.filter(F.col("n") > LARGE)))
+
+
+def _reaching_in_rounds(rows: DataFrame) -> DataFrame:
+    made = cut(rows.select("function", "block", F.explode("generates").alias("definition")))
+    killed = cut(rows.select("function", "block", F.explode("kills").alias("definition")))
+    flow = cut(rows.filter("edge").select("function", "block", "dst").distinct())
     entering, frontier = Parts(made.limit(0)), made
     while not frontier.isEmpty():
         arrived = frontier.join(flow, ["function", "block"]).select("function", F.col("dst").alias("block"), "definition").distinct()
@@ -468,6 +492,76 @@ def reaching_definitions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return entering.all()
 
 
+def _whole_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, which are sorted by function, in tables of TOGETHER or more as far as there are."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= TOGETHER:
+            t = pa.Table.from_batches(held)
+            other = np.flatnonzero(pc.not_equal(t["function"], t["function"][-1]).to_numpy())
+            if len(other):
+                yield t.slice(0, end := int(other[-1]) + 1)
+                held = t.slice(end).to_batches()
+                n -= end
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _encoded(*arrays: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
+    """The values of arrays, nulls too, and their numbers in each."""
+    d = pa.concat_arrays(arrays).dictionary_encode(null_encoding="encode")
+    return d.dictionary, np.split(d.indices.to_numpy().astype(np.int64), np.cumsum([len(a) for a in arrays])[:-1])
+
+
+def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fixpoints of whole functions, side by side: a table of nodes times definitions for each says what is found."""
+    for t in _whole_functions(batches):
+        function, block, dst, edge, generates, kills = (t[k].combine_chunks() for k in ("function", "block", "dst", "edge", "generates", "kills"))
+        functions, (f,) = _encoded(function)
+        values, (one, two) = _encoded(block, dst)
+        names, (made, killed) = _encoded(generates.flatten(), kills.flatten())
+        edge = edge.to_numpy(zero_copy_only=False)
+        made_at, killed_at = (np.repeat(np.arange(len(t)), pc.fill_null(pc.list_value_length(x), 0).to_numpy()) for x in (generates, kills))
+        # nodes and definitions by function; row: where a node's definitions begin in the tables
+        nodes, number = np.unique(np.concatenate((f * len(values) + one, (f * len(values) + two)[edge])), return_inverse=True)
+        here, to = number[: len(t)], number[len(t) :]
+        made = f[made_at] * len(names) + made
+        some = np.ones(len(killed), bool) if not names.null_count else killed != names.is_null().to_numpy(zero_copy_only=False).argmax()
+        killed, killed_at = (f[killed_at] * len(names) + killed)[some], killed_at[some]  # nothing kills a null
+        definitions, made = np.unique(made, return_inverse=True)
+        first = np.searchsorted(definitions, np.arange(len(functions) + 1) * len(names))
+        of = nodes // len(values)
+        ends = np.cumsum(np.diff(first)[of])
+        row = np.append(0, ends[:-1])
+        found, stop = np.zeros(ends[-1], bool), np.zeros(ends[-1], bool)
+        k = np.minimum(np.searchsorted(definitions, killed), max(len(definitions) - 1, 0))
+        some = definitions[k] == killed if len(definitions) else np.zeros(len(k), bool)
+        stop[(row[here[killed_at]] + k - first[f[killed_at]])[some]] = True
+        order = np.argsort(src := here[edge], kind="stable")
+        src, to = src[order], to[order]
+        begin, end = (np.searchsorted(src, np.arange(len(nodes)), side) for side in ("left", "right"))
+        node, d = here[made_at], made - first[f[made_at]]
+        while len(node):
+            n = (end - begin)[node]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[node], n)
+            node, d = to[step], np.repeat(d, n)
+            at, k = np.unique(row[node] + d, return_index=True)
+            k = k[~found[at]]
+            at = row[node[k]] + d[k]
+            found[at] = True
+            k = k[~stop[at]]
+            node, d = node[k], d[k]
+        at = np.flatnonzero(found)
+        node = np.searchsorted(row, at, "right") - 1
+        d = definitions[at - row[node] + first[of[node]]] % max(len(names), 1)
+        for k in range(0, len(at), TOGETHER):
+            part = slice(k, k + TOGETHER)
+            cols = [functions.take(pa.array(of[node[part]])), values.take(pa.array(nodes[node[part]] % len(values))), names.take(pa.array(d[part]))]
+            yield pa.RecordBatch.from_arrays(cols, ["function", "block", "definition"])
+
+
 def centroids(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(method, x, y, z, w): means of sequence, out-degree and loop depth over the ends of edges, weighted by the
     blocks' statements, and the sum of weights. blocks: (method, seq, out_degree, loop_depth, stmt_count)."""

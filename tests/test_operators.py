@@ -402,3 +402,39 @@ def test_tasks_are_cut_by_rows_and_not_by_the_number_of_shuffle_partitions(spark
     ):
         assert rows(cut) == rows(whole)
         assert ", 20), REPARTITION_BY_NUM" in cut._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("large", [0, 40, flows.LARGE])
+def test_reaching_definitions_of_any_graph(spark, monkeypatch, large):
+    """Functions with cycles, doubled edges, kills of what nobody makes and empty lists, against a plain fixpoint; the same
+    whether functions are worked on in a task or in rounds."""
+    r = random.Random(5)
+    blocks, edges, want = [], [], set()
+    for f in range(6):
+        n = r.randrange(1, 9)
+        made = {b: r.sample("abcdef", r.randrange(3)) for b in range(n)}
+        killed = {b: r.sample("abcdefg", r.randrange(4)) for b in range(n)}
+        flow = [(r.randrange(n), r.randrange(n + 1)) for _ in range(2 * n)]
+        blocks += [(f"f{f}", b, made[b], killed[b]) for b in range(n)]
+        edges += [(f"f{f}", a, b) for a, b in flow + flow[:2]]
+        holds: dict[int, set] = {b: set() for b in range(n + 1)}
+        for _ in range(20):
+            for a, b in flow:
+                holds[b] |= set(made[a]) | holds[a] - set(killed[a])
+        want |= {(f"f{f}", b, d) for b, some in holds.items() for d in some}
+    monkeypatch.setattr(flows, "LARGE", large)
+    b = spark.createDataFrame(blocks, "function string, block int, generates array<string>, kills array<string>")
+    got = rows(flows.reaching_definitions(b, spark.createDataFrame(edges, "function string, src int, dst int")))
+    assert len(got) == len(want) and set(got) == want and rows(flows.reaching_definitions(b.limit(0), spark.createDataFrame([], "function string, src int, dst int"))) == []
+
+
+def test_reaching_definitions_take_no_round_a_block(spark):
+    n, sc = 30, spark.sparkContext
+    b = spark.createDataFrame([("f", k, [f"x{k}"], []) for k in range(n)], "function string, block int, generates array<string>, kills array<string>")
+    e = spark.createDataFrame([("f", k, k + 1) for k in range(n - 1)], "function string, src int, dst int")
+    sc.setJobGroup("reaching", "")
+    try:
+        assert flows.reaching_definitions(b, e).count() == n * (n - 1) // 2
+        assert len(sc.statusTracker().getJobIdsForGroup("reaching")) < n
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
