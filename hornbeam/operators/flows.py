@@ -456,9 +456,10 @@ def flow_packages(found: DataFrame) -> DataFrame:
     return rows.groupBy("flow").agg(F.count("*").alias("packages"))
 
 
-#: A function of more blocks, edges and definitions, generated or killed, is worked on by all tasks, in rounds of joins.
+#: A function of more blocks, edges and definitions, generated or killed, or a package of more rows in paths, is worked on
+#: by all tasks, in rounds of joins.
 LARGE = 2000
-#: Rows of whole functions that a task works on together.
+#: Rows of whole functions or packages that a task works on together.
 TOGETHER = 20_000
 
 
@@ -492,15 +493,15 @@ def _reaching_in_rounds(rows: DataFrame) -> DataFrame:
     return entering.all()
 
 
-def _whole_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows, which are sorted by function, in tables of TOGETHER or more as far as there are."""
+def whole(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows, which are sorted by the key, in tables of TOGETHER or more as far as there are, each with all rows of its keys."""
     held, n = [], 0
     for b in batches:
         held.append(b)
         n += len(b)
         if n >= TOGETHER:
             t = pa.Table.from_batches(held)
-            other = np.flatnonzero(pc.not_equal(t["function"], t["function"][-1]).to_numpy())
+            other = np.flatnonzero(pc.not_equal(t[key], t[key][-1]).to_numpy())
             if len(other):
                 yield t.slice(0, end := int(other[-1]) + 1)
                 held = t.slice(end).to_batches()
@@ -517,7 +518,7 @@ def _encoded(*arrays: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
 
 def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The fixpoints of whole functions, side by side: a table of nodes times definitions for each says what is found."""
-    for t in _whole_functions(batches):
+    for t in whole(batches, "function"):
         function, block, dst, edge, generates, kills = (t[k].combine_chunks() for k in ("function", "block", "dst", "edge", "generates", "kills"))
         functions, (f,) = _encoded(function)
         values, (one, two) = _encoded(block, dst)

@@ -3,16 +3,24 @@
 Both walk (node, state) in semi-naive rounds, each joining only what the last one found, within each package. A state is
 what a path has done so far: what a value went through on its way (conditions of sinks), or whether it has gone down into
 a call that it must not leave at another place. The automata are small tables, made from the labels that occur and joined
-as rows, so the work is that of plain reachability times the states that are met.
+as rows, so the work is that of plain reachability times the states that are met. Where calls and returns must match,
+a package of few rows is brought together and walked by one task instead, so that only its rows are shuffled, once.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hornbeam.functions.storage import Parts, cut
-from hornbeam.operators.flows import CALLED, CAST, COLLECT, ELEMENT, FIELD, PLAIN, QUOTED, alike, for_all, only_first
+from hornbeam.functions.storage import Parts, cut, in_arrow, sized
+from hornbeam.operators.flows import CALLED, CAST, COLLECT, ELEMENT, FIELD, LARGE, PLAIN, QUOTED, TOGETHER, alike, for_all, only_first, whole
 
 #: Rows of an automaton that are broadcast.
 BROADCAST = 100_000
@@ -65,12 +73,170 @@ def realizable(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizer
     in; a path may leave the function it began in to any caller, and end in a function that it has not left. A call that
     it passes through is one hop. edges: as for summary_edges(), each call a node of its own (def_use_edges with sites);
     what is passed to a call of a function that the package defines is not the call's value by itself. Packages that are
-    alike are walked once; copies=False leaves out the search for them, where all are known to differ."""
-    if not copies or "pkg" not in edges.columns:
+    alike are walked once."""
+    if "pkg" not in edges.columns:
         return _realizable(edges, sources, sinks, sanitizers)
     edges = cut(edges.select("pkg", "src", "dst", "kind", "site").distinct())
     members = alike(edges, *[t.select("pkg", "id") for t in (sources, sinks, sanitizers) if t is not None and "pkg" in t.columns])
-    return for_all(_realizable(*[t if t is None else only_first(t, members) for t in (edges, sources, sinks, sanitizers)]), members)
+    edges, *ends = [t if t is None else only_first(t, members) for t in (edges, sources, sinks, sanitizers)]
+    rows = edges.withColumn("role", F.lit("edge"))
+    for role, t, c in zip(ENDS, ends, ("src", "dst", "src")):
+        if t is not None:
+            ids = t.select("pkg", "id") if "pkg" in t.columns else t.select("id").distinct().join(edges.select("pkg", F.col(c).alias("id")).distinct(), "id")
+            rows = rows.unionByName(ids.select("pkg", F.col("id").alias("src"), F.lit(role).alias("role")), allowMissingColumns=True)
+    return for_all(realizable_of(rows, lambda df: df), members)
+
+
+#: Roles of rows that name a node (src) and are no edges.
+ENDS = ("source", "sink", "sanitizer")
+
+
+def realizable_of(base: DataFrame, rows_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """realizable() of what rows_of() makes of each row of base (pkg, ...) by itself: (pkg, src, dst, kind, site, role);
+    role: `edge`, or one of ENDS for a node src. Rows of base are shuffled, once, and a task walks the packages whose rows
+    it has; packages of over LARGE rows are walked by all tasks, in rounds of joins."""
+    base = base.filter("pkg IS NOT NULL")
+    sizes = base.groupBy("pkg").count()
+    n, most = sizes.agg(F.sum("count"), F.max("count")).first()
+    many = cut(sizes.filter(F.col("count") > LARGE).select("pkg")) if (most or 0) > LARGE else None
+    few = base if many is None else base.join(many, "pkg", "left_anti")
+    rows = rows_of(sized(few, n or 0, "pkg").sortWithinPartitions("pkg")).select("pkg", "src", "dst", "kind", "site", "role")
+    node = rows.schema["src"].dataType
+    found = in_arrow(rows, _walked, T.StructType([rows.schema["pkg"], T.StructField("source", node), T.StructField("sink", node), T.StructField("hops", T.ArrayType(node))]))
+    if many is None:
+        return found
+    rows = cut(rows_of(base.join(many, "pkg", "left_semi")))
+    ends = [rows.filter(F.col("role") == role).select("pkg", F.col("src").alias("id")) for role in ENDS]
+    return found.unionByName(_realizable(rows.filter("role = 'edge'"), *ends))
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is found in the packages of rows that are sorted by package, in batches of about TOGETHER hops."""
+    for t in whole(batches, "pkg"):
+        pkg, *columns = (t[k].combine_chunks() for k in ("pkg", "src", "dst", "kind", "site", "role"))
+        rows = list(zip(*[c.to_pylist() for c in columns]))
+        begins = [0, *(np.flatnonzero(pc.not_equal(pkg[1:], pkg[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()]
+        found, hops = [], 0
+        for begin, end in zip(begins, [*begins[1:], len(rows)]):
+            for one in _walk(rows[begin:end]):
+                found.append((begin, *one))
+                hops += len(one[2])
+                if hops >= TOGETHER:
+                    yield _batch(pkg, t, found)
+                    found, hops = [], 0
+        if found:
+            yield _batch(pkg, t, found)
+
+
+def _batch(pkg: pa.Array, t: pa.Table, found: list[tuple]) -> pa.RecordBatch:
+    at, source, sink, hops = zip(*found)
+    node = t.schema.field("src").type
+    return pa.RecordBatch.from_arrays([pkg.take(pa.array(at, pa.int64())), pa.array(source, node), pa.array(sink, node), pa.array(hops, pa.list_(node))], ["pkg", "source", "sink", "hops"])
+
+
+def _walk(rows: Iterable[tuple]) -> Iterator[tuple]:
+    """(source, sink, hops) of one package, of rows (src, dst, kind, site, role): what _realizable() finds in rounds."""
+    edges, named = set(), {role: set() for role in ENDS}
+    for src, dst, kind, site, role in rows:
+        if role == "edge":
+            edges.add((src, dst, kind, site))
+        elif src is not None:
+            named[role].add(src)
+    sources, sinks, cleaners = (named[role] for role in ENDS)
+    if not sources or not sinks:
+        return
+    inner, down, back, passed = (defaultdict(set) for _ in range(4))
+    calls, results = defaultdict(set), defaultdict(set)
+    defined = set()
+    for src, dst, kind, site in edges:
+        if src in cleaners or kind is None:
+            continue
+        if kind == "call":
+            down[src].add(dst)
+            calls[site].add((src, dst))
+        elif kind == "result":
+            back[src].add(dst)
+            results[site].add((src, dst))
+        elif kind == "argument":
+            passed[site].add((src, dst))
+        else:
+            inner[src].add(dst)
+            if kind == "parameter":
+                defined.add(src)
+            elif kind == "return":
+                defined.add(dst)
+    defined.discard(None)
+    for site, pairs in passed.items():
+        known = site is not None and (any(dst in defined for _, dst in calls.get(site, ())) or any(src in defined for src, _ in results.get(site, ())))
+        for src, dst in pairs:
+            if not known or dst in sinks:
+                inner[src].add(dst)
+    _summarize(inner, calls, results)
+    for nodes in (inner, down, back):
+        nodes.pop(None, None)
+        for to in nodes.values():
+            to.discard(None)
+    for source in sources:
+        yield from _shortest(source, sinks, inner, down, back)
+
+
+def _summarize(inner: dict, calls: dict, results: dict) -> None:
+    """Adds to inner what summary_edges() makes, of the calls and results (src, dst) by site."""
+    through = defaultdict(set)
+    for site, pairs in calls.items():
+        if site is not None:
+            for at, value in results.get(site, ()):
+                for src, entry in pairs:
+                    if entry is not None and at is not None:
+                        through[entry, at].add((src, value))
+    reached = {entry: {entry} for entry, _ in through}  # nodes by the entry of the function in which they are
+    entries = defaultdict(set, {entry: {entry} for entry in reached})
+    todo = [(entry, entry) for entry in reached]
+
+    def reach(entry, node):
+        if node is not None and node not in reached[entry]:
+            reached[entry].add(node)
+            entries[node].add(entry)
+            todo.append((entry, node))
+
+    while todo:
+        entry, at = todo.pop()
+        for src, value in through.get((entry, at), ()):
+            if src is not None and value not in inner[src]:
+                inner[src].add(value)
+                for other in list(entries.get(src, ())):
+                    reach(other, value)
+        for node in inner.get(at, ()):
+            reach(entry, node)
+
+
+def _shortest(source, sinks: set, inner: dict, down: dict, back: dict) -> Iterator[tuple]:
+    """(source, sink, hops): a shortest path to each sink, the first by text. State 1: it is in a call and must not leave it."""
+    came, hit = {(source, 0): None}, set()
+    level = [(0, source, 0)]  # in the order of their paths; equal ones have equal numbers
+    while level:
+        new = []
+        for rank, node, state in level:
+            for to, moves in ((state, inner), (1, down)) if state else ((0, inner), (0, back), (1, down)):
+                for dst in moves.get(node, ()):
+                    if (dst, to) not in came:
+                        came[dst, to] = (node, state)
+                        new.append((rank, dst, to))
+        new.sort()
+        level, rank, last = [], -1, None
+        for before, node, state in new:
+            if (before, node) != last:
+                rank, last = rank + 1, (before, node)
+            level.append((rank, node, state))
+            if node in sinks and node not in hit:
+                hit.add(node)
+                hops, at = [], (node, state)
+                while at:
+                    hops.append(at[0])
+                    at = came[at]
+                yield source, node, hops[::-1]
+        if len(hit) == len(sinks):
+            return
 
 
 def _realizable(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None) -> DataFrame:

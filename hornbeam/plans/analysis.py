@@ -30,15 +30,15 @@ from hornbeam.streaming import limits, traces
 )
 def matched_calls(spark: SparkSession, d: str) -> DataFrame:
     """A customer's orders as calls on three levels of functions: what is passed by one call comes back at that call only."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("pkg"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 3).alias("lvl"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("pkg"), F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") != "P").alias("entered"), (F.col("o_orderpriority") < "4").alias("left"))
     text = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i.cast("string") for i in x])
-    k, lvl, none = F.col("k"), F.col("lvl"), F.lit(None).cast("string")
-    edge = lambda df, src, dst, kind, site=none: df.select("pkg", src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"), site.cast("string").alias("site"))
-    e = edge(o, text("v", k), text("f", lvl + 1), "call", k).unionByName(edge(o, text("f", lvl + 1, "r"), text("r", k), "result", k))
-    e = e.unionByName(edge(o.filter("lvl > 0 AND st <> 'P'"), text("f", lvl), text("v", k), "inner")).unionByName(edge(o.filter("lvl > 0 AND pr < '4'"), text("r", k), text("f", lvl, "r"), "inner"))
-    e = e.unionByName(edge(o.select("pkg").distinct(), F.lit("f3"), F.lit("f3r"), "inner"))
-    top = o.filter("lvl = 0")
-    return paths.realizable(e, top.select("pkg", text("v", k).alias("id")), top.select("pkg", text("r", k).alias("id")), copies=False).select("pkg", "source", "sink")
+    k, lvl, none = F.col("k"), F.col("k") % 3, F.lit(None).cast("string")
+    row = lambda src, dst=none, kind=none, site=none, role="edge": F.struct(src.alias("src"), dst.alias("dst"), kind.alias("kind"), site.cast("string").alias("site"), F.lit(role).alias("role"))
+    call, result, inner = map(F.lit, ("call", "result", "inner"))
+    made = [row(text("v", k), text("f", lvl + 1), call, k), row(text("f", lvl + 1, "r"), text("r", k), result, k), row(F.lit("f3"), F.lit("f3r"), inner)]
+    made += [F.when((lvl > 0) & F.col("entered"), row(text("f", lvl), text("v", k), inner)), F.when((lvl > 0) & F.col("left"), row(text("r", k), text("f", lvl, "r"), inner))]
+    made += [F.when(lvl == 0, row(text("v", k), role="source")), F.when(lvl == 0, row(text("r", k), role="sink"))]
+    return paths.realizable_of(o, lambda df: df.select("pkg", F.inline(F.array_compact(F.array(*made))))).select("pkg", "source", "sink")
 
 
 def customer_files(spark: SparkSession, d: str, which, variants: list[str], path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from hornbeam.functions.deadline import within
 from hornbeam.operators import checks, extract, flows, graph, paths
+from hornbeam.plans import analysis
 from tests.conftest import rows
 
 
@@ -76,6 +77,35 @@ def test_realizable_equals_walks_with_stacks(spark):
     assert got == want and len(want) > 50
 
 
+def test_packages_are_walked_by_tasks_as_in_rounds(spark, monkeypatch):
+    """With rows that repeat, nulls, ends named for all packages, and packages that are walked in rounds."""
+    rnd, edges, kinds = random.Random(5), [], ["call", "result", "argument", "parameter", "return", "assign", None]
+    for pkg in [*"abcdefghijkl", None]:
+        size = rnd.choice([15, 40])
+        for _ in range(size):
+            node = lambda: rnd.choice([*range(size // 3), None]) if rnd.random() < 0.1 else rnd.randrange(size // 3)
+            src, dst, kind = node(), node(), rnd.choices(kinds, [5, 5, 3, 2, 2, 4, 1])[0]
+            edges.append((pkg, None if src is None else f"n{src}", None if dst is None else f"n{dst}", kind, rnd.choice(["s0", "s1", "s2", None])))
+    e = spark.createDataFrame(edges + edges[::7], "pkg string, src string, dst string, kind string, site string")
+    of = lambda *ids: spark.createDataFrame([(p, i) for p in "abcdefghijklm" for i in ids], "pkg string, id string")
+    for_all = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    ends = e.selectExpr("pkg", "dst AS id").distinct()
+    for tables, large, least in [((ends, ends, for_all("n4")), 25, 500), ((for_all("n0", "n1", None, "none"), for_all("n2", "n3", None), of("n1", None)), paths.LARGE, 5)]:
+        monkeypatch.setattr(paths, "LARGE", large)
+        want = rows(paths._realizable(e, *tables))
+        assert rows(paths.realizable(e, *tables)) == want and len(want) > least
+    assert rows(paths.realizable(e.limit(0), ends, ends)) == []
+
+
+def test_matched_calls_store_nothing(spark, monkeypatch):
+    made, kind = [], type(spark.range(0))
+    store = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: made.append(1) or store(self, *a))
+    assert analysis.matched_calls(spark, "/root/testdata/sf0.001").count() > 0 and not made
+    plan = analysis.matched_calls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # orders by customer
+
+
 def test_accepted_paths(spark):
     e = spark.createDataFrame([("a", "b", "x"), ("b", "c", "y"), ("b", "c", "x"), ("c", "a", "x"), ("c", "d", "z")], "src string, dst string, label string")
     steps = spark.createDataFrame([(0, "x", 0), (0, "y", 1), (1, "x", 1), (1, "z", 2)], "state int, label string, to int")
