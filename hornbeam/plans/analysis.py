@@ -38,7 +38,7 @@ def matched_calls(spark: SparkSession, d: str) -> DataFrame:
     made = [row(text("v", k), text("f", lvl + 1), call, k), row(text("f", lvl + 1, "r"), text("r", k), result, k), row(F.lit("f3"), F.lit("f3r"), inner)]
     made += [F.when((lvl > 0) & F.col("entered"), row(text("f", lvl), text("v", k), inner)), F.when((lvl > 0) & F.col("left"), row(text("r", k), text("f", lvl, "r"), inner))]
     made += [F.when(lvl == 0, row(text("v", k), role="source")), F.when(lvl == 0, row(text("r", k), role="sink"))]
-    return paths.realizable_of(o, lambda df: df.select("pkg", F.inline(F.array_compact(F.array(*made))))).select("pkg", "source", "sink")
+    return paths.realizable_of(o, lambda df: df.select("pkg", F.inline(F.array(*made))).filter("role IS NOT NULL")).select("pkg", "source", "sink")
 
 
 def customer_files(spark: SparkSession, d: str, which, variants: list[str], path: str) -> DataFrame:
